@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_scan as licenses
 from . import quality_rules as quality
+from . import secret_scan as secrets
 from .common import materialize, read_table
 
 QUERIES: dict = {}
@@ -53,3 +55,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR (f1 = 1 AND e1 = 1) OR (f2 = 1 AND e2 = 1) OR (f3 = 1 AND e3 = 1)) AS kept
 FROM f JOIN y ON f.host IS NOT DISTINCT FROM y.host
 """
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = materialize(secrets.scan(docs).select("doc_id", "s_base", "s_cands"), "secret-spans")  # spans alone, read twice below
+    out = secrets.decide(scanned, secrets.thresholds(scanned))
+    count = lambda k: F.size(F.filter("s_base", lambda x: x["k"] == k)).cast("long")
+    return out.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.spelled("s_base"), 256).alias("base_sha256"), secrets.spelled("s_spans").alias("spans"),
+    )
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = licenses.license_scan(docs)
+    comma = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", comma("base_labels"), comma("labels"), "score")
