@@ -48,7 +48,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ordered_rows(df: DataFrame, by: list[str], name: str, weight: str | None = None) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, small_key: str, spread: list[str], salts: int = 16) -> DataFrame:
+    """Left join on a null-safe key that may be hot. Spark broadcasts
+    ``small`` where its measured size allows; beyond that the rows of a hot
+    key meet ``salts`` copies of their partner in as many tasks. The sides
+    are aliased ``d`` and ``h``."""
+    right = small.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("h")
+    left = big.withColumn("join_salt", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")).alias("d")
+    return left.join(right, F.col(f"d.{key}").eqNullSafe(F.col(f"h.{small_key}")) & (F.col("d.join_salt") == F.col("h.join_salt")), "left")
+
+
+def ordered_rows(df: DataFrame, by: list[str | Column], name: str, weight: str | None = None) -> DataFrame:
     """``df`` plus ``row_rank`` (0, 1, … in the order of ``by``) and, with
     ``weight``, ``row_before`` (the sum of ``weight`` over all rows before).
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, text_of
+from .common import SPACE, materialize, spread_join, text_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Soft rules, enforced by host: more than one symbol per so many words,
@@ -26,7 +26,6 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOL_PERCENT, DUP_LINE_PERCENT, WORD_LENGTH = 10, 50, (2, 12)
 MAX_RATE = 0.02
 RULES = ("short", "repeats", "symbols", "lines", "length")
-SALTS = 16
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -103,13 +102,10 @@ def host_verdicts(metrics: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 
 
 def judge(metrics: DataFrame, hosts: DataFrame) -> DataFrame:
-    """``metrics`` plus ``kept``. Spark broadcasts the hosts where their
-    measured size allows; beyond it the rows of a large host are spread over
-    ``SALTS`` join keys."""
+    """``metrics`` plus ``kept``. A host with very many documents is spread
+    over several join keys where the hosts are too many to broadcast."""
     names = metrics.columns
-    salted = hosts.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = metrics.withColumn("q_salt", F.pmod(F.xxhash64(*[F.col(c) for c in METRICS]), F.lit(SALTS)).cast("int")).alias("d")
-    both = left.join(salted.alias("h"), F.col("d.host").eqNullSafe(F.col("h.host")) & (F.col("d.q_salt") == F.col("h.q_salt")), "left")
+    both = spread_join(metrics, hosts, "host", "host", list(METRICS))
     bad = F.col("d.base_failed")
     for r in RULES[2:]:
         bad = bad | (F.col(f"d.fails.{r}") & F.coalesce(F.col(f"h.enforced_{r}"), F.lit(False)))

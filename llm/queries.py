@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license_scan as licenses
+from . import mixing, packing
 from . import quality_rules as quality
 from . import secret_scan as secrets
 from .common import materialize, read_table
@@ -75,3 +76,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.license_scan(docs)
     comma = lambda c: F.array_join(c, ",").alias(c)
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", comma("base_labels"), comma("labels"), "score")
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sized = materialize(docs.select("doc_id", "source", mixing.n_words().alias("size")), "mix-sizes")
+    return mixing.mix(sized, text=None).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
