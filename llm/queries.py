@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import curve_search as curves
 from . import jaccard_join as jaccard
 from . import license_scan as licenses
 from . import mixing, packing
@@ -94,3 +95,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.search(read_table(spark, sf_dir, "embeddings"))
