@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from . import curve_search as curves
 from . import jaccard_join as jaccard
 from . import license_scan as licenses
+from . import lm_scoring as lm
 from . import mixing, packing
 from . import quality_rules as quality
 from . import secret_scan as secrets
+from . import url_filter as urls
 from .common import materialize, read_table
 
 QUERIES: dict = {}
@@ -100,3 +102,16 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.search(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op8_url_filter"] = urls.oracle()
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read_table(spark, sf_dir, "documents"))

@@ -1,0 +1,141 @@
+"""Language-model scores and URL verdicts against plain Python."""
+
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from llm import lm_scoring as M
+from llm import url_filter as U
+
+rng = random.Random(9)
+SCHEMA = "doc_id long, text string, score string"
+
+
+def toks(t):
+    return [*(t or "").encode().lower().split(), M.END]
+
+
+def corpus():
+    nxt = {i: [rng.randrange(60) for _ in range(3)] for i in range(60)}
+    out = [None, "", "ÉÉ é A a B\x0bc", "unseen " * 3]
+    for _ in range(300):
+        w, t = rng.randrange(60), []
+        for _ in range(rng.randrange(1, 60)):
+            t.append(f"W{w}" if rng.random() < 0.2 else f"w{w}")
+            w = rng.choice(nxt[w]) if rng.random() < 0.9 else rng.randrange(60)
+        out.append(" ".join(t))
+    return out
+
+
+def model(texts):
+    uni, pair = Counter(), Counter()
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            x = toks(t)
+            uni.update(x)
+            pair.update(zip([M.BEGIN, *x], x, strict=False))
+    n, v = sum(uni.values()), len(uni)
+    p1 = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+    of = Counter(uni)
+    of[M.BEGIN] = uni[M.END]
+    back = defaultdict(lambda: 1.0)
+    for a in of:
+        kept = sum(c - 0.75 for (x, _), c in pair.items() if x == a and c >= 2)
+        back[a] = 1 - kept / of[a]
+
+    def p2(a, w):
+        c = pair[a, w]
+        return (max(c - 0.75, 0) / of[a] if c >= 2 else 0) + (back[a] if a in of else 1.0) * p1(w)
+
+    return uni, n, p1, p2
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return list(enumerate(corpus()))
+
+
+def test_scores(spark, rows):
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA).repartition(5)
+    uni, n, p1, p2 = model(rows)
+    for limit in (M.PASS_BYTES, 1):  # in one file, and a file a shard
+        got = {r.doc_id: r for r in M.score_documents(df, pass_bytes=limit).collect()}
+        assert len(got) == len(rows)
+        gain = 0.0
+        for i, t in rows:
+            x, r = toks(t), got[i]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 5 == 1, len(x), sum(uni[w] > 0 for w in x), n)
+            assert abs(r.base_score - sum(math.log10(p1(w)) for w in x)) < 1e-7 * len(x)
+            want = sum(math.log10(p2(a, w)) for a, w in zip([M.BEGIN, *x], x, strict=False))
+            assert abs(r.score - want) < 2e-4 * len(x) + 1e-6
+            gain += (r.score - r.base_score) * r.held_out
+        assert gain > 0  # held-out texts: contexts help
+    assert M.score_documents(df.limit(0)).count() == 0
+    total = sum(p2(toks("w1")[0], w) for w in uni) + p2(toks("w1")[0], b"never seen")
+    assert abs(total - 1) < 1e-9
+
+
+def test_several_shards(spark, rows, monkeypatch):
+    df = spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA)
+    key = lambda rs: np.array(sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in rs))
+    a = pytest.approx(key(M.score_documents(df).collect()), abs=0.02)
+    monkeypatch.setattr(M, "SHARD_ENTRIES", 40)
+    assert key(M.score_documents(df).collect()) == a
+    assert key(M.score_documents(df, pass_bytes=3000).collect()) == a
+
+
+def test_shard_lookup():
+    r = np.random.default_rng(1)
+    a = np.sort(r.integers(1, 2**64, 500, dtype=np.uint64))
+    pairs = np.unique(np.stack([r.choice(a[:40], 900), r.choice(a, 900)], 1), axis=0)
+    x = r.normal(size=500 + len(pairs))
+    level = np.repeat([1, 2], [500, len(pairs)])
+    col = lambda u, v: np.concatenate([u, v]).view(np.int64)
+    blob = M.pack_shard(level, col(a, pairs[:, 0]), col(a * 0, pairs[:, 1]), np.arange(len(level)), x)
+    s = M.Shard(blob, 0)
+    n, back = s.word(np.append(a, np.uint64(5)))
+    assert n.tolist() == [*range(500), 0] and np.abs(back[:500] - x[:500]).max() < 1e-3
+    assert np.abs(s.pair(pairs[:, 0].copy(), pairs[:, 1].copy()) - x[500:]).max() < 1e-3
+    assert not s.pair(a[100:140], a[:40]).any()
+
+
+def test_urls(spark):
+    link = lambda h: f'<a href="http://{h}/x">'
+    pages = [
+        (1, "http://A.example.org/es/1?q#f", ""), (2, "https://x.org/", link("good.net") + link("Spam.net")), (3, "http://good.net", "<a href='/local'>"), (4, "http://farm.net/p", link("bad.com") * 3),
+        (5, "http://bad.com/de/1", None), (6, "http://bad.com/other", ""), (7, None, link("bad.com")), (8, "no scheme", ""), (9, "http://example.org/en/12", ""), (10, "http://example.org/en/2", ""),
+        (11, "http://notexample.org/es/", ""), (12, "http://fr.com/fr/1", link("mixed.net")), (13, "http://mixed.net/a://b", link("bad.com") + link("x.org")), (5, "http://bad.com/de/1", None), (14, "http://org?x/", ""),
+        (15, "HTTP://EXAMPLE.ORG/ES/", "<IMG SRC=//User@Bad.com/>"), (16, "http:///nohost", ""),
+    ]
+    df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, verdict string")
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in U.url_filter(df).collect() if r.page_id not in (13,))
+    rule = {p: (r, v) for p, _, _, r, v in got}
+    assert rule[1] == ("example.org/es/", "block") and rule[9] == ("example.org/en/1", "block") and rule[10] == ("org/", "allow") and rule[11] == ("org/", "allow")
+    assert rule[5] == ("com/de/", "block") and rule[12] == ("com/fr/", "allow") and rule[15] == ("org/", "allow")
+    assert rule[3] == (None, "allow") and rule[4] == (None, "block") and rule[6] == (None, "block") and rule[7] == rule[8] == rule[16] == (None, "allow") and rule[14] == (None, "allow")
+    hosts = {p: (h, q) for p, h, q, _, _ in got}
+    assert hosts[1] == ("a.example.org", "/es/1") and hosts[3] == ("good.net", "") and hosts[7] == ("", "") and hosts[14] == ("org", "") and hosts[16] == ("", "/nohost")
+    assert U.url_filter(df.limit(0)).count() == 0
+
+
+def test_walk(spark):
+    """Scores of a few hosts against the plain iteration."""
+    edges = [(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}", rng.randrange(1, 5)) for _ in range(40)]
+    edges = [(a, b, n) for (a, b), n in {(a, b): n for a, b, n in edges if a != b}.items()]
+    seeds = [("h0", 3.0, 0.0), ("h1", 1.0, 2.0)]
+    got = {(r.walk, r.host): r.score for r in U.propagate(spark.createDataFrame(seeds, "host string, trust double, distrust double"), spark.createDataFrame(edges, "src string, dst string, n long")).collect()}
+    for walk, start, steps in (("t", {"h0": 3.0, "h1": 1.0}, edges), ("d", {"h1": 2.0}, [(b, a, n) for a, b, n in edges])):
+        out = Counter()
+        for a, _, n in steps:
+            out[a] += n
+        now = dict(start)
+        for _ in range(U.ROUNDS):
+            new = Counter({h: s * 0.15 for h, s in start.items()})
+            for a, b, n in steps:
+                new[b] += 0.85 * now.get(a, 0) * n / out[a]
+            now = new
+        assert all(abs(got.get((walk, h), 0) - s) < 1e-9 for h, s in now.items())
