@@ -68,7 +68,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         return base
     now = start
     for k in range(rounds):
-        moved = now.join(steps, (now["walk"] == steps["walk"]) & (now["host"] == steps["src"])).select(steps["walk"], F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
+        moved = now.withColumnRenamed("host", "src").join(steps, ["walk", "src"]).select("walk", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
         now = moved.union(base).groupBy("walk", "host").agg(F.sum("score").alias("score"))
         if k % EVERY == EVERY - 1 or k == rounds - 1:
             now = materialize(now, "url-walk")
