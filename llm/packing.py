@@ -23,6 +23,8 @@ a lost executor costs no second tokenization.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,10 @@ from pyspark.sql.window import Window
 from .common import materialize, ordered_rows, text_of
 
 CAPACITY, GRID, END_ID, TOKENIZER = 4096, 16, 2, "word_bpe_49k.json"
-#: Room for token ids of distinct words, a worker.
-CACHE = 300_000
+#: Chunks and words whose ids a worker remembers.
+CACHE = 700_000
+#: Closing marks that are a token run of their own after a word.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 ITEM = "uid long, {doc_id}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -41,28 +45,73 @@ class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
     White space parts tokens for this kind of tokenizer, so a text's ids are
-    those of its space-parted chunks; frequent chunks are looked up.
+    those of its space-parted chunks, and these are remembered. A new chunk
+    that is a plain Latin word, perhaps with closing marks, is put together
+    from the ids of the lower-cased word and of the marks; new words go
+    through the tokenizer many at a time and are told apart by the tokens
+    that end a word. Any other chunk is encoded by itself.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.words = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _learn(self, chunks) -> None:
+        whole, parted, new = [], [], set()
+        for c in chunks:
+            word = c.rstrip(MARKS)
+            if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+                word = word.lower()
+                parted.append((c, word))
+                if word not in self.words:
+                    new.add(word)
+            else:
+                whole.append(c)
+        new = list(new)
+        for at in range(0, len(new), 200):
+            part = new[at : at + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(part):
+                raise ValueError("this tokenizer doesn't mark where words end")
+            raw, cut = ids.tobytes(), [0, *(4 * last).tolist()]
+            for word, i, j in zip(part, cut, cut[1:]):
+                self.words[word] = raw[i:j]
+        for c, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
+        for c, word in parted:
+            tail = c[len(word) :]
+            if tail and tail not in self.known:
+                self.known[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.known[c] = self.words[word] + self.known[tail] if tail else self.words[word]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*parts).difference(self.known) if parts else set()
-        if len(self.known) + len(need) > CACHE:
+        if len(self.known) > CACHE:
             self.known = {}
-            need = set().union(*parts)
-        if need:
-            need = list(need)
-            for chunk, e in zip(need, self.tokenizer.encode_batch(need, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.words) > CACHE:
+            self.words = {}
         known = self.known
+        self._learn({c for p in parts for c in p if c not in known})
         return [b"".join([known[c] for c in p]) for p in parts]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One a worker process; it outlives the task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -82,13 +131,13 @@ def items(docs: DataFrame, doc_id: str, text: str, capacity: int, end_id: int, n
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end = Encoder(tokenizer_path(name)), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path(name)).encode, np.array([end_id], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 200):
                 rows = [[] for _ in range(7)]
-                for d, b in zip(ids[at : at + 200], encoder.encode(texts.slice(at, 200).to_pylist()), strict=True):
+                for d, b in zip(ids[at : at + 200], encode(texts.slice(at, 200).to_pylist()), strict=True):
                     b += end
                     n = len(b) // 4
                     for start in range(0, n, capacity):

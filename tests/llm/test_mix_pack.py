@@ -93,7 +93,7 @@ def check_pack(pieces, texts, capacity=4096):
     return padded / sum(map(len, ids))
 
 
-TEXTS = [None, "", "Hello World! 'Tis it's <|endoftext|>x", "é é ́x ｗｉｄｅ İI Σ", "日本語のテキスト 😀😀", "w " * 20000, "tab\tand\x0bmore nbsp em\r\nend", "z" * 9000]
+TEXTS = [None, "", "Hello World! 'Tis it's <|endoftext|>x", "é é ́x ｗｉｄｅ İI Σ", "日本語のテキスト 😀😀", "w " * 20000, "tab\tand\x0bmore nbsp em\r\nend", "z" * 9000, "Word, word... ÉTÉ! straße ẞ don't, can't.x (a) a_b 12ab <|endoftext|>, x<|startoftext|> ªº ŉ Ǆ ĳ ſ |> <| - -- mot́ x y 's s'"]
 
 
 def test_pack_edges(spark):
