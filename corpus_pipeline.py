@@ -1,8 +1,67 @@
-"""The corpus pipeline: stages over ``documents``, each written and reread."""
+"""The corpus pipeline: from raw documents to packed sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is
+written as Parquet and reread as the next one's ``docs``. All but the last
+return the columns of ``documents``:
+
+1. quality rules: documents the rules reject go,
+2. n-gram Jaccard join: one document of each group of near-duplicates stays,
+3. secret scan: every secret found is replaced by a mark (no document goes),
+4. mixing: each document appears as often as the mix takes it,
+5. packing: one row a piece of a token sequence.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm import jaccard_join, mixing, packing, quality_rules, secret_scan
+from llm.common import materialize, read_table
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the host-level rules keep, unchanged."""
+    return quality_rules.quality_rules(docs).where("kept").select(*_columns(docs))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each near-duplicate group."""
+    return jaccard_join.keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked; ``n_chars`` follows a changed text."""
+    found = secret_scan.secret_scan(docs)
+    masked = found.withColumn("masked", secret_scan.redact("text", "secret_spans"))
+    size = F.when(F.size("secret_spans") > 0, F.length("masked").cast("long")).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", size).withColumn("text", F.col("masked")).select(*_columns(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document zero, one or two times."""
+    return mixing.repeat_taken(mixing.mix(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", deduplicate), ("secret scan", secrets), ("mixing", mix), ("packing", pack)]
+#: Groups by similarity, a systematic sample and a tokenizer are beyond SQL;
+#: tests hold each stage and the whole against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = materialize(out, f"pipeline-{k}") if k < len(STAGES) - 1 else out
+    return docs
