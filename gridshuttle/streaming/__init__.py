@@ -1,0 +1,2 @@
+"""Nothing streams: grids are complete before they are transformed. Deferred
+work is in ``gridshuttle.plans.plan`` (``Request``)."""
