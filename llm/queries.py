@@ -115,3 +115,38 @@ SQL["op8_url_filter"] = urls.oracle()
 @query
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TEMPLATES = ", ".join(f"({i}, '{label}', {len(t.split())}, {p}, '{' '.join(t.split()[p : p + licenses.K])}')" for i, (label, t) in enumerate(licenses.TEMPLATES) for p in range(len(t.split()) - licenses.K + 1))
+SQL["op10_license_scan"] = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) - 1 AS i FROM w),
+g AS (SELECT doc_id, i, a, lead(a) OVER s AS b, lead(a, 2) OVER s AS c FROM t WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, i, CASE WHEN a = 'mit' THEN 'mit' WHEN a = 'apache' THEN 'apache' ELSE 'gpl' END AS label FROM g
+      WHERE (a IN ('mit', 'apache') AND b = 'license') OR (a = 'general' AND b = 'public' AND c = 'license')),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY doc_id),
+k(template, label, size, t, gram) AS (VALUES {_TEMPLATES}),
+h AS (SELECT DISTINCT doc_id, template, label, size, i - t AS d, t FROM g JOIN k ON k.gram = a || ' ' || b || ' ' || c WHERE c IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, template, d FROM h),
+f AS (SELECT *, CASE WHEN d - lag(d) OVER s <= {licenses.GAP} THEN 0 ELSE 1 END AS fresh FROM d WINDOW s AS (PARTITION BY doc_id, template ORDER BY d)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY d ROWS UNBOUNDED PRECEDING) AS run FROM f),
+m AS (SELECT doc_id, template, label, size, run, count(DISTINCT t + x) / size AS score FROM h JOIN r USING (doc_id, template, d), (SELECT unnest([0, 1, 2]) AS x) GROUP BY doc_id, template, label, size, run),
+own AS (SELECT doc_id, max(score) AS score, list(DISTINCT label) FILTER (score >= {licenses.MIN_COVER}) AS labels FROM m GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+SQL["op9_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 4], ' ') END AS s
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT i, j FROM c JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+e AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+r(doc_id, class) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.j, r.class FROM r JOIN e ON e.i = r.doc_id)
+SELECT doc_id, min(class) AS class_id, coalesce((SELECT count(*) FROM e WHERE e.i = r.doc_id), 0) AS n_links FROM r GROUP BY doc_id
+"""
