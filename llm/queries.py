@@ -10,6 +10,7 @@ from . import jaccard_join as jaccard
 from . import license_scan as licenses
 from . import lm_scoring as lm
 from . import mixing, packing
+from . import pseudonyms as pii
 from . import quality_rules as quality
 from . import secret_scan as secrets
 from . import url_filter as urls
@@ -150,3 +151,8 @@ e AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
 r(doc_id, class) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.j, r.class FROM r JOIN e ON e.i = r.doc_id)
 SELECT doc_id, min(class) AS class_id, coalesce((SELECT count(*) FROM e WHERE e.i = r.doc_id), 0) AS n_links FROM r GROUP BY doc_id
 """
+
+
+@query
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
