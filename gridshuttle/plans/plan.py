@@ -116,10 +116,9 @@ class Plan:
         self._boxes: dict[Layout, list[Box]] = {}
         self.fourier_reshape = False
         if self.reshape_enabled and self.config.enable_fourier_reshape and not self.z_slab_enabled:
-            along_x = len({b.starts[0] for b in self._user_boxes})
-            last = L.Y_PENCILS if n == 2 or self.y_slab_enabled else L.Z_PENCILS
-            if along_x > 1 and last != L.Y_PENCILS or n == 2:
-                self._boxes[L.Z_BRICKS] = fourier_bricks(self.boxes(last), along_x)
+            along = len({b.starts[-1] for b in self._user_boxes})
+            if along > 1 and self.last_layout == (L.Y_PENCILS if n == 2 else L.Z_PENCILS):
+                self._boxes[L.Z_BRICKS] = fourier_bricks(self.boxes(self.last_layout), along)
                 self.fourier_reshape = True
 
     @property

@@ -312,23 +312,26 @@ def _(spark, sf_dir):
     return plan.placement(plan.reshape(plan.scatter(points, Layout.X_PENCILS), Reshape.X_PENCILS_TO_BRICKS), Layout.X_BRICKS)
 
 
-# spectral side: x is cut in four (3 each), pairs of ranks share y = 8 whole ... and split z = 4 in two
+# spectral side of bricks 2 x 1 x 2: x stays cut in two, z is cut in two again, y is whole
 NO_SLAB = BLOCK.with_(enable_z_slab=False, enable_fourier_reshape=True)
 
 
-@add("reshape_z_round_trip", "SELECT x, y, z, v FROM " + LI_SQL)
+def spectral_plan(kind=PlanR2R, **more):
+    return kind(boxes=dec.brick_boxes(LI, (2, 1, 2)), config=NO_SLAB, **more)
+
+
+@add("reshape_z_pencils_to_bricks", f"SELECT CAST(z // 2 * 2 + x // 6 AS INT) AS rank, CAST(z % 2 + 2 * (x % 6 + 6 * y) AS BIGINT) AS local_offset, x, y, z, v FROM {LI_SQL}")
 def _(spark, sf_dir):
-    plan = brick_plan(NO_SLAB)
+    plan = spectral_plan()
     points, _ = grids.lineitem_grid(spark, sf_dir)
-    held = plan.reshape(plan.scatter(points, Layout.Z_PENCILS), Reshape.Z_PENCILS_TO_BRICKS)
-    return plan.gather(plan.reshape(held, Reshape.Z_BRICKS_TO_PENCILS), Layout.Z_PENCILS)
+    return plan.placement(plan.reshape(plan.scatter(points, Layout.Z_PENCILS), Reshape.Z_PENCILS_TO_BRICKS), Layout.Z_BRICKS)
 
 
-@add("reshape_z_pencils_to_bricks", None)
+@add("reshape_z_bricks_to_pencils", f"SELECT CAST(y // 4 * 2 + x // 6 AS INT) AS rank, CAST(z + 4 * (x % 6 + 6 * (y % 4)) AS BIGINT) AS local_offset, x, y, z, v FROM {LI_SQL}")
 def _(spark, sf_dir):
-    plan = brick_plan(NO_SLAB)
+    plan = spectral_plan()
     points, _ = grids.lineitem_grid(spark, sf_dir)
-    return plan.placement(plan.reshape(plan.scatter(points, Layout.Z_PENCILS), Reshape.Z_PENCILS_TO_BRICKS), Layout.Z_BRICKS)
+    return plan.placement(plan.reshape(plan.scatter(points, Layout.Z_BRICKS), Reshape.Z_BRICKS_TO_PENCILS), Layout.Z_PENCILS)
 
 
 # --- kernels on one box
@@ -505,13 +508,13 @@ def _(spark, sf_dir):
 @add("brick_execute_roundtrip", sql_round(LI_SQL, AX, ("v",)))
 def _(spark, sf_dir):
     points, _ = grids.lineitem_grid(spark, sf_dir)
-    return round_trip(brick_plan(NO_SLAB, PlanR2C, executor=NP), points, prod(LI))
+    return round_trip(spectral_plan(PlanR2C, executor=NP), points, prod(LI))
 
 
 @add("fourier_reshape_execute", sql_round(sql_half(LI_SQL, LI), AX))
 def _(spark, sf_dir):
     points, _ = grids.lineitem_grid(spark, sf_dir)
-    return rounded(brick_plan(NO_SLAB, PlanR2C, executor=NP).execute(points, Execute.FORWARD))
+    return rounded(spectral_plan(PlanR2C, executor=NP).execute(points, Execute.FORWARD))
 
 
 @add("transpose_only_execute", sql_round(LI_SQL, AX, ("v",)))

@@ -61,12 +61,12 @@ def test_2d_every_rank_count(spark, p):
     assert np.allclose(G.collect_ndarray(plan.execute(f, Execute.BACKWARD), dims), a * 17 * 12)
 
 
-@pytest.mark.parametrize("more", [dict(parts=7), dict(parts=6, grid=(1, 3, 2)), dict(parts=3, grid=(1, 3, 1), config=BLOCK.with_(enable_y_slab=True)), dict(parts=4, config=Config()), dict(boxes="bricks"), dict(parts=9)])
+@pytest.mark.parametrize("more", [dict(parts=7), dict(parts=6, grid=(1, 3, 2)), dict(parts=3, grid=(1, 3, 1), config=BLOCK.with_(enable_y_slab=True)), dict(parts=4, config=Config()), dict(boxes=(2, 2, 1)), dict(boxes=(2, 1, 2)), dict(boxes=(3, 1, 2)), dict(parts=9)])
 def test_3d_ways_agree(spark, more):
     dims = (7, 9, 5)
     more = dict(more)
     if more.get("boxes"):
-        more["boxes"] = D.brick_boxes(dims, (2, 2, 1))
+        more["boxes"] = D.brick_boxes(dims, more["boxes"])
         more["config"] = BLOCK.with_(enable_fourier_reshape=True, enable_z_slab=False)
     points, a = complex_grid(spark, dims)
     plan = PlanC2C(None if "boxes" in more else dims, executor=Executor.NUMPY, **{"config": BLOCK, **more})
@@ -123,7 +123,12 @@ def test_requests(spark):
     assert np.allclose(G.collect_ndarray(plan.gather(plan.transpose_end(int(r)), Layout.Y_PENCILS), dims), a)
     assert Q.code_of(lambda: plan.transpose_end(r)) == 37
     bricks = PlanC2C(boxes=D.brick_boxes((6, 8), (2, 2)), config=BLOCK)
+    assert not bricks.fourier_reshape
+    flat = PlanC2C(boxes=D.brick_boxes((6, 8), (2, 2)), executor=Executor.NUMPY, config=BLOCK.with_(enable_fourier_reshape=True))
     points, a = complex_grid(spark, (6, 8))
+    assert flat.fourier_reshape and D.validate_boxes(flat.boxes(Layout.Z_BRICKS)) == (6, 8)
+    f = flat.execute(points, Execute.FORWARD)
+    assert np.allclose(G.collect_ndarray(f, (6, 8)), np.fft.fft2(a)) and np.allclose(G.collect_ndarray(flat.execute(f, Execute.BACKWARD), (6, 8)), a * 48)
     r = bricks.reshape_start(bricks.scatter(points, Layout.X_BRICKS), Reshape.X_BRICKS_TO_PENCILS)
     assert Q.code_of(lambda: bricks.execute(points, Execute.FORWARD)) == 39
     assert np.allclose(G.collect_ndarray(bricks.gather(bricks.reshape_end(r), Layout.X_PENCILS), (6, 8)), a)
