@@ -114,5 +114,7 @@ def judge(metrics: DataFrame, hosts: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """``docs`` with metrics, rule flags and ``kept``."""
-    metrics = document_metrics(docs, text, host)
+    # Written once: the rules are costly, two passes need them, and a filter on
+    # ``kept`` would otherwise be pushed into (and repeat) the whole measurement.
+    metrics = materialize(document_metrics(docs, text, host), "quality-rows")
     return judge(metrics, host_verdicts(metrics, max_rate))
