@@ -156,3 +156,46 @@ SELECT doc_id, min(class) AS class_id, coalesce((SELECT count(*) FROM e WHERE e.
 @query
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _secret_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    spans = []
+    for kind, (pattern, group, least) in enumerate(((secrets.ASSIGN, 2, 8), (secrets.ACCESS, 0, 0), (secrets.HEX, 0, 0), (secrets.CANDIDATE, 0, 0))):
+        p = quoted(pattern)
+        spans.append(f"""SELECT doc_id, {kind} AS k, s, s + m AS e, t FROM (SELECT doc_id, t, m, v, sum(g) OVER (PARTITION BY doc_id ORDER BY i) + coalesce(sum(m) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+          FROM (SELECT doc_id, t, unnest(range(len(ms))) AS i, length(unnest(gs[:len(ms)])) AS g, length(unnest(ms)) AS m, length(unnest(vs)) AS v
+                FROM (SELECT doc_id, t, string_split_regex(t, {p}) AS gs, regexp_extract_all(t, {p}, 0) AS ms, regexp_extract_all(t, {p}, {group}) AS vs FROM d WHERE regexp_matches(t, {p})))) WHERE v >= {least}""")
+    tail = lambda z: f"(exp(-{z} * {z} / 2) / 2.5066282746310002 * (1 / (1 + 0.2316419 * {z})) * (0.319381530 + (1 / (1 + 0.2316419 * {z})) * (-0.356563782 + (1 / (1 + 0.2316419 * {z})) * (1.781477937 + (1 / (1 + 0.2316419 * {z})) * (-1.821255978 + (1 / (1 + 0.2316419 * {z})) * 1.330274429)))))"
+    alphabet = "CASE " + " ".join(f"WHEN regexp_full_match(b, '{p}') THEN '{a}'" for p, a in secrets.ENCODINGS) + " END"
+    klass = " + ".join(f"CASE WHEN n >= {x} THEN 1 ELSE 0 END" for x in secrets.CLASSES)
+    names = "['" + "', '".join(secrets.KINDS) + "']"
+    line = lambda t: f"string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER ({t})"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS ({" UNION ALL ".join(spans)}),
+base AS (SELECT doc_id, k, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM a WHERE k < 3),
+c AS (SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, rtrim(substr(t, CAST(s AS INT) + 1, CAST(e - s AS INT)), '=') AS b FROM a WHERE k = 3
+      AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = a.doc_id AND base.s < a.e AND a.s < base.e)),
+f AS (SELECT *, {alphabet} AS al FROM c WHERE regexp_matches(b, '[0-9]') AND regexp_matches(b, '[A-Za-z]')),
+x AS (SELECT doc_id, s, e, CAST(length(b) AS DOUBLE) AS n, CAST(length(al) AS DOUBLE) AS q, i, CAST(strpos(al, substr(b, i, 1)) - 1 AS DOUBLE) AS x
+      FROM (SELECT *, CAST(unnest(range(1, length(b) + 1)) AS INT) AS i FROM f WHERE al IS NOT NULL AND length(b) * log2(length(al)) >= {secrets.MIN_BITS})),
+y AS (SELECT *, lead(x) OVER (PARTITION BY doc_id, s ORDER BY i) AS z FROM x),
+cc AS (SELECT doc_id, s, sum(k * k) AS cc FROM (SELECT doc_id, s, x, CAST(count(*) AS DOUBLE) AS k FROM x GROUP BY doc_id, s, x) GROUP BY doc_id, s),
+u AS (SELECT doc_id, s, e, n, q, sum(x) AS sx, sum(x * x) AS sxx, coalesce(sum(x * z), 0) AS sxy, sum(CASE WHEN i = 1 OR i = n THEN x ELSE 0 END) AS ends, CAST(count(*) FILTER (x >= q / 2) AS DOUBLE) AS hi,
+        CAST(count(*) FILTER (z IS NOT NULL AND (x >= q / 2) <> (z >= q / 2)) AS DOUBLE) AS turns FROM y GROUP BY doc_id, s, e, n, q),
+v AS (SELECT *, pow(greatest(q / n * cc - n, 1e-9) / (q - 1), 1.0 / 3) AS chi, 2 * hi * (n - hi) AS two, sxx - sx * sx / n AS den, sxy - sx / n * (2 * sx - ends) + (n - 1) * (sx / n) * (sx / n) AS num FROM u JOIN cc USING (doc_id, s)),
+w AS (SELECT *, least(abs((chi - (1 - 2 / (9 * (q - 1)))) / sqrt(2 / (9 * (q - 1)))), 8.0) AS z1,
+        CASE WHEN hi = 0 OR hi = n OR two * (two - n) <= 0 THEN 8.0 ELSE least(abs(turns - two / n) / sqrt(two * (two - n) / (n * n * (n - 1))), 8.0) END AS z2,
+        CASE WHEN den <= 1e-9 THEN 8.0 ELSE least(abs(num / den * sqrt(n) + 1 / sqrt(n)), 8.0) END AS z3 FROM v),
+p AS (SELECT doc_id, s, e, {klass} AS c, CAST(least(floor(-log10(greatest(least(1.0, 6 * least({tail("z1")}, {tail("z2")}, {tail("z3")})), 1e-30)) * {secrets.PER_DECADE}), {secrets.BINS}) AS INT) AS b FROM w),
+h AS (SELECT c, b, sum(count(*)) OVER (PARTITION BY c ORDER BY b DESC) AS n, sum(count(*)) OVER (PARTITION BY c) AS m FROM p GROUP BY c, b),
+l AS (SELECT c, min(b) AS b FROM h WHERE pow(10.0, -b / {secrets.PER_DECADE}) <= {secrets.FDR} * n / m GROUP BY c),
+o AS (SELECT doc_id, k, s, e FROM base UNION ALL SELECT doc_id, 3, s, e FROM p LEFT JOIN l USING (c) WHERE l.b IS NULL OR p.b < l.b)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+       sha256(coalesce({line("k < 3")}, '')) AS base_sha256, coalesce({line("k IS NOT NULL")}, '') AS spans
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+SQL["op5_secret_scan"] = _secret_sql()
