@@ -28,6 +28,7 @@ from ..enums import Layout, TransposeMode
 from ..errors import ErrorCode, GridError
 from ..functions import compression as codec
 from ..plans.decomposition import Box, order_of
+from ..ship import ship
 
 AXES = ("x", "y", "z")
 BOXES = "rank int, layout int, starts array<int>, counts array<int>, data binary"
@@ -98,6 +99,7 @@ def owner_column(boxes: Sequence[Box]):
 
 def scatter(points: DataFrame, boxes: Sequence[Box], layout: Layout, dtype: np.dtype, work: Work | None = None) -> DataFrame:
     """Points to boxes. A missing, repeated or outside point is an error, not a zero."""
+    ship(points.sparkSession)
     dtype, n = np.dtype(dtype), len(boxes[0].starts)
     values = ["re", "im"] if dtype.kind == "c" else ["v"]
     order = order_of(layout, n)
@@ -137,6 +139,7 @@ def scatter(points: DataFrame, boxes: Sequence[Box], layout: Layout, dtype: np.d
 
 def gather(held: DataFrame, n: int, dtype: np.dtype, work: Work | None = None, offsets: bool = False) -> DataFrame:
     """Boxes to points; with ``offsets`` also each point's rank and place in memory."""
+    ship(held.sparkSession)
     dtype = np.dtype(dtype)
     kind = "double" if dtype.itemsize // (2 if dtype.kind == "c" else 1) == 8 else "float"
     values = [("re", kind), ("im", kind)] if dtype.kind == "c" else [("v", kind)]
@@ -177,6 +180,7 @@ def redistribute(
 ) -> DataFrame:
     """Boxes in ``source`` to ``boxes`` in ``target``. ``before`` runs on a box
     ahead of packing (its result is of ``dtype_out``), ``after`` on the new one."""
+    ship(held.sparkSession)
     n = len(boxes[0].starts)
     dtype_out = np.dtype(dtype_out or dtype_in)
     order_in, order_out = order_of(source, n), order_of(target, n)
@@ -225,6 +229,7 @@ def redistribute(
 
 def apply(held: DataFrame, n: int, dtype: np.dtype, work: Work) -> DataFrame:
     """``work`` on every box where it lies."""
+    ship(held.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -15,6 +15,7 @@ from .functions import kernels
 from .operators import exchange as ex
 from .plans import decomposition as dec
 from .plans.plan import PlanC2C, PlanR2C, PlanR2R
+from .ship import ship
 from .sources import grids
 
 QUERIES: dict = {}
@@ -399,6 +400,7 @@ def _(spark, sf_dir):
 @add("fft_r2c_1d", sql_round(sql_dft(sql_complex(EM_SQL, "xy"), "xy", "x", 64, True, 32), AX[:2]))
 def _(spark, sf_dir):
     """Rows alone: one pass over arrays, no shuffle."""
+    ship(spark)
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("y"), "embedding")
 
     def run(batches):
