@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -35,6 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[0]
 
 
+def ship(spark: SparkSession) -> None:
+    """Workers find this package where the driver does: by path on one
+    machine, elsewhere as a zip that travels with the job (once a context)."""
+    sc, package = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    root, done = os.path.dirname(package), sc.__dict__.setdefault("_shipped_packages", set())
+    if package in done:
+        return
+    done.add(package)
+    if sc.master.startswith("local"):
+        paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        return
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "llm"), "zip", root, "llm"))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -65,6 +82,7 @@ def ordered_rows(df: DataFrame, by: list[str | Column], name: str, weight: str |
     One range exchange, no global window: each range counts its own rows, and
     the small table of range totals (one row a partition) shifts them.
     """
+    ship(df.sparkSession)
     cols = list(df.columns)
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
     schema = T.StructType([*df.schema.fields, T.StructField("range_id", T.IntegerType()), T.StructField("row_rank", T.LongType()), T.StructField("row_before", T.LongType())])

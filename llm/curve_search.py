@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ordered_rows, spread_join
+from .common import materialize, ordered_rows, ship, spread_join
 
 CURVES, DIMS, BITS, AIM, K, SEED = 16, 6, 8, 0.96, 10, 4
 #: Bounded samples: rows to scale the projections, queries to measure the window.
@@ -134,6 +134,7 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
     import pyarrow as pa
 
     spark = vectors.sparkSession
+    ship(spark)
     classes, rows, width = vector_classes(vectors, vec_id, vector, k, query_every)
     total = classes.count()
     turn, shift = rotations(width, dims, curves, seed)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join, text_of
+from .common import materialize, ship, spread_join, text_of
 from .components import components
 
 N, THRESHOLD, BANDS, ROWS, TOLERANCE, STEP, BLOCK, CACHE = 5, 0.8, 30, 6, 1e-4, 32, 384, 400_000
@@ -164,6 +164,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold:
     group) and n_links (other documents at ``threshold`` or nearer)."""
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     bands, rows = BANDS, ROWS
 
     def sketch(batches):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ordered_rows, text_of
+from .common import materialize, ordered_rows, ship, text_of
 
 CAPACITY, GRID, END_ID, TOKENIZER = 4096, 16, 2, "word_bpe_49k.json"
 #: Chunks and words whose ids a worker remembers.
@@ -271,6 +271,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset."""
     spark = docs.sparkSession
+    ship(spark)
     all_items = items(docs, doc_id, text, capacity, end_id, tokenizer)
     histogram = dict(all_items.groupBy("length").count().collect())  # at most ``capacity`` rows
     patterns, taken = plan(histogram, capacity)
