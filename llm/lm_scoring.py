@@ -1,12 +1,18 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Counting: every training token and pair of neighbours is counted (pre-summed
-in each task, then one shuffle). The model is an interpolated bigram model
-with absolute discounting; pairs seen once are left to the lower order, whose
-weight takes their mass, so each context still sums to one.
+Counting: every training token, pair of neighbours and, at order 3, triple is
+counted (pre-summed in each task, then one shuffle). The model is an
+interpolated n-gram model with absolute discounting. N-grams seen less than
+``least`` times are left to the lower order, whose weight takes their mass, so
+each context still sums to one; the query keeps all of them.
 
 Every probability splits into parts that sit with one entry each:
-``log p(w | v) = log p1(w) + log b(v) [+ delta(v, w) if the pair is kept]``.
+``log p(w | v) = log p1(w) + log b(v) [+ delta(v, w) if the pair is kept]`` and
+``log p(w | u, v) = log p(w | v) + log b(u, v) [+ delta(u, v, w)]``. Within a
+text every pair but the last is the context of one token, so a pair's entry
+holds ``delta(v, w) + log b(v, w)``. A pair that is a context is known by a
+64-bit hash, and a triple is two such pairs in a row, kept like a pair.
+
 Entries are dealt to shards by hash; a shard packs its own two-level trie:
 words with counts and backoff weights; contexts, Elias-Fano pointers to each
 context's successors, their ids as one Elias-Fano sequence relative to the
@@ -41,6 +47,8 @@ from .elias_fano import EliasFano, encode
 
 #: Folds by crc32 of the id; that which is held out.
 FOLDS, HELD_OUT, DISCOUNT, MIN_PAIR = 5, 1, 0.75, 2
+#: The whole model, as the query asks for it: triples, and n-grams seen once.
+ORDER, LEAST = 3, 1
 END, BEGIN = 1, 2  # hashes of the two tokens that are no words
 SHARD_ENTRIES, PASS_BYTES, CACHE = 1 << 16, 1 << 28, 500_000
 FLUSH = 3_000_000
@@ -80,23 +88,44 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def counts(texts: DataFrame) -> DataFrame:
-    """(level, a, b, n): words (level 1, b 0) and pairs (level 2) of ``texts`` (text)."""
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64(v, w)`` of two columns of longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = np.full(len(v), 42, np.uint64)
+    for x in (v, w):
+        h = (h + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def counts(texts: DataFrame, order: int = 2, least: int = MIN_PAIR) -> DataFrame:
+    """(level, a, b, n): words (level 1, b 0), pairs (level 2) and, at order 3,
+    triples (level 3, keys of both pairs) of ``texts`` (text)."""
     import pyarrow as pa
 
     def count(batches):
         def flush(parts, ends):
             words = np.concatenate(parts)
+            begins = np.concatenate([[0], np.cumsum(ends)[:-1]])
             before = np.empty_like(words)
             before[1:] = words[:-1]
-            before[np.concatenate([[0], np.cumsum(ends)[:-1]])] = BEGIN
-            for level in (1, 2):
+            before[begins] = BEGIN
+            for level in range(1, order + 1):
                 if level == 1:
                     a, n = np.unique(words, return_counts=True)
                     b = np.zeros_like(a)
                 else:
-                    order = np.lexsort((words, before))
-                    x, y = before[order], words[order]
+                    if level == 3:
+                        words = pair_key(before, words)
+                        before, words = (np.delete(x, begins) for x in (np.roll(words, 1), words))
+                        if not len(words):
+                            continue
+                    by = np.lexsort((words, before))
+                    x, y = before[by], words[by]
                     first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
                     at = np.flatnonzero(first)
                     a, b, n = x[at], y[at], np.diff(np.append(at, len(x)))
@@ -120,14 +149,14 @@ def counts(texts: DataFrame) -> DataFrame:
             yield from flush(parts, ends)
 
     rows = texts.mapInArrow(count, "level int, a long, b long, n long")
-    return rows.groupBy("level", "a", "b").agg(F.sum("n").alias("n")).where(f"level = 1 OR n >= {MIN_PAIR}")
+    return rows.groupBy("level", "a", "b").agg(F.sum("n").alias("n")).where(f"level = 1 OR n >= {least}")
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, dict]:
+def train(texts: DataFrame, order: int = 2, least: int = MIN_PAIR) -> tuple[DataFrame, dict]:
     """(shards: shard, data; facts: train_tokens, vocabulary, shards)."""
     import pyarrow as pa
 
-    counted = materialize(counts(texts), "lm-counts")
+    counted = materialize(counts(texts, order, least), "lm-counts")
     words, pairs = counted.where("level = 1").select(F.col("a").alias("w"), "n"), counted.where("level = 2").select(F.col("a").alias("v"), F.col("b").alias("w"), "n")
     r = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("w") == END, F.col("n")))).first()
     total, vocabulary, docs = r[0] or 0, r[1], r[2] or 0
@@ -140,8 +169,20 @@ def train(texts: DataFrame) -> tuple[DataFrame, dict]:
     p1 = (F.col("n") + 0.5) / floor
     of = weights.select(F.col("w").alias("v"), F.col("n").alias("n_v"), "back")
     named = pairs.join(of, "v").join(words.select("w", p1.alias("p1")), "w")
-    delta = F.log10((F.col("n") - DISCOUNT) / F.col("n_v") + F.col("back") * F.col("p1")) - F.log10("p1") - F.log10("back")
-    second = named.select(F.lit(2).alias("level"), F.col("v").alias("a"), F.col("w").alias("b"), F.lit(0).cast("long").alias("n"), delta.alias("x"))
+    seen = lambda n_v, low: (F.col("n") - DISCOUNT) / F.col(n_v) + F.col("back") * F.col(low)
+    delta = F.log10(seen("n_v", "p1")) - F.log10("p1") - F.log10("back")
+    entry = lambda a, b, x: (F.lit(2).alias("level"), F.col(a).alias("a"), F.col(b).alias("b"), F.lit(0).cast("long").alias("n"), x.alias("x"))
+    if order == 2:
+        second = named.select(*entry("v", "w", delta))
+    else:
+        triples = counted.where("level = 3").select("a", "b", "n")
+        kept = triples.groupBy("a").agg((F.sum("n") - DISCOUNT * F.count("*")).alias("kept"))
+        low = named.select(F.xxhash64("v", "w").alias("k"), "v", "w", "n", delta.alias("delta"), seen("n_v", "p1").alias("p2"))
+        low = low.join(kept, low["k"] == kept["a"], "left").select("k", "v", "w", "n", "delta", "p2", F.greatest(1 - F.coalesce("kept", F.lit(0.0)) / F.col("n"), F.lit(1e-9)).alias("back"))
+        low = materialize(low, "lm-pairs")
+        third = triples.join(low.select(F.col("k").alias("a"), F.col("n").alias("n_a"), "back"), "a").join(low.select(F.col("k").alias("b"), "p2"), "b")
+        third = third.select(*entry("a", "b", F.log10(seen("n_a", "p2")) - F.log10("p2") - F.log10("back")))
+        second = low.select(*entry("v", "w", F.col("delta") + F.log10("back"))).unionByName(third)
     first = weights.select(F.lit(1).alias("level"), F.col("w").alias("a"), F.lit(0).cast("long").alias("b"), "n", F.log10("back").alias("x"))
     entries = materialize(first.unionByName(second), "lm-entries")
     shards = max(1, -(-entries.count() // SHARD_ENTRIES))
@@ -172,7 +213,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, dict]:
             yield flush()
 
     built = materialize(dealt.mapInArrow(build, "shard long, data binary"), "lm-shards")
-    return built, {"train_tokens": total, "vocabulary": vocabulary, "shards": shards, "floor": floor}
+    return built, {"train_tokens": total, "vocabulary": vocabulary, "shards": shards, "floor": floor, "order": order}
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -354,6 +395,10 @@ def score_part(docs: DataFrame, name: str, facts: dict, keys: list[str], first:
                 context[1:] = word[:-1]
                 context[begins] = inverse[-1]
                 total = log1[word] + back[context] + lm.pairs(v, w)
+                if facts["order"] > 2:
+                    inner = np.delete(np.arange(len(w)), begins)
+                    k = pair_key(v, w)
+                    total[inner] += lm.pairs(k[inner - 1], k[inner])
                 sums = [np.add.reduceat(x, begins) for x in ((count[word] > 0).astype(np.int64), log1[word], total)]
                 cols = [c.slice(start, at - start) for c in batch.columns[: len(keys)]]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n if first else n * 0, pa.int64()), *map(pa.array, sums)], names=fields.names)
@@ -361,12 +406,12 @@ def score_part(docs: DataFrame, name: str, facts: dict, keys: list[str], first:
     return docs.select(*keys, "text").mapInArrow(run, fields)
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pass_bytes: int = PASS_BYTES, order: int = 2, least: int = MIN_PAIR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), text_of(text).alias("text"))
-    built, facts = train(rows.where("NOT held_out").select("text"))
+    built, facts = train(rows.where("NOT held_out").select("text"), order, least)
     names = model_files(spark, built, facts["shards"], pass_bytes)
     if len(names) == 1:
         out = score_part(rows, names[0], facts, ["doc_id", "held_out"], True)

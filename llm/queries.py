@@ -115,7 +115,7 @@ SQL["op8_url_filter"] = urls.oracle()
 
 @query
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(read_table(spark, sf_dir, "documents"))
+    return lm.score_documents(read_table(spark, sf_dir, "documents"), order=lm.ORDER, least=lm.LEAST)
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
