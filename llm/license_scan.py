@@ -41,6 +41,16 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced"),
+    # Short notices that stand alone; of three words, so that only the whole of one is enough.
+    ("all-rights-reserved", "all rights reserved"),
+    ("cc-by-nc", "cc by nc"),
+    ("cc-by-sa", "cc by sa"),
+    ("cc-by", "cc by 4"),
+    ("bsd", "bsd 2 clause"),
+    ("bsd", "bsd 3 clause"),
+    ("bsd", "the bsd license"),
+    ("isc", "the isc license"),
+    ("mpl", "mozilla public license"),
 )
 BASE = ("n_words", "n_base", "first_word", "last_word", "base_labels")
 
