@@ -1,7 +1,11 @@
 """Secret scans with a randomness test battery (DataFrame functions only).
 
 Fixed patterns find the obvious kinds. Beyond them, every run of 20 or more
-token characters that mixes letters and digits is a candidate: its encoding
+token characters that mixes letters and digits is a candidate. Runs are cut
+at an inner ``=``; where the alphabet still fits no encoding (``/`` or ``+``
+together with ``_`` or ``-``), a part is cut in each way that makes it fit,
+and all pieces of 20 or more characters are candidates, so spans of kind
+``random`` may overlap there. A candidate's encoding
 is inferred from its alphabet, and three tests ask whether it looks drawn
 uniformly from that alphabet (chi-squared counts, runs about the median,
 lag-one serial correlation). The smallest p-value (times three) is the
@@ -31,7 +35,10 @@ ASSIGN = (
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE, SHORTEST = r"[A-Za-z0-9+/_=-]{20,}", 20
+#: An ``=`` that is no padding at the end of a run; what two encodings don't
+#: share, and the cuts that leave one of them, or names and path steps apart.
+INNER, PLAIN, SAFE, CUTS = "=(?==*[^=])", "[+/]", "[_-]", ("[+/]", "[_-]", "[/_-]")
 KINDS = ("assign", "access", "hex", "random")
 #: (pattern of the whole token, its alphabet); the first that fits counts.
 ENCODINGS = (
@@ -71,6 +78,25 @@ def _found(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -
     return F.when(t.rlike(pattern), good).otherwise(F.expr(NONE))
 
 
+def _cut(c: Column, at: str) -> Column:
+    """The pieces (s, e, w) of ``c`` between single characters ``at``."""
+    start = F.struct(c["s"].alias("at"), F.expr("CAST(array() AS array<struct<s: int, e: int, w: string>>)").alias("found"))
+
+    def add(a, x):
+        e = a["at"] + F.length(x)
+        return F.struct((e + 1).alias("at"), F.concat(a["found"], F.array(F.struct(a["at"].alias("s"), e.alias("e"), x.alias("w")))).alias("found"))
+
+    return F.aggregate(F.split(c["w"], at, -1), start, add, lambda a: a["found"])
+
+
+def _pieces(runs: Column) -> Column:
+    """What is tested of ``runs`` (s, e, w): whole runs where they can be read as one token."""
+    parts = F.flatten(F.transform(runs, lambda c: F.when(c["w"].rlike(INNER), _cut(c, INNER)).otherwise(F.array(c))))
+    mixed = lambda c: c["w"].rlike(PLAIN) & c["w"].rlike(SAFE)
+    cut = F.flatten(F.transform(parts, lambda c: F.when(mixed(c), F.array_distinct(F.concat(*[_cut(c, at) for at in CUTS]))).otherwise(F.array(c))))
+    return F.filter(cut, lambda c: F.length(c["w"]) >= SHORTEST)
+
+
 def _tail(z: Column) -> Column:
     """Upper tail of the normal distribution for z >= 0 (a rational
     approximation good to 1e-7)."""
@@ -134,11 +160,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c not in ("s_base", "s_cands")]
     x = docs.select(*[F.col(f"`{c}`") for c in names], text_of(text).alias("s_text"))
     x = x.withColumn("s_base", F.sort_array(F.concat(_found("s_text", ASSIGN, 0, 2, 8), _found("s_text", ACCESS, 1), _found("s_text", HEX, 2))))
-    runs = F.transform(_found("s_text", CANDIDATE, 3), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.expr("cast(null as string)").alias("w")))
-    x = x.withColumn("s_runs", runs)
-    free = F.filter("s_runs", lambda c: ~F.exists("s_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    free = F.transform(free, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.substring(F.col("s_text"), c["s"] + 1, c["e"] - c["s"]).alias("w")))
-    x = x.withColumn("s_free", free)
+    x = x.withColumn("s_runs", _found("s_text", CANDIDATE, 3))
+    runs = F.transform("s_runs", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.substring(F.col("s_text"), c["s"] + 1, c["e"] - c["s"]).alias("w")))
+    x = x.withColumn("s_pieces", _pieces(runs))
+    x = x.withColumn("s_free", F.filter("s_pieces", lambda c: ~F.exists("s_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))))
     return x.select(*[F.col(f"`{c}`") for c in names], "s_base", F.when(F.size("s_free") > 0, _tested(F.col("s_free"))).otherwise(F.expr("CAST(array() AS array<struct<s: int, e: int, c: int, b: int>>)")).alias("s_cands"))
 
 
