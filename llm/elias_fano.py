@@ -29,7 +29,7 @@ def encode(values: np.ndarray, universe: int) -> bytes:
     """Nondecreasing ``values`` (each below ``universe``) as bytes."""
     v = np.asarray(values, dtype=np.uint64)
     n = len(v)
-    low = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
+    low = min(60, max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1))
     high = (v >> np.uint64(low)).astype(np.int64)
     steps = int(universe - 1 >> low) + 1 if universe > 0 else 1
     bits = np.zeros(-(-(n + steps + 1) // 64) * 64, dtype=np.uint8)

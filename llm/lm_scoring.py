@@ -1,427 +1,626 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Counting: every training token, pair of neighbours and, at order 3, triple is
-counted (pre-summed in each task, then one shuffle). The model is an
-interpolated n-gram model with absolute discounting. N-grams seen less than
-``least`` times are left to the lower order, whose weight takes their mass, so
-each context still sums to one; the query keeps all of them.
-
-Every probability splits into parts that sit with one entry each:
-``log p(w | v) = log p1(w) + log b(v) [+ delta(v, w) if the pair is kept]`` and
-``log p(w | u, v) = log p(w | v) + log b(u, v) [+ delta(u, v, w)]``. Within a
-text every pair but the last is the context of one token, so a pair's entry
-holds ``delta(v, w) + log b(v, w)``. A pair that is a context is known by a
-64-bit hash, and a triple is two such pairs in a row, kept like a pair.
-
-Entries are dealt to shards by hash; a shard packs its own two-level trie:
-words with counts and backoff weights; contexts, Elias-Fano pointers to each
-context's successors, their ids as one Elias-Fano sequence relative to the
-context (id plus a multiple of the shard's id range, hence monotone), and
-16-bit quantised deltas. A pair is found by searching for the successor of
-its value within its context's pointers.
-
-Scoring: shards are laid end to end in files of at most ``PASS_BYTES``, which
-executors fetch and map into memory; with several files the documents are
-scored against one after the other and the parts are summed.
+The model is an interpolated trigram model with absolute discounting over
+every n-gram of the training texts, also those seen once:
+``p3 = a3 + b3 * (a2 + b2 * p1)``, with ``a`` the discounted share of the
+n-gram in its context, ``b`` the mass the discount leaves to the lower order
+and ``p1`` the add-a-half word probability.
+
+1. Documents are cut into blocks of about ``BLOCK_TOKENS`` tokens and written
+   once as word numbers with each block's sorted word hashes.
+2. Words are summed by ranges of their hash: N, V and the words so frequent
+   that one shard can't take all n-grams around them.
+3. A block sends its distinct trigrams (u, v, w) to the shard of the middle
+   word v, as one packed message a shard. So a shard has all that its
+   n-grams need: pairs (v, w), contexts (u, v) and the count of v. The
+   trigrams of a frequent v are split by u, and each of its shards also gets
+   the pair counts of the others.
+4. A shard merges its messages and packs them into its trie: Elias-Fano word
+   hashes, monotone pointers from each word to its successors and contexts
+   and from each context to its successors, which are numbered relative to
+   the successors of the shorter context, and 16-bit logarithms of ``a`` and
+   ``b``. The trie lies in one memory map. Every message is then answered by
+   successor search: word counts, and for each trigram the two numbers
+   ``a3 + b3 * a2`` and ``b3 * b2`` (again 16-bit logarithms).
+5. Answers meet their block again, which sums log probabilities by document.
+
+A message is pre-summed, so a word, pair or passage that fills a third of all
+texts is one entry a block. No n-gram is dropped and no table of words or
+n-grams reaches the driver but the frequent words (each more than
+``SHARD_ENTRIES`` times, so at most one in that many tokens).
 
 A token is a word (anything but ASCII white space, A-Z lower-cased) or the
 end of a text. Words are known by a 64-bit hash. Defined results: null text
 is empty (one end token); a null id trains; repeated rows each train and are
-each scored; without training tokens every token has the same probability.
+each scored; without training tokens every token has the same probability;
+other columns are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
+import mmap
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, ship, text_of
 from .elias_fano import EliasFano, encode
 
 #: Folds by crc32 of the id; that which is held out.
-FOLDS, HELD_OUT, DISCOUNT, MIN_PAIR = 5, 1, 0.75, 2
-#: The whole model, as the query asks for it: triples, and n-grams seen once.
-ORDER, LEAST = 3, 1
-END, BEGIN = 1, 2  # hashes of the two tokens that are no words
-SHARD_ENTRIES, PASS_BYTES, CACHE = 1 << 16, 1 << 28, 500_000
-FLUSH = 3_000_000
+FOLDS, HELD_OUT, DISCOUNT = 5, 1, 0.75
+#: Hashes of what is no word: text end and begin, and "any other word before".
+END, BEGIN, OTHERS = 1, 2, 0
+#: Sizes of a block and a shard; words remembered by a task (of 64 bytes at most).
+BLOCK_TOKENS, SHARD_ENTRIES, CACHE = 1 << 21, 1 << 22, 300_000
+RESULT = (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
 
 
-class Tokens:
-    """Word hashes of texts; remembers frequent words."""
+class Known(dict):
+    """Word hashes; remembers a bounded number of short words."""
 
     def __init__(self):
         import xxhash
 
-        self.hash, self.known = xxhash.xxh3_64_intdigest, {}
-
-    def __call__(self, text: str) -> list[int]:
-        known, out = self.known, []
-        if len(known) > CACHE:
-            known.clear()
-        for w in text.encode("utf-8", "surrogatepass").lower().split():
-            h = known.get(w)
-            if h is None:
-                h = known[w] = self.hash(w)
-            out.append(h)
-        out.append(END)
-        return out
+        self.hash = xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        h = max(self.hash(word), 3)  # 0 to 2 are no words
+        if len(word) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = h
+        return h
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """An array as compressed byte planes."""
+    import pyarrow as pa
+
+    x = np.ascontiguousarray(x)
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return x.dtype.str.encode().ljust(4) + len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=2).compress(planes, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    import pyarrow as pa
+
+    kind, n = np.dtype(data[:4].decode().strip()), int.from_bytes(data[4:12], "little")
+    planes = pa.Codec("zstd").decompress(data[12:], n * kind.itemsize, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).reshape(-1).view(kind)
 
 
-_TOKENS: list[Tokens] = []
+def joined(parts: list[bytes]) -> bytes:
+    """Byte strings as one; ``parted`` undoes it."""
+    return np.array([len(parts), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
 
 
-def tokens() -> Tokens:
-    if not _TOKENS:
-        _TOKENS.append(Tokens())
-    return _TOKENS[0]
+def parted(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, "<u8", 1)[0])
+    ends = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u8", n, 8).astype(np.int64))])
+    return [data[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
 
 
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Spark's ``xxhash64(v, w)`` of two columns of longs."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
-    h = np.full(len(v), 42, np.uint64)
-    for x in (v, w):
-        h = (h + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        h ^= h >> np.uint64(32)
-    return h
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of rows equal in all (sorted) columns begins."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    new = np.ones(n, bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def counts(texts: DataFrame, order: int = 2, least: int = MIN_PAIR) -> DataFrame:
-    """(level, a, b, n): words (level 1, b 0), pairs (level 2) and, at order 3,
-    triples (level 3, keys of both pairs) of ``texts`` (text)."""
-    import pyarrow as pa
+def order_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The order by (a, b, c); small numbers are sorted as one."""
+    bits = [int(x.max()).bit_length() if len(x) else 0 for x in (b, c)]
+    if len(a) and int(a.max()).bit_length() + sum(bits) <= 63:
+        return np.argsort((a.astype(np.int64) << (bits[0] + bits[1])) | (b.astype(np.int64) << bits[1]) | c.astype(np.int64), kind="stable")
+    return np.lexsort((c, b, a))
 
-    def count(batches):
-        def flush(parts, ends):
-            words = np.concatenate(parts)
-            begins = np.concatenate([[0], np.cumsum(ends)[:-1]])
-            before = np.empty_like(words)
-            before[1:] = words[:-1]
-            before[begins] = BEGIN
-            for level in range(1, order + 1):
-                if level == 1:
-                    a, n = np.unique(words, return_counts=True)
-                    b = np.zeros_like(a)
-                else:
-                    if level == 3:
-                        words = pair_key(before, words)
-                        before, words = (np.delete(x, begins) for x in (np.roll(words, 1), words))
-                        if not len(words):
-                            continue
-                    by = np.lexsort((words, before))
-                    x, y = before[by], words[by]
-                    first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-                    at = np.flatnonzero(first)
-                    a, b, n = x[at], y[at], np.diff(np.append(at, len(x)))
-                for k in range(0, len(a), 50000):
-                    s = slice(k, k + 50000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(a[s]), level, np.int32)), pa.array(a[s].view(np.int64)), pa.array(b[s].view(np.int64)), pa.array(n[s].astype(np.int64))], names=["level", "a", "b", "n"]
-                    )
-
-        hashes, parts, ends, size = tokens(), [], [], 0
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                h = np.array(hashes(t), dtype=np.uint64)
-                parts.append(h)
-                ends.append(len(h))
-                size += len(h)
-                if size >= FLUSH:
-                    yield from flush(parts, ends)
-                    parts, ends, size = [], [], 0
-        if parts:
-            yield from flush(parts, ends)
 
-    rows = texts.mapInArrow(count, "level int, a long, b long, n long")
-    return rows.groupBy("level", "a", "b").agg(F.sum("n").alias("n")).where(f"level = 1 OR n >= {least}")
+# Blocks
 
 
-def train(texts: DataFrame, order: int = 2, least: int = MIN_PAIR) -> tuple[DataFrame, dict]:
-    """(shards: shard, data; facts: train_tokens, vocabulary, shards)."""
+def blocks_of(rows: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``rows`` (doc_id, held_out, text) as blocks: block, ids, held, sizes,
+    words (sorted hashes), codes (a number a token)."""
     import pyarrow as pa
 
-    counted = materialize(counts(texts, order, least), "lm-counts")
-    words, pairs = counted.where("level = 1").select(F.col("a").alias("w"), "n"), counted.where("level = 2").select(F.col("a").alias("v"), F.col("b").alias("w"), "n")
-    r = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("w") == END, F.col("n")))).first()
-    total, vocabulary, docs = r[0] or 0, r[1], r[2] or 0
-    floor = total + 0.5 * (vocabulary + 1)
-    spark = texts.sparkSession
-    contexts = words.union(spark.createDataFrame([(BEGIN, docs)], "w long, n long"))
-    kept = pairs.groupBy("v").agg((F.sum("n") - DISCOUNT * F.count("*")).alias("kept"))
-    weights = contexts.join(kept, contexts["w"] == kept["v"], "left").select("w", "n", F.greatest(1 - F.coalesce("kept", F.lit(0.0)) / F.col("n"), F.lit(1e-9)).alias("back"))
-    weights = materialize(weights.where("n > 0"), "lm-weights")
-    p1 = (F.col("n") + 0.5) / floor
-    of = weights.select(F.col("w").alias("v"), F.col("n").alias("n_v"), "back")
-    named = pairs.join(of, "v").join(words.select("w", p1.alias("p1")), "w")
-    seen = lambda n_v, low: (F.col("n") - DISCOUNT) / F.col(n_v) + F.col("back") * F.col(low)
-    delta = F.log10(seen("n_v", "p1")) - F.log10("p1") - F.log10("back")
-    entry = lambda a, b, x: (F.lit(2).alias("level"), F.col(a).alias("a"), F.col(b).alias("b"), F.lit(0).cast("long").alias("n"), x.alias("x"))
-    if order == 2:
-        second = named.select(*entry("v", "w", delta))
-    else:
-        triples = counted.where("level = 3").select("a", "b", "n")
-        kept = triples.groupBy("a").agg((F.sum("n") - DISCOUNT * F.count("*")).alias("kept"))
-        low = named.select(F.xxhash64("v", "w").alias("k"), "v", "w", "n", delta.alias("delta"), seen("n_v", "p1").alias("p2"))
-        low = low.join(kept, low["k"] == kept["a"], "left").select("k", "v", "w", "n", "delta", "p2", F.greatest(1 - F.coalesce("kept", F.lit(0.0)) / F.col("n"), F.lit(1e-9)).alias("back"))
-        low = materialize(low, "lm-pairs")
-        third = triples.join(low.select(F.col("k").alias("a"), F.col("n").alias("n_a"), "back"), "a").join(low.select(F.col("k").alias("b"), "p2"), "b")
-        third = third.select(*entry("a", "b", F.log10(seen("n_a", "p2")) - F.log10("p2") - F.log10("back")))
-        second = low.select(*entry("v", "w", F.col("delta") + F.log10("back"))).unionByName(third)
-    first = weights.select(F.lit(1).alias("level"), F.col("w").alias("a"), F.lit(0).cast("long").alias("b"), "n", F.log10("back").alias("x"))
-    entries = materialize(first.unionByName(second), "lm-entries")
-    shards = max(1, -(-entries.count() // SHARD_ENTRIES))
-    dealt = entries.withColumn("shard", F.pmod(F.col("a").bitwiseXOR(F.col("b")), F.lit(shards)))
-    # signed order would part equal hashes' unsigned order: shift the sign away
-    sort = ["shard", "level", F.col("a").bitwiseXOR(F.lit(-(2**63))), F.col("b").bitwiseXOR(F.lit(-(2**63)))]
-    dealt = dealt.repartition("shard").sortWithinPartitions(*sort).select("shard", "level", "a", "b", "n", "x")
-
-    def build(batches):
-        key, held = None, []
+    kind = rows.schema["doc_id"].dataType
+    schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())),
+        T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType()), T.StructField("codes", T.BinaryType()),
+    ])
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        pid, serial, known = TaskContext.get().partitionId(), 0, Known()
+        get, ids, held, sizes, parts, size = known.__getitem__, [], [], [], [], 0
 
         def flush():
-            table = [np.concatenate(c) for c in zip(*held, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([pack_shard(*table)], pa.binary())], names=["shard", "data"])
+            words, codes = np.unique(np.concatenate(parts), return_inverse=True)
+            one = lambda x, t: pa.array([x], t)
+            listed = pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids))
+            return pa.RecordBatch.from_arrays(
+                [
+                    one((pid << 32) + serial, pa.int64()), listed, one(held, pa.list_(pa.bool_())), one(sizes, pa.list_(pa.int64())),
+                    one(squeeze(np.diff(words, prepend=np.uint64(0))), pa.binary()), one(squeeze(codes.astype(np.uint32)), pa.binary()),
+                ],
+                names=schema.names,
+            )
 
         for batch in batches:
-            c = [batch.column(k).to_numpy() for k in range(6)]
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(c[0])) + 1, [len(c[0])]])
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                if i == j:
-                    continue
-                if c[0][i] != key and held:
+            texts, flags = batch.column(2).cast(pa.binary()), batch.column(1).to_pylist()
+            for k in range(batch.num_rows):
+                h = list(map(get, texts[k].as_py().lower().split()))
+                h.append(END)
+                ids.append(batch.column(0).slice(k, 1))
+                held.append(flags[k])
+                sizes.append(len(h))
+                parts.append(np.array(h, np.uint64))
+                size += len(h)
+                if size >= block_tokens:
                     yield flush()
-                    held = []
-                key = int(c[0][i])
-                held.append([x[i:j] for x in c[1:]])
-        if held:
+                    serial += 1
+                    ids, held, sizes, parts, size = [], [], [], [], 0
+        if parts:
             yield flush()
 
-    built = materialize(dealt.mapInArrow(build, "shard long, data binary"), "lm-shards")
-    return built, {"train_tokens": total, "vocabulary": vocabulary, "shards": shards, "floor": floor, "order": order}
-
-
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lowest value and step, 16-bit codes)."""
-    lo, hi = (float(x.min()), float(x.max())) if len(x) else (0.0, 0.0)
-    step = (hi - lo) / 65535 or 1.0
-    return np.array([lo, step], "<f8"), np.round((x - lo) / step).astype("<u2")
-
-
-def pack_shard(level, a, b, n, x) -> bytes:
-    """One shard's trie; entries come sorted by (level, a, b), unsigned."""
-    a, b = a.view(np.uint64), b.view(np.uint64)
-    one, two = level == 1, level == 2
-    roots, place = np.unique(a[two], return_index=True)
-    ids, rel = np.unique(b[two], return_inverse=True)
-    root = np.searchsorted(roots, a[two])
-    back, deltas = quantised(x[one]), quantised(x[two])
-    out = [np.array([one.sum(), len(roots), len(ids), two.sum()], "<u8").tobytes(), a[one].astype("<u8").tobytes(), n[one].astype("<u8").tobytes(), roots.astype("<u8").tobytes(), ids.astype("<u8").tobytes()]
-    out += [encode(np.append(place, two.sum()), int(two.sum()) + 1), encode(root.astype(np.uint64) * np.uint64(len(ids)) + rel.astype(np.uint64), max(1, len(roots) * len(ids)))]
-    out += [back[0].tobytes(), deltas[0].tobytes(), back[1].tobytes(), deltas[1].tobytes()]
-    raw = b"".join(out)
-    return raw + b"\0" * (-len(raw) % 8)
-
-
-class Shard:
-    """Views into one shard's bytes."""
-
-    def __init__(self, buffer, at: int):
-        u, r, d, m = (int(v) for v in np.frombuffer(buffer, "<u8", 4, at))
-        at += 32
-
-        def take(kind, k):
-            nonlocal at
-            out = np.frombuffer(buffer, kind, k, at)
-            at += out.nbytes
-            return out
-
-        self.words, self.counts, self.roots, self.ids = take("<u8", u), take("<u8", u), take("<u8", r), take("<u8", d)
-        self.pointers = EliasFano(buffer, at)
-        self.successors = EliasFano(buffer, self.pointers.end)
-        at = self.successors.end
-        self.scale1, self.scale2, self.back, self.delta = take("<f8", 2), take("<f8", 2), take("<u2", u), take("<u2", m)
-
-    def word(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, log10 backoff weight), 0 for unknown words."""
-        if not len(self.words):
-            return np.zeros(len(w), np.int64), np.zeros(len(w))
-        i = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
-        hit = self.words[i] == w
-        return np.where(hit, self.counts[i], 0).astype(np.int64), np.where(hit, self.scale1[0] + self.scale1[1] * self.back[i], 0.0)
-
-    def pair(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 delta of pairs, 0 for those not kept."""
-        out = np.zeros(len(v))
-        if not len(self.roots):
-            return out
-        r, d = np.minimum(np.searchsorted(self.roots, v), len(self.roots) - 1), np.minimum(np.searchsorted(self.ids, w), len(self.ids) - 1)
-        both = np.flatnonzero((self.roots[r] == v) & (self.ids[d] == w))
-        if len(both):
-            r, value = r[both], r[both].astype(np.uint64) * np.uint64(len(self.ids)) + d[both].astype(np.uint64)
-            k = self.successors.successor(value)
-            inside = k < self.pointers.get(r + 1).astype(np.int64)  # still among this context's successors
-            k = np.minimum(k, self.successors.n - 1)
-            hit = inside & (self.successors.get(k) == value)
-            out[both[hit]] = self.scale2[0] + self.scale2[1] * self.delta[k[hit]]
+    return rows.mapInArrow(cut, schema)
+
+
+class Block:
+    """One block's tokens: the distinct trigrams (u, v, w as numbers into
+    ``words``) in the order of their shard, then v, w, u."""
+
+    def __init__(self, words: bytes, codes: bytes, held: list, sizes: list, heavy: tuple[np.ndarray, np.ndarray], shards: int):
+        own, w = np.cumsum(unsqueeze(words), dtype=np.uint64), unsqueeze(codes).astype(np.int64)
+        begin = int(np.searchsorted(own, BEGIN))
+        self.words = np.insert(own, begin, np.uint64(BEGIN))
+        w += w >= begin
+        self.sizes, self.w = np.asarray(sizes, np.int64), w
+        self.firsts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        v, u = np.empty_like(w), np.empty_like(w)
+        v[1:], u[2:] = w[:-1], w[:-2]
+        v[self.firsts] = u[self.firsts] = begin
+        seconds = self.firsts[self.sizes > 1] + 1
+        u[seconds] = begin
+        by = order_of(v, w, u)
+        at = starts(v[by], w[by], u[by])
+        train = np.repeat(~np.asarray(held, bool), self.sizes)
+        self.train_tokens = int(train.sum())
+        n = np.add.reduceat(train[by].astype(np.int64), at) if len(at) else at
+        run = np.zeros(len(by), np.int64)
+        run[at[1:]] = 1
+        of = np.empty(len(by), np.int64)
+        of[by] = np.cumsum(run)  # the trigram of each token
+        first = by[at]
+        self.v, self.u, x = v[first], u[first], w[first]
+        parts, part = self.split(heavy)
+        shard = shard_of(self.words[self.v], part, shards)
+        deal = np.argsort(shard, kind="stable")
+        self.v, self.u, self.x, self.n, self.shard, self.parts = (c[deal] for c in (self.v, self.u, x, n, shard, parts))
+        back = np.empty(len(deal), np.int64)
+        back[deal] = np.arange(len(deal))
+        self.of = back[of]
+        self.edges = np.searchsorted(self.shard, np.arange(shards + 1))
+        self.shards = shards
+
+    def split(self, heavy) -> tuple[np.ndarray, np.ndarray]:
+        """How many parts each trigram's v has, and which it belongs to."""
+        h = self.words[self.v]
+        parts, part = np.ones(len(h), np.int64), np.zeros(len(h), np.uint64)
+        if len(heavy[0]) and len(h):
+            at = np.minimum(np.searchsorted(heavy[0], h), len(heavy[0]) - 1)
+            is_heavy = heavy[0][at] == h
+            parts[is_heavy] = heavy[1][at[is_heavy]]
+            part[is_heavy] = scramble(self.words[self.u[is_heavy]] + np.uint64(7)) % parts[is_heavy].astype(np.uint64)
+        return parts, part
+
+    def elsewhere(self) -> dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """By shard: v, w and counts of the pairs of split words that this
+        block sends to another shard of the same v."""
+        at = np.flatnonzero((self.parts > 1) & (self.n > 0))
+        at = at[order_of(self.v[at], self.x[at], self.u[at])]
+        edges = np.append(starts(self.v[at]), len(at))
+        out: dict[int, list] = {}
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            k = at[i:j]
+            pair = starts(self.x[k])
+            of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(k))))
+            total, parts = np.add.reduceat(self.n[k], pair), int(self.parts[k[0]])
+            every = shard_of(np.full(parts, self.words[self.v[k[0]]]), np.arange(parts, dtype=np.uint64), self.shards)
+            for s in np.unique(every):
+                rest = total - np.bincount(of, self.n[k] * (self.shard[k] == s), len(pair)).astype(np.int64)
+                some = rest > 0
+                if some.any():
+                    out.setdefault(int(s), []).append((self.v[k[pair]][some], self.x[k[pair]][some], rest[some]))
         return out
 
+    def messages(self):
+        """(shard, message): the words used, then v, w, u as steps, counts,
+        and the same without u for pairs sent elsewhere."""
+        others = self.elsewhere()
+        none = np.zeros(0, np.int64)
+        for s in sorted({*np.unique(self.shard).tolist(), *others}):
+            cut = slice(self.edges[s], self.edges[s + 1])
+            v, x, u, n = self.v[cut], self.x[cut], self.u[cut], self.n[cut]
+            ev, ex, en = (np.concatenate(c) for c in zip(*others[s], strict=True)) if s in others else (none, none, none)
+            used, local = numbered(np.concatenate([v, x, u, ev, ex]), len(self.words))
+            v, x, u, ev, ex = np.split(local, np.cumsum([len(v), len(x), len(u), len(ev)]))
+            words = np.diff(self.words[used], prepend=np.uint64(0))
+            yield s, joined([squeeze(c) for c in (words, *steps(v, x, u), n.astype(np.uint32), *(c.astype(np.uint32) for c in (ev, ex, en)))])
+
+
+def shard_of(v: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
+    return (scramble(v + part * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(shards)).astype(np.int64)
+
+
+def numbered(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``ids`` (below ``size``), and each one's place among them."""
+    if size > 8 * len(ids):
+        return np.unique(ids, return_inverse=True)
+    mark = np.zeros(size, bool)
+    mark[ids] = True
+    return np.flatnonzero(mark), (np.cumsum(mark) - 1)[ids]
+
+
+def steps(*columns: np.ndarray):
+    """Sorted rows as differences to the row before, each column from anew
+    where a column before it changes."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        d = np.diff(c, prepend=0)
+        yield np.where(new, c, d).astype(np.uint32)
+        new |= d != 0
+
+
+def unsteps(*columns: np.ndarray):
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for d in columns:
+        c = np.cumsum(d, dtype=np.int64)
+        at = np.flatnonzero(new)
+        if len(at):
+            c -= np.repeat(c[at] - d[at], np.diff(np.append(at, len(c))))
+        yield c
+        new[1:] |= c[1:] != c[:-1]
+
+
+# Words
+
+
+def word_facts(blocks: DataFrame, shard_entries: int) -> dict:
+    """What the model needs to know before n-grams are dealt: sizes of the
+    training texts, shards, and the words to split with their parts."""
+    import pyarrow as pa
 
-class Model:
-    """A file of shards, mapped into memory."""
+    whole = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)
+    size = blocks.agg(F.sum(whole).alias("all"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("docs")).first()
+    total, docs = size["all"] or 0, size["docs"] or 0
+    ranges, limit = max(1, -(-total // (8 * shard_entries))), max(1, shard_entries // 4)
 
-    def __init__(self, path: str):
-        import mmap
+    def count(batches):
+        for batch in batches:
+            for words, codes, held, sizes in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                w, c = np.cumsum(unsqueeze(words), dtype=np.uint64), unsqueeze(codes)
+                n = np.bincount(c[np.repeat(~np.asarray(held, bool), sizes)], minlength=len(w))
+                w, n = w[n > 0], n[n > 0]
+                edges = np.searchsorted((w >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24), np.arange(ranges + 1))
+                rows = [(k, joined([squeeze(np.diff(w[i:j], prepend=np.uint64(0))), squeeze(n[i:j].astype(np.uint32))])) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["range", "data"])
+
+    def merge(batches):
+        def flush(data):
+            both = [[unsqueeze(c) for c in parted(d)] for d in data]
+            w, of = np.unique(np.concatenate([np.cumsum(a, dtype=np.uint64) for a, _ in both]), return_inverse=True)
+            n = np.bincount(of, np.concatenate([b for _, b in both])).astype(np.int64)
+            much = n > limit
+            return pa.RecordBatch.from_arrays(
+                [pa.array([None, *w[much].view(np.int64).tolist()], pa.int64()), pa.array([len(w), *[0] * int(much.sum())], pa.int64()), pa.array([int(n.sum()), *n[much].tolist()], pa.int64())], names=["w", "words", "n"]
+            )
+
+        for _, rows in grouped(batches):
+            yield flush([r[1] for r in rows])
+
+    sent = blocks.select("words", "codes", "held", "sizes").mapInArrow(count, "range long, data binary")
+    found = sent.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "w long, words long, n long").collect()  # a row a range, and the words to split
+    heavy = sorted([(r.w % (1 << 64), -(-r.n // limit)) for r in found if r.w is not None and r.w != END] + ([(BEGIN, -(-docs // limit))] if docs > limit else []))
+    sums = [r for r in found if r.w is None]
+    return {
+        "train_tokens": sum(r.n for r in sums), "vocabulary": sum(r.words for r in sums), "train_docs": docs, "shards": max(1, -(-total // shard_entries)),
+        "heavy": (np.array([w for w, _ in heavy], np.uint64), np.array([k for _, k in heavy], np.int64)),
+    }
+
+
+def grouped(batches):
+    """Rows of equal (sorted) first column: (value, rows)."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != key and held:
+                yield key, held
+                held = []
+            key = row[0]
+            held.append(row)
+    if held:
+        yield key, held
+
+
+# Shards
 
-        with open(path, "rb") as f:
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        self.total, k = (int(x) for x in np.frombuffer(self.map, "<u8", 2))
-        table = np.frombuffer(self.map, "<u8", 2 * k, 16).reshape(-1, 2)
-        self.shards = {int(s): Shard(self.map, int(at)) for s, at in table}
 
-    def _routed(self, key: np.ndarray):
-        shard = np.mod(key.view(np.int64), self.total)
-        order = np.argsort(shard, kind="stable")
-        edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-        for i, j in zip(edges[:-1], edges[1:], strict=True):
-            s = self.shards.get(int(shard[order[i]]))
-            if s is not None:
-                yield s, order[i:j]
-
-    def words(self, w: np.ndarray):
-        count, back, mine = np.zeros(len(w), np.int64), np.zeros(len(w)), np.zeros(len(w), bool)
-        for s, at in self._routed(w):
-            count[at], back[at] = s.word(w[at])
-            mine[at] = True
-        return count, back, mine
-
-    def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(v))
-        for s, at in self._routed(v ^ w):
-            out[at] = s.pair(v[at], w[at])
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lowest value and step, 16-bit codes from 1) of logarithms; minus infinity is code 0."""
+    some = np.isfinite(x)
+    lo, hi = (float(x[some].min()), float(x[some].max())) if some.any() else (0.0, 0.0)
+    step = (hi - lo) / 65534 or 1.0
+    return np.array([lo, step], "<f8"), np.where(some, np.round((np.where(some, x, lo) - lo) / step) + 1, 0).astype("<u2")
+
+
+def powers(scale: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    table = np.append(0.0, 10.0 ** (scale[0] + scale[1] * np.arange(65535)))
+    return table[codes] if len(codes) > 65536 else np.where(codes > 0, 10.0 ** (scale[0] + scale[1] * (codes.astype(np.float64) - 1)), 0.0)
+
+
+def merged(messages: list[bytes]) -> bytes:
+    """The trie of all training n-grams in ``messages``."""
+    parts = [[unsqueeze(c) for c in parted(m)] for m in messages]
+    own = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+    words = np.unique(np.concatenate(own))
+    rows, others = [], []
+    for w, p in zip(own, parts, strict=True):
+        to = np.searchsorted(words, w)
+        v, x, u = unsteps(*p[1:4])
+        some = p[4] > 0
+        rows.append((to[v[some]], to[x[some]], to[u[some]], p[4][some].astype(np.int64)))
+        others.append((to[p[5]], to[p[6]], p[7].astype(np.int64)))
+    del parts
+    v, x, u, n = (np.concatenate(c) for c in zip(*rows, strict=True))
+    ev, ex, en = (np.concatenate(c) for c in zip(*others, strict=True))
+    used, local = numbered(np.concatenate([v, x, u, ev, ex]), len(words))
+    v, x, u, ev, ex = np.split(local, np.cumsum([len(v), len(x), len(u), len(ev)]))
+    by = order_of(v, u, x)
+    at = starts(v[by], u[by], x[by])
+    n = np.add.reduceat(n[by], at) if len(at) else n
+    v, u, x = v[by][at], u[by][at], x[by][at]
+    return packed(words[used], v, u, x, n, ev, ex, en)
+
+
+def packed(words, v, u, x, n, ev, ex, en) -> bytes:
+    """A trie from merged triples (sorted by v, u, w) and pairs counted elsewhere."""
+    size = len(words)
+    pv, px, pn = np.concatenate([v, ev]), np.concatenate([x, ex]), np.concatenate([n, en])
+    by = order_of(pv, px, np.zeros(len(pv), np.int64))
+    at = starts(pv[by], px[by])
+    pn = np.add.reduceat(pn[by], at) if len(at) else pn
+    pv, px = pv[by][at], px[by][at]
+    root = starts(pv)
+    degree = np.diff(np.append(root, len(pv)))
+    total = np.add.reduceat(pn, root) if len(root) else pn
+    most = int(degree.max()) if len(degree) else 1
+    pair_key = pv * size + px
+    context = starts(v, u)
+    degree3 = np.diff(np.append(context, len(v)))
+    total3 = np.add.reduceat(n, context) if len(context) else n
+    root_of = np.searchsorted(pv[root], v[context])
+    place = np.searchsorted(pair_key, v * size + x) - np.repeat(root[root_of], degree3)
+    at3 = np.repeat(np.arange(len(context)), degree3)
+    log = lambda a: np.log10(a) if len(a) else np.zeros(0)
+    values = [
+        log((pn - DISCOUNT) / np.repeat(total, degree)), log(DISCOUNT * degree / total), log((n - DISCOUNT) / np.repeat(total3, degree3)), log(DISCOUNT * degree3 / total3),
+    ]
+    levels = [
+        encode(words, 1 << 64), encode(pv[root], max(1, size)), encode(np.append(0, np.cumsum(total)), int(total.sum()) + 1),
+        encode(np.append(root, len(pv)), len(pv) + 1), encode(np.repeat(np.arange(len(root)), degree) * size + px, max(1, len(root) * size)),
+        encode(root_of * size + u[context], max(1, len(root) * size)), encode(np.append(context, len(v)), len(v) + 1), encode(at3 * most + place, max(1, len(context) * most)),
+    ]
+    scales, codes = zip(*map(quantised, values), strict=True)
+    raw = b"".join([np.array([size, most, *map(len, codes)], "<u8").tobytes(), *levels, *(s.tobytes() for s in scales), *(c.tobytes() + b"\0" * (-2 * len(c) % 8) for c in codes)])
+    return raw
+
+
+class Trie:
+    """Views into a packed trie."""
+
+    def __init__(self, buffer):
+        head = np.frombuffer(buffer, "<u8", 6).astype(np.int64).tolist()
+        self.size, self.most, at, levels = head[0], head[1], 48, []
+        for _ in range(8):
+            levels.append(EliasFano(buffer, at))
+            at = levels[-1].end
+        self.words, self.roots, self.totals, self.first2, self.next2, self.contexts, self.first3, self.next3 = levels
+        scales = np.frombuffer(buffer, "<f8", 8, at).reshape(4, 2)
+        at, self.values = at + 64, []
+        for scale, n in zip(scales, head[2:], strict=True):
+            self.values.append((scale, np.frombuffer(buffer, "<u2", n, at)))
+            at += -(-2 * n // 8) * 8
+
+    @staticmethod
+    def mapped(data: bytes) -> Trie:
+        """A trie in a memory map of its own, outside of Python's heap."""
+        room = mmap.mmap(-1, max(1, len(data)))
+        room.write(data)
+        return Trie(room)
+
+    @staticmethod
+    def find(level: EliasFano, x: np.ndarray) -> np.ndarray:
+        """Places of values in a level, -1 for those it lacks."""
+        if not level.n:
+            return np.full(len(x), -1)
+        k = level.successor(x)
+        hit = k < level.n
+        hit[hit] = level.get(k[hit]) == x[hit].astype(np.uint64)
+        return np.where(hit, k, -1)
+
+    def value(self, which: int, at: np.ndarray, missing: float) -> np.ndarray:
+        scale, codes = self.values[which]
+        out = np.full(len(at), missing)
+        some = at >= 0
+        out[some] = powers(scale, codes[at[some]])
         return out
 
-
-_MODELS: dict[str, Model] = {}
-
-
-def model(name: str) -> Model:
-    from pyspark import SparkFiles
-
-    if name not in _MODELS:
-        _MODELS.clear()  # one file at a time
-        _MODELS[name] = Model(SparkFiles.get(name))
-    return _MODELS[name]
-
-
-def model_files(spark, built: DataFrame, shards: int, limit: int = PASS_BYTES) -> list[str]:
-    """Write the shards to files of at most ``limit`` bytes (a shard at
-    least), streaming them one partition at a time, and let executors fetch them."""
-    folder = tempfile.mkdtemp(prefix="llm-model-")
-    atexit.register(shutil.rmtree, folder, True)
-    sizes = built.select("shard", F.length("data").alias("size"))
-    order, at, fill = {}, 0, 0
-    for s, size in sorted(sizes.collect()):  # two numbers a shard of 2^16 entries
-        if fill and fill + size > limit:
-            at, fill = at + 1, 0
-        order[s], fill = at, fill + size
-    names = []
-    for k in range(at + 1):
-        mine = sorted(s for s, p in order.items() if p == k)
-        name = f"lm-{uuid.uuid4().hex}.bin"
-        path = os.path.join(folder, name)
-        chosen = built if at == 0 else built.where(F.col("shard").between(mine[0], mine[-1]))
-        table = {}
-        with open(path, "wb") as f:
-            f.write(b"\0" * (16 + 16 * len(mine)))
-            for row in chosen.toLocalIterator():
-                table[row.shard] = f.tell()
-                f.write(row.data)
-            f.seek(0)
-            f.write(np.array([shards, len(table)], "<u8").tobytes())
-            f.write(np.array(sorted(table.items()), "<u8").tobytes())
-        spark.sparkContext.addFile(path)
-        names.append(name)
-    return names
-
-
-def score_part(docs: DataFrame, name: str, facts: dict, keys: list[str], first: bool) -> DataFrame:
-    """``keys`` plus n_tokens, n_known, base_score, score as far as the file
-    ``name`` knows; ``docs`` has the keys and ``text``."""
+    def ask(self, words: np.ndarray, v: np.ndarray, x: np.ndarray, u: np.ndarray):
+        """For rows sorted by v, x: counts of the different v, and the two
+        numbers of each trigram (u, v, x)."""
+        ids = self.find(self.words, words)
+        first = starts(v)
+        run = np.diff(np.append(first, len(v)))
+        head = ids[v[first]] if len(first) else first
+        root = np.full(len(head), -1)
+        root[head >= 0] = self.find(self.roots, head[head >= 0].astype(np.uint64))
+        known = np.flatnonzero(root >= 0)
+        count, base = np.zeros(len(root), np.int64), np.zeros(len(root), np.int64)
+        if len(known):
+            r = root[known]
+            count[known] = (self.totals.get(r + 1) - self.totals.get(r)).astype(np.int64)
+            base[known] = self.first2.get(r).astype(np.int64)
+        left2 = np.repeat(self.value(1, root, 1.0), run)
+        root, base = np.repeat(root, run), np.repeat(base, run)
+        pair = starts(v, x)
+        again = np.diff(np.append(pair, len(v)))
+        at2 = np.full(len(pair), -1)
+        if len(pair):
+            r, w = root[pair], ids[x[pair]]
+            both = (r >= 0) & (w >= 0)
+            at2[both] = self.find(self.next2, (r[both] * self.size + w[both]).astype(np.uint64))
+        share2, at2 = np.repeat(self.value(0, at2, 0.0), again), np.repeat(at2, again)
+        before = ids[u] if len(u) else u
+        context = np.full(len(v), -1)
+        both = (root >= 0) & (before >= 0)
+        context[both] = self.find(self.contexts, (root[both] * self.size + before[both]).astype(np.uint64))
+        at3 = np.full(len(v), -1)
+        both = (context >= 0) & (at2 >= 0)  # w counts from the first successor of the shorter context
+        at3[both] = self.find(self.next3, (context[both] * self.most + at2[both] - base[both]).astype(np.uint64))
+        left3, share3 = self.value(3, context, 1.0), self.value(2, at3, 0.0)
+        return count, share3 + left3 * share2, left3 * left2
+
+
+def answered(trie: Trie, message: bytes) -> bytes:
+    p = [unsqueeze(c) for c in parted(message)[:4]]
+    count, a, b = trie.ask(np.cumsum(p[0], dtype=np.uint64), *unsteps(*p[1:4]))
+    with np.errstate(divide="ignore"):
+        (scale_a, code_a), (scale_b, code_b) = quantised(np.log10(a)), quantised(np.log10(b))
+    return joined([squeeze(c) for c in (count, scale_a, code_a, scale_b, code_b)])
+
+
+# The whole
+
+
+def sent_messages(blocks: DataFrame, facts: dict) -> DataFrame:
+    """shard, block, data."""
     import pyarrow as pa
 
-    floor = facts["floor"] or 0.5
-    fields = docs.select(*keys).schema
-    for c, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")):
-        fields = fields.add(c, kind)
+    heavy, shards = facts["heavy"], facts["shards"]
 
-    def run(batches):
-        hashes, lm = tokens(), model(name)
+    def send(batches):
         for batch in batches:
-            at, texts = 0, batch.column(len(keys))
-            while at < batch.num_rows:
-                parts, start, size = [], at, 0
-                while at < batch.num_rows and size < 400_000:
-                    h = hashes(texts[at].as_py())
-                    parts.append(np.array(h, dtype=np.uint64))
-                    size += len(h)
-                    at += 1
-                w = np.concatenate(parts)
-                n = np.array([len(p) for p in parts])
-                begins = np.concatenate([[0], np.cumsum(n)[:-1]])
-                v = np.empty_like(w)
-                v[1:] = w[:-1]
-                v[begins] = BEGIN
-                u, inverse = np.unique(np.append(w, np.uint64(BEGIN)), return_inverse=True)
-                count, back, mine = lm.words(u)
-                log1 = np.where(mine, np.log10((count + 0.5) / floor), 0.0)
-                word = inverse[:-1]
-                context = np.empty_like(word)
-                context[1:] = word[:-1]
-                context[begins] = inverse[-1]
-                total = log1[word] + back[context] + lm.pairs(v, w)
-                if facts["order"] > 2:
-                    inner = np.delete(np.arange(len(w)), begins)
-                    k = pair_key(v, w)
-                    total[inner] += lm.pairs(k[inner - 1], k[inner])
-                sums = [np.add.reduceat(x, begins) for x in ((count[word] > 0).astype(np.int64), log1[word], total)]
-                cols = [c.slice(start, at - start) for c in batch.columns[: len(keys)]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n if first else n * 0, pa.int64()), *map(pa.array, sums)], names=fields.names)
-
-    return docs.select(*keys, "text").mapInArrow(run, fields)
-
-
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pass_bytes: int = PASS_BYTES, order: int = 2, least: int = MIN_PAIR) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    spark = docs.sparkSession
-    ship(spark)
+            for block, held, sizes, words, codes in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                out, size = [], 0
+                for s, data in Block(words, codes, held, sizes, heavy, shards).messages():
+                    out.append((s, block, data))
+                    size += len(data)
+                    if size > 1 << 23:
+                        yield batch_of(out)
+                        out, size = [], 0
+                if out:
+                    yield batch_of(out)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "block", "data"])
+
+    return blocks.select("block", "held", "sizes", "words", "codes").mapInArrow(send, "shard long, block long, data binary")
+
+
+def at_shards(messages: DataFrame, answers: bool) -> DataFrame:
+    """shard, block, data: answers to all messages, or (block null) the
+    tries. A row with block null already is its shard's trie."""
+    import pyarrow as pa
+
+    def run(batches):
+        for s, rows in grouped(batches):
+            given = [r[2] for r in rows if r[1] is None]
+            data = given[0] if given else merged([r[2] for r in rows])
+            if not answers:
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([None], pa.int64()), pa.array([data], pa.binary())], names=["shard", "block", "data"])
+                continue
+            trie = Trie.mapped(data)
+            del data, given
+            for _, block, message in rows:
+                if block is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([block], pa.int64()), pa.array([answered(trie, message)], pa.binary())], names=["shard", "block", "data"])
+
+    dealt = messages.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first())
+    return dealt.mapInArrow(run, "shard long, block long, data binary")
+
+
+def summed(blocks: DataFrame, answers: DataFrame, facts: dict) -> DataFrame:
+    """doc_id and the results: each block meets its answers."""
+    import pyarrow as pa
+
+    kind = blocks.schema["ids"].dataType.elementType
+    schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(c, t) for c, t in RESULT]])
+    floor = facts["train_tokens"] + 0.5 * (facts["vocabulary"] + 1)
+    total, docs, heavy, shards = facts["train_tokens"], facts["train_docs"], facts["heavy"], facts["shards"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, codes, held, sizes = (left.column(c)[0].as_py() for c in ("words", "codes", "held", "sizes"))
+        b = Block(words, codes, held, sizes, heavy, shards)
+        got = dict(zip(right.column("shard").to_pylist(), right.column("data").to_pylist(), strict=True))
+        seen, low, high = np.zeros(len(b.words), np.int64), np.empty(len(b.v)), np.empty(len(b.v))
+        for s, data in got.items():
+            cut = slice(b.edges[s], b.edges[s + 1])
+            count, scale_a, code_a, scale_b, code_b = map(unsqueeze, parted(data))
+            v = b.v[cut]
+            seen[v[starts(v)]] = count
+            low[cut], high[cut] = powers(scale_b, code_b), powers(scale_a, code_a)
+        seen[np.searchsorted(b.words, np.uint64(END))] = docs
+        p1 = (seen + 0.5) / floor
+        p = np.log10(high + low * p1[b.x])
+        add = lambda x: np.add.reduceat(x, b.firsts)
+        ids = left.column("ids").combine_chunks().flatten()
+        cols = [ids, pa.array(held), pa.array(b.sizes), pa.array(add((seen[b.w] > 0).astype(np.int64))), pa.array(np.full(len(held), total, np.int64)), pa.array(add(np.log10(p1)[b.w])), pa.array(add(p[b.of]))]
+        return pa.Table.from_arrays(cols, names=schema.names)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def train_model(texts: DataFrame, text: str = "text", block_tokens: int = BLOCK_TOKENS, shard_entries: int = SHARD_ENTRIES) -> tuple[DataFrame, dict]:
+    """The tries of a model of all ``texts`` (shard, block null, data), written to the shared folder, and its facts."""
+    ship(texts.sparkSession)
+    rows = texts.select(F.lit(0).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), text_of(text).alias("text"))
+    blocks = materialize(blocks_of(rows, block_tokens), "lm-blocks")
+    facts = word_facts(blocks, shard_entries)
+    return materialize(at_shards(sent_messages(blocks, facts), False), "lm-tries"), facts
+
+
+def score_with(docs: DataFrame, tries: DataFrame, facts: dict, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Scores of ``docs`` by a model that exists; ``held_out`` is true for all."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.lit(True).alias("held_out"), text_of(text).alias("text"))
+    blocks = materialize(blocks_of(rows, block_tokens), "lm-blocks")
+    return summed(blocks, at_shards(sent_messages(blocks, facts).unionByName(tries), True), facts)
+
+
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
+    every document, by a model of those that aren't held out."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), text_of(text).alias("text"))
-    built, facts = train(rows.where("NOT held_out").select("text"), order, least)
-    names = model_files(spark, built, facts["shards"], pass_bytes)
-    if len(names) == 1:
-        out = score_part(rows, names[0], facts, ["doc_id", "held_out"], True)
-    else:
-        rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "lm-rows")
-        keys = ["uid", "doc_id", "held_out"]
-        parts = [materialize(score_part(rows, name, facts, keys, k == 0), "lm-part") for k, name in enumerate(names)]
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-        sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-        out = both.groupBy(*keys).agg(*sums)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(facts["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+    blocks = materialize(blocks_of(rows, block_tokens), "lm-blocks")
+    facts = word_facts(blocks, shard_entries)
+    return summed(blocks, at_shards(sent_messages(blocks, facts), True), facts)
