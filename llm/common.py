@@ -62,7 +62,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that no later plan reads."""
+    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def carried(docs: DataFrame, result: tuple[str, ...], **needed: str) -> tuple[DataFrame, list[Column]]:
+    """(``docs`` as one column ``in_row`` beside the ``needed`` inputs by
+    their new names, the columns that bring the rest back).
+
+    No name of a caller's column can meet one of an operator's own, in any
+    case. Columns named like a ``result`` (in any case) are left out, as the
+    result replaces them.
+    """
+    names = docs.columns
+    lower, taken = [n.lower() for n in names], {r.lower() for r in result}
+    where = lambda n: names.index(n) if n in names else lower.index(n.lower())
+    keep = [i for i, n in enumerate(lower) if n not in taken]
+    row = [F.col(f"c{i}") for i in keep] or [F.lit(0).alias("none")]
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return flat.select(F.struct(*row).alias("in_row"), *[F.col(f"c{where(n)}").alias(a) for a, n in needed.items()]), [F.col(f"in_row.c{i}").alias(names[i]) for i in keep]
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, share: int = 1024) -> DataFrame:
+    """Inner join of ``many`` with ``one`` (a row a ``key``, whose ``rows``
+    says how many rows of ``many`` have it). Keys with more than
+    ``total / share`` rows, at most ``share`` of them, are broadcast, so no
+    task of the shuffled rest gets more than that of one key. ``one`` should
+    be written, as it is looked through first."""
+    limit = max(total // share, 64)
+    if one.where(F.col(rows) > limit).isEmpty():
+        return many.join(one, key)
+    hot, cold = F.broadcast(one.where(F.col(rows) > limit)), one.where(F.col(rows) <= limit)
+    return many.join(hot, key).unionByName(many.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def spread_join(big: DataFrame, small: DataFrame, key: str, small_key: str, spread: list[str], salts: int = 16) -> DataFrame:

@@ -16,7 +16,8 @@
 Words are runs of anything but ASCII white space, A-Z lower-cased. A text of
 one to four words is a single gram. Texts without words (null, empty) link to
 nothing. Repeated rows and equal or null ids are documents of their own.
-Clashing input columns are replaced.
+All columns of a caller stay, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, spread_join, text_of
+from .common import carried, hot_join, materialize, ship, spread_join, text_of
 from .components import components
 
-N, THRESHOLD, BANDS, ROWS, TOLERANCE, STEP, BLOCK, CACHE = 5, 0.8, 30, 6, 1e-4, 32, 384, 400_000
+N, THRESHOLD, BANDS, ROWS, TOLERANCE, STEP, BLOCK, CACHE = 5, 0.8, 30, 6, 1e-6, 32, 384, 400_000
 COMPARED = 128
 _rng = np.random.default_rng(20)
 A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,8 +190,9 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold:
     classes = sketched.where("print <> 0").groupBy("print").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"))
     classes = materialize(classes, "jaccard-classes")
     first = sketched.join(classes.select("uid"), "uid", "left_semi").select("print", F.explode("bands").alias("key"))
-    shared = first.groupBy("key").agg(F.min("print").alias("v"), F.max("print").alias("top")).where("v <> top").select("key", "v")
-    near = first.join(shared, "key").select(F.col("print").alias("u"), "v").where("u <> v")
+    shared = first.groupBy("key").agg(F.min("print").alias("v"), F.max("print").alias("top"), F.count("*").alias("rows")).where("v <> top").select("key", "v", "rows")
+    shared = materialize(shared, "jaccard-shared")
+    near = hot_join(first, shared, "key", "rows", bands * classes.count()).select(F.col("print").alias("u"), "v").where("u <> v")
     clusters = materialize(components(near), "jaccard-clusters")
 
     members = clusters.join(classes, clusters["node"] == classes["print"]).select("uid", "print", "copies", F.col("component").alias("cluster"))
@@ -269,15 +271,16 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold:
     return out.select("d.uid", "d.print", F.coalesce("h.group", "d.uid").alias("group"), F.coalesce("h.n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def with_uid(docs: DataFrame, name: str) -> DataFrame:
-    """A written copy of ``docs`` with a unique long ``uid`` that stays."""
-    return materialize(docs.drop("uid").withColumn("uid", F.monotonically_increasing_id()), name)
+def with_uid(rows: DataFrame, name: str) -> DataFrame:
+    """A written copy of ``rows`` with a unique long ``uid`` that stays."""
+    return materialize(rows.withColumn("uid", F.monotonically_increasing_id()), name)
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: its id, ``class_id`` (smallest id of its group of
     near-duplicates; its own if it has none) and ``n_links``."""
-    rows = with_uid(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "jaccard-rows")
+    rows = carried(docs, (), doc_id=doc_id, text=text)[0].select("doc_id", "text")
+    rows = with_uid(rows, "jaccard-rows")
     found = materialize(jaccard_classes(rows, threshold=threshold), "jaccard-found").join(rows.select("uid", "doc_id"), "uid")
     lowest = found.groupBy("group").agg(F.min("doc_id").alias("class_id"))
     both = spread_join(found, lowest, "group", "group", ["uid"])
@@ -285,9 +288,13 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id."""
-    rows = with_uid(docs, "jaccard-rows")
-    found = jaccard_classes(rows, text, threshold=threshold).join(rows.select("uid", doc_id), "uid")
-    ranked = found.select("group", F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), "uid").alias("s"))
+    """``docs`` with one document of each group: that of the smallest id
+    (ids before null ones; of equal ids the first row read)."""
+    names, lower = docs.columns, [c.lower() for c in docs.columns]
+    rows, back = carried(docs, (), j_id=doc_id)
+    rows = with_uid(rows, "jaccard-rows")
+    place = names.index(text) if text in names else lower.index(text.lower())
+    found = jaccard_classes(rows.select("uid", F.col(f"in_row.c{place}").alias("text")), threshold=threshold).join(rows.select("uid", "j_id"), "uid")
+    ranked = found.select("group", F.struct(F.col("j_id").isNull().alias("n"), F.col("j_id").alias("i"), "uid").alias("s"))
     kept = ranked.groupBy("group").agg(F.min("s").alias("s")).select(F.col("s.uid").alias("uid"))
-    return rows.join(kept, "uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept, "uid", "left_semi").select(*back)
