@@ -60,7 +60,7 @@ class EliasFano:
         self.ones = np.frombuffer(buffer, "<u4", u + 1, at)
         at += 4 * (u + 1) + (-(4 * (u + 1)) % 8)
         self.lower = np.frombuffer(buffer, "<u8", w, at)
-        self.end = at + 8 * w
+        self.end, self.parts = at + 8 * w, None
 
     def _rest(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -77,23 +77,38 @@ class EliasFano:
         place = 64 * w + _in_word(self.upper[w], i - self.ones[w])
         return ((place - i).astype(np.uint64) << np.uint64(self.low)) | self._rest(i)
 
-    def _before(self, h: np.ndarray) -> np.ndarray:
-        """How many values have a high part below ``h`` (1 to steps): the
-        place of the h-th clear bit, less the clear bits before it."""
-        zeros = 64 * np.arange(len(self.ones), dtype=np.int64) - self.ones
-        w = np.searchsorted(zeros, h - 1, side="right") - 1
-        return 64 * w + _in_word(~self.upper[w], h - 1 - zeros[w]) - (h - 1)
+    def _starts(self) -> np.ndarray:
+        """Index of the first value of each high part, and n at the end. The
+        unary part read once, for many searches; not part of the coding."""
+        if self.parts is None:
+            bits = np.unpackbits(self.upper.view(np.uint8), bitorder="little")[: self.n + self.steps + 1]
+            zeros = np.flatnonzero(bits == 0)[: self.steps]
+            self.parts = np.append(0, zeros - np.arange(len(zeros))).astype(np.uint32 if self.n < 1 << 32 else np.int64)
+        return self.parts
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value >= x (n if there is none)."""
-        x = np.asarray(x, dtype=np.uint64)
+        return self._search(x)[0]
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first value equal to x, -1 where there is none."""
+        at, inside, want = self._search(x)
+        at[~inside] = -1
+        some = np.flatnonzero(inside)
+        at[some[self._rest(at[some]) != want[some]]] = -1
+        return at
+
+    def _search(self, x: np.ndarray):
+        """(successor's index, whether its high part is that of x, low bits of x)."""
+        x, part = np.asarray(x, dtype=np.uint64), self._starts()
         h = np.minimum(x >> np.uint64(self.low), np.uint64(self.steps)).astype(np.int64)
-        lo = np.where(h > 0, self._before(np.maximum(h, 1)), 0)
-        hi = np.where(h < self.steps, self._before(np.minimum(h + 1, self.steps)), self.n)
-        lo = np.where(h >= self.steps, self.n, lo)
+        lo, top = part[h].astype(np.int64), part[np.minimum(h + 1, self.steps)].astype(np.int64)
         want = x & np.uint64((1 << self.low) - 1)
-        while (open_ := lo < hi).any():  # halves the few values that share the high part
-            mid = lo + hi >> 1
-            less = open_ & (self._rest(np.minimum(mid, max(self.n - 1, 0))) < want)
-            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-        return lo
+        hi = top.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):  # halves the few values that share the high part
+            mid = lo[open_] + hi[open_] >> 1
+            less = self._rest(mid) < want[open_]
+            lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        return lo, lo < top, want

@@ -7,7 +7,7 @@ n-gram in its context, ``b`` the mass the discount leaves to the lower order
 and ``p1`` the add-a-half word probability.
 
 1. Documents are cut into blocks of about ``BLOCK_TOKENS`` tokens and written
-   once as word numbers with each block's sorted word hashes.
+   once as word numbers, frequent words first, with each block's word hashes.
 2. Words are summed by ranges of their hash: N, V and the words so frequent
    that one shard can't take all n-grams around them.
 3. A block sends its distinct trigrams (u, v, w) to the shard of the middle
@@ -30,7 +30,7 @@ n-grams reaches the driver but the frequent words (each more than
 ``SHARD_ENTRIES`` times, so at most one in that many tokens).
 
 A token is a word (anything but ASCII white space, A-Z lower-cased) or the
-end of a text. Words are known by a 64-bit hash. Defined results: null text
+end of a text. Words are known by a 56-bit hash. Defined results: null text
 is empty (one end token); a null id trains; repeated rows each train and are
 each scored; without training tokens every token has the same probability;
 other columns are left out. An empty table gives an empty result.
@@ -50,8 +50,10 @@ from .elias_fano import EliasFano, encode
 
 #: Folds by crc32 of the id; that which is held out.
 FOLDS, HELD_OUT, DISCOUNT = 5, 1, 0.75
-#: Hashes of what is no word: text end and begin, and "any other word before".
-END, BEGIN, OTHERS = 1, 2, 0
+#: Hashes of what is no word: text end and begin. Bits of a word's hash (a
+#: pair of 10 ** 8 words shares one with probability 0.07), and of that by
+#: which a context's first word is told from others before the same word.
+END, BEGIN, HASH_BITS, FIRST_BITS = 1, 2, 56, 40
 #: Sizes of a block and a shard; words remembered by a task (of 64 bytes at most).
 BLOCK_TOKENS, SHARD_ENTRIES, CACHE = 1 << 21, 1 << 22, 300_000
 RESULT = (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
@@ -66,7 +68,7 @@ class Known(dict):
         self.hash = xxhash.xxh3_64_intdigest
 
     def __missing__(self, word: bytes) -> int:
-        h = max(self.hash(word), 3)  # 0 to 2 are no words
+        h = max(self.hash(word) >> 64 - HASH_BITS, 3)  # 1 and 2 are no words
         if len(word) <= 64:
             if len(self) >= CACHE:
                 self.clear()
@@ -123,6 +125,15 @@ def starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def ranked(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different words by falling count, then hash, and each one's number."""
+    own, number, n = np.unique(words, return_inverse=True, return_counts=True)
+    by = np.lexsort((own, -n))
+    to = np.empty(len(by), np.uint32)
+    to[by] = np.arange(len(by), dtype=np.uint32)
+    return own[by], to[number]
+
+
 def order_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The order by (a, b, c); small numbers are sorted as one."""
     bits = [int(x.max()).bit_length() if len(x) else 0 for x in (b, c)]
@@ -136,7 +147,7 @@ def order_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def blocks_of(rows: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``rows`` (doc_id, held_out, text) as blocks: block, ids, held, sizes,
-    words (sorted hashes), codes (a number a token)."""
+    words (hashes), codes (a number a token)."""
     import pyarrow as pa
 
     kind = rows.schema["doc_id"].dataType
@@ -152,13 +163,15 @@ def blocks_of(rows: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         get, ids, held, sizes, parts, size = known.__getitem__, [], [], [], [], 0
 
         def flush():
-            words, codes = np.unique(np.concatenate(parts), return_inverse=True)
+            begins = np.full(len(parts), BEGIN, np.uint64)  # a word as well, for the first contexts
+            words, codes = ranked(np.concatenate([*parts, begins]))
+            codes = codes[: len(codes) - len(parts)]
             one = lambda x, t: pa.array([x], t)
             listed = pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids))
             return pa.RecordBatch.from_arrays(
                 [
                     one((pid << 32) + serial, pa.int64()), listed, one(held, pa.list_(pa.bool_())), one(sizes, pa.list_(pa.int64())),
-                    one(squeeze(np.diff(words, prepend=np.uint64(0))), pa.binary()), one(squeeze(codes.astype(np.uint32)), pa.binary()),
+                    one(squeeze(np.diff(words, prepend=np.uint64(0))), pa.binary()), one(squeeze(codes), pa.binary()),
                 ],
                 names=schema.names,
             )
@@ -188,10 +201,8 @@ class Block:
     ``words``) in the order of their shard, then v, w, u."""
 
     def __init__(self, words: bytes, codes: bytes, held: list, sizes: list, heavy: tuple[np.ndarray, np.ndarray], shards: int):
-        own, w = np.cumsum(unsqueeze(words), dtype=np.uint64), unsqueeze(codes).astype(np.int64)
-        begin = int(np.searchsorted(own, BEGIN))
-        self.words = np.insert(own, begin, np.uint64(BEGIN))
-        w += w >= begin
+        self.words, w = np.cumsum(unsqueeze(words), dtype=np.uint64), unsqueeze(codes).astype(np.int64)
+        begin = int(np.flatnonzero(self.words == BEGIN)[0])
         self.sizes, self.w = np.asarray(sizes, np.int64), w
         self.firsts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         v, u = np.empty_like(w), np.empty_like(w)
@@ -252,18 +263,23 @@ class Block:
         return out
 
     def messages(self):
-        """(shard, message): the words used, then v, w, u as steps, counts,
-        and the same without u for pairs sent elsewhere."""
+        """(shard, message): the words v and w, the first words u, then v, w,
+        u as steps, counts, and the same without u for pairs sent elsewhere."""
         others = self.elsewhere()
         none = np.zeros(0, np.int64)
         for s in sorted({*np.unique(self.shard).tolist(), *others}):
             cut = slice(self.edges[s], self.edges[s + 1])
             v, x, u, n = self.v[cut], self.x[cut], self.u[cut], self.n[cut]
             ev, ex, en = (np.concatenate(c) for c in zip(*others[s], strict=True)) if s in others else (none, none, none)
-            used, local = numbered(np.concatenate([v, x, u, ev, ex]), len(self.words))
-            v, x, u, ev, ex = np.split(local, np.cumsum([len(v), len(x), len(u), len(ev)]))
-            words = np.diff(self.words[used], prepend=np.uint64(0))
-            yield s, joined([squeeze(c) for c in (words, *steps(v, x, u), n.astype(np.uint32), *(c.astype(np.uint32) for c in (ev, ex, en)))])
+            used, local = numbered(np.concatenate([v, x, ev, ex]), len(self.words))
+            v, x, ev, ex = np.split(local, np.cumsum([len(v), len(x), len(ev)]))
+            before, u = numbered(u, len(self.words))
+            hashes = [np.diff(h, prepend=np.uint64(0)) for h in (self.words[used], first_words(self.words[before]))]
+            yield s, joined([squeeze(c) for c in (*hashes, *steps(v, x, u), n.astype(np.uint32), *(c.astype(np.uint32) for c in (ev, ex, en)))])
+
+
+def first_words(words: np.ndarray) -> np.ndarray:
+    return words >> np.uint64(HASH_BITS - FIRST_BITS)
 
 
 def shard_of(v: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
@@ -319,8 +335,10 @@ def word_facts(blocks: DataFrame, shard_entries: int) -> dict:
             for words, codes, held, sizes in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 w, c = np.cumsum(unsqueeze(words), dtype=np.uint64), unsqueeze(codes)
                 n = np.bincount(c[np.repeat(~np.asarray(held, bool), sizes)], minlength=len(w))
-                w, n = w[n > 0], n[n > 0]
-                edges = np.searchsorted((w >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24), np.arange(ranges + 1))
+                some = np.flatnonzero(n)
+                some = some[np.argsort(w[some])]
+                w, n = w[some], n[some]
+                edges = np.searchsorted((w >> np.uint64(HASH_BITS - 24)) * np.uint64(ranges) >> np.uint64(24), np.arange(ranges + 1))
                 rows = [(k, joined([squeeze(np.diff(w[i:j], prepend=np.uint64(0))), squeeze(n[i:j].astype(np.uint32))])) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["range", "data"])
 
@@ -380,30 +398,32 @@ def powers(scale: np.ndarray, codes: np.ndarray) -> np.ndarray:
 def merged(messages: list[bytes]) -> bytes:
     """The trie of all training n-grams in ``messages``."""
     parts = [[unsqueeze(c) for c in parted(m)] for m in messages]
-    own = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-    words = np.unique(np.concatenate(own))
+    own = [[np.cumsum(c, dtype=np.uint64) for c in p[:2]] for p in parts]
+    words, firsts = (np.unique(np.concatenate([o[k] for o in own])) for k in (0, 1))
     rows, others = [], []
-    for w, p in zip(own, parts, strict=True):
-        to = np.searchsorted(words, w)
-        v, x, u = unsteps(*p[1:4])
-        some = p[4] > 0
-        rows.append((to[v[some]], to[x[some]], to[u[some]], p[4][some].astype(np.int64)))
-        others.append((to[p[5]], to[p[6]], p[7].astype(np.int64)))
-    del parts
+    for (w, f), p in zip(own, parts, strict=True):
+        to, before = np.searchsorted(words, w), np.searchsorted(firsts, f)
+        v, x, u = unsteps(*p[2:5])
+        some = p[5] > 0
+        rows.append((to[v[some]], to[x[some]], before[u[some]], p[5][some].astype(np.int64)))
+        others.append((to[p[6]], to[p[7]], p[8].astype(np.int64)))
+    del parts, own
     v, x, u, n = (np.concatenate(c) for c in zip(*rows, strict=True))
     ev, ex, en = (np.concatenate(c) for c in zip(*others, strict=True))
-    used, local = numbered(np.concatenate([v, x, u, ev, ex]), len(words))
-    v, x, u, ev, ex = np.split(local, np.cumsum([len(v), len(x), len(u), len(ev)]))
+    del rows, others
+    used, local = numbered(np.concatenate([v, x, ev, ex]), len(words))
+    v, x, ev, ex = np.split(local, np.cumsum([len(v), len(x), len(ev)]))
+    before, u = numbered(u, len(firsts))
     by = order_of(v, u, x)
     at = starts(v[by], u[by], x[by])
     n = np.add.reduceat(n[by], at) if len(at) else n
     v, u, x = v[by][at], u[by][at], x[by][at]
-    return packed(words[used], v, u, x, n, ev, ex, en)
+    return packed(words[used], firsts[before], v, u, x, n, ev, ex, en)
 
 
-def packed(words, v, u, x, n, ev, ex, en) -> bytes:
+def packed(words, firsts, v, u, x, n, ev, ex, en) -> bytes:
     """A trie from merged triples (sorted by v, u, w) and pairs counted elsewhere."""
-    size = len(words)
+    size, before = max(1, len(words)), max(1, len(firsts))
     pv, px, pn = np.concatenate([v, ev]), np.concatenate([x, ex]), np.concatenate([n, en])
     by = order_of(pv, px, np.zeros(len(pv), np.int64))
     at = starts(pv[by], px[by])
@@ -425,28 +445,28 @@ def packed(words, v, u, x, n, ev, ex, en) -> bytes:
         log((pn - DISCOUNT) / np.repeat(total, degree)), log(DISCOUNT * degree / total), log((n - DISCOUNT) / np.repeat(total3, degree3)), log(DISCOUNT * degree3 / total3),
     ]
     levels = [
-        encode(words, 1 << 64), encode(pv[root], max(1, size)), encode(np.append(0, np.cumsum(total)), int(total.sum()) + 1),
+        encode(words, 1 << HASH_BITS), encode(firsts, 1 << FIRST_BITS), encode(pv[root], size), encode(np.append(0, np.cumsum(total)), int(total.sum()) + 1),
         encode(np.append(root, len(pv)), len(pv) + 1), encode(np.repeat(np.arange(len(root)), degree) * size + px, max(1, len(root) * size)),
-        encode(root_of * size + u[context], max(1, len(root) * size)), encode(np.append(context, len(v)), len(v) + 1), encode(at3 * most + place, max(1, len(context) * most)),
+        encode(root_of * before + u[context], max(1, len(root) * before)), encode(np.append(context, len(v)), len(v) + 1), encode(at3 * most + place, max(1, len(context) * most)),
     ]
     scales, codes = zip(*map(quantised, values), strict=True)
-    raw = b"".join([np.array([size, most, *map(len, codes)], "<u8").tobytes(), *levels, *(s.tobytes() for s in scales), *(c.tobytes() + b"\0" * (-2 * len(c) % 8) for c in codes)])
-    return raw
+    return b"".join([np.array([size, before, most, *map(len, codes)], "<u8").tobytes(), *levels, *(s.tobytes() for s in scales), *(c.tobytes() + b"\0" * (-2 * len(c) % 8) for c in codes)])
 
 
 class Trie:
     """Views into a packed trie."""
 
     def __init__(self, buffer):
-        head = np.frombuffer(buffer, "<u8", 6).astype(np.int64).tolist()
-        self.size, self.most, at, levels = head[0], head[1], 48, []
-        for _ in range(8):
+        head = np.frombuffer(buffer, "<u8", 7).astype(np.int64).tolist()
+        self.size, self.before, self.most = head[:3]
+        at, levels = 56, []
+        for _ in range(9):
             levels.append(EliasFano(buffer, at))
             at = levels[-1].end
-        self.words, self.roots, self.totals, self.first2, self.next2, self.contexts, self.first3, self.next3 = levels
+        self.words, self.firsts, self.roots, self.totals, self.first2, self.next2, self.contexts, self.first3, self.next3 = levels
         scales = np.frombuffer(buffer, "<f8", 8, at).reshape(4, 2)
         at, self.values = at + 64, []
-        for scale, n in zip(scales, head[2:], strict=True):
+        for scale, n in zip(scales, head[3:], strict=True):
             self.values.append((scale, np.frombuffer(buffer, "<u2", n, at)))
             at += -(-2 * n // 8) * 8
 
@@ -457,16 +477,6 @@ class Trie:
         room.write(data)
         return Trie(room)
 
-    @staticmethod
-    def find(level: EliasFano, x: np.ndarray) -> np.ndarray:
-        """Places of values in a level, -1 for those it lacks."""
-        if not level.n:
-            return np.full(len(x), -1)
-        k = level.successor(x)
-        hit = k < level.n
-        hit[hit] = level.get(k[hit]) == x[hit].astype(np.uint64)
-        return np.where(hit, k, -1)
-
     def value(self, which: int, at: np.ndarray, missing: float) -> np.ndarray:
         scale, codes = self.values[which]
         out = np.full(len(at), missing)
@@ -474,45 +484,41 @@ class Trie:
         out[some] = powers(scale, codes[at[some]])
         return out
 
-    def ask(self, words: np.ndarray, v: np.ndarray, x: np.ndarray, u: np.ndarray):
-        """For rows sorted by v, x: counts of the different v, and the two
-        numbers of each trigram (u, v, x)."""
-        ids = self.find(self.words, words)
+    def ask(self, words: np.ndarray, firsts: np.ndarray, v: np.ndarray, x: np.ndarray, u: np.ndarray):
+        """For rows grouped by v, x (numbers into ``words``; u into
+        ``firsts``): counts of the different v, and the two numbers of each
+        trigram (u, v, x)."""
+        ids, before = self.words.find(words), self.firsts.find(firsts)
         first = starts(v)
         run = np.diff(np.append(first, len(v)))
-        head = ids[v[first]] if len(first) else first
+        head = ids[v[first]]
         root = np.full(len(head), -1)
-        root[head >= 0] = self.find(self.roots, head[head >= 0].astype(np.uint64))
+        root[head >= 0] = self.roots.find(head[head >= 0])
         known = np.flatnonzero(root >= 0)
         count, base = np.zeros(len(root), np.int64), np.zeros(len(root), np.int64)
         if len(known):
             r = root[known]
             count[known] = (self.totals.get(r + 1) - self.totals.get(r)).astype(np.int64)
             base[known] = self.first2.get(r).astype(np.int64)
-        left2 = np.repeat(self.value(1, root, 1.0), run)
-        root, base = np.repeat(root, run), np.repeat(base, run)
+        left2, root, base = np.repeat(self.value(1, root, 1.0), run), np.repeat(root, run), np.repeat(base, run)
         pair = starts(v, x)
         again = np.diff(np.append(pair, len(v)))
-        at2 = np.full(len(pair), -1)
-        if len(pair):
-            r, w = root[pair], ids[x[pair]]
-            both = (r >= 0) & (w >= 0)
-            at2[both] = self.find(self.next2, (r[both] * self.size + w[both]).astype(np.uint64))
+        r, w = root[pair], ids[x[pair]]
+        at2, both = np.full(len(pair), -1), (r >= 0) & (w >= 0)
+        at2[both] = self.next2.find(r[both] * self.size + w[both])
         share2, at2 = np.repeat(self.value(0, at2, 0.0), again), np.repeat(at2, again)
-        before = ids[u] if len(u) else u
-        context = np.full(len(v), -1)
-        both = (root >= 0) & (before >= 0)
-        context[both] = self.find(self.contexts, (root[both] * self.size + before[both]).astype(np.uint64))
-        at3 = np.full(len(v), -1)
-        both = (context >= 0) & (at2 >= 0)  # w counts from the first successor of the shorter context
-        at3[both] = self.find(self.next3, (context[both] * self.most + at2[both] - base[both]).astype(np.uint64))
+        first_word = before[u]
+        context, both = np.full(len(v), -1), (root >= 0) & (first_word >= 0)
+        context[both] = self.contexts.find(root[both] * self.before + first_word[both])
+        at3, both = np.full(len(v), -1), (context >= 0) & (at2 >= 0)  # w counts from the first successor of the shorter context
+        at3[both] = self.next3.find(context[both] * self.most + at2[both] - base[both])
         left3, share3 = self.value(3, context, 1.0), self.value(2, at3, 0.0)
         return count, share3 + left3 * share2, left3 * left2
 
 
 def answered(trie: Trie, message: bytes) -> bytes:
-    p = [unsqueeze(c) for c in parted(message)[:4]]
-    count, a, b = trie.ask(np.cumsum(p[0], dtype=np.uint64), *unsteps(*p[1:4]))
+    p = [unsqueeze(c) for c in parted(message)[:5]]
+    count, a, b = trie.ask(*(np.cumsum(c, dtype=np.uint64) for c in p[:2]), *unsteps(*p[2:5]))
     with np.errstate(divide="ignore"):
         (scale_a, code_a), (scale_b, code_b) = quantised(np.log10(a)), quantised(np.log10(b))
     return joined([squeeze(c) for c in (count, scale_a, code_a, scale_b, code_b)])
@@ -588,7 +594,7 @@ def summed(blocks: DataFrame, answers: DataFrame, facts: dict) -> DataFrame:
             v = b.v[cut]
             seen[v[starts(v)]] = count
             low[cut], high[cut] = powers(scale_b, code_b), powers(scale_a, code_a)
-        seen[np.searchsorted(b.words, np.uint64(END))] = docs
+        seen[b.words == END] = docs
         p1 = (seen + 0.5) / floor
         p = np.log10(high + low * p1[b.x])
         add = lambda x: np.add.reduceat(x, b.firsts)

@@ -107,7 +107,7 @@ def test_model_kept_for_other_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     p, _, _ = whole_model(texts)
     tries, facts = M.train_model(df, block_tokens=4000, shard_entries=1500)
-    assert facts["shards"] > 5 and len(facts["heavy"][0]) > 10
+    assert facts["shards"] > 5 and len(facts["heavy"][0]) > 3
     other = ["w1 w2 w3 never", "", "a a a"]
     got = {r.doc_id: r.score for r in M.score_with(spark.createDataFrame(list(enumerate(other)), df.schema), tries, facts).collect()}
     for i, t in enumerate(other):
