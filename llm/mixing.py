@@ -3,18 +3,24 @@
 Each source gets a target in words: its share, by weight, of ``share`` times
 all words, but at most ``cap`` times its own; what a capped source can't take
 is shared again among the rest. Every document of a source expects
-target / size copies. Walking the documents of a source in order of length
-and summing their expected copies from one random offset, a document is taken
-once for every integer boundary that its own part crosses. As the parts of a
-source are equal, the prefix sum before the r-th document is r times the
-part: exact, and independent of how the rows are dealt out. Ranks come from
-one range exchange over (source, length, id), which splits a hot source like
-any other run of rows.
+target / size copies. Walking the documents of a source and summing their
+expected copies from one random offset, a document is taken once for every
+integer boundary that its own part crosses. As the parts of a source are
+equal, the prefix sum before the r-th document is r times the part: exact,
+and independent of how the rows are dealt out. Ranks come from one range
+exchange over (source, length, id), which splits a hot source like any other
+run of rows.
+
+The walk goes up and down: documents are ranked by length and every second
+run of as many documents as cross one boundary is walked backwards. A long
+document taken in one run is then set off by a short one in the next, so the
+words taken come near the target whatever the offset.
 
 Defined results: null text has no words; null sources form one source, last
 in order; repeated rows are documents of their own; a source without words
-takes nothing; clashing input columns are replaced; same rows and seed give
-the same mix.
+takes nothing; input columns named like a result (in any case) are replaced,
+all others stay; same rows and seed give the same mix; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, ordered_rows, spread_join, text_of
+from .common import SPACE, carried, materialize, ordered_rows, spread_join, text_of
 
-WEIGHTS, SHARE, CAP, SEED, OFFSETS = (5, 2, 1), 1.5, 2.0, 17, 32
+WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, 17
 RESULT = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -55,36 +61,41 @@ def source_targets(sized: DataFrame, source: str = "source", weights=WEIGHTS, sh
     return order.select("source", "n_docs", "source_size", "first_rank", target.alias("target"))
 
 
+def offset(source: Column, seed: int) -> Column:
+    """The random offset of a source: 52 bits of a keyed hash as a part of one."""
+    name = F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("null"))
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), name), 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """``docs`` plus ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
 
     ``docs`` may bring its own ``size`` instead of a text (``text=None``).
     """
-    names = [c for c in docs.columns if c not in RESULT]
-    size = F.col("size") if text is None else n_words(text)
-    sized = docs.select(*[F.col(f"`{c}`") for c in names], size.alias("size"))
-    targets = source_targets(sized, source, weights, share, cap)
-    ranked = ordered_rows(sized, [F.col(source).asc_nulls_last(), F.col("size"), F.col(doc_id)], "mix-ranks")
-    def copies(rank: Column, part: Column, offset: Column) -> Column:
-        return F.least(F.floor((rank + 1) * part + offset) - F.floor(rank * part + offset), F.ceil(part)).cast("long")
-
+    rows, back = carried(docs, RESULT, mix_id=doc_id, mix_source=source, mix_text="size" if text is None else text)
+    size = F.col("mix_text").cast("long") if text is None else n_words("mix_text")
+    # equal rows are parted by the last key
+    sized = rows.select("in_row", "mix_id", "mix_source", size.alias("size"), F.monotonically_increasing_id().alias("mix_uid"))
+    targets = source_targets(sized, "mix_source", weights, share, cap)
     part = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\0")), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    targets = targets.withColumn("part", part).withColumn("drawn", drawn)
-    # The offset is one of OFFSETS evenly spaced turns of the drawn one: that which meets the target best.
-    turned = lambda base, k: base + k / OFFSETS - F.floor(base + k / OFFSETS)
-    tried = spread_join(ranked.select(F.col(source).alias("tried"), "row_rank", "size"), targets, "tried", "source", ["row_rank"])
-    rank = F.col("d.row_rank") - F.col("h.first_rank")
-    sums = tried.groupBy(F.col("h.source").alias("source")).agg(*[F.sum(copies(rank, F.col("h.part"), turned(F.col("h.drawn"), k)) * F.col("d.size")).alias(f"t{k}") for k in range(OFFSETS)])
-    sums = sums.withColumnRenamed("source", "tried")
-    met = targets.join(sums, F.col("source").eqNullSafe(F.col("tried")))
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))
-    targets = materialize(met.select(*targets.columns, turned(F.col("drawn"), best["k"]).alias("offset")), "mix-offsets")
-    both = spread_join(ranked, targets, source, "source", ["row_rank"])
-    out = both.select(*[F.col(f"d.`{c}`") for c in names], F.col("d.size"), F.col("h.source_size"), F.col("h.target"), copies(rank, F.col("h.part"), F.col("h.offset")).alias("copies"))
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def repeat_taken(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixed.where("copies > 0").select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy")).drop("mix_copy")
+    rest = F.col("part") - F.floor("part")
+    run = F.when(F.col("rest") > 0, F.greatest(F.round(1 / F.col("rest")), F.lit(1.0))).otherwise(1.0).cast("long")
+    targets = targets.withColumn("part", part).withColumn("rest", rest).withColumn("run", run).withColumn("offset", offset(F.col("source"), seed))
+    ranked = ordered_rows(sized, [F.col("mix_source").asc_nulls_last(), F.col("size"), F.col("mix_id"), F.col("mix_uid")], "mix-ranks")
+    both = spread_join(ranked, targets, "mix_source", "source", ["row_rank"])
+    both = both.select("in_row", "size", "source_size", "target", "part", "offset", "run", "n_docs", (F.col("row_rank") - F.col("first_rank")).alias("up"))
+    first = F.col("up") - F.col("up") % F.col("run")
+    last = F.least(first + F.col("run"), F.col("n_docs")) - 1
+    rank = F.when((F.col("up") - F.col("up") % F.col("run")) / F.col("run") % 2 == 1, first + last - F.col("up")).otherwise(F.col("up"))
+    both = both.withColumn("at", rank.cast("double"))
+    crossed = F.floor((F.col("at") + 1) * F.col("part") + F.col("offset")) - F.floor(F.col("at") * F.col("part") + F.col("offset"))
+    copies = F.least(crossed, F.ceil("part")).cast("long")
+    return both.select(*back, "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def repeat_taken(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, all columns as they are, each row as often as the mix takes it."""
+    names = {k: options.pop(k, k) for k in ("doc_id", "text", "source")}
+    rows, back = carried(docs, (), **{f"mixed_{k}": n for k, n in names.items()})
+    mixed = mix(rows, "mixed_doc_id", "mixed_text", "mixed_source", **options).where("copies > 0")
+    return mixed.select(F.explode(F.array_repeat("in_row", F.col("copies").cast("int"))).alias("in_row")).select(*back)

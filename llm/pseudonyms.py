@@ -8,15 +8,19 @@ other. The network is a permutation, so equal values get equal pseudonyms in
 every document, different ones stay different, and the key undoes it.
 Nothing is shuffled.
 
-Kinds: ``card`` (13 to 19 digits with a valid Luhn sum, plain or in fours; the
-new number is Luhn-valid too), ``phone`` (ten digits, country prefix kept),
-``ssn``, ``ip`` (IPv4), ``date`` (YYYY-MM-DD or DD/MM/YYYY; days move within
-blocks of 72,900 days), ``email`` (letters stay letters and digits digits in
-the local part; the domain stays).
+Kinds: ``card`` (13 to 19 digits with a valid Luhn sum, plain, in fours or
+4-6-5; the new number is Luhn-valid too), ``phone`` (ten digits grouped 3-3-4,
+country prefix kept; number plans differ, so the grouping is the test, and
+groups parted by blanks count only after a prefix or brackets), ``ssn``,
+``ip`` (IPv4), ``date`` (YYYY-MM-DD or DD/MM/YYYY of the years 1500 to 2400,
+permuted among all days of those years; what is no date as DD/MM is read as
+MM/DD/YYYY, whose days are 13 to 31 before and after), ``email`` (letters stay
+letters and digits digits in the local part; the domain stays).
 
 Defined results: null text stays null with no finds; empty texts stay; what
-fails validation stays as it is; repeated rows are treated alike; other
-columns pass through, clashing ones are replaced.
+fails validation stays as it is; repeated rows are treated alike; input
+columns named like a count (in any case) are replaced, all others stay; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,15 +28,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY, ROUNDS, DAYS = "a fixed key for tests; give your own", 8, 72_900
+from .common import carried
+
+KEY, ROUNDS = "a fixed key for tests; give your own", 8
+#: The days of the years 1500 to 2400 are 644 * 511; steps until a day over 12.
+YEARS, SIDES, WALK = (1500, 2400), (644, 511), 64
 #: Patterns by kind, tried in this order. No run of characters is scanned twice.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:(?<![0-9])\+[0-9]{1,3}[ .-])?(?<![0-9])(?:\([0-9]{3}\) ?|(?<![0-9-])[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "phone": r"(?:(?<![0-9])\+[0-9]{1,3}[ .-](?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-]|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-])[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = tuple(PATTERNS)
@@ -89,8 +97,9 @@ def _card(m: Column, key: str, back: bool) -> Column:
     whole = F.concat(new, F.pmod(-_luhn(new, 1), F.lit(10)).cast("string"))
     sep = F.regexp_extract(m, "[ -]", 0)
     four = F.concat_ws("", F.substring(whole, 1, 4), sep, F.substring(whole, 5, 4), sep, F.substring(whole, 9, 4), sep, F.substring(whole, 13, 4))
+    odd = F.concat_ws("", F.substring(whole, 1, 4), sep, F.substring(whole, 5, 6), sep, F.substring(whole, 11, 5))
     valid = (F.pmod(_luhn(d, 0), F.lit(10)) == 0) & F.length(d).between(13, 19)
-    return F.when(valid, F.when(sep == "", whole).otherwise(four))
+    return F.when(valid, F.when(sep == "", whole).when(F.length(d) == 15, odd).otherwise(four))
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
@@ -98,7 +107,7 @@ def _phone(m: Column, key: str, back: bool) -> Column:
     rest = F.substring(m, F.length(prefix) + 1, F.length(m))
     d = _digits(rest)
     new = F.lpad(feistel(d.cast("long"), F.lit(100_000).cast("long"), F.lit(100_000).cast("long"), key, "phone", back).cast("string"), 10, "0")
-    sep = [F.regexp_extract(rest, r"^(\(?)[0-9]{3}(\) ?|[.-])[0-9]{3}([.-])", k) for k in (1, 2, 3)]
+    sep = [F.regexp_extract(rest, r"^(\(?)[0-9]{3}(\) ?|[ .-])[0-9]{3}([ .-])", k) for k in (1, 2, 3)]
     return F.concat(prefix, sep[0], F.substring(new, 1, 3), sep[1], F.substring(new, 4, 3), sep[2], F.substring(new, 7, 4))
 
 
@@ -125,13 +134,19 @@ def _ip(m: Column, key: str, back: bool) -> Column:
 
 def _date(m: Column, key: str, back: bool) -> Column:
     iso = m.contains("-")
-    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(m, "dd/MM/yyyy"))
-    n = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
-    block = F.floor(n / DAYS).cast("long")
-    moved = block * DAYS + feistel(F.pmod(n, F.lit(DAYS).cast("long")), F.lit(270).cast("long"), F.lit(270).cast("long"), key, "date", back)
-    new = F.date_add(F.lit("1900-01-01").cast("date"), moved.cast("int"))
-    out = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "dd/MM/yyyy"))
-    return F.when(day.isNotNull() & F.year(day).between(1500, 2400), out)
+    start = F.lit(f"{YEARS[0]}-01-01").cast("date")
+    first = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(m, "dd/MM/yyyy"))
+    month_first = F.when(~iso & first.isNull(), F.try_to_date(m, "MM/dd/yyyy"))
+    a, b = (F.lit(x).cast("long") for x in SIDES)
+    move = lambda n, tweak: feistel(n, a, b, key, tweak, back)
+    at = lambda n: F.date_add(start, n.cast("int"))
+    days = lambda d: F.datediff(d, start).cast("long")
+    plain = at(move(days(first), "date"))
+    # walk the cycle until the day can't be a month; 64 steps fail once in 10 ** 26 dates
+    walked = F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), move(days(month_first), "date-mdy"), lambda n, _: F.when(F.dayofmonth(at(n)) > 12, n).otherwise(move(n, "date-mdy")))
+    other = F.when(F.dayofmonth(at(walked)) > 12, F.date_format(at(walked), "MM/dd/yyyy"))
+    out = F.when(iso, F.date_format(plain, "yyyy-MM-dd")).otherwise(F.date_format(plain, "dd/MM/yyyy"))
+    return F.when(F.year(first).between(*YEARS), out).when(F.year(month_first).between(*YEARS), other)
 
 
 def _shifted(text: Column, other: Column, key: str, tweak: Column, sign: int) -> Column:
@@ -168,13 +183,13 @@ def pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY, back: bool =
 
     ``back`` with the same key restores the original texts.
     """
-    counts = [f"n_{k}" for k in KINDS]
-    names = [c for c in docs.columns if c not in (*counts, "p_gaps", "p_found", "p_new", "p_text")]
+    counts = tuple(f"n_{k}" for k in KINDS)
+    x, back_columns = carried(docs, counts, p_text=text)
+    kept = [c for c in docs.columns if c.lower() not in counts]
+    place = kept.index(text) if text in kept else [c.lower() for c in kept].index(text.lower())
     t = F.col("p_text")
-    has = t.rlike(ANY)
-    x = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias("p_text"))
     none = F.expr("CAST(array() AS array<string>)")
-    x = x.withColumn("p_found", F.when(has, F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1))).otherwise(none))
+    x = x.withColumn("p_found", F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1))).otherwise(none))
     x = x.withColumn("p_gaps", F.when(F.size("p_found") > 0, F.split(t, ANY, -1)).otherwise(none))
 
     def renamed(m):
@@ -189,4 +204,5 @@ def pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY, back: bool =
     fresh = F.when(F.size("p_found") > 0, joined).otherwise(t)
     of_kind = lambda k: F.filter("p_new", lambda n: F.coalesce(n["k"] == k, F.lit(False)))
     count = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return x.select(*[fresh.alias(c) if c == text else F.col(f"`{c}`") for c in names], *count)
+    back_columns[place] = fresh.alias(kept[place])
+    return x.select(*back_columns, *count)

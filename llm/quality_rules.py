@@ -9,8 +9,8 @@ fails no rule is always kept.
 
 Defined results: null text is empty (no words, fails the length rule); a null
 host is a host of its own; repeated rows each count and each come back; an
-empty table gives an empty result; input columns that clash with result
-columns are replaced by them.
+empty table gives an empty result; input columns named like a result (in any
+case) are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, spread_join, text_of
+from .common import SPACE, carried, materialize, spread_join, text_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Soft rules, enforced by host: more than one symbol per so many words,
@@ -26,14 +26,14 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOL_PERCENT, DUP_LINE_PERCENT, WORD_LENGTH = 10, 50, (2, 12)
 MAX_RATE = 0.02
 RULES = ("short", "repeats", "symbols", "lines", "length")
+RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "fails", "host", "kept")
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def document_metrics(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """``docs`` plus the metrics, ``n_lines``, ``host`` and one flag a rule."""
-    names = [c for c in docs.columns if c.lower() not in {*METRICS, "n_lines", "base_failed", "fails", "host"}]
-    keep = [F.col(f"q_in.{c}").alias(c) for c in names]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("q_in"), text_of(text).alias("q_text"), F.col(host).alias("host"))
+def measured(docs: DataFrame, text: str = "text", host: str = "source") -> tuple[DataFrame, list]:
+    """(in_row, host, the metrics, n_lines, base_failed, fails; the columns that bring ``docs`` back)."""
+    rows, keep = carried(docs, RESULT, q_text=text, q_host=host)
+    packed = rows.select(F.col("in_row").alias("q_in"), text_of("q_text").alias("q_text"), F.col("q_host").alias("host"))
     split = packed.select(
         "q_in", "q_text", "host",
         F.filter(F.split("q_text", SPACE), lambda w: w != "").alias("q_words"),
@@ -66,9 +66,16 @@ def document_metrics(docs: DataFrame, text: str = "text", host: str = "source")
         "lines": F.col("n_dup_lines") * 100 > F.col("n_lines") * DUP_LINE_PERCENT,
         "length": (F.col("word_chars") < F.col("n_words") * WORD_LENGTH[0]) | (F.col("word_chars") > F.col("n_words") * WORD_LENGTH[1]),
     }
-    return counted.select(
-        *keep, "host", *METRICS, "n_lines", (short | repeats).alias("base_failed"), F.struct(*[fails[r].alias(r) for r in RULES]).alias("fails")
+    out = counted.select(
+        F.col("q_in").alias("in_row"), "host", *METRICS, "n_lines", (short | repeats).alias("base_failed"), F.struct(*[fails[r].alias(r) for r in RULES]).alias("fails")
     )
+    return out, keep
+
+
+def document_metrics(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """``docs`` plus the metrics, ``n_lines``, ``host`` and one flag a rule."""
+    out, keep = measured(docs, text, host)
+    return out.select(*keep, *RESULT[:-3], "fails", "host")
 
 
 def host_verdicts(metrics: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
@@ -116,5 +123,14 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
     """``docs`` with metrics, rule flags and ``kept``."""
     # Written once: the rules are costly, two passes need them, and a filter on
     # ``kept`` would otherwise be pushed into (and repeat) the whole measurement.
-    metrics = materialize(document_metrics(docs, text, host), "quality-rows")
-    return judge(metrics, host_verdicts(metrics, max_rate))
+    rows, keep = measured(docs, text, host)
+    rows = materialize(rows, "quality-rows")
+    return judge(rows, host_verdicts(rows, max_rate)).select(*keep, *RESULT[:-3], "fails", "host", "kept")
+
+
+def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+    """The documents that the rules keep, all columns as they are."""
+    whole, back = carried(docs, (), q_doc=text, q_source=host)
+    rows, keep = measured(whole, "q_doc", "q_source")
+    rows = materialize(rows.select(*keep, *[c for c in rows.columns if c != "in_row"]).drop("q_doc", "q_source"), "quality-rows")
+    return judge(rows, host_verdicts(rows, max_rate)).where("kept").select(*back)

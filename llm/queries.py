@@ -66,11 +66,10 @@ FROM f JOIN y ON f.host IS NOT DISTINCT FROM y.host
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    scanned = materialize(secrets.scan(docs).select("doc_id", "s_base", "s_cands"), "secret-spans")  # spans alone, read twice below
-    out = secrets.decide(scanned, secrets.thresholds(scanned))
+    out, back = secrets.scanned(docs, with_text=False)
     count = lambda k: F.size(F.filter("s_base", lambda x: x["k"] == k)).cast("long")
     return out.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        back[0], count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secrets.spelled("s_base"), 256).alias("base_sha256"), secrets.spelled("s_spans").alias("spans"),
     )
 
@@ -78,7 +77,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = licenses.license_scan(docs)
+    out = licenses.license_scan(docs, keep=["doc_id"])
     comma = lambda c: F.array_join(c, ",").alias(c)
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", comma("base_labels"), comma("labels"), "score")
 
@@ -90,6 +89,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, text=None).select("doc_id", "size", "source_size", "target", "taken")
 
 
+SQL["op4_mixing"] = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS ss, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w FROM d GROUP BY source),
+c AS (SELECT *, {mixing.CAP} * ss AS most, sum(ss) OVER () AS words, coalesce(sum({mixing.CAP} * ss) OVER (ORDER BY ss / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+        sum(w) OVER (ORDER BY ss / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left, row_number() OVER (ORDER BY ss / w, source) AS k FROM s),
+l AS (SELECT arg_min(({mixing.SHARE} * words - full_before) / w_left, k) AS level FROM c WHERE w * (({mixing.SHARE} * words - full_before) / w_left) <= most),
+t AS (SELECT source, n, ss, CASE WHEN words = 0 THEN 0.0 ELSE least(w * level, most) END AS target FROM c, l),
+p AS (SELECT *, CASE WHEN ss > 0 THEN target / ss ELSE 0.0 END AS part, CAST('0x' || substr(sha256('{mixing.SEED}|' || coalesce('s' || source, 'null')), 1, 13) AS BIGINT) / 4503599627370496.0 AS o FROM t),
+q AS (SELECT *, CASE WHEN part > floor(part) THEN CAST(greatest(round(1 / (part - floor(part))), 1) AS BIGINT) ELSE 1 END AS run FROM p),
+r AS (SELECT doc_id, size, ss, target, part, o, run, n, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) - 1 AS up FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+a AS (SELECT *, CASE WHEN (up // run) % 2 = 1 THEN up - up % run + least(up - up % run + run, n) - 1 - up ELSE up END AS rank FROM r)
+SELECT doc_id, size, ss AS source_size, target, CAST(size * least(floor((rank + 1) * part + o) - floor(rank * part + o), ceil(part)) AS BIGINT) AS taken FROM a
+"""
+
+
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -180,15 +194,19 @@ c AS (SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, rtrim(subst
 f AS (SELECT *, {alphabet} AS al FROM c WHERE regexp_matches(b, '[0-9]') AND regexp_matches(b, '[A-Za-z]')),
 x AS (SELECT doc_id, s, e, CAST(length(b) AS DOUBLE) AS n, CAST(length(al) AS DOUBLE) AS q, i, CAST(strpos(al, substr(b, i, 1)) - 1 AS DOUBLE) AS x
       FROM (SELECT *, CAST(unnest(range(1, length(b) + 1)) AS INT) AS i FROM f WHERE al IS NOT NULL AND length(b) * log2(length(al)) >= {secrets.MIN_BITS})),
+k AS (SELECT doc_id, s, CAST(length(regexp_replace(b, '{secrets.OUTSIDE[0]}', '', 'g')) AS DOUBLE) AS b0, CAST(length(regexp_replace(b, '{secrets.OUTSIDE[1]}', '', 'g')) AS DOUBLE) AS b1,
+        CAST(length(regexp_replace(al, '{secrets.OUTSIDE[0]}', '', 'g')) AS DOUBLE) AS a0, CAST(length(regexp_replace(al, '{secrets.OUTSIDE[1]}', '', 'g')) AS DOUBLE) AS a1 FROM f WHERE al IS NOT NULL),
 y AS (SELECT *, lead(x) OVER (PARTITION BY doc_id, s ORDER BY i) AS z FROM x),
 cc AS (SELECT doc_id, s, sum(k * k) AS cc FROM (SELECT doc_id, s, x, CAST(count(*) AS DOUBLE) AS k FROM x GROUP BY doc_id, s, x) GROUP BY doc_id, s),
 u AS (SELECT doc_id, s, e, n, q, sum(x) AS sx, sum(x * x) AS sxx, coalesce(sum(x * z), 0) AS sxy, sum(CASE WHEN i = 1 OR i = n THEN x ELSE 0 END) AS ends, CAST(count(*) FILTER (x >= q / 2) AS DOUBLE) AS hi,
         CAST(count(*) FILTER (z IS NOT NULL AND (x >= q / 2) <> (z >= q / 2)) AS DOUBLE) AS turns FROM y GROUP BY doc_id, s, e, n, q),
-v AS (SELECT *, pow(greatest(q / n * cc - n, 1e-9) / (q - 1), 1.0 / 3) AS chi, 2 * hi * (n - hi) AS two, sxx - sx * sx / n AS den, sxy - sx / n * (2 * sx - ends) + (n - 1) * (sx / n) * (sx / n) AS num FROM u JOIN cc USING (doc_id, s)),
+v AS (SELECT *, pow(greatest(q / n * cc - n, 1e-9) / (q - 1), 1.0 / 3) AS chi, 2 * hi * (n - hi) AS two, sxx - sx * sx / n AS den, sxy - sx / n * (2 * sx - ends) + (n - 1) * (sx / n) * (sx / n) AS num FROM u JOIN cc USING (doc_id, s) JOIN k USING (doc_id, s)),
 w AS (SELECT *, least(abs((chi - (1 - 2 / (9 * (q - 1)))) / sqrt(2 / (9 * (q - 1)))), 8.0) AS z1,
         CASE WHEN hi = 0 OR hi = n OR two * (two - n) <= 0 THEN 8.0 ELSE least(abs(turns - two / n) / sqrt(two * (two - n) / (n * n * (n - 1))), 8.0) END AS z2,
-        CASE WHEN den <= 1e-9 THEN 8.0 ELSE least(abs(num / den * sqrt(n) + 1 / sqrt(n)), 8.0) END AS z3 FROM v),
-p AS (SELECT doc_id, s, e, {klass} AS c, CAST(least(floor(-log10(greatest(least(1.0, 6 * least({tail("z1")}, {tail("z2")}, {tail("z3")})), 1e-30)) * {secrets.PER_DECADE}), {secrets.BINS}) AS INT) AS b FROM w),
+        CASE WHEN den <= 1e-9 THEN 8.0 ELSE least(abs(num / den * sqrt(n) + 1 / sqrt(n)), 8.0) END AS z3,
+        (b0 - n / q * a0) * (b0 - n / q * a0) / (n / q * a0) + (b1 - n / q * a1) * (b1 - n / q * a1) / (n / q * a1)
+        + (n - b0 - b1 - n / q * (q - a0 - a1)) * (n - b0 - b1 - n / q * (q - a0 - a1)) / (n / q * (q - a0 - a1)) AS x2 FROM v),
+p AS (SELECT doc_id, s, e, {klass} AS c, CAST(least(floor(-log10(greatest(least(1.0, 8 * least({tail("z1")}, {tail("z2")}, {tail("z3")}), 4 * exp(-x2 / 2)), 1e-30)) * {secrets.PER_DECADE}), {secrets.BINS}) AS INT) AS b FROM w),
 h AS (SELECT c, b, sum(count(*)) OVER (PARTITION BY c ORDER BY b DESC) AS n, sum(count(*)) OVER (PARTITION BY c) AS m FROM p GROUP BY c, b),
 l AS (SELECT c, min(b) AS b FROM h WHERE pow(10.0, -b / {secrets.PER_DECADE}) <= {secrets.FDR} * n / m GROUP BY c),
 o AS (SELECT doc_id, k, s, e FROM base UNION ALL SELECT doc_id, 3, s, e FROM p LEFT JOIN l USING (c) WHERE l.b IS NULL OR p.b < l.b)

@@ -6,18 +6,25 @@ at an inner ``=``; where the alphabet still fits no encoding (``/`` or ``+``
 together with ``_`` or ``-``), a part is cut in each way that makes it fit,
 and all pieces of 20 or more characters are candidates, so spans of kind
 ``random`` may overlap there. A candidate's encoding
-is inferred from its alphabet, and three tests ask whether it looks drawn
-uniformly from that alphabet (chi-squared counts, runs about the median,
-lag-one serial correlation). The smallest p-value (times three) is the
-candidate's. Within each length class, Benjamini-Hochberg control over all
-candidates of the corpus decides which are *not* random; what it can't tell
-from random is a secret of kind ``random``. The control needs only a
-histogram of p-values (a bounded table), so nothing but counts is shuffled
-and each document judges its own candidates by one row of thresholds.
+is inferred from its alphabet, and four tests ask whether it looks drawn
+uniformly from that alphabet: chi-squared counts of its characters and of
+three classes (the letters that languages use most, other letters, the rest,
+which tells names of words from keys), runs about the median, lag-one serial
+correlation. The smallest p-value, times the tests, is the candidate's.
+
+Being random is what the tests can refute, so a refutation is a discovery:
+within each length class, Benjamini-Hochberg control over all candidates of
+the corpus bounds the share of keys among the dismissed ones, and what it
+can't tell from random is a secret of kind ``random``. Letters alone or
+digits alone are no candidates, as words and numbers of that length would
+often pass. The control needs only a histogram of p-values (a bounded table),
+so nothing but counts is shuffled and each document judges its own candidates
+by one row of thresholds.
 
 Defined results: null and empty texts have no spans; repeated rows are
-scanned alike; any other columns pass through, except that clashing ones are
-replaced by the result's; offsets are code points, ends exclusive.
+scanned alike; input columns named like a result (in any case) are replaced,
+all others stay; offsets are code points, ends exclusive; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import carried, materialize, text_of
 
 #: Fixed patterns of the contract; group 2 of ``assign`` is the value.
 ASSIGN = (
@@ -53,8 +60,11 @@ ENCODINGS = (
 )
 #: Upper ends of the length classes; share of false rejections; p-value bins.
 CLASSES, FDR, BINS, PER_DECADE = (32, 48, 80), 0.05, 400, 20
-#: A secret carries at least so many bits.
-MIN_BITS = 80
+#: A secret carries at least so many bits. Letters that English and its
+#: neighbours use most; matches that are placed one after the other at a time.
+MIN_BITS, COMMON, CHUNK = 80, "etaoinsr", 256
+#: What is no common letter, and no other letter.
+OUTSIDE = (f"[^{COMMON}{COMMON.upper()}]", f"[^A-Za-z]|[{COMMON}{COMMON.upper()}]")
 NONE = "CAST(array() AS array<struct<s: int, k: int, e: int>>)"
 
 
@@ -65,7 +75,7 @@ def _found(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -
     size = lambda group: F.transform(F.regexp_extract_all(t, whole, group), lambda x: F.length(x))
     pairs = F.zip_with(size(1), size(group + 1), lambda m, v: F.struct(m.alias("m"), v.alias("v")))
     steps = F.zip_with(F.transform(F.split(t, pattern, -1), lambda x: F.length(x)), pairs, lambda g, x: F.struct(g.alias("g"), x["m"].alias("m"), x["v"].alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<s: int, k: int, e: int, v: int>>)").alias("found"))
+    none = F.expr("CAST(array() AS array<struct<s: int, k: int, e: int, v: int>>)")
 
     def add(a, x):
         s = a["at"] + x["g"]
@@ -73,7 +83,12 @@ def _found(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -
         one = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), F.coalesce(x["v"], F.lit(-1)).alias("v"))
         return F.struct(e.alias("at"), F.when(x["v"].isNotNull(), F.concat(a["found"], F.array(one))).otherwise(a["found"]).alias("found"))
 
-    spans = F.aggregate(steps, start, add, lambda a: a["found"])
+    # Growing one array by every match would cost their square: chunks first, by the sums before them.
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda c: F.slice(steps, c * CHUNK + 1, CHUNK))
+    length = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["g"] + F.coalesce(x["m"], F.lit(0)))
+    begin = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("all"))
+    before = F.aggregate(F.transform(chunks, length), begin, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+    spans = F.flatten(F.zip_with(chunks, before, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("found")), add, lambda a: a["found"])))
     good = F.transform(F.filter(spans, lambda x: x["v"] >= least), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     return F.when(t.rlike(pattern), good).otherwise(F.expr(NONE))
 
@@ -115,6 +130,7 @@ def _tested(cands: Column) -> Column:
         named,
         lambda c: F.struct(
             c["s"].alias("s"), c["e"].alias("e"), F.length(c["b"]).cast("double").alias("n"), F.length(c["a"]).cast("double").alias("q"),
+            *[F.length(F.regexp_replace(c[of], pattern, "")).cast("double").alias(f"{of}{k}") for of in ("b", "a") for k, pattern in enumerate(OUTSIDE)],
             F.transform(F.filter(F.split(c["b"], ""), lambda x: x != ""), lambda x: F.instr(c["a"], x).cast("double") - 1).alias("x"),
         ),
     )
@@ -123,7 +139,7 @@ def _tested(cands: Column) -> Column:
     sums = F.transform(
         enough,
         lambda c: F.struct(
-            c["s"].alias("s"), c["e"].alias("e"), c["n"].alias("n"), c["q"].alias("q"),
+            c["s"].alias("s"), c["e"].alias("e"), c["n"].alias("n"), c["q"].alias("q"), *[c[x].alias(x) for x in ("b0", "b1", "a0", "a1")],
             F.aggregate(F.array_distinct(c["x"]), zero, lambda a, v: a + F.pow(F.size(F.filter(c["x"], lambda y: y == v)).cast("double"), F.lit(2.0))).alias("cc"),
             F.aggregate(c["x"], zero, lambda a, v: a + v).alias("sx"),
             F.aggregate(c["x"], zero, lambda a, v: a + v * v).alias("sxx"),
@@ -146,7 +162,11 @@ def _tested(cands: Column) -> Column:
         den = c["sxx"] - n * m * m
         num = c["sxy"] - m * (2 * c["sx"] - c["ends"]) + (n - 1) * m * m
         z3 = F.when(den <= 1e-9, F.lit(8.0)).otherwise(F.abs(num / F.greatest(den, F.lit(1e-9)) * F.sqrt(n) + 1 / F.sqrt(n)))
-        least = F.least(F.lit(1.0), 6 * F.least(_tail(F.least(z1, F.lit(8.0))), _tail(F.least(z2, F.lit(8.0))), _tail(F.least(z3, F.lit(8.0)))))
+        want = [n / q * c["a0"], n / q * c["a1"], n / q * (q - c["a0"] - c["a1"])]
+        seen = [c["b0"], c["b1"], n - c["b0"] - c["b1"]]
+        classes = sum(((o - e) * (o - e) / e for o, e in zip(seen, want, strict=True)), F.lit(0.0))  # two degrees of freedom
+        two_sided = F.least(_tail(F.least(z1, F.lit(8.0))), _tail(F.least(z2, F.lit(8.0))), _tail(F.least(z3, F.lit(8.0))))
+        least = F.least(F.lit(1.0), 8 * two_sided, 4 * F.exp(-classes / 2))
         bin_ = F.least(F.floor(-F.log10(F.greatest(least, F.lit(1e-30))) * PER_DECADE), F.lit(BINS)).cast("int")
         klass = sum((F.when(n >= x, 1).otherwise(0) for x in CLASSES), F.lit(0))
         return F.struct(c["s"].alias("s"), c["e"].alias("e"), klass.alias("c"), bin_.alias("b"))
@@ -154,17 +174,19 @@ def _tested(cands: Column) -> Column:
     return F.transform(sums, p_values)
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus ``s_base`` (sorted spans s, k, e of the fixed kinds) and
-    ``s_cands`` (tested candidates s, e, c, b that touch none of them)."""
-    names = [c for c in docs.columns if c not in ("s_base", "s_cands")]
-    x = docs.select(*[F.col(f"`{c}`") for c in names], text_of(text).alias("s_text"))
+def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[Column]]:
+    """(in_row, s_text, s_base (sorted spans s, k, e of the fixed kinds) and
+    s_cands (tested candidates s, e, c, b that touch none of them); the
+    columns that bring ``docs`` back)."""
+    rows, back = carried(docs, RESULT, s_in=text)
+    x = rows.select("in_row", F.col("s_in"), text_of("s_in").alias("s_text"))
     x = x.withColumn("s_base", F.sort_array(F.concat(_found("s_text", ASSIGN, 0, 2, 8), _found("s_text", ACCESS, 1), _found("s_text", HEX, 2))))
     x = x.withColumn("s_runs", _found("s_text", CANDIDATE, 3))
     runs = F.transform("s_runs", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.substring(F.col("s_text"), c["s"] + 1, c["e"] - c["s"]).alias("w")))
     x = x.withColumn("s_pieces", _pieces(runs))
     x = x.withColumn("s_free", F.filter("s_pieces", lambda c: ~F.exists("s_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))))
-    return x.select(*[F.col(f"`{c}`") for c in names], "s_base", F.when(F.size("s_free") > 0, _tested(F.col("s_free"))).otherwise(F.expr("CAST(array() AS array<struct<s: int, e: int, c: int, b: int>>)")).alias("s_cands"))
+    cands = F.when(F.size("s_free") > 0, _tested(F.col("s_free"))).otherwise(F.expr("CAST(array() AS array<struct<s: int, e: int, c: int, b: int>>)"))
+    return x.select("in_row", F.col("s_in").alias("s_text"), "s_base", cands.alias("s_cands")), back
 
 
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -191,21 +213,47 @@ def spelled(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+RESULT = ("secret_spans",)
+
+
+def scanned(docs: DataFrame, text: str = "text", with_text: bool = True) -> tuple[DataFrame, list[Column]]:
+    """``scan`` decided: in_row, s_text, s_base, s_spans. The scan is written
+    once, as its candidates are counted before any is judged."""
+    rows, back = scan(docs, text)
+    rows = materialize(rows if with_text else rows.drop("s_text"), "secret-spans")
+    return decide(rows, thresholds(rows)), back
+
+
 def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus ``secret_spans`` (array of s, k, e; k indexes ``KINDS``)."""
-    scanned = scan(docs, text)
-    out = decide(scanned, thresholds(scanned))
-    names = [c for c in docs.columns if c not in ("s_base", "s_cands", "secret_spans")]
-    return out.select(*[F.col(f"`{c}`") for c in names], F.col("s_spans").alias("secret_spans"))
+    out, back = scanned(docs, text, with_text=False)
+    return out.select(*back, F.col("s_spans").alias("secret_spans"))
 
 
 def redact(text: str, spans: str, mark: str = "[SECRET]") -> Column:
     """``text`` with each span (overlapping ones merged) replaced by ``mark``."""
-    t, start = text_of(text), F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    t = text_of(text)
+    # the ends that rule each span: the furthest of those before it
+    begin = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<s: int, e: int, at: int>>)").alias("all"))
+    add = lambda a, x: F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["all"], F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), a["at"].alias("at")))).alias("all"))
+    state = F.aggregate(F.col(spans), begin, add)
+    pieces = F.transform(state["all"], lambda x: F.when((x["s"] >= x["at"]), F.concat(F.substring(t, x["at"] + 1, x["s"] - x["at"]), F.lit(mark))).otherwise(""))
+    done = F.concat(F.array_join(pieces, ""), F.substring(t, state["at"] + 1, F.length(t)))
+    return F.when(F.size(spans) > 0, done).otherwise(F.col(text))
 
-    def add(a, x):
-        new = F.concat(a["out"], F.substring(t, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0))), F.when(x["s"] >= a["at"], F.lit(mark)).otherwise(""))
-        return F.struct(new.alias("out"), F.greatest(a["at"], x["e"]).alias("at"))
 
-    done = F.aggregate(F.col(spans), start, add, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return F.when(F.size(spans) > 0, done).otherwise(F.col(text))
+def masked(docs: DataFrame, text: str = "text", length: str | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """``docs``, all columns as they are but ``text``, whose secrets are
+    replaced by ``mark``, and ``length``, which follows a changed text."""
+    names = docs.columns
+    whole, _ = carried(docs, (), s_doc=text, **({"s_len": length} if length else {}))
+    rows, back = scanned(whole.select("in_row", "s_doc", *(["s_len"] if length else [])), "s_doc")
+    lower = [c.lower() for c in names]
+    place = lambda n: names.index(n) if n in names else lower.index(n.lower())
+    out = rows.select(F.col("in_row.c0").alias("in_row"), F.col("s_spans"), redact("s_text", "s_spans", mark).alias("s_new"))
+    cols = [F.col(f"in_row.c{i}").alias(c) for i, c in enumerate(names)]
+    cols[place(text)] = F.col("s_new").alias(names[place(text)])
+    if length:
+        kind = docs.schema[place(length)].dataType
+        cols[place(length)] = F.when(F.size("s_spans") > 0, F.length("s_new").cast(kind)).otherwise(F.col(f"in_row.c{place(length)}")).alias(names[place(length)])
+    return out.select(*cols)

@@ -9,23 +9,34 @@ blocked if it has distrust and that is more than ``threshold`` of both.
 
 Edges are counted by host pair before they meet, both walks run as one table
 keyed by (walk, host), and every few rounds the state is written to the
-shared folder. Mass at hosts without edges leaves the walk.
+shared folder, replacing the one before. The walk ends when a round moves
+less than ``TOLERANCE`` of all mass; what is still to come is then at most
+damping / (1 - damping) times that. Mass at hosts without edges leaves the
+walk. Hosts with very many links meet theirs by broadcast, as there can only
+be few of them.
 
 Defined results: a null url or one without ``://`` has an empty host and path
 and, if no rule fits, is allowed; null html has no links; links without a
-host stay on the page's host and don't count; repeated rows count each.
+host stay on the page's host and don't count; repeated rows count each; input
+columns named like a result (in any case) are replaced, all others stay; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import carried, discard, materialize
 
 #: Fixed rules of the contract: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS, THRESHOLD, EVERY = 0.85, 20, 0.5, 5
+DAMPING, TOLERANCE, THRESHOLD, EVERY = 0.85, 1e-4, 0.5, 10
+#: Rounds by which any walk has met the tolerance.
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING)) + 1
+RESULT = ("host", "path", "rule", "verdict")
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,45 +66,67 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.select("src", dst.alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(walk, host, score) after ``rounds`` steps. ``seeds`` (host, trust,
-    distrust) give the mass that each round starts anew."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, share: int = 1024) -> DataFrame:
+    """(walk, host, score) of the walks from ``seeds`` (host, trust,
+    distrust), whose mass each round starts anew."""
     start = seeds.select("host", F.explode(F.array(F.struct(F.lit("t").alias("walk"), F.col("trust").alias("score")), F.struct(F.lit("d").alias("walk"), F.col("distrust").alias("score")))).alias("x"))
     start = materialize(start.select("x.walk", "host", "x.score").where("score > 0"), "url-seeds")
     both = edges.select(F.lit("t").alias("walk"), "src", "dst", "n").union(edges.select(F.lit("d").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    out = both.groupBy("walk", "src").agg(F.sum("n").alias("all"))
-    steps = materialize(both.join(out, ["walk", "src"]).select("walk", "src", "dst", (F.col("n") / F.col("all") * damping).alias("share")), "url-steps")
+    both = materialize(both, "url-edges")
+    total = both.count()
     base = start.select("walk", "host", (F.col("score") * (1 - damping)).alias("score"))
-    if steps.isEmpty():  # nothing moves
+    if not total:  # nothing moves
         return base
-    now = start
-    for k in range(rounds):
-        moved = now.withColumnRenamed("host", "src").join(steps, ["walk", "src"]).select("walk", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
-        now = moved.union(base).groupBy("walk", "host").agg(F.sum("score").alias("score"))
-        if k % EVERY == EVERY - 1 or k == rounds - 1:
-            now = materialize(now, "url-walk")
-    return now
-
-
-def url_filter(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    out = both.groupBy("walk", "src").agg(F.sum("n").alias("all"), F.count("*").alias("links"))
+    out = materialize(out.withColumn("hot", F.col("links") > max(total // share, 16)), "url-hosts")  # at most ``share`` hot ones
+    hot_out = F.broadcast(out.where("hot"))
+    part = (F.col("n") / F.col("all") * damping).alias("share")
+    split = not out.where("hot").isEmpty()
+    hot = materialize(both.join(hot_out, ["walk", "src"]).select("walk", "src", "dst", part), "url-steps") if split else None
+    cold = both.join(hot_out.select("walk", "src"), ["walk", "src"], "left_anti") if split else both
+    cold = materialize(cold.join(out.where("NOT hot"), ["walk", "src"]).select("walk", "src", "dst", part), "url-steps")
+    mass = start.agg(F.sum("score")).first()[0] or 0.0
+    now, written, k = start, None, 0
+    while True:
+        here = now.withColumnRenamed("host", "src")
+        moved = cold.join(here, ["walk", "src"])
+        if split:
+            few = F.broadcast(here.join(hot_out.select("walk", "src"), ["walk", "src"], "left_semi"))  # as few as hot hosts
+            moved = moved.unionByName(hot.join(few, ["walk", "src"]))
+        after = moved.select("walk", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score")).union(base).groupBy("walk", "host").agg(F.sum("score").alias("score"))
+        k += 1
+        if k % EVERY:
+            now = after
+            continue
+        old, now = written, materialize(after, "url-walk")
+        # EVERY rounds apart: bounds the change of one round from above
+        then = (old or start).select("walk", "host", (-F.col("score")).alias("score"))
+        change = now.unionByName(then).groupBy("walk", "host").agg(F.sum("score").alias("x")).agg(F.sum(F.abs("x"))).first()[0] or 0.0
+        if old is not None:
+            discard(old)
+        written = now
+        if change <= tolerance * mass:
+            return now
+
+
+def url_filter(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``pages`` plus ``host``, ``path``, ``rule``, ``verdict``."""
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    own = [F.col(f"`{c}`") for c in names]
-    split = pages.select(*own, host_of(url).alias("host"), path_of(url).alias("path"))
+    rows, back = carried(pages, RESULT, u_url=url, u_html=html)
+    split = rows.select("in_row", "u_url", host_of("u_url").alias("host"), path_of("u_url").alias("path"))
     name, verdict = rule_of("host", "path", rules)
     ruled = split.withColumn("rule", name).withColumn("verdict", verdict)
     count = lambda v: F.sum((F.col("verdict") == v).cast("double"))
     seeds = ruled.where("verdict IS NOT NULL AND host <> ''").groupBy("host").agg(count("allow").alias("trust"), count("block").alias("distrust"))
-    scores = propagate(seeds, host_edges(pages, url, html), damping, rounds)
+    scores = propagate(seeds, host_edges(rows, "u_url", "u_html"), damping, tolerance)
     total = lambda w: F.sum(F.when(F.col("walk") == w, F.col("score")).otherwise(0.0))
     hosts = scores.groupBy("host").agg(total("t").alias("trust"), total("d").alias("distrust"))
     bad = hosts.where((F.col("distrust") > 0) & (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")))).select(F.col("host").alias("bad"))
     bad = materialize(bad, "url-blocked")
     salts = 16  # a host with very many pages is spread where the blocked hosts are too many to broadcast
     many = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = ruled.withColumn("salt_of", F.pmod(F.xxhash64("path", F.coalesce(F.col(url), F.lit(""))), F.lit(salts)).cast("int"))
+    left = ruled.withColumn("salt_of", F.pmod(F.xxhash64("path", F.coalesce("u_url", F.lit(""))), F.lit(salts)).cast("int"))
     both = left.join(many, (F.col("host") == F.col("bad")) & (F.col("salt_of") == F.col("salt")), "left")
-    return both.select(*own, "host", "path", "rule", F.coalesce("verdict", F.when(F.col("bad").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+    return both.select(*back, "host", "path", "rule", F.coalesce("verdict", F.when(F.col("bad").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
 def oracle(rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD, rules=RULES) -> str:
