@@ -9,24 +9,25 @@ return the columns of ``documents``:
 3. secret scan: every secret found is replaced by a mark (no document goes),
 4. mixing: each document appears as often as the mix takes it,
 5. packing: one row a piece of a token sequence.
+
+Defined results: a null text is empty (the rules reject it); documents with a
+null id or source, repeated rows and equal ids are documents of their own; an
+empty table gives an empty result; further columns of any name stay as they
+are through all stages but the last. Null ids come after others where the
+smallest is kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from llm import jaccard_join, mixing, packing, quality_rules, secret_scan
 from llm.common import materialize, read_table
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the host-level rules keep, unchanged."""
-    return quality_rules.quality_rules(docs).where("kept").select(*_columns(docs))
+    return quality_rules.kept_documents(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +37,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked; ``n_chars`` follows a changed text."""
-    found = secret_scan.secret_scan(docs)
-    masked = found.withColumn("masked", secret_scan.redact("text", "secret_spans"))
-    size = F.when(F.size("secret_spans") > 0, F.length("masked").cast("long")).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", size).withColumn("text", F.col("masked")).select(*_columns(docs))
+    return secret_scan.masked(docs, length="n_chars")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document zero, one or two times."""
-    return mixing.repeat_taken(mixing.mix(docs), docs.columns)
+    return mixing.repeat_taken(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
