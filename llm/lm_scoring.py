@@ -21,13 +21,13 @@ and ``p1`` the add-a-half word probability.
    the successors of the shorter context, and 16-bit logarithms of ``a`` and
    ``b``. The trie lies in one memory map. Every message is then answered by
    successor search: word counts, and for each trigram the two numbers
-   ``a3 + b3 * a2`` and ``b3 * b2`` (again 16-bit logarithms).
+   ``a3 + b3 * a2`` and ``b3 * b2`` (logarithms of ``ANSWER_BITS``).
 5. Answers meet their block again, which sums log probabilities by document.
 
 A message is pre-summed, so a word, pair or passage that fills a third of all
 texts is one entry a block. No n-gram is dropped and no table of words or
 n-grams reaches the driver but the frequent words (each more than
-``SHARD_ENTRIES`` times, so at most one in that many tokens).
+``SHARD_ENTRIES`` / 4 times, so at most one in that many tokens).
 
 A token is a word (anything but ASCII white space, A-Z lower-cased) or the
 end of a text. Words are known by a 56-bit hash. Defined results: null text
@@ -54,8 +54,11 @@ FOLDS, HELD_OUT, DISCOUNT = 5, 1, 0.75
 #: pair of 10 ** 8 words shares one with probability 0.07), and of that by
 #: which a context's first word is told from others before the same word.
 END, BEGIN, HASH_BITS, FIRST_BITS = 1, 2, 56, 40
+#: Bits of the logarithms in an answer, over the range of each: errors of
+#: about 0.004 a token either way, which cancel in a text.
+ANSWER_BITS = 10
 #: Sizes of a block and a shard; words remembered by a task (of 64 bytes at most).
-BLOCK_TOKENS, SHARD_ENTRIES, CACHE = 1 << 21, 1 << 22, 300_000
+BLOCK_TOKENS, SHARD_ENTRIES, CACHE = 1 << 22, 3 << 20, 200_000
 RESULT = (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
 
 
@@ -138,7 +141,11 @@ def order_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The order by (a, b, c); small numbers are sorted as one."""
     bits = [int(x.max()).bit_length() if len(x) else 0 for x in (b, c)]
     if len(a) and int(a.max()).bit_length() + sum(bits) <= 63:
-        return np.argsort((a.astype(np.int64) << (bits[0] + bits[1])) | (b.astype(np.int64) << bits[1]) | c.astype(np.int64), kind="stable")
+        key = a.astype(np.int64)
+        for x, k in ((b, bits[0]), (c, bits[1])):
+            key <<= k
+            key |= x
+        return np.argsort(key, kind="stable")
     return np.lexsort((c, b, a))
 
 
@@ -201,7 +208,7 @@ class Block:
     ``words``) in the order of their shard, then v, w, u."""
 
     def __init__(self, words: bytes, codes: bytes, held: list, sizes: list, heavy: tuple[np.ndarray, np.ndarray], shards: int):
-        self.words, w = np.cumsum(unsqueeze(words), dtype=np.uint64), unsqueeze(codes).astype(np.int64)
+        self.words, w = np.cumsum(unsqueeze(words), dtype=np.uint64), unsqueeze(codes).view(np.int32)
         begin = int(np.flatnonzero(self.words == BEGIN)[0])
         self.sizes, self.w = np.asarray(sizes, np.int64), w
         self.firsts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
@@ -210,23 +217,21 @@ class Block:
         v[self.firsts] = u[self.firsts] = begin
         seconds = self.firsts[self.sizes > 1] + 1
         u[seconds] = begin
-        by = order_of(v, w, u)
+        by = order_of(v, w, u).astype(np.int32)
         at = starts(v[by], w[by], u[by])
         train = np.repeat(~np.asarray(held, bool), self.sizes)
-        self.train_tokens = int(train.sum())
-        n = np.add.reduceat(train[by].astype(np.int64), at) if len(at) else at
-        run = np.zeros(len(by), np.int64)
-        run[at[1:]] = 1
-        of = np.empty(len(by), np.int64)
-        of[by] = np.cumsum(run)  # the trigram of each token
+        n = np.add.reduceat(train[by].astype(np.int32), at) if len(at) else at
+        of = np.empty(len(by), np.int32)
+        of[by] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(by))))  # the trigram of each token
         first = by[at]
+        del by, train
         self.v, self.u, x = v[first], u[first], w[first]
         parts, part = self.split(heavy)
         shard = shard_of(self.words[self.v], part, shards)
         deal = np.argsort(shard, kind="stable")
         self.v, self.u, self.x, self.n, self.shard, self.parts = (c[deal] for c in (self.v, self.u, x, n, shard, parts))
-        back = np.empty(len(deal), np.int64)
-        back[deal] = np.arange(len(deal))
+        back = np.empty(len(deal), np.int32)
+        back[deal] = np.arange(len(deal), dtype=np.int32)
         self.of = back[of]
         self.edges = np.searchsorted(self.shard, np.arange(shards + 1))
         self.shards = shards
@@ -289,10 +294,11 @@ def shard_of(v: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
 def numbered(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The different ``ids`` (below ``size``), and each one's place among them."""
     if size > 8 * len(ids):
-        return np.unique(ids, return_inverse=True)
+        used, place = np.unique(ids, return_inverse=True)
+        return used, place.astype(np.int32)
     mark = np.zeros(size, bool)
     mark[ids] = True
-    return np.flatnonzero(mark), (np.cumsum(mark) - 1)[ids]
+    return np.flatnonzero(mark), (np.cumsum(mark, dtype=np.int32) - 1)[ids]
 
 
 def steps(*columns: np.ndarray):
@@ -382,11 +388,11 @@ def grouped(batches):
 # Shards
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lowest value and step, 16-bit codes from 1) of logarithms; minus infinity is code 0."""
+def quantised(x: np.ndarray, bits: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(lowest value and step, codes from 1) of logarithms; minus infinity is code 0."""
     some = np.isfinite(x)
     lo, hi = (float(x[some].min()), float(x[some].max())) if some.any() else (0.0, 0.0)
-    step = (hi - lo) / 65534 or 1.0
+    step = (hi - lo) / ((1 << bits) - 2) or 1.0
     return np.array([lo, step], "<f8"), np.where(some, np.round((np.where(some, x, lo) - lo) / step) + 1, 0).astype("<u2")
 
 
@@ -397,17 +403,15 @@ def powers(scale: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 def merged(messages: list[bytes]) -> bytes:
     """The trie of all training n-grams in ``messages``."""
-    parts = [[unsqueeze(c) for c in parted(m)] for m in messages]
-    own = [[np.cumsum(c, dtype=np.uint64) for c in p[:2]] for p in parts]
-    words, firsts = (np.unique(np.concatenate([o[k] for o in own])) for k in (0, 1))
+    words, firsts = (distinct(np.cumsum(unsqueeze(parted(m)[k]), dtype=np.uint64) for m in messages) for k in (0, 1))
     rows, others = [], []
-    for (w, f), p in zip(own, parts, strict=True):
-        to, before = np.searchsorted(words, w), np.searchsorted(firsts, f)
+    for m in messages:  # one at a time, as they take several times their size
+        p = [unsqueeze(c) for c in parted(m)]
+        to, before = (np.searchsorted(all_, np.cumsum(c, dtype=np.uint64)).astype(np.int32) for all_, c in ((words, p[0]), (firsts, p[1])))
         v, x, u = unsteps(*p[2:5])
-        some = p[5] > 0
-        rows.append((to[v[some]], to[x[some]], before[u[some]], p[5][some].astype(np.int64)))
-        others.append((to[p[6]], to[p[7]], p[8].astype(np.int64)))
-    del parts, own
+        some = np.flatnonzero(p[5])
+        rows.append((to[v[some]], to[x[some]], before[u[some]], p[5][some]))
+        others.append((to[p[6]], to[p[7]], p[8]))
     v, x, u, n = (np.concatenate(c) for c in zip(*rows, strict=True))
     ev, ex, en = (np.concatenate(c) for c in zip(*others, strict=True))
     del rows, others
@@ -416,14 +420,27 @@ def merged(messages: list[bytes]) -> bytes:
     before, u = numbered(u, len(firsts))
     by = order_of(v, u, x)
     at = starts(v[by], u[by], x[by])
-    n = np.add.reduceat(n[by], at) if len(at) else n
-    v, u, x = v[by][at], u[by][at], x[by][at]
-    return packed(words[used], firsts[before], v, u, x, n, ev, ex, en)
+    n = np.add.reduceat(n[by].astype(np.int64), at) if len(at) else n.astype(np.int64)
+    first = by[at]
+    del by
+    return packed(words[used], firsts[before], v[first], u[first], x[first], n, ev, ex, en.astype(np.int64))
+
+
+def distinct(parts) -> np.ndarray:
+    """The sorted different values of many arrays, joined a few at a time."""
+    found, held, size = np.zeros(0, np.uint64), [], 0
+    for p in parts:
+        held.append(p)
+        size += len(p)
+        if size > max(1 << 20, 2 * len(found)):
+            found, held, size = np.unique(np.concatenate([found, *held])), [], 0
+    return np.unique(np.concatenate([found, *held]))
 
 
 def packed(words, firsts, v, u, x, n, ev, ex, en) -> bytes:
     """A trie from merged triples (sorted by v, u, w) and pairs counted elsewhere."""
     size, before = max(1, len(words)), max(1, len(firsts))
+    v, u, x, ev, ex = (c.astype(np.int64) for c in (v, u, x, ev, ex))  # products of two numbers follow
     pv, px, pn = np.concatenate([v, ev]), np.concatenate([x, ex]), np.concatenate([n, en])
     by = order_of(pv, px, np.zeros(len(pv), np.int64))
     at = starts(pv[by], px[by])
@@ -520,7 +537,7 @@ def answered(trie: Trie, message: bytes) -> bytes:
     p = [unsqueeze(c) for c in parted(message)[:5]]
     count, a, b = trie.ask(*(np.cumsum(c, dtype=np.uint64) for c in p[:2]), *unsteps(*p[2:5]))
     with np.errstate(divide="ignore"):
-        (scale_a, code_a), (scale_b, code_b) = quantised(np.log10(a)), quantised(np.log10(b))
+        (scale_a, code_a), (scale_b, code_b) = quantised(np.log10(a), ANSWER_BITS), quantised(np.log10(b), ANSWER_BITS)
     return joined([squeeze(c) for c in (count, scale_a, code_a, scale_b, code_b)])
 
 
