@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 SPACE = r"[\x20\x09-\x0D]+"
 
 _OWN_DIR: list[str] = []
+#: Paths of the tables that ``materialize`` wrote, in order.
+WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,14 +66,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
+    WRITTEN.append(path)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(df._scratch)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._scratch)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if name in WRITTEN:
+        WRITTEN.remove(name)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete what was written after the first ``mark`` tables, but ``keep``."""
+    for name in [n for n in WRITTEN[mark:] if n != keep._scratch]:
+        _delete(spark, name)
 
 
 def carried(docs: DataFrame, result: tuple[str, ...], **needed: str) -> tuple[DataFrame, list[Column]]:

@@ -196,8 +196,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold:
     clusters = materialize(components(near), "jaccard-clusters")
 
     members = clusters.join(classes, clusters["node"] == classes["print"]).select("uid", "print", "copies", F.col("component").alias("cluster"))
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).withColumnRenamed("component", "cluster")
-    members = members.join(sizes, "cluster")
+    sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("rows"))
+    members = hot_join(members, materialize(sizes, "jaccard-sizes"), "cluster", "rows", clusters.count())
     texts = members.join(base, "uid")
 
     def grams(batches):
@@ -265,8 +265,9 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold:
     sums = links.groupBy("print").agg(F.sum("links").alias("links"))
     named = classes.join(groups, classes["print"] == groups["node"], "left").join(sums, "print", "left")
     named = named.select("print", "uid", "copies", F.coalesce("component", "print").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    lowest = named.groupBy("component").agg(F.min("uid").alias("group"))
-    named = materialize(named.join(lowest, "component").select("print", "group", (F.col("links") + F.col("copies") - 1).alias("n_links")), "jaccard-named")
+    named = materialize(named, "jaccard-linked")
+    lowest = materialize(named.groupBy("component").agg(F.min("uid").alias("group"), F.count("*").alias("rows")), "jaccard-lowest")
+    named = materialize(hot_join(named, lowest, "component", "rows", named.count()).select("print", "group", (F.col("links") + F.col("copies") - 1).alias("n_links")), "jaccard-named")
     out = spread_join(sketched.select("uid", "print"), named, "print", "print", ["uid"])
     return out.select("d.uid", "d.print", F.coalesce("h.group", "d.uid").alias("group"), F.coalesce("h.n_links", F.lit(0)).cast("long").alias("n_links"))
 

@@ -74,8 +74,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     rows, back = carried(docs, RESULT, mix_id=doc_id, mix_source=source, mix_text="size" if text is None else text)
     size = F.col("mix_text").cast("long") if text is None else n_words("mix_text")
-    # equal rows are parted by the last key
-    sized = rows.select("in_row", "mix_id", "mix_source", size.alias("size"), F.monotonically_increasing_id().alias("mix_uid"))
+    return _mixed(rows.select("in_row", "mix_id", "mix_source", size.alias("size")), seed, weights, share, cap).select(*back, "size", "source_size", "target", "copies", "taken")
+
+
+def _mixed(sized: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``sized`` (in_row, mix_id, mix_source, size) with the results."""
+    sized = sized.withColumn("mix_uid", F.monotonically_increasing_id())  # parts equal rows
     targets = source_targets(sized, "mix_source", weights, share, cap)
     part = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rest = F.col("part") - F.floor("part")
@@ -90,12 +94,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     both = both.withColumn("at", rank.cast("double"))
     crossed = F.floor((F.col("at") + 1) * F.col("part") + F.col("offset")) - F.floor(F.col("at") * F.col("part") + F.col("offset"))
     copies = F.least(crossed, F.ceil("part")).cast("long")
-    return both.select(*back, "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return both.select("in_row", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def repeat_taken(docs: DataFrame, **options) -> DataFrame:
+def repeat_taken(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``docs``, all columns as they are, each row as often as the mix takes it."""
-    names = {k: options.pop(k, k) for k in ("doc_id", "text", "source")}
-    rows, back = carried(docs, (), **{f"mixed_{k}": n for k, n in names.items()})
-    mixed = mix(rows, "mixed_doc_id", "mixed_text", "mixed_source", **options).where("copies > 0")
+    rows, back = carried(docs, (), mix_id=doc_id, mix_text=text, mix_source=source)
+    mixed = _mixed(rows.select("in_row", "mix_id", "mix_source", n_words("mix_text").alias("size")), **options).where("copies > 0")
     return mixed.select(F.explode(F.array_repeat("in_row", F.col("copies").cast("int"))).alias("in_row")).select(*back)

@@ -174,19 +174,18 @@ def _tested(cands: Column) -> Column:
     return F.transform(sums, p_values)
 
 
-def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[Column]]:
-    """(in_row, s_text, s_base (sorted spans s, k, e of the fixed kinds) and
-    s_cands (tested candidates s, e, c, b that touch none of them); the
-    columns that bring ``docs`` back)."""
-    rows, back = carried(docs, RESULT, s_in=text)
-    x = rows.select("in_row", F.col("s_in"), text_of("s_in").alias("s_text"))
+def scan(rows: DataFrame) -> DataFrame:
+    """in_row, s_base (sorted spans s, k, e of the fixed kinds) and s_cands
+    (tested candidates s, e, c, b that touch none of them) of ``rows``
+    (in_row, s_in)."""
+    x = rows.select("in_row", text_of("s_in").alias("s_text"))
     x = x.withColumn("s_base", F.sort_array(F.concat(_found("s_text", ASSIGN, 0, 2, 8), _found("s_text", ACCESS, 1), _found("s_text", HEX, 2))))
     x = x.withColumn("s_runs", _found("s_text", CANDIDATE, 3))
     runs = F.transform("s_runs", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.substring(F.col("s_text"), c["s"] + 1, c["e"] - c["s"]).alias("w")))
     x = x.withColumn("s_pieces", _pieces(runs))
     x = x.withColumn("s_free", F.filter("s_pieces", lambda c: ~F.exists("s_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))))
     cands = F.when(F.size("s_free") > 0, _tested(F.col("s_free"))).otherwise(F.expr("CAST(array() AS array<struct<s: int, e: int, c: int, b: int>>)"))
-    return x.select("in_row", F.col("s_in").alias("s_text"), "s_base", cands.alias("s_cands")), back
+    return x.select("in_row", "s_base", cands.alias("s_cands"))
 
 
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -216,18 +215,17 @@ def spelled(spans: str) -> Column:
 RESULT = ("secret_spans",)
 
 
-def scanned(docs: DataFrame, text: str = "text", with_text: bool = True) -> tuple[DataFrame, list[Column]]:
-    """``scan`` decided: in_row, s_text, s_base, s_spans. The scan is written
-    once, as its candidates are counted before any is judged."""
-    rows, back = scan(docs, text)
-    rows = materialize(rows if with_text else rows.drop("s_text"), "secret-spans")
-    return decide(rows, thresholds(rows)), back
+def scanned(rows: DataFrame) -> DataFrame:
+    """``scan`` decided: in_row, s_base, s_spans. The scan is written once, as
+    its candidates are counted before any is judged."""
+    found = materialize(scan(rows), "secret-spans")
+    return decide(found, thresholds(found))
 
 
 def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus ``secret_spans`` (array of s, k, e; k indexes ``KINDS``)."""
-    out, back = scanned(docs, text, with_text=False)
-    return out.select(*back, F.col("s_spans").alias("secret_spans"))
+    rows, back = carried(docs, RESULT, s_in=text)
+    return scanned(rows).select(*back, F.col("s_spans").alias("secret_spans"))
 
 
 def redact(text: str, spans: str, mark: str = "[SECRET]") -> Column:
@@ -246,14 +244,13 @@ def masked(docs: DataFrame, text: str = "text", length: str | None = None, mark:
     """``docs``, all columns as they are but ``text``, whose secrets are
     replaced by ``mark``, and ``length``, which follows a changed text."""
     names = docs.columns
-    whole, _ = carried(docs, (), s_doc=text, **({"s_len": length} if length else {}))
-    rows, back = scanned(whole.select("in_row", "s_doc", *(["s_len"] if length else [])), "s_doc")
     lower = [c.lower() for c in names]
     place = lambda n: names.index(n) if n in names else lower.index(n.lower())
-    out = rows.select(F.col("in_row.c0").alias("in_row"), F.col("s_spans"), redact("s_text", "s_spans", mark).alias("s_new"))
-    cols = [F.col(f"in_row.c{i}").alias(c) for i, c in enumerate(names)]
+    rows, cols = carried(docs, (), s_in=text)
+    out = scanned(rows).select("in_row", "s_spans", F.col(f"in_row.c{place(text)}").alias("s_old"))
+    out = out.select("in_row", "s_spans", redact("s_old", "s_spans", mark).alias("s_new"))
     cols[place(text)] = F.col("s_new").alias(names[place(text)])
     if length:
-        kind = docs.schema[place(length)].dataType
-        cols[place(length)] = F.when(F.size("s_spans") > 0, F.length("s_new").cast(kind)).otherwise(F.col(f"in_row.c{place(length)}")).alias(names[place(length)])
+        at = place(length)
+        cols[at] = F.when(F.size("s_spans") > 0, F.length("s_new").cast(docs.schema[at].dataType)).otherwise(F.col(f"in_row.c{at}")).alias(names[at])
     return out.select(*cols)
