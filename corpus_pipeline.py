@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import jaccard_join, mixing, packing, quality_rules, secret_scan
-from llm.common import materialize, read_table
+from llm.common import WRITTEN, discard_since, materialize, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = materialize(out, f"pipeline-{k}") if k < len(STAGES) - 1 else out
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        mark = len(WRITTEN)
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        discard_since(spark, mark, docs)  # what the stage wrote for itself
+    return STAGES[-1][1](spark, docs, sf_dir)
