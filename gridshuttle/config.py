@@ -65,10 +65,14 @@ class Config:
             if f.name in given:
                 out[f.name] = given[f.name]
                 continue
-            raw = spark.conf.get(f"{PREFIX}.{f.name}", None) if spark is not None else None
-            raw = raw if raw is not None else os.environ.get(f"{PREFIX}_{f.name}".upper())
-            if raw is not None and not f.name.endswith("compression"):
-                out[f.name] = _parsed(getattr(cls, f.name), raw)
+            default = getattr(cls, f.name)
+            if isinstance(default, CompressionConfig):  # gridshuttle.compression.rate, GRIDSHUTTLE_COMPRESSION_RATE
+                parts = {p.name: (getattr(default, p.name), _setting(spark, f.name, p.name)) for p in fields(default)}
+                out[f.name] = replace(default, **{k: _parsed(d, raw) for k, (d, raw) in parts.items() if raw is not None})
+                continue
+            raw = _setting(spark, f.name)
+            if raw is not None:
+                out[f.name] = _parsed(default, raw)
         return cls(**out).validate()
 
     def validate(self) -> Config:
@@ -86,12 +90,17 @@ class Config:
         return replace(self, **more).validate()
 
 
+def _setting(spark, *name: str) -> str | None:
+    raw = spark.conf.get(".".join((PREFIX, *name)), None) if spark is not None else None
+    return raw if raw is not None else os.environ.get("_".join((PREFIX, *name)).upper())
+
+
 def _parsed(default, raw: str):
     """``raw`` as the kind of ``default``; anything unreadable counts as unset."""
     text = str(raw).strip().lower()
     if isinstance(default, bool):
         return {"1": True, "true": True, "on": True, "yes": True, "0": False, "false": False, "off": False, "no": False}.get(text, default)
-    if isinstance(default, (Platform, Backend, TransposeMode, AccessMode)):
+    if isinstance(default, (Platform, Backend, TransposeMode, AccessMode, CompressionLib, CompressionMode)):
         names = {e.name.lower(): e for e in type(default)}
         return names.get(text, default)
     try:

@@ -1,6 +1,12 @@
-"""Block codecs for exchanges. Lossless is zlib on the bytes; the lossy modes
-quantise first. They keep the bounds their settings state, not the bit
-patterns of any other codec."""
+"""Block codecs for exchanges.
+
+Lossless is zlib on byte planes; fixed precision and fixed accuracy quantise
+first. Fixed rate gives every value the same number of bits behind an exponent
+shared by a group, so a block's size follows from its count of values alone.
+The lossy modes keep the bounds their settings state, not the bit patterns of
+any other codec. A block that would not shrink is stored as it is, so none
+grows by more than its mark of one byte.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +18,10 @@ from ..config import CompressionConfig
 from ..enums import CompressionMode
 from ..errors import ErrorCode, check
 
+RAW, PLANES, RATE = 0, 1, 2
+#: Values that share an exponent of 16 bits.
+GROUP = 256
+
 
 def _real(a: np.ndarray) -> np.ndarray:
     """A complex array is two fields of reals."""
@@ -24,27 +34,59 @@ def _truncated(x: np.ndarray, keep: int) -> np.ndarray:
     return np.ldexp(np.round(m * 2.0**keep) / 2.0**keep, e).astype(x.dtype)
 
 
+def value_bits(rate: float) -> int:
+    """Whole bits of a value at ``rate`` bits a value, its share of the exponent taken off."""
+    return max(1, int(rate - 16 / GROUP))
+
+
+def _fixed_rate(x: np.ndarray, bits: int) -> bytes:
+    """A value is kept to within 2 ** (e - bits + 1), e the group's exponent."""
+    v = np.zeros(-(-x.size // GROUP) * GROUP)
+    v[: x.size] = x.reshape(-1)
+    v = v.reshape(-1, GROUP)
+    e = np.frexp(np.abs(v).max(axis=1, initial=0.0))[1]
+    half = 1 << bits - 1
+    m = np.clip(np.round(np.ldexp(v, (bits - 1 - e)[:, None])), -half, half - 1).reshape(-1)[: x.size].astype(np.int64) + half
+    packed = np.packbits(((m[:, None] >> np.arange(bits)) & 1).astype(np.uint8))
+    return bytes([RATE, bits]) + e.astype("<i2").tobytes() + packed.tobytes()
+
+
+def _from_rate(data: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    bits, groups = data[1], -(-n // GROUP)
+    e = np.frombuffer(data, "<i2", groups, 2).astype(np.int64)
+    packed = np.unpackbits(np.frombuffer(data, np.uint8, offset=2 + 2 * groups), count=n * bits).reshape(n, bits)
+    m = (packed.astype(np.int64) << np.arange(bits)).sum(axis=1) - (1 << bits - 1)
+    return np.ldexp(m.astype(np.float64), np.repeat(e - bits + 1, GROUP)[:n]).astype(kind)
+
+
 def compress(a: np.ndarray, config: CompressionConfig) -> bytes:
     x = np.ascontiguousarray(_real(a))
-    bits = 8 * x.itemsize
-    config.validate(bits)
-    if config.mode == CompressionMode.FIXED_ACCURACY:
-        x = (np.round(x / (2 * config.tolerance)) * (2 * config.tolerance)).astype(x.dtype)
-    elif config.mode == CompressionMode.FIXED_PRECISION:
-        x = _truncated(x, config.precision)
-    elif config.mode == CompressionMode.FIXED_RATE:
-        x = _truncated(x, max(1, int(config.rate) - (bits // 6)))
-    # bytes of equal weight together compress better
-    planes = x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    config.validate(8 * x.itemsize)
+    raw = x.tobytes()
+    if config.mode == CompressionMode.FIXED_RATE and np.isfinite(x).all():
+        data = _fixed_rate(x, value_bits(config.rate))
+    else:
+        if config.mode == CompressionMode.FIXED_ACCURACY:
+            x = (np.round(x / (2 * config.tolerance)) * (2 * config.tolerance)).astype(x.dtype)
+        elif config.mode == CompressionMode.FIXED_PRECISION:
+            x = _truncated(x, config.precision)
+        # bytes of equal weight together compress better
+        planes = x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T
+        data = bytes([PLANES]) + zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return data if len(data) <= len(raw) else bytes([RAW]) + raw
 
 
 def decompress(data: bytes, dtype: np.dtype, shape: tuple[int, ...]) -> np.ndarray:
     dtype = np.dtype(dtype)
     real = np.dtype(f"f{dtype.itemsize // 2}") if dtype.kind == "c" else dtype
-    raw = np.frombuffer(zlib.decompress(data), np.uint8)
-    x = np.ascontiguousarray(raw.reshape(real.itemsize, -1).T).view(real).reshape(-1)
-    check(x.size * (1 if dtype.kind != "c" else 1) == int(np.prod(shape)) * (2 if dtype.kind == "c" else 1), ErrorCode.COMPRESSION_NOT_USED, "a block of another size")
+    n = int(np.prod(shape)) * (2 if dtype.kind == "c" else 1)
+    if data[0] == RATE:
+        x = _from_rate(data, n, real)
+    elif data[0] == RAW:
+        x = np.frombuffer(data, real, offset=1)
+    else:
+        x = np.ascontiguousarray(np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(real.itemsize, -1).T).view(real).reshape(-1)
+    check(x.size == n, ErrorCode.COMPRESSION_NOT_USED, "a block of another size")
     if dtype.kind == "c":
         half = x.size // 2
         return (x[:half] + 1j * x[half:]).astype(dtype).reshape(shape)

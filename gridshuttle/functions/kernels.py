@@ -36,5 +36,21 @@ def unpack(run: np.ndarray, out: np.ndarray, starts, counts) -> np.ndarray:
     return out
 
 
-#: What a kernel becomes when it is fused into a per-partner exchange.
-FUSED = {"pack": "pack_pipelined", "permute_forward": "pack_forward", "permute_backward": "pack_backward"}
+def copy(a: np.ndarray) -> np.ndarray:
+    """The same values in memory of their own."""
+    return np.array(a, order="C")
+
+
+def pack_forward(a: np.ndarray, starts, counts) -> np.ndarray:
+    """A sub-box permuted forward as it is packed."""
+    return permute_forward(pack(a, starts, counts).reshape(tuple(reversed(counts)))).ravel()
+
+
+def pack_backward(a: np.ndarray, starts, counts) -> np.ndarray:
+    """A sub-box permuted backward as it is packed."""
+    return permute_backward(pack(a, starts, counts).reshape(tuple(reversed(counts)))).ravel()
+
+
+def get_fused(kernel):
+    """What a kernel becomes when a partner's part is packed at a time."""
+    return {permute_forward: pack_forward, permute_backward: pack_backward}.get(kernel, kernel)

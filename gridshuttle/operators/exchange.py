@@ -8,7 +8,10 @@ fit a task. Two exchanges make the same values:
 * block: each box is cut into the pieces its new owners need (packed bytes,
   optionally compressed), the pieces go to their owner's partition, and are
   put in place as they arrive; one shuffle of as many rows as there are
-  overlapping pairs of boxes;
+  overlapping pairs of boxes. A box is permuted whole before it is cut, or
+  (fused) piece by piece, which needs no second copy of it; pieces leave in
+  the order of ranks, or (scheduled) of a round robin in which every rank has
+  one partner a round;
 * key: boxes fall back into points that are hashed to their new rank.
 
 Whatever runs on a box before or after (a transform) joins the same task.
@@ -27,7 +30,7 @@ from ..config import CompressionConfig
 from ..enums import Layout, TransposeMode
 from ..errors import ErrorCode, GridError
 from ..functions import compression as codec
-from ..plans.decomposition import Box, order_of
+from ..plans.decomposition import Box, order_of, partners
 from ..ship import ship
 
 AXES = ("x", "y", "z")
@@ -176,15 +179,17 @@ def gather(held: DataFrame, n: int, dtype: np.dtype, work: Work | None = None, o
 
 def redistribute(
     held: DataFrame, source: Layout, target: Layout, boxes: Sequence[Box], dtype_in: np.dtype, dtype_out: np.dtype | None = None, before: Work | None = None, after: Work | None = None,
-    mode: TransposeMode = TransposeMode.PACK, compression: CompressionConfig | None = None, exchange: str = "block",
+    mode: TransposeMode = TransposeMode.PACK, compression: CompressionConfig | None = None, exchange: str = "block", fused: bool = False, scheduled: bool = False, sizes: bool = False,
 ) -> DataFrame:
     """Boxes in ``source`` to ``boxes`` in ``target``. ``before`` runs on a box
-    ahead of packing (its result is of ``dtype_out``), ``after`` on the new one."""
+    ahead of packing (its result is of ``dtype_out``), ``after`` on the new one.
+    With ``sizes`` nothing moves: rank, dest, raw_bytes and sent_bytes of each
+    piece come back."""
     ship(held.sparkSession)
     n = len(boxes[0].starts)
     dtype_out = np.dtype(dtype_out or dtype_in)
     order_in, order_out = order_of(source, n), order_of(target, n)
-    if exchange == "key":
+    if exchange == "key" and not sizes:
         return scatter(gather(held, n, dtype_out, None) if before is None else gather(apply(held, n, dtype_in, before), n, dtype_out), boxes, target, dtype_out, after)
     starts = np.array([b.starts for b in boxes])
     ends = starts + np.array([b.counts for b in boxes])
@@ -195,11 +200,23 @@ def redistribute(
                 a = from_memory(row["data"], row["counts"], order_in, dtype_in)
                 a = before(a, row["rank"]) if before else a
                 lo, hi = np.array(row["starts"]), np.array(row["starts"]) + np.array(list(reversed(a.shape)))
-                for d in np.flatnonzero(((starts < hi) & (ends > lo)).all(axis=1) & (ends > starts).all(axis=1)):
+                order = order_out if mode == TransposeMode.PACK else order_in
+                whole = None if fused else to_memory(a, order)
+                needed = np.flatnonzero(((starts < hi) & (ends > lo)).all(axis=1) & (ends > starts).all(axis=1)).tolist()
+                if scheduled:
+                    of = set(needed)
+                    needed = [d for d in (row["rank"], *partners(row["rank"], len(boxes))) if d in of]
+                for d in needed:
                     s, e = np.maximum(lo, starts[d]), np.minimum(hi, ends[d])
-                    part = a[tuple(slice(s[x] - lo[x], e[x] - lo[x]) for x in reversed(range(n)))]
-                    part = to_memory(part, order_out if mode == TransposeMode.PACK else order_in)
+                    cut = [slice(s[x] - lo[x], e[x] - lo[x]) for x in range(n)]
+                    if fused:
+                        part = to_memory(a[tuple(reversed(cut))], order)
+                    else:
+                        part = np.ascontiguousarray(whole[tuple(cut[x] for x in reversed(order))])
                     data = codec.compress(part, compression) if compression else part.tobytes()
+                    if sizes:
+                        yield _arrow([(row["rank"], d, part.nbytes, len(data))], ("rank", "dest", "raw_bytes", "sent_bytes"), [_kinds(True)[0], _kinds(True)[0], "int64", "int64"])
+                        continue
                     yield _arrow([(int(d), s.tolist(), (e - s).tolist(), data)], ("dest", "starts", "counts", "data"), _kinds(True))
 
     def unpack(batches):
@@ -223,6 +240,8 @@ def redistribute(
             out = after(a, d) if after else a
             yield _arrow([(d, int(target), list(boxes[d].starts), list(reversed(out.shape)), to_memory(out, order_out).tobytes())], ("rank", "layout", "starts", "counts", "data"), _kinds(False))
 
+    if sizes:
+        return held.mapInArrow(pack, "rank int, dest int, raw_bytes long, sent_bytes long")
     pieces = held.mapInArrow(pack, PIECES)
     return pieces.repartitionById(len(boxes), F.col("dest")).mapInArrow(unpack, BOXES)
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import pairwise
 from math import prod
 
 from pyspark.sql import DataFrame, SparkSession
@@ -176,15 +175,13 @@ def bricks_grid(boxes: Sequence[Box], tile: int = HOST_TILE) -> tuple[tuple[int,
     fast = brick[0]
     if n == 2:
         return brick, (fast,)
-    low_y, low_z = (min(b.counts[a] for b in boxes) for a in (1, 2))
-    if low_z > tile * fast:
-        return brick, (1, fast)
-    if low_y > tile * fast:
-        return brick, (fast, 1)
-    for i in range(2, fast + 1):
-        if fast % i == 0 and low_z >= tile * i and low_z % i == 0 and low_y >= tile * i and low_y % i == 0:
-            return brick, (min(i, fast // i), max(i, fast // i))
-    return brick, dims_create(fast, 2)
+    y, z = (min(b.counts[a] for b in boxes) for a in (1, 2))
+    roomy = lambda extent, parts: extent > tile * parts
+    even = lambda extent, parts: extent % parts == 0 and extent >= tile * parts
+    # whole to z, else whole to y, else the smallest divisor that cuts both evenly, else as square as can be
+    wishes = [(1, fast)] * roomy(z, fast) + [(fast, 1)] * roomy(y, fast)
+    wishes += [tuple(sorted((d, fast // d))) for d in range(2, fast + 1) if fast % d == 0 and even(z, d) and even(y, d)]
+    return brick, (*wishes, dims_create(fast, 2))[0]
 
 
 def pencils_from_bricks(boxes: Sequence[Box], tile: int = HOST_TILE) -> list[Box]:
@@ -228,6 +225,24 @@ def pencils_from_pencils(boxes: Sequence[Box], dims: Sequence[int], layout: Layo
     return out
 
 
+def groups_of(ranks: Sequence[int], size: int, strided: bool = False) -> list[list[int]]:
+    """``ranks`` in groups: neighbours, ``size`` a group, or (strided) every
+    ``size``-th rank together, ``size`` groups."""
+    colors: dict[int, list[int]] = {}
+    for k, r in enumerate(ranks):
+        colors.setdefault(k % size if strided else k // size, []).append(r)
+    return [g for _, g in sorted(colors.items())]
+
+
+def fourier_grid(boxes: Sequence[Box], parts: int) -> tuple[int, ...]:
+    """Sizes of the brick grid on the spectral side, by axis: the last axis has
+    a neighbour group's size, the other that of a strided group."""
+    n = len(boxes[0].starts)
+    along = varying_groups(boxes, n - 2)[0]
+    last, other = len(groups_of(along, parts)[0]), len(groups_of(along, parts, strided=True)[0])
+    return (other, last) if n == 2 else (len({b.starts[0] for b in boxes}), other, last)
+
+
 def fourier_bricks(boxes: Sequence[Box], parts: int) -> list[Box]:
     """Bricks on the spectral side: in runs of ``parts`` ranks along the last
     split axis, the last axis is split and the other extent is shared."""
@@ -235,8 +250,7 @@ def fourier_bricks(boxes: Sequence[Box], parts: int) -> list[Box]:
     last, other = n - 1, n - 2
     out: list[Box | None] = [None] * len(boxes)
     for group in varying_groups(boxes, other):
-        for at in range(0, len(group), parts):
-            run = group[at : at + parts]
+        for run in groups_of(group, parts):
             lo, total = min(boxes[r].starts[other] for r in run), sum(boxes[r].counts[other] for r in run)
             for k, r in enumerate(run):
                 s, c = split(boxes[r].counts[last], len(run), k)
@@ -272,6 +286,11 @@ def schedule(parts: int) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def prefix_ok(counts: Sequence[int], starts: Sequence[int]) -> bool:
-    """Starts are the exclusive running sum of counts."""
-    return all(s + c == t for (s, c), (t, _) in pairwise(zip(starts, counts, strict=True)))
+def partners(rank: int, parts: int) -> list[int]:
+    """The partner of each round of ``schedule`` (a rank without one in a round skips it)."""
+    n = parts + parts % 2
+    out = []
+    for k in range(n - 1):
+        place = n - 1 - ((rank - 1 - k) % (n - 1) + 1) if rank else n - 1
+        out.append(0 if place == 0 else (place - 1 + k) % (n - 1) + 1)
+    return [p for p in out if p < parts and p != rank]

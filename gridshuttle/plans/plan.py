@@ -12,17 +12,19 @@ import time
 from collections.abc import Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from math import prod
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import Config
-from ..enums import COMPRESSED, CUFFTMP_FAMILY, FUSED, NCCL_FAMILY, PIPELINED, RMA, Backend, CompressionMode, Effort, Execute, Executor, Layout, Platform, Precision, R2RKind, Reshape, Transpose, TransposeMode
+from ..enums import COMPRESSED, CUFFTMP_FAMILY, FUSED, MPI_FAMILY, NCCL_FAMILY, PIPELINED, RMA, Backend, CompressionMode, Effort, Execute, Executor, Layout, Platform, Precision, R2RKind, Reshape, Transpose, TransposeMode
 from ..errors import ErrorCode, GridError, check
 from ..functions import sql_dft
 from ..functions import transforms as tf
 from ..operators import exchange as ex
-from .decomposition import Box, default_grid, dims_create, fourier_bricks, is_distributed, layout_frame, pencil_boxes, pencils_from_bricks, pencils_from_pencils, slab_use, validate_boxes
+from .decomposition import Box, default_grid, fourier_bricks, is_distributed, layout_frame, pencil_boxes, pencils_from_bricks, pencils_from_pencils, slab_use, validate_boxes
 
 L = Layout
 STEPS = {
@@ -32,6 +34,15 @@ STEPS = {
 _POOL = ThreadPoolExecutor(4, thread_name_prefix="gridshuttle")
 
 
+class Timing(NamedTuple):
+    """Seconds of one trial's iterations."""
+
+    name: str
+    longest: float
+    shortest: float
+    mean: float
+
+
 class Request:
     """A started exchange; an int names it."""
 
@@ -83,9 +94,15 @@ class Plan:
         self.reshape_enabled = boxes is not None and is_distributed(boxes)
         self._active: dict[str, Request] = {}
         self._alive = True
+        self._given_grid = grid is not None
         self._place(grid)
-        self.timings: list[tuple[str, float]] = []
-        if effort > Effort.ESTIMATE and spark is not None:
+        self.timings: list[Timing] = []
+        self.rates: list[tuple[str, float, float, float]] = []
+        self.directions: dict[tuple[Layout, Layout], Backend] = {}
+        self._held: list[DataFrame] = []
+        if effort > Effort.ESTIMATE:
+            spark = spark or SparkSession.getActiveSession()
+            check(spark is not None, ErrorCode.INVALID_EFFORT, "trials need a session")
             self._tune(spark)
 
     # --- layouts
@@ -194,17 +211,31 @@ class Plan:
     def alloc_bytes(self) -> int:
         return self.alloc_size * self.element_size
 
+    @property
+    def aux_size_transpose(self) -> int:
+        """Elements in flight in a transpose: none where points move one by one, else a box's."""
+        return 0 if self.backend == Backend.MPI_DATATYPE else self.alloc_size
+
+    @property
+    def aux_size_reshape(self) -> int:
+        return self.alloc_size if self.reshape_enabled and self.reshape_backend != Backend.MPI_DATATYPE else 0
+
     @property
     def aux_size(self) -> int:
-        """Pieces in flight: as many elements as a box has."""
-        return self.alloc_size
+        """What ``execute`` needs: the larger of both, and a box between two steps."""
+        return max(self.aux_size_transpose, self.aux_size_reshape) + self.alloc_size
 
     @property
     def aux_bytes(self) -> int:
         return self.aux_size * self.element_size
 
-    aux_size_reshape = aux_size_transpose = aux_size
-    aux_bytes_reshape = aux_bytes_transpose = aux_bytes
+    @property
+    def aux_bytes_transpose(self) -> int:
+        return self.aux_size_transpose * self.element_size
+
+    @property
+    def aux_bytes_reshape(self) -> int:
+        return self.aux_size_reshape * self.element_size
 
     @property
     def platform(self) -> Platform:
@@ -218,10 +249,15 @@ class Plan:
         ]
         if self.reshape_enabled:
             lines.append(f"reshape backend {self.reshape_backend.name}, spectral bricks {self.fourier_reshape}")
-        lines += [f"{name}: {s:.3f} s" for name, s in self.timings]
+        lines += [f"{b.name} for {s.name} to {t.name}" for (s, t), b in self.directions.items()]
+        lines += [f"{t.name}: longest {t.longest:.3f} s, shortest {t.shortest:.3f} s, mean {t.mean:.3f} s" for t in self.timings]
+        lines += [f"compression of {name}: from {lo:.2f} to {hi:.2f}, mean {mean:.2f}" for name, lo, hi, mean in self.rates]
         return "\n".join(lines)
 
     def destroy(self) -> None:
+        """Ends the plan and frees what its requests hold."""
+        while self._held:
+            self._held.pop().unpersist()
         self._alive = False
 
     def _check_alive(self) -> None:
@@ -235,7 +271,30 @@ class Plan:
             backend = Backend.MPI_P2P
         if backend == Backend.MPI_DATATYPE:
             return {"exchange": "key"}
-        return {"exchange": "block", "mode": self.transpose_mode, "compression": config if backend in COMPRESSED else None}
+        return {
+            "exchange": "block", "mode": self.transpose_mode, "compression": config if backend in COMPRESSED else None, "fused": backend in FUSED,
+            "scheduled": backend == Backend.MPI_P2P_SCHEDULED or backend in FUSED,
+        }
+
+    def _between(self, source: Layout, target: Layout) -> Backend:
+        """The backend of a direction."""
+        same = lambda k: L.X_PENCILS if k == L.X_PENCILS_FOURIER else k
+        return self.directions.get((same(source), same(target)), self.backend)
+
+    def compression_rates(self, held: DataFrame, kind: Transpose | Reshape, name: str | None = None) -> DataFrame:
+        """rank, raw_bytes, sent_bytes, rate (raw / sent) of the pieces that an
+        exchange of ``held`` sends; with ``name``, ``report`` tells of them."""
+        self._check_alive()
+        reshape = kind not in set(Transpose)
+        source, target = self._ends(kind) if not reshape else self._reshape_ends(kind)
+        config = self.config.reshape_compression if reshape else self.config.compression
+        out = ex.redistribute(held, source, target, self.boxes(target), self.dtype_of(source), self.dtype_of(source), mode=self.transpose_mode, compression=config, sizes=True)
+        rates = out.groupBy("rank").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("sent_bytes").alias("sent_bytes"))
+        rates = rates.withColumn("rate", F.col("raw_bytes") / F.col("sent_bytes"))
+        if name:
+            lo, hi, mean = rates.agg(F.min("rate"), F.max("rate"), F.avg("rate")).first()
+            self.rates.append((name, lo, hi, mean))
+        return rates
 
     def scatter(self, points: DataFrame, layout: Layout) -> DataFrame:
         self._check_alive()
@@ -253,7 +312,14 @@ class Plan:
         out = self.dtype_of(target)
         if source == L.X_PENCILS and target not in (L.X_BRICKS,) or target == L.X_PENCILS and source not in (L.X_BRICKS,):
             out = self.dtype_of(L.X_PENCILS_FOURIER) if before is not None or source != L.X_PENCILS else first
-        return ex.redistribute(held, source, target, self.boxes(target), first, out, before, after, **self._how(backend or (self.reshape_backend if reshape else self.backend), reshape))
+        return ex.redistribute(held, source, target, self.boxes(target), first, out, before, after, **self._how(backend or (self.reshape_backend if reshape else self._between(source, target)), reshape))
+
+    def _ends(self, kind: Transpose) -> tuple[Layout, Layout]:
+        return tuple(L.X_PENCILS_FOURIER if k == L.X_PENCILS and self.real and self.spectral_dims != self.dims else k for k in STEPS[kind])
+
+    def _reshape_ends(self, kind: Reshape) -> tuple[Layout, Layout]:
+        last = self.last_layout
+        return {Reshape.X_BRICKS_TO_PENCILS: (L.X_BRICKS, L.X_PENCILS), Reshape.X_PENCILS_TO_BRICKS: (L.X_PENCILS, L.X_BRICKS), Reshape.Z_PENCILS_TO_BRICKS: (last, L.Z_BRICKS), Reshape.Z_BRICKS_TO_PENCILS: (L.Z_BRICKS, last)}[Reshape(kind)]
 
     def transpose(self, held: DataFrame, kind: Transpose) -> DataFrame:
         """Boxes in one pencil layout to another, values unchanged."""
@@ -264,16 +330,14 @@ class Plan:
             check(abs(kind) == 1, ErrorCode.INVALID_TRANSPOSE_TYPE)
         if abs(kind) == 3:
             check(self.z_slab_enabled, ErrorCode.INVALID_TRANSPOSE_TYPE)
-        source, target = (L.X_PENCILS_FOURIER if k == L.X_PENCILS and self.real and self.spectral_dims != self.dims else k for k in STEPS[kind])
-        return self._move(held, source, target)
+        return self._move(held, *self._ends(kind))
 
     def reshape(self, held: DataFrame, kind: Reshape) -> DataFrame:
         """Boxes between bricks and pencils, axis order unchanged."""
         self._check_alive()
         check(self.reshape_enabled, ErrorCode.RESHAPE_NOT_SUPPORTED)
         check(kind in set(Reshape), ErrorCode.INVALID_RESHAPE_TYPE)
-        last = self.last_layout
-        source, target = {Reshape.X_BRICKS_TO_PENCILS: (L.X_BRICKS, L.X_PENCILS), Reshape.X_PENCILS_TO_BRICKS: (L.X_PENCILS, L.X_BRICKS), Reshape.Z_PENCILS_TO_BRICKS: (last, L.Z_BRICKS), Reshape.Z_BRICKS_TO_PENCILS: (L.Z_BRICKS, last)}[Reshape(kind)]
+        source, target = self._reshape_ends(kind)
         if L.Z_BRICKS in (source, target):
             check(self.fourier_reshape, ErrorCode.RESHAPE_NOT_SUPPORTED)
         return self._move(held, source, target, reshape=True)
@@ -283,6 +347,7 @@ class Plan:
 
         def run():
             df.persist().count()
+            self._held.append(df)
             return df
 
         request = Request(what, _POOL.submit(run))
@@ -342,7 +407,7 @@ class Plan:
                 held = self._scatter(points, L.X_PENCILS, self._work(steps[0][1], True))
             at = self._after_first()
             for layout, axes in steps[1:]:
-                held = ex.redistribute(held, at, layout, self.boxes(layout), self.dtype_of(at), self.dtype_of(layout), None, self._work(axes, True), **self._how(self.backend))
+                held = ex.redistribute(held, at, layout, self.boxes(layout), self.dtype_of(at), self.dtype_of(layout), None, self._work(axes, True), **self._how(self._between(at, layout)))
                 at = layout
             if self.fourier_reshape:
                 held = self._move(held, at, L.Z_BRICKS, reshape=True)
@@ -357,7 +422,7 @@ class Plan:
         at = back[0][0]
         for layout, axes in back[1:]:
             target = self._after_first() if layout == L.X_PENCILS else layout
-            held = ex.redistribute(held, at, target, self.boxes(target), self.dtype_of(at), self.dtype_of(target), None, self._work(axes, False), **self._how(self.backend))
+            held = ex.redistribute(held, at, target, self.boxes(target), self.dtype_of(at), self.dtype_of(target), None, self._work(axes, False), **self._how(self._between(at, target)))
             at = layout
         dtype = self.dtype_of(L.X_PENCILS)
         if self.reshape_enabled:
@@ -376,61 +441,92 @@ class Plan:
     # --- autotuning
 
     def _tune(self, spark: SparkSession) -> None:
-        """Trial runs on a grid of zeros, written to nowhere; the fastest stays."""
-        from ..sources.grids import coordinates
-        from pyspark.sql import functions as F
-
-        real = self.dtype_of(L.X_PENCILS).kind == "f"
-        points = coordinates(spark, self.dims)
-        points = points.withColumn("v", F.lit(0.0)) if real else points.withColumns({"re": F.lit(0.0), "im": F.lit(0.0)})
+        """Trial runs on a grid of zeros, written to nowhere; the fastest stays.
 
-        def timed(name: str) -> float:
-            def run():
-                held = self._scatter(points, L.X_PENCILS, None)
-                at = L.X_PENCILS
-                for layout, _ in self.stages()[1:] if not (self.real and self.spectral_dims != self.dims) else []:
-                    held = ex.redistribute(held, at, layout, self.boxes(layout), self.dtype_of(at), self.dtype_of(layout), **self._how(self.backend))
-                    at = layout
-                held.write.format("noop").mode("overwrite").save()
+        MEASURE tries the grids, PATIENT the backends (ADAPTIVE: for each
+        direction by itself), EXHAUSTIVE also transpose modes and the reshape
+        backend. A trial makes the exchanges that ``execute`` makes forward,
+        the half spectrum's for real-to-complex plans.
+        """
+        first = self._after_first()
+        zeros = self._zeros(spark, self.spectral_dims, self.dtype_of(first))
 
+        def timed(name: str, run) -> float:
             for _ in range(self.config.n_measure_warmup_iters):
                 run()
-            began = time.perf_counter()
+            each = []
             for _ in range(self.config.n_measure_iters):
+                began = time.perf_counter()
                 run()
-            s = (time.perf_counter() - began) / self.config.n_measure_iters
-            self.timings.append((name, s))
-            return s
+                each.append(time.perf_counter() - began)
+            self.timings.append(Timing(name, max(each), min(each), sum(each) / len(each)))
+            return self.timings[-1].mean
 
-        def best(options, put):
+        def sunk(held: DataFrame) -> None:
+            held.write.format("noop").mode("overwrite").save()
+
+        def step(held, source, target, backend=None):
+            return ex.redistribute(held, source, target, self.boxes(target), self.dtype_of(source), self.dtype_of(target), **self._how(backend or self._between(source, target)))
+
+        def exchanges():
+            held, at = ex.scatter(zeros, self.boxes(first), first, self.dtype_of(first)), first
+            for layout, _ in self.stages()[1:]:
+                held, at = step(held, at, layout), layout
+            sunk(held)
+
+        def best(options, put, run=exchanges):
             times = []
             for o in options:
                 put(o)
-                times.append((timed(str(o)), o))
-            put(min(times, key=lambda t: t[0])[1])
-
-        if self.effort >= Effort.MEASURE and self._user_boxes is None and self.ndims == 3:
-            def grids():
-                for i in range(1, self.parts + 1):
-                    g = (1, i, self.parts // i)
-                    if self.parts % i == 0 and g[1] <= min(self.dims[:2]) and g[2] <= min(self.dims[1:]):
-                        yield g
-
-            options = list(grids()) or [self.grid]
-            best(options, self._place)
-        if self.effort >= Effort.PATIENT:
-            c = self.config
-            options = [b for b in candidates() if (b == Backend.MPI_DATATYPE and c.enable_datatype_backend) or (b != Backend.MPI_DATATYPE and c.enable_mpi_backends and (b not in PIPELINED or c.enable_pipelined_backends) and (b not in RMA or c.enable_rma_backends) and (b not in FUSED or c.enable_fused_backends) and (b not in COMPRESSED or (c.enable_compressed_backends and c.compression.mode == CompressionMode.FIXED_RATE)))]
-            if options:
-                best(options, lambda b: setattr(self, "backend", b))
-            self.reshape_backend = compatible(self.config.reshape_backend, self.backend)
+                times.append((timed(str(o), run), o))
+            found = min(times, key=lambda t: t[0])[1]
+            put(found)
+            return found
+
+        if self.effort >= Effort.MEASURE and self._user_boxes is None and not self._given_grid and self.ndims == 3:
+            best(self._grids() or [self.grid], self._place)
+        options = self._candidates()
+        if self.effort >= Effort.PATIENT and options:
+            if self.config.backend == Backend.ADAPTIVE:
+                layouts = [first, *[layout for layout, _ in self.stages()[1:]]]
+                for a, b in zip(layouts, layouts[1:], strict=False):
+                    for source, target in ((a, b), (b, a)):
+                        held = ex.scatter(zeros, self.boxes(source), source, self.dtype_of(first))
+                        key = tuple(L.X_PENCILS if k == L.X_PENCILS_FOURIER else k for k in (source, target))
+                        best(options, lambda o, key=key: self.directions.__setitem__(key, o), lambda held=held, s=source, t=target: sunk(step(held, s, t)))
+            else:
+                best(options, lambda o: setattr(self, "backend", o))
+            self.reshape_backend = compatible(self.config.reshape_backend, options[0] if self.backend == Backend.ADAPTIVE else self.backend)
         if self.effort >= Effort.EXHAUSTIVE:
             best(list(TransposeMode), lambda m: setattr(self, "transpose_mode", m))
+            if self.reshape_enabled and options:
+                bricks = ex.scatter(self._zeros(spark, self.dims, self.dtype_of(L.X_BRICKS)), self.boxes(L.X_BRICKS), L.X_BRICKS, self.dtype_of(L.X_BRICKS))
+                best(options, lambda o: setattr(self, "reshape_backend", o), lambda: sunk(self._move(bricks, L.X_BRICKS, L.X_PENCILS, reshape=True)))
 
+    def _zeros(self, spark: SparkSession, dims, dtype: np.dtype) -> DataFrame:
+        from ..sources.grids import coordinates
+
+        return coordinates(spark, dims).withColumns({v: F.lit(0.0) for v in (("re", "im") if dtype.kind == "c" else ("v",))})
 
-def candidates() -> list[Backend]:
-    """One backend of each mechanism that differs here."""
-    return [Backend.MPI_DATATYPE, Backend.MPI_P2P, Backend.MPI_P2P_COMPRESSED]
+    def _grids(self) -> list[tuple[int, int, int]]:
+        """Every pair of divisors, both ways, that leaves no rank empty."""
+        out = []
+        for i in range(1, self.parts + 1):
+            g = (1, i, self.parts // i)
+            if self.parts % i == 0 and g[1] <= min(self.spectral_dims[0], self.dims[1]) and g[2] <= min(self.dims[1:]):
+                out.append(g)
+        return out
+
+    def _candidates(self) -> list[Backend]:
+        """Backends that the settings allow and that do differ here."""
+        c = self.config
+        allowed = [b for b in sorted(MPI_FAMILY) if (c.enable_datatype_backend if b == Backend.MPI_DATATYPE else c.enable_mpi_backends)]
+        allowed = [b for b in allowed if (b not in PIPELINED or c.enable_pipelined_backends) and (b not in RMA or c.enable_rma_backends) and (b not in FUSED or c.enable_fused_backends)]
+        allowed = [b for b in allowed if b not in COMPRESSED or (c.enable_compressed_backends and c.compression.mode == CompressionMode.FIXED_RATE)]
+        different = {}
+        for b in allowed:
+            different.setdefault(str(self._how(b)), b)
+        return list(different.values())
 
 
 def compatible(reshape: Backend, backend: Backend) -> Backend:
@@ -526,7 +622,3 @@ class PlanR2R(Plan):
 
     def round_trip_factor(self) -> int:
         return prod(tf.round_trip_factor(k, n) for k, n in zip(self.kinds, self.dims, strict=True))
-
-
-def free_grid(parts: int) -> tuple[int, int]:
-    return dims_create(parts, 2)  # type: ignore[return-value]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import CompressionConfig, Config
-from .enums import Backend, CompressionMode, Execute, Executor, Layout, Precision, R2RKind, Reshape, Transpose, TransposeMode
+from .enums import Backend, CompressionMode, Effort, Execute, Executor, Layout, Precision, R2RKind, Reshape, Transpose, TransposeMode
 from .errors import GridError
 from .functions import kernels
 from .operators import exchange as ex
@@ -216,12 +216,11 @@ def _(spark, sf_dir):
     return parts[0].union(parts[1])
 
 
-@add("schedule_round_robin", "SELECT CAST(r AS INT) AS rank, CAST(p AS INT) AS partner FROM range(7) a(r), range(7) b(p) WHERE r <> p")
+@add("schedule_round_robin", "SELECT CAST(k AS INT) AS round, CAST(r AS INT) AS rank, CAST(p AS INT) AS partner FROM range(7) c(k), range(7) a(r), range(7) b(p) WHERE r <> p AND (CASE WHEN r = 0 THEN (2 * p - 2 - 2 * k + 14) % 7 = 5 WHEN p = 0 THEN (2 * r - 2 - 2 * k + 14) % 7 = 5 ELSE (r + p - 2 * k - 2 + 21) % 7 = 5 END)")
 def _(spark, sf_dir):
     t = dec.schedule(7)
-    busy = {(k, a) for k, a, _ in t}
-    assert len(busy) == len(t)  # one partner a round
-    return spark.createDataFrame([(a, b) for _, a, b in t], "rank int, partner int")
+    assert all([b for _, a, b in t if a == r] == dec.partners(r, 7) for r in range(7))
+    return spark.createDataFrame(t, "round int, rank int, partner int")
 
 
 # --- where values lie after transposes and reshapes
@@ -265,7 +264,8 @@ for _name, (_kind, _grid) in MOVES.items():
 
 for _name, _config in {
     "key_exchange": Config(), "unpack_mode": BLOCK.with_(transpose_mode=TransposeMode.UNPACK), "fused": BLOCK.with_(backend=Backend.MPI_P2P_FUSED),
-    "compressed_lossless": BLOCK.with_(backend=Backend.MPI_P2P_COMPRESSED),
+    "compressed_lossless": BLOCK.with_(backend=Backend.MPI_P2P_COMPRESSED), "scheduled": BLOCK.with_(backend=Backend.MPI_P2P_SCHEDULED),
+    "pipelined": BLOCK.with_(backend=Backend.MPI_P2P_PIPELINED), "all_to_all": BLOCK.with_(backend=Backend.MPI_A2A), "one_sided": BLOCK.with_(backend=Backend.MPI_RMA),
 }.items():
 
     @add(f"transpose_{_name}", sql_placement(LI_SQL, LI, (1, 2, 3), Layout.Y_PENCILS))
@@ -291,6 +291,30 @@ def _(spark, sf_dir):
     return both.agg(F.sum((F.abs(F.col("v") - F.col("w")) > tol * 1.000001).cast("long")).alias("violations"), F.count("*").alias("points"))
 
 
+RATE = BLOCK.with_(backend=Backend.MPI_P2P_COMPRESSED, compression=CompressionConfig(mode=CompressionMode.FIXED_RATE, rate=12.0))
+_MEET = " * ".join(f"greatest(least(s.{a}_start + s.{a}_count, t.{a}_start + t.{a}_count) - greatest(s.{a}_start, t.{a}_start), 0)" for a in AX)
+
+
+@add(
+    "compression_rates",
+    f"""SELECT rank, CAST(sum(8 * n) AS BIGINT) AS raw_bytes, CAST(sum(2 + 2 * ceil(n / 256) + ceil(n * 11 / 8)) AS BIGINT) AS sent_bytes, sum(8 * n) / sum(2 + 2 * ceil(n / 256) + ceil(n * 11 / 8)) AS rate
+ FROM (SELECT s.rank, {_MEET} AS n FROM {sql_boxes(LI, (1, 2, 3), Layout.X_PENCILS)} s, {sql_boxes(LI, (1, 2, 3), Layout.Y_PENCILS)} t) WHERE n > 0 GROUP BY rank""",
+)
+def _(spark, sf_dir):
+    points, dims = grids.lineitem_grid(spark, sf_dir)
+    plan = PlanR2R(dims, 6, grid=(1, 2, 3), config=RATE)
+    return plan.compression_rates(plan.scatter(points, Layout.X_PENCILS), Transpose.X_TO_Y)
+
+
+@add("compression_rate_bound", "SELECT CAST(0 AS BIGINT) AS violations, CAST(384 AS BIGINT) AS points")
+def _(spark, sf_dir):
+    """Eleven bits a value: within a 1024th of the power of two above the largest value."""
+    near = moved(spark, sf_dir, Transpose.X_TO_Y, (1, 2, 3), RATE)
+    points, _ = grids.lineitem_grid(spark, sf_dir)
+    both = near.withColumnRenamed("v", "w").join(points, list(AX)).crossJoin(F.broadcast(points.agg(F.pow(F.lit(2.0), F.floor(F.log2(F.max("v"))) + 1).alias("top"))))  # one row
+    return both.agg(F.sum((F.abs(F.col("v") - F.col("w")) > F.col("top") / 1024).cast("long")).alias("violations"), F.count("*").alias("points"))
+
+
 def brick_plan(config=BLOCK, kind=PlanR2R, **more):
     return kind(boxes=dec.brick_boxes(LI, (2, 2, 1)), config=config, **more)
 
@@ -544,6 +568,166 @@ def _(spark, sf_dir):
     return grids.max_error(points, back).select(F.lit(prod(dims)).cast("long").alias("points"), (F.col("max_error") <= grids.tolerance(prod(dims))).alias("within"))
 
 
+EV_PAD = (24, 16)
+EV2_SQL = f"(SELECT * FROM {EV_SQL} WHERE y < 16)"
+
+
+def flat_bricks(kind=PlanR2R, **more):
+    return kind(boxes=dec.brick_boxes(EV_PAD, (2, 2)), config=BLOCK.with_(enable_fourier_reshape=True), **more)
+
+
+def flat_points(spark, sf_dir):
+    return grids.events_grid(spark, sf_dir)[0].where("y < 16")
+
+
+@add("brick_execute_2d", sql_round(sql_all(EV2_SQL, EV_PAD), AX[:2]))
+def _(spark, sf_dir):
+    return rounded(flat_bricks(PlanC2C, executor=NP).execute(grids.complex_of(flat_points(spark, sf_dir)), Execute.FORWARD))
+
+
+@add("reshape_y_pencils_to_bricks", f"SELECT CAST(x // 12 * 2 + y // 8 AS INT) AS rank, CAST(y % 8 + 8 * (x % 12) AS BIGINT) AS local_offset, x, y, v FROM {EV2_SQL}")
+def _(spark, sf_dir):
+    plan = flat_bricks()
+    out = plan.placement(plan.reshape(plan.scatter(flat_points(spark, sf_dir), Layout.Y_PENCILS), Reshape.Y_PENCILS_TO_BRICKS), Layout.Z_BRICKS)
+    names = {r: k for k, r in enumerate(sorted(range(4), key=lambda r: plan.boxes(Layout.Z_BRICKS)[r].starts))}
+    return out.withColumn("rank", F.get(F.array(*[F.lit(names[r]) for r in range(4)]), F.col("rank")))
+
+
+@add("reshape_y_bricks_to_pencils", f"SELECT x, y, v FROM {EV2_SQL}")
+def _(spark, sf_dir):
+    plan = flat_bricks()
+    return plan.gather(plan.reshape(plan.scatter(flat_points(spark, sf_dir), Layout.Z_BRICKS), Reshape.Y_BRICKS_TO_PENCILS), Layout.Y_PENCILS)
+
+
+@add("brick_execute_zslab", sql_round(sql_all(LI_SQL, LI), AX))
+def _(spark, sf_dir):
+    points, _ = grids.lineitem_grid(spark, sf_dir)
+    plan = PlanC2C(boxes=dec.brick_boxes(LI, (2, 1, 1)), config=BLOCK, executor=NP)
+    return rounded(plan.execute(grids.complex_of(points), Execute.FORWARD))
+
+
+@add("reshape_key_exchange", PENCIL)
+def _(spark, sf_dir):
+    plan = brick_plan(Config())
+    points, _ = grids.lineitem_grid(spark, sf_dir)
+    return plan.placement(plan.reshape(plan.scatter(points, Layout.X_BRICKS), Reshape.X_BRICKS_TO_PENCILS), Layout.X_PENCILS)
+
+
+@add("reshape_async", PENCIL)
+def _(spark, sf_dir):
+    plan = brick_plan()
+    points, _ = grids.lineitem_grid(spark, sf_dir)
+    return plan.placement(plan.reshape_end(plan.reshape_start(plan.scatter(points, Layout.X_BRICKS), Reshape.X_BRICKS_TO_PENCILS)), Layout.X_PENCILS)
+
+
+@add("adaptive_transpose", sql_placement(LI_SQL, LI, (1, 2, 3), Layout.Y_PENCILS))
+def _(spark, sf_dir):
+    """Backends timed for each direction; whichever wins, values lie alike."""
+    points, dims = grids.lineitem_grid(spark, sf_dir)
+    tuned = Config(backend=Backend.ADAPTIVE, enable_mpi_backends=True, enable_pipelined_backends=False, n_measure_warmup_iters=0, n_measure_iters=1)
+    plan = PlanR2R(dims, 6, grid=(1, 2, 3), effort=Effort.PATIENT, spark=spark, config=tuned)
+    assert (Layout.X_PENCILS, Layout.Y_PENCILS) in plan.directions and len(plan.directions) == 4
+    return plan.placement(plan.transpose(plan.scatter(points, Layout.X_PENCILS), Transpose.X_TO_Y), Layout.Y_PENCILS)
+
+
+@add("tuning_trials", "SELECT * FROM (VALUES ('grid', CAST(4 AS BIGINT)), ('backend', 3), ('mode', 2), ('reshape', 0)) t(what, trials)")
+def _(spark, sf_dir):
+    """What EXHAUSTIVE tries for a half spectrum of 12 x 8 x 6 on six ranks: (1,1,6), (1,2,3), (1,3,2), (1,6,1)."""
+    few = Config(enable_mpi_backends=True, enable_pipelined_backends=False, n_measure_warmup_iters=0, n_measure_iters=1)
+    plan = PlanR2C((12, 8, 6), 6, effort=Effort.EXHAUSTIVE, spark=spark, executor=NP, config=few)
+    assert all(t.shortest <= t.mean <= t.longest for t in plan.timings) and "mean" in plan.report()
+    what = lambda n: "grid" if n.startswith("(") else "mode" if n in {str(m) for m in TransposeMode} else "backend"
+    found = [what(t.name) for t in plan.timings]
+    return spark.createDataFrame([(k, found.count(k)) for k in ("grid", "backend", "mode", "reshape")], "what string, trials long")
+
+
+@add("transpose_kernels_fused", f"SELECT CAST((y - 1) + 4 * ((z - 1) + 2 * (x - 2)) AS BIGINT) AS local_offset, v FROM {LI_SQL} WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 4 AND z BETWEEN 1 AND 2")
+def _(spark, sf_dir):
+    return on_box(spark, sf_dir, lambda a: kernels.get_fused(kernels.permute_forward)(a, (2, 1, 1), (5, 4, 2)))
+
+
+@add("kernel_pack_backward", f"SELECT CAST((z - 1) + 2 * ((x - 2) + 5 * (y - 1)) AS BIGINT) AS local_offset, v FROM {LI_SQL} WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 4 AND z BETWEEN 1 AND 2")
+def _(spark, sf_dir):
+    return on_box(spark, sf_dir, lambda a: kernels.pack_backward(a, (2, 1, 1), (5, 4, 2)))
+
+
+@add("kernel_copy", f"SELECT CAST(x + 12 * (y + 8 * z) AS BIGINT) AS local_offset, v FROM {LI_SQL}")
+def _(spark, sf_dir):
+    return on_box(spark, sf_dir, kernels.copy)
+
+
+PROPERTIES = {
+    "element size": 16, "element size, single": 8, "element size, real": 8, "ranks": 6, "alloc": 96, "alloc bytes": 1536, "aux": 192, "aux, key exchange": 96, "aux of reshape": 0, "z-slab": 0, "z-slab of 4": 1,
+    "last layout": 5, "last layout, y-slab": 4, "spectral x": 7, "grid y": 2, "grid z": 3, "platform": 1, "precision": 1, "version": 200, "version 3.2.1": 30201, "spectral bricks x": 2, "spectral bricks y": 1, "spectral bricks z": 2,
+}
+
+
+@add("plan_properties", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({v} AS BIGINT))" for k, v in PROPERTIES.items()) + ") t(name, value)")
+def _(spark, sf_dir):
+    from . import version
+
+    a, b = PlanC2C(LI, 6, grid=(1, 2, 3), config=BLOCK), PlanR2C(LI, 6, grid=(1, 2, 3), config=BLOCK)
+    y = PlanC2C(LI, 4, grid=(1, 4, 1), config=BLOCK.with_(enable_y_slab=True, enable_z_slab=False))
+    s = spectral_plan()
+    bricks = dec.fourier_grid(s.boxes(Layout.Z_PENCILS), 2)
+    found = {
+        "element size": a.element_size, "element size, single": PlanC2C(LI, 6, precision=Precision.SINGLE).element_size, "element size, real": b.element_size, "ranks": a.parts, "alloc": a.alloc_size, "alloc bytes": a.alloc_bytes,
+        "aux": a.aux_size, "aux, key exchange": PlanC2C(LI, 6, grid=(1, 2, 3), config=Config()).aux_size, "aux of reshape": a.aux_size_reshape, "z-slab": a.z_slab_enabled, "z-slab of 4": PlanC2C(LI, 4, config=BLOCK).z_slab_enabled,
+        "last layout": a.last_layout, "last layout, y-slab": y.last_layout, "spectral x": b.spectral_dims[0], "grid y": a.grid[1], "grid z": a.grid[2], "platform": a.platform, "precision": a.precision, "version": version(),
+        "version 3.2.1": version(3, 2, 1), "spectral bricks x": bricks[0], "spectral bricks y": bricks[1], "spectral bricks z": bricks[2],
+    }
+    return spark.createDataFrame([(k, int(v)) for k, v in found.items()], "name string, value long")
+
+
+@add("backend_families", "SELECT CAST(b AS INT) AS backend, b IN (26, 27, 28, 30, 32, 33, 34, 35, 37) AS pipelined, b IN (32, 33, 34, 35, 37) AS fused, b IN (29, 30, 33, 35) AS rma, b IN (34, 35, 37) AS compressed, b IN (24, 27, 37) AS nccl, b IN (25, 28) AS cufftmp, b NOT IN (24, 25, 27, 28, 36, 37) AS mpi, CAST(CASE WHEN b IN (24, 25, 27, 28, 37) THEN 22 ELSE b END AS INT) AS beside_p2p FROM range(21, 38) t(b)")
+def _(spark, sf_dir):
+    from . import enums as e
+    from .plans.plan import compatible
+
+    sets = (e.PIPELINED, e.FUSED, e.RMA, e.COMPRESSED, e.NCCL_FAMILY, e.CUFFTMP_FAMILY, e.MPI_FAMILY)
+    rows = [(int(b), *[b in s for s in sets], int(compatible(b, Backend.MPI_P2P))) for b in Backend]
+    return spark.createDataFrame(rows, "backend int, pipelined boolean, fused boolean, rma boolean, compressed boolean, nccl boolean, cufftmp boolean, mpi boolean, beside_p2p int")
+
+
+@add("settings_order", "SELECT * FROM (VALUES ('default', 5, 8.0), ('session', 7, 12.0), ('argument', 9, 12.0)) t(source, iterations, rate)")
+def _(spark, sf_dir):
+    rows = [("default", *(lambda c: (c.n_measure_iters, c.compression.rate))(Config.load(spark)))]
+    given = {"gridshuttle.n_measure_iters": "7", "gridshuttle.compression.rate": "12"}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        rows += [("session", *(lambda c: (c.n_measure_iters, c.compression.rate))(Config.load(spark))), ("argument", *(lambda c: (c.n_measure_iters, c.compression.rate))(Config.load(spark, n_measure_iters=9)))]
+    finally:
+        for k in given:
+            spark.conf.unset(k)
+    return spark.createDataFrame(rows, "source string, iterations int, rate double").withColumn("rate", F.col("rate").cast("decimal(3,1)"))
+
+
+CUBE = (128, 128, 128)
+
+
+@add(
+    "transpose_cube",
+    f"""SELECT rank, count(*) AS points, CAST(sum(v * (local_offset % 1009)) AS BIGINT) AS checksum FROM (
+ {sql_placement("(SELECT CAST(i % 128 AS INT) AS x, CAST(i // 128 % 128 AS INT) AS y, CAST(i // 16384 AS INT) AS z, CAST((i * 31) % 97 AS DOUBLE) AS v FROM range(2097152) t(i))", CUBE, (1, 2, 4), Layout.Y_PENCILS)}) GROUP BY rank""",
+)
+def _(spark, sf_dir):
+    """128 x 128 x 128 points from x- to y-pencils."""
+    points = grids.coordinates(spark, CUBE).withColumn("v", ((F.col("x") + 128 * F.col("y") + 16384 * F.col("z").cast("long")) * 31 % 97).cast("double"))
+    plan = PlanR2R(CUBE, 8, grid=(1, 2, 4), config=BLOCK)
+    out = plan.placement(plan.transpose(plan.scatter(points, Layout.X_PENCILS), Transpose.X_TO_Y), Layout.Y_PENCILS)
+    return out.groupBy("rank").agg(F.count("*").alias("points"), F.sum(F.col("v") * (F.col("local_offset") % 1009)).cast("long").alias("checksum"))
+
+
+@add("fft_cube", "SELECT 5 AS x, 17 AS y, 100 AS z, CAST(2097152 AS DOUBLE) AS re")
+def _(spark, sf_dir):
+    """A wave on 128 x 128 x 128 points has one spectral line."""
+    turn = (5 * F.col("x") + 17 * F.col("y") + 100 * F.col("z")) % 128 * (2 * np.pi / 128)
+    points = grids.coordinates(spark, CUBE).select(*AX, F.cos(turn).alias("re"), F.sin(turn).alias("im"))
+    f = PlanC2C(CUBE, 8, executor=NP, config=BLOCK).execute(points, Execute.FORWARD)
+    return f.where(F.col("re") * F.col("re") + F.col("im") * F.col("im") > 1e-6).select(*AX, F.round("re", 3).alias("re"))
+
+
 #: Calls that must fail, and the code they fail with.
 WRONG = {
     "one axis": (lambda: PlanC2C((4,), 1), 3), "empty axis": (lambda: PlanC2C((4, 0), 1), 4), "precision": (lambda: PlanC2C((4, 4), 1, precision=7), 6), "effort": (lambda: PlanC2C((4, 4), 1, effort=9), 7),
@@ -553,11 +737,18 @@ WRONG = {
     "execute": (lambda: PlanC2C((4, 4), 1).execute(None, 1), 43), "no executor": (lambda: PlanR2C((4, 4), 1).execute(None, Execute.FORWARD), 45), "reshape": (lambda: PlanC2C((4, 4), 1).reshape(None, 11), 44),
     "layout": (lambda: PlanC2C((4, 4), 1).boxes(Layout.Z_PENCILS), 16), "warm-up": (lambda: Config(n_measure_warmup_iters=-1).validate(), 33), "iterations": (lambda: Config(n_measure_iters=0).validate(), 34),
     "mode": (lambda: Config(transpose_mode=3).validate(), 47), "access": (lambda: Config(access_mode=3).validate(), 48), "backend": (lambda: Config(backend=3).validate(), 202), "not started": (lambda: PlanC2C((4, 4), 1).transpose_end(1), 37),
+    "reshape not started": (lambda: brick_plan().reshape_end(1), 40), "reshape kind": (lambda: brick_plan().reshape(None, 9), 38), "ended": (lambda: _ended().execute(None, Execute.FORWARD), 1), "adaptive": (lambda: PlanC2C((4, 4), 1, config=Config(backend=Backend.ADAPTIVE)), 202),
     "rate": (lambda: CompressionConfig(mode=CompressionMode.FIXED_RATE, rate=0.5).validate(), 501), "bits": (lambda: CompressionConfig(mode=CompressionMode.FIXED_PRECISION, precision=1).validate(), 502),
     "tolerance": (lambda: CompressionConfig(mode=CompressionMode.FIXED_ACCURACY, tolerance=0).validate(), 503), "sizes": (lambda: dec.Box.of((0, 0), (1, 1, 1)), 25), "axes": (lambda: dec.Box.of((0,), (1,)), 26), "counts": (lambda: dec.Box.of((0, 0), (-1, 1)), 27),
 }
 
 
+def _ended():
+    plan = PlanC2C((4, 4), 1)
+    plan.destroy()
+    return plan
+
+
 @add("call_errors", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {c})" for n, (_, c) in WRONG.items()) + ") t(name, code)")
 def _(spark, sf_dir):
     return spark.createDataFrame([(n, code_of(f)) for n, (f, _) in WRONG.items()], "name string, code int")

@@ -59,14 +59,6 @@ def complex_of(points: DataFrame) -> DataFrame:
     return points.select(*[c for c in points.columns if c != "v"], F.col("v").alias("re"), F.lit(0.0).alias("im"))
 
 
-def read_grid(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def write_grid(points: DataFrame, path: str) -> None:
-    points.write.parquet(path)
-
-
 def collect_ndarray(points: DataFrame, dims) -> np.ndarray:
     """A small grid as an array [z, y, x]."""
     t = points.toPandas()

@@ -20,7 +20,7 @@ def test_split():
     for n in range(1, 30):
         for p in range(1, 9):
             parts = [D.split(n, p, r) for r in range(p)]
-            assert D.prefix_ok([c for _, c in parts], [s for s, _ in parts]) and sum(c for _, c in parts) == n
+            assert [s for s, _ in parts] == [sum(c for _, c in parts[:k]) for k in range(p)] and sum(c for _, c in parts) == n
 
 
 @pytest.mark.parametrize("p", range(1, 9))
