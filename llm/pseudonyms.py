@@ -46,6 +46,11 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = tuple(PATTERNS)
 
 
+def _let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` written and worked out once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _hash(key: str, tweak: Column, x: Column) -> Column:
     """A keyed hash below 2**60."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(key + "|"), tweak, F.lit("|"), x.cast("string"), F.lit("|" + key)), 256), 1, 15), 16, 10).cast("long")
@@ -141,12 +146,12 @@ def _date(m: Column, key: str, back: bool) -> Column:
     move = lambda n, tweak: feistel(n, a, b, key, tweak, back)
     at = lambda n: F.date_add(start, n.cast("int"))
     days = lambda d: F.datediff(d, start).cast("long")
-    plain = at(move(days(first), "date"))
+    plain = _let(at(move(days(first), "date")), lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd/MM/yyyy")))
     # walk the cycle until the day can't be a month; 64 steps fail once in 10 ** 26 dates
-    walked = F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), move(days(month_first), "date-mdy"), lambda n, _: F.when(F.dayofmonth(at(n)) > 12, n).otherwise(move(n, "date-mdy")))
-    other = F.when(F.dayofmonth(at(walked)) > 12, F.date_format(at(walked), "MM/dd/yyyy"))
-    out = F.when(iso, F.date_format(plain, "yyyy-MM-dd")).otherwise(F.date_format(plain, "dd/MM/yyyy"))
-    return F.when(F.year(first).between(*YEARS), out).when(F.year(month_first).between(*YEARS), other)
+    steps = F.sequence(F.lit(1), F.lit(WALK))
+    walked = F.aggregate(steps, days(month_first), lambda n, i: F.when((i > 1) & (F.dayofmonth(at(n)) > 12), n).otherwise(move(n, "date-mdy")))
+    other = _let(at(walked), lambda d: F.when(F.dayofmonth(d) > 12, F.date_format(d, "MM/dd/yyyy")))
+    return F.when(F.year(first).between(*YEARS), plain).when(F.year(month_first).between(*YEARS), other)
 
 
 def _shifted(text: Column, other: Column, key: str, tweak: Column, sign: int) -> Column:
@@ -193,11 +198,13 @@ def pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY, back: bool =
     x = x.withColumn("p_gaps", F.when(F.size("p_found") > 0, F.split(t, ANY, -1)).otherwise(none))
 
     def renamed(m):
-        out = F.struct(F.lit(None).cast("string").alias("k"), m.alias("v"))
-        for k in reversed(KINDS):
-            new = MAKERS[k](m, key, back)
-            out = F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), F.when(new.isNotNull(), F.struct(F.lit(k).alias("k"), new.alias("v"))).otherwise(F.struct(F.lit(None).cast("string").alias("k"), m.alias("v")))).otherwise(out)
-        return out
+        same = F.struct(F.lit(None).cast("string").alias("k"), m.alias("v"))
+        out = F
+        for k in KINDS:
+            kind = F.lit(k).alias("k")
+            named = _let(MAKERS[k](m, key, back), lambda v: F.when(v.isNotNull(), F.struct(kind, v.alias("v"))).otherwise(same))  # noqa: B023
+            out = out.when(m.rlike(f"^(?:{PATTERNS[k]})$"), named)
+        return out.otherwise(same)
 
     x = x.withColumn("p_new", F.transform("p_found", renamed))
     joined = F.array_join(F.zip_with("p_gaps", F.transform("p_new", lambda n: n["v"]), lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
