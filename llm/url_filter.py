@@ -12,8 +12,7 @@ keyed by (walk, host), and every few rounds the state is written to the
 shared folder, replacing the one before. The walk ends when a round moves
 less than ``TOLERANCE`` of all mass; what is still to come is then at most
 damping / (1 - damping) times that. Mass at hosts without edges leaves the
-walk. Hosts with very many links meet theirs by broadcast, as there can only
-be few of them.
+walk. The links of a host with very many are spread over several tasks.
 
 Defined results: a null url or one without ``://`` has an empty host and path
 and, if no rule fits, is allowed; null html has no links; links without a
@@ -36,6 +35,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 DAMPING, TOLERANCE, THRESHOLD, EVERY = 0.85, 1e-4, 0.5, 10
 #: Rounds by which any walk has met the tolerance.
 ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING)) + 1
+SALTS = 16
 RESULT = ("host", "path", "rule", "verdict")
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,19 +80,18 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     out = both.groupBy("walk", "src").agg(F.sum("n").alias("all"), F.count("*").alias("links"))
     out = materialize(out.withColumn("hot", F.col("links") > max(total // share, 16)), "url-hosts")  # at most ``share`` hot ones
     hot_out = F.broadcast(out.where("hot"))
-    part = (F.col("n") / F.col("all") * damping).alias("share")
     split = not out.where("hot").isEmpty()
-    hot = materialize(both.join(hot_out, ["walk", "src"]).select("walk", "src", "dst", part), "url-steps") if split else None
-    cold = both.join(hot_out.select("walk", "src"), ["walk", "src"], "left_anti") if split else both
-    cold = materialize(cold.join(out.where("NOT hot"), ["walk", "src"]).select("walk", "src", "dst", part), "url-steps")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt")
+    steps = both.join(hot_out, ["walk", "src"]).unionByName(both.join(hot_out, ["walk", "src"], "left_anti").join(out.where("NOT hot"), ["walk", "src"])) if split else both.join(out, ["walk", "src"])
+    steps = materialize(steps.select("walk", "src", "dst", salt, (F.col("n") / F.col("all") * damping).alias("share")), "url-steps")
     mass = start.agg(F.sum("score")).first()[0] or 0.0
     now, written, k = start, None, 0
     while True:
         here = now.withColumnRenamed("host", "src")
-        moved = cold.join(here, ["walk", "src"])
-        if split:
-            few = F.broadcast(here.join(hot_out.select("walk", "src"), ["walk", "src"], "left_semi"))  # as few as hot hosts
-            moved = moved.unionByName(hot.join(few, ["walk", "src"]))
+        if split:  # a hot host's score meets its links in several tasks
+            here = here.join(hot_out.select("walk", "src", "hot"), ["walk", "src"], "left")
+            here = here.select("walk", "src", "score", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))).alias("salt"))
+        moved = steps.join(here, ["walk", "src", "salt"] if split else ["walk", "src"])
         after = moved.select("walk", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score")).union(base).groupBy("walk", "host").agg(F.sum("score").alias("score"))
         k += 1
         if k % EVERY:
