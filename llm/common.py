@@ -182,3 +182,13 @@ def text_of(col: str | Column) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as Python workers live on after a
+    step and would keep its peak. Does nothing where the C library can't."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

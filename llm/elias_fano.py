@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
+SLICE = 1 << 18  # values coded at once
 _COUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
 #: Place of the r-th set bit in a byte; by rule, not by hand.
 _PLACE = np.array([([k for k in range(8) if i >> k & 1] + [8] * 8)[:8] for i in range(256)], dtype=np.int64)
@@ -27,23 +28,25 @@ def _in_word(words: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 def encode(values: np.ndarray, universe: int) -> bytes:
     """Nondecreasing ``values`` (each below ``universe``) as bytes."""
-    v = np.asarray(values, dtype=np.uint64)
+    v = np.asarray(values)
     n = len(v)
     low = min(60, max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1))
-    high = (v >> np.uint64(low)).astype(np.int64)
     steps = int(universe - 1 >> low) + 1 if universe > 0 else 1
     bits = np.zeros(-(-(n + steps + 1) // 64) * 64, dtype=np.uint8)
-    bits[high + np.arange(n)] = 1
+    lower = np.zeros(-(-(n * low) // 64) + 1, dtype=np.uint64)
+    for i in range(0, n, SLICE):  # the whole would need several copies
+        part = v[i : i + SLICE].astype(np.uint64)
+        place = np.arange(i, i + len(part), dtype=np.int64)
+        bits[(part >> np.uint64(low)).astype(np.int64) + place] = 1
+        if low:
+            rest = part & np.uint64((1 << low) - 1)
+            at = place.astype(np.uint64) * np.uint64(low)
+            word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            np.bitwise_or.at(lower, word, rest << shift)
+            over = shift + np.uint64(low) > np.uint64(64)
+            np.bitwise_or.at(lower, word[over] + 1, rest[over] >> (np.uint64(64) - shift[over]))
     upper = np.packbits(bits, bitorder="little").view("<u8")
     ones = np.concatenate([[0], np.cumsum(_COUNT[upper.view(np.uint8).reshape(-1, 8)].sum(axis=1))]).astype("<u4")
-    lower = np.zeros(-(-(n * low) // 64) + 1, dtype=np.uint64)
-    if low and n:
-        rest = v & np.uint64((1 << low) - 1)
-        at = np.arange(n, dtype=np.uint64) * np.uint64(low)
-        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        np.bitwise_or.at(lower, word, rest << shift)
-        over = shift + np.uint64(low) > np.uint64(64)
-        np.bitwise_or.at(lower, word[over] + 1, rest[over] >> (np.uint64(64) - shift[over]))
     head = np.array([n, low, steps, len(upper), len(lower)], dtype="<u8")
     pad = b"\0" * (-(4 * len(ones)) % 8)
     return head.tobytes() + upper.tobytes() + ones.tobytes() + pad + lower.astype("<u8").tobytes()

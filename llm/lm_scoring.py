@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ship, text_of
+from .common import give_back, materialize, ship, text_of
 from .elias_fano import EliasFano, encode
 
 #: Folds by crc32 of the id; that which is held out.
@@ -59,6 +59,8 @@ END, BEGIN, HASH_BITS, FIRST_BITS = 1, 2, 56, 40
 ANSWER_BITS = 10
 #: Sizes of a block and a shard; words remembered by a task (of 64 bytes at most).
 BLOCK_TOKENS, SHARD_ENTRIES, CACHE = 1 << 22, 3 << 20, 200_000
+#: Values worked on at once where a whole column would need several copies.
+SLICE = 1 << 18
 RESULT = (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
 
 
@@ -197,8 +199,11 @@ def blocks_of(rows: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
                     yield flush()
                     serial += 1
                     ids, held, sizes, parts, size = [], [], [], [], 0
+                    give_back()
         if parts:
             yield flush()
+        del parts
+        give_back()
 
     return rows.mapInArrow(cut, schema)
 
@@ -222,13 +227,18 @@ class Block:
         train = np.repeat(~np.asarray(held, bool), self.sizes)
         n = np.add.reduceat(train[by].astype(np.int32), at) if len(at) else at
         of = np.empty(len(by), np.int32)
-        of[by] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(by))))  # the trigram of each token
+        new = np.zeros(len(by), np.int32)
+        new[at[1:]] = 1
+        of[by] = np.cumsum(new, dtype=np.int32)  # the trigram of each token
+        del new
         first = by[at]
         del by, train
         self.v, self.u, x = v[first], u[first], w[first]
+        del first, at, v, u
         parts, part = self.split(heavy)
-        shard = shard_of(self.words[self.v], part, shards)
-        deal = np.argsort(shard, kind="stable")
+        shard = shard_of(self.words[self.v], part, shards).astype(np.int32)
+        del part
+        deal = np.argsort(shard, kind="stable").astype(np.int32)
         self.v, self.u, self.x, self.n, self.shard, self.parts = (c[deal] for c in (self.v, self.u, x, n, shard, parts))
         back = np.empty(len(deal), np.int32)
         back[deal] = np.arange(len(deal), dtype=np.int32)
@@ -239,7 +249,7 @@ class Block:
     def split(self, heavy) -> tuple[np.ndarray, np.ndarray]:
         """How many parts each trigram's v has, and which it belongs to."""
         h = self.words[self.v]
-        parts, part = np.ones(len(h), np.int64), np.zeros(len(h), np.uint64)
+        parts, part = np.ones(len(h), np.int32), np.zeros(len(h), np.uint64)
         if len(heavy[0]) and len(h):
             at = np.minimum(np.searchsorted(heavy[0], h), len(heavy[0]) - 1)
             is_heavy = heavy[0][at] == h
@@ -276,9 +286,10 @@ class Block:
             cut = slice(self.edges[s], self.edges[s + 1])
             v, x, u, n = self.v[cut], self.x[cut], self.u[cut], self.n[cut]
             ev, ex, en = (np.concatenate(c) for c in zip(*others[s], strict=True)) if s in others else (none, none, none)
-            used, local = numbered(np.concatenate([v, x, ev, ex]), len(self.words))
-            v, x, ev, ex = np.split(local, np.cumsum([len(v), len(x), len(ev)]))
-            before, u = numbered(u, len(self.words))
+            used, places = numbered(len(self.words), v, x, ev, ex)
+            v, x, ev, ex = (places[c] for c in (v, x, ev, ex))
+            before, places = numbered(len(self.words), u)
+            u = places[u]
             hashes = [np.diff(h, prepend=np.uint64(0)) for h in (self.words[used], first_words(self.words[before]))]
             yield s, joined([squeeze(c) for c in (*hashes, *steps(v, x, u), n.astype(np.uint32), *(c.astype(np.uint32) for c in (ev, ex, en)))])
 
@@ -291,14 +302,25 @@ def shard_of(v: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
     return (scramble(v + part * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(shards)).astype(np.int64)
 
 
-def numbered(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different ``ids`` (below ``size``), and each one's place among them."""
-    if size > 8 * len(ids):
-        used, place = np.unique(ids, return_inverse=True)
-        return used, place.astype(np.int32)
+def numbered(size: int, *ids: np.ndarray) -> tuple[np.ndarray, np.ndarray | Places]:
+    """The different ``ids`` (below ``size``), and what gives each one's place among them."""
+    if size > 8 * sum(map(len, ids)):
+        used = np.unique(np.concatenate(ids))
+        return used, Places(used)
     mark = np.zeros(size, bool)
-    mark[ids] = True
-    return np.flatnonzero(mark), (np.cumsum(mark, dtype=np.int32) - 1)[ids]
+    for c in ids:
+        mark[c] = True
+    return np.flatnonzero(mark), np.cumsum(mark, dtype=np.int32) - 1
+
+
+class Places:
+    """Places by search, where a table by number would be mostly empty."""
+
+    def __init__(self, used: np.ndarray):
+        self.used = used
+
+    def __getitem__(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.used, ids).astype(np.int32)
 
 
 def steps(*columns: np.ndarray):
@@ -360,6 +382,7 @@ def word_facts(blocks: DataFrame, shard_entries: int) -> dict:
 
         for _, rows in grouped(batches):
             yield flush([r[1] for r in rows])
+            give_back()
 
     sent = blocks.select("words", "codes", "held", "sizes").mapInArrow(count, "range long, data binary")
     found = sent.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "w long, words long, n long").collect()  # a row a range, and the words to split
@@ -393,7 +416,11 @@ def quantised(x: np.ndarray, bits: int = 16) -> tuple[np.ndarray, np.ndarray]:
     some = np.isfinite(x)
     lo, hi = (float(x[some].min()), float(x[some].max())) if some.any() else (0.0, 0.0)
     step = (hi - lo) / ((1 << bits) - 2) or 1.0
-    return np.array([lo, step], "<f8"), np.where(some, np.round((np.where(some, x, lo) - lo) / step) + 1, 0).astype("<u2")
+    codes = np.empty(len(x), "<u2")
+    for i in range(0, len(x), SLICE):
+        k = slice(i, i + SLICE)
+        codes[k] = np.where(some[k], np.round((np.where(some[k], x[k], lo) - lo) / step) + 1, 0)
+    return np.array([lo, step], "<f8"), codes
 
 
 def powers(scale: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -404,26 +431,31 @@ def powers(scale: np.ndarray, codes: np.ndarray) -> np.ndarray:
 def merged(messages: list[bytes]) -> bytes:
     """The trie of all training n-grams in ``messages``."""
     words, firsts = (distinct(np.cumsum(unsqueeze(parted(m)[k]), dtype=np.uint64) for m in messages) for k in (0, 1))
-    rows, others = [], []
+    columns: list[list] = [[] for _ in range(7)]
     for m in messages:  # one at a time, as they take several times their size
         p = [unsqueeze(c) for c in parted(m)]
         to, before = (np.searchsorted(all_, np.cumsum(c, dtype=np.uint64)).astype(np.int32) for all_, c in ((words, p[0]), (firsts, p[1])))
         v, x, u = unsteps(*p[2:5])
         some = np.flatnonzero(p[5])
-        rows.append((to[v[some]], to[x[some]], before[u[some]], p[5][some]))
-        others.append((to[p[6]], to[p[7]], p[8]))
-    v, x, u, n = (np.concatenate(c) for c in zip(*rows, strict=True))
-    ev, ex, en = (np.concatenate(c) for c in zip(*others, strict=True))
-    del rows, others
-    used, local = numbered(np.concatenate([v, x, ev, ex]), len(words))
-    v, x, ev, ex = np.split(local, np.cumsum([len(v), len(x), len(ev)]))
-    before, u = numbered(u, len(firsts))
-    by = order_of(v, u, x)
+        for column, c in zip(columns, (to[v[some]], to[x[some]], before[u[some]], p[5][some], to[p[6]], to[p[7]], p[8]), strict=True):
+            column.append(c)
+        del p, to, before, v, x, u, some
+    v, x, u, n, ev, ex, en = (np.concatenate(columns.pop(0)) for _ in range(7))  # each list goes as its column comes
+    used, places = numbered(len(words), v, x, ev, ex)
+    v, x, ev, ex = (places[c] for c in (v, x, ev, ex))
+    before, places = numbered(len(firsts), u)
+    u = places[u]
+    words, firsts = words[used], firsts[before]
+    del used, before, places
+    by = order_of(v, u, x).astype(np.int32)
     at = starts(v[by], u[by], x[by])
     n = np.add.reduceat(n[by].astype(np.int64), at) if len(at) else n.astype(np.int64)
     first = by[at]
-    del by
-    return packed(words[used], firsts[before], v[first], u[first], x[first], n, ev, ex, en.astype(np.int64))
+    del by, at
+    v, u, x = v[first], u[first], x[first]
+    del first
+    give_back()
+    return packed(words, firsts, v, u, x, n, ev, ex, en.astype(np.int64))
 
 
 def distinct(parts) -> np.ndarray:
@@ -440,33 +472,41 @@ def distinct(parts) -> np.ndarray:
 def packed(words, firsts, v, u, x, n, ev, ex, en) -> bytes:
     """A trie from merged triples (sorted by v, u, w) and pairs counted elsewhere."""
     size, before = max(1, len(words)), max(1, len(firsts))
-    v, u, x, ev, ex = (c.astype(np.int64) for c in (v, u, x, ev, ex))  # products of two numbers follow
+    long = lambda c: c.astype(np.int64)  # noqa: E731  # for products of two numbers
+    log = lambda a: np.log10(a) if len(a) else np.zeros(0)
+    levels = [encode(words, 1 << HASH_BITS), encode(firsts, 1 << FIRST_BITS)]
     pv, px, pn = np.concatenate([v, ev]), np.concatenate([x, ex]), np.concatenate([n, en])
-    by = order_of(pv, px, np.zeros(len(pv), np.int64))
+    by = order_of(pv, px, np.zeros(len(pv), np.int32)).astype(np.int32)
     at = starts(pv[by], px[by])
     pn = np.add.reduceat(pn[by], at) if len(at) else pn
-    pv, px = pv[by][at], px[by][at]
+    first = by[at]
+    del by, at
+    pv, px = pv[first], px[first]
+    del first
     root = starts(pv)
     degree = np.diff(np.append(root, len(pv)))
     total = np.add.reduceat(pn, root) if len(root) else pn
     most = int(degree.max()) if len(degree) else 1
-    pair_key = pv * size + px
+    values = [quantised(log((pn - DISCOUNT) / np.repeat(total, degree))), quantised(log(DISCOUNT * degree / total))]
+    del pn
+    pair_key, heads = long(pv) * size + px, pv[root]
+    levels += [encode(heads, size), encode(np.append(0, np.cumsum(total)), int(total.sum()) + 1), encode(np.append(root, len(pv)), len(pv) + 1)]
+    del pv
+    levels.append(encode(np.repeat(np.arange(len(root)), degree) * size + px, max(1, len(root) * size)))
+    del px
     context = starts(v, u)
     degree3 = np.diff(np.append(context, len(v)))
     total3 = np.add.reduceat(n, context) if len(context) else n
-    root_of = np.searchsorted(pv[root], v[context])
-    place = np.searchsorted(pair_key, v * size + x) - np.repeat(root[root_of], degree3)
-    at3 = np.repeat(np.arange(len(context)), degree3)
-    log = lambda a: np.log10(a) if len(a) else np.zeros(0)
-    values = [
-        log((pn - DISCOUNT) / np.repeat(total, degree)), log(DISCOUNT * degree / total), log((n - DISCOUNT) / np.repeat(total3, degree3)), log(DISCOUNT * degree3 / total3),
-    ]
-    levels = [
-        encode(words, 1 << HASH_BITS), encode(firsts, 1 << FIRST_BITS), encode(pv[root], size), encode(np.append(0, np.cumsum(total)), int(total.sum()) + 1),
-        encode(np.append(root, len(pv)), len(pv) + 1), encode(np.repeat(np.arange(len(root)), degree) * size + px, max(1, len(root) * size)),
-        encode(root_of * before + u[context], max(1, len(root) * before)), encode(np.append(context, len(v)), len(v) + 1), encode(at3 * most + place, max(1, len(context) * most)),
-    ]
-    scales, codes = zip(*map(quantised, values), strict=True)
+    values += [quantised(log((n - DISCOUNT) / np.repeat(total3, degree3))), quantised(log(DISCOUNT * degree3 / total3))]
+    del total3
+    root_of = np.searchsorted(heads, v[context])
+    levels += [encode(root_of * before + u[context], max(1, len(root) * before)), encode(np.append(context, len(v)), len(v) + 1)]
+    place = np.searchsorted(pair_key, long(v) * size + x)
+    del pair_key
+    place -= np.repeat(root[root_of], degree3)
+    place += np.repeat(np.arange(len(context)) * most, degree3)
+    levels.append(encode(place, max(1, len(context) * most)))
+    scales, codes = zip(*values, strict=True)
     return b"".join([np.array([size, before, most, *map(len, codes)], "<u8").tobytes(), *levels, *(s.tobytes() for s in scales), *(c.tobytes() + b"\0" * (-2 * len(c) % 8) for c in codes)])
 
 
@@ -562,6 +602,8 @@ def sent_messages(blocks: DataFrame, facts: dict) -> DataFrame:
                         out, size = [], 0
                 if out:
                     yield batch_of(out)
+                del out
+                give_back()
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "block", "data"])
@@ -583,6 +625,7 @@ def at_shards(messages: DataFrame, answers: bool) -> DataFrame:
                 continue
             trie = Trie.mapped(data)
             del data, given
+            give_back()
             for _, block, message in rows:
                 if block is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([block], pa.int64()), pa.array([answered(trie, message)], pa.binary())], names=["shard", "block", "data"])
@@ -617,6 +660,8 @@ def summed(blocks: DataFrame, answers: DataFrame, facts: dict) -> DataFrame:
         add = lambda x: np.add.reduceat(x, b.firsts)
         ids = left.column("ids").combine_chunks().flatten()
         cols = [ids, pa.array(held), pa.array(b.sizes), pa.array(add((seen[b.w] > 0).astype(np.int64))), pa.array(np.full(len(held), total, np.int64)), pa.array(add(np.log10(p1)[b.w])), pa.array(add(p[b.of]))]
+        del b, got, seen, low, high, p1, p
+        give_back()
         return pa.Table.from_arrays(cols, names=schema.names)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
