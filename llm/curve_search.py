@@ -30,6 +30,8 @@ from .common import materialize, ordered_rows, ship, spread_join
 CURVES, DIMS, BITS, AIM, K, SEED = 16, 6, 8, 0.96, 10, 4
 #: Bounded samples: rows to scale the projections, queries to measure the window.
 FIT_ROWS, PROBES, LEAST_WINDOW, MAX_BLOCK = 2000, 64, 32, 4096
+#: Classes that a task holds at once before it sends them on.
+HELD = 20_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -78,12 +80,20 @@ def vector_classes(vectors: DataFrame, vec_id: str, vector: str, k: int, query_e
     rows = rows.where(F.size("v") == width).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).withColumn("print", F.xxhash64("v"))
     keep = k + 1
 
-    def first_ids(batches):  # at most k + 1 rows a class leave a task
+    def first_ids(batches):  # at most k + 1 rows a class and ``HELD`` classes
         import heapq
 
         import pyarrow as pa
 
         seen: dict[int, list] = {}
+
+        def flush():
+            out = [(p, -i, s[0], s[1]) for p, s in seen.items() for i in s[2]]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+            for at in range(0, max(len(out), 1), 10000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10000], t) for c, t in zip(cols, types, strict=True)], names=["print", "vec_id", "v", "asked"])
+
         for batch in batches:
             flat = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, width)
             for i, p, row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), flat, strict=True):
@@ -91,11 +101,10 @@ def vector_classes(vectors: DataFrame, vec_id: str, vector: str, k: int, query_e
                 s[1] |= i % query_every == 0
                 if -i not in s[2]:
                     (heapq.heappush if len(s[2]) < keep else heapq.heappushpop)(s[2], -i)
-        out = [(p, -i, s[0], s[1]) for p, s in seen.items() for i in s[2]]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-        for at in range(0, max(len(out), 1), 10000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10000], t) for c, t in zip(cols, types, strict=True)], names=["print", "vec_id", "v", "asked"])
+            if len(seen) >= HELD:  # classes that come again are sent again; ``merge`` joins them
+                yield from flush()
+                seen.clear()
+        yield from flush()
 
     def merge(batches):  # sorted by class, id: streams, and keeps the first k + 1
         import pyarrow as pa

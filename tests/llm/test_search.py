@@ -56,6 +56,15 @@ def test_odd_rows(spark):
     assert found(spark.createDataFrame(rows[:1], SCHEMA)) == {}
 
 
+def test_few_classes_held(spark, monkeypatch):
+    """Classes that a task sends more than once are one class again."""
+    rows = [(i, [float(1 + i % 7), 1.0, 0.0], "", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    want = found(df)
+    monkeypatch.setattr(C, "HELD", 2)
+    assert found(df) == want == brute(rows)
+
+
 def test_hilbert_is_a_walk():
     """Every cell once, and neighbours on the curve are neighbours in space."""
     for d, bits in ((2, 4), (3, 3)):
