@@ -4,7 +4,9 @@
    distance, and ties go to smaller ids, so ``k`` + 1 of them are enough).
 2. Each of ``curves`` random orthogonal projections to ``dims`` coordinates,
    shifted at random, orders all classes along a Hilbert curve; one range
-   exchange sorts every curve and gives each class its rank there.
+   exchange sorts every curve and gives each class its rank there. Only keys
+   and prints travel there; vectors, in their own precision, are sent once
+   for each curve, to the blocks below.
 3. A query looks at its window of ranks on every curve. The window's half
    width is measured, not guessed: for a bounded sample of queries the true
    neighbours are found by brute force, and the width is that within which
@@ -23,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialize, ordered_rows, ship, spread_join
@@ -68,9 +71,21 @@ def rotations(width: int, dims: int, curves: int, seed: int) -> tuple[list[np.nd
     return [np.linalg.qr(rng.normal(size=(width, min(dims, width))))[0] for _ in range(curves)], rng.random((curves, min(dims, width)))
 
 
+def stored(vectors: DataFrame, vector: str) -> str:
+    """How vectors are kept: in their own precision, so that none is lost."""
+    kind = getattr(vectors.select(vector).schema[0].dataType, "elementType", None)
+    return "<f4" if isinstance(kind, T.FloatType) else "<f8"
+
+
+def matrix(column, kind: str, width: int) -> np.ndarray:
+    """Stored vectors as rows of doubles."""
+    return np.frombuffer(b"".join(column), kind).reshape(-1, width).astype(np.float64)
+
+
 def vector_classes(vectors: DataFrame, vec_id: str, vector: str, k: int, query_every: int) -> tuple[DataFrame, DataFrame, int]:
-    """(classes: print, v (binary doubles), ids, asked), (valid rows: vec_id,
-    print) and the vectors' length."""
+    """(classes: print, v (binary, as ``stored``), ids, asked), (valid rows:
+    vec_id, print) and the vectors' length."""
+    kind = stored(vectors, vector)
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
@@ -97,7 +112,7 @@ def vector_classes(vectors: DataFrame, vec_id: str, vector: str, k: int, query_e
         for batch in batches:
             flat = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, width)
             for i, p, row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), flat, strict=True):
-                s = seen.setdefault(p, [row.tobytes(), False, []])
+                s = seen.setdefault(p, [row.astype(kind).tobytes(), False, []])
                 s[1] |= i % query_every == 0
                 if -i not in s[2]:
                     (heapq.heappush if len(s[2]) < keep else heapq.heappushpop)(s[2], -i)
@@ -145,10 +160,10 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
     spark = vectors.sparkSession
     ship(spark)
     classes, rows, width = vector_classes(vectors, vec_id, vector, k, query_every)
-    total = classes.count()
+    kind, total = stored(vectors, vector), classes.count()
     turn, shift = rotations(width, dims, curves, seed)
     fit = classes.orderBy(F.xxhash64("print")).limit(FIT_ROWS).select("v").collect()
-    sample = np.array([np.frombuffer(r.v, np.float64) for r in fit]).reshape(-1, width)
+    sample = matrix([r.v for r in fit], kind, width)
     middle = [(sample @ t).mean(axis=0) if len(sample) else np.zeros(t.shape[1]) for t in turn]
     spread = [np.maximum((sample @ t).std(axis=0), 1e-12) if len(sample) else np.ones(t.shape[1]) for t in turn]
 
@@ -156,35 +171,37 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                x = np.frombuffer(b"".join(part.column(1).to_pylist()), np.float64).reshape(-1, width)
+                x = matrix(part.column(1).to_pylist(), kind, width)
                 for c in range(curves):
                     y = (x @ turn[c] - middle[c]) / spread[c]
                     cells = np.clip((y + 4 + shift[c]) / 9 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint64)
                     n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(hilbert_keys(cells, BITS)), *part.columns], names=["curve", "key", "print", "v", "ids", "asked"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(hilbert_keys(cells, BITS)), part.column(0), part.column(2)], names=["curve", "key", "print", "asked"])
 
-    placed = classes.mapInArrow(place, "curve int, key long, print long, v binary, ids array<long>, asked boolean")
+    placed = classes.select("print", "v", "asked").mapInArrow(place, "curve int, key long, print long, asked boolean")
     ranked = ordered_rows(placed, ["curve", "key", "print"], "ann-ranks")
     ranked = ranked.withColumn("rank", F.col("row_rank") - F.col("curve") * F.lit(total).cast("long"))  # every curve holds every class
-    half = window(spark, classes, ranked, width, k, aim)
+    half = window(spark, classes, ranked, width, k, aim, kind)
     length = int(min(max(half, 256), MAX_BLOCK))
 
     block = F.floor(F.col("rank") / length)
-    data = ranked.select("curve", block.alias("block"), F.lit(0).alias("kind"), "print", "v", "ids")
+    data = ranked.select("print", "curve", block.alias("block"), F.lit(0).alias("asks"))
     first, last = F.floor(F.greatest(F.col("rank") - half, F.lit(0)) / length), F.floor(F.least(F.col("rank") + half, F.lit(total - 1)) / length)
-    asked = ranked.where("asked").select("curve", F.explode(F.sequence(first, last)).alias("block"), F.lit(1).alias("kind"), "print", "v", F.expr("CAST(array() AS array<long>)").alias("ids"))
-    dealt = data.unionByName(asked).repartition("curve", "block").sortWithinPartitions("curve", "block", "kind")
+    asked = ranked.where("asked").select("print", "curve", F.explode(F.sequence(first, last)).alias("block"), F.lit(1).alias("asks"))
+    # a class has a few places on each curve, so no print is hot
+    spots = data.unionByName(asked).join(classes.select("print", "v", "ids"), "print").select("curve", "block", "asks", "print", "v", "ids")
+    dealt = spots.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks")
     keep = k + 1
 
     def visit(batches):
         def nearest(data, asks):
             if not data or not asks:
                 return
-            x, ids = np.frombuffer(b"".join(d[1] for d in data), np.float64).reshape(-1, width), [d[2] for d in data]
+            x, ids = matrix([d[1] for d in data], kind, width), [d[2] for d in data]
             norm = (x * x).sum(axis=1)
             for at in range(0, len(asks), 256):
                 part = asks[at : at + 256]
-                q = np.frombuffer(b"".join(a[1] for a in part), np.float64).reshape(-1, width)
+                q = matrix([a[1] for a in part], kind, width)
                 near = norm[None] - 2 * (q @ x.T)
                 m = min(keep + 5, len(x))  # a few more than kept: this sum rounds, the next doesn't
                 best = np.argpartition(near, m - 1, axis=1)[:, :m]
@@ -199,11 +216,11 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
 
         key, data, asks = None, [], []
         for batch in batches:
-            for c, b, kind, p, v, i in zip(*(batch.column(n).to_pylist() for n in range(6)), strict=True):
+            for c, b, asking, p, v, i in zip(*(batch.column(n).to_pylist() for n in range(6)), strict=True):
                 if (c, b) != key:
                     yield from nearest(data, asks)
                     key, data, asks = (c, b), [], []
-                (asks if kind else data).append((p, v, i))
+                (asks if asking else data).append((p, v, i))
                 if len(asks) >= 1024:
                     yield from nearest(data, asks)
                     asks = []
@@ -219,20 +236,20 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
     return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def window(spark, classes: DataFrame, ranked: DataFrame, width: int, k: int, aim: float) -> int:
+def window(spark, classes: DataFrame, ranked: DataFrame, width: int, k: int, aim: float, kind: str) -> int:
     """Half width of the rank windows, from ``PROBES`` sampled queries."""
     import pyarrow as pa
 
     probes = classes.orderBy(F.xxhash64("print", F.lit(1))).limit(PROBES).select("print", "v").collect()
     if len(probes) < 2:
         return LEAST_WINDOW
-    prints, q = np.array([r.print for r in probes]), np.array([np.frombuffer(r.v, np.float64) for r in probes])
+    prints, q = np.array([r.print for r in probes]), matrix([r.v for r in probes], kind, width)
 
     def truth(batches):  # each task returns k + 1 rows a probe
         best = [[] for _ in prints]
         for batch in batches:
             p = batch.column(0).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, width)
+            x = matrix(batch.column(1).to_pylist(), kind, width)
             near = (x * x).sum(axis=1)[None] - 2 * (q @ x.T)
             m = min(k + 1, len(x))
             top = np.argpartition(near, m - 1, axis=1)[:, :m]
