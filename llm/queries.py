@@ -13,6 +13,7 @@ from . import mixing, packing
 from . import pseudonyms as pii
 from . import quality_rules as quality
 from . import secret_scan as secrets
+from . import simhash
 from . import url_filter as urls
 from .common import materialize, read_table
 
@@ -217,3 +218,9 @@ FROM d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id
 
 
 SQL["op5_secret_scan"] = _secret_sql()
+
+
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
