@@ -1,11 +1,12 @@
 """Block codecs for exchanges.
 
-Lossless is zlib on byte planes; fixed precision and fixed accuracy quantise
-first. Fixed rate gives every value the same number of bits behind an exponent
-shared by a group, so a block's size follows from its count of values alone.
-The lossy modes keep the bounds their settings state, not the bit patterns of
-any other codec. A block that would not shrink is stored as it is, so none
-grows by more than its mark of one byte.
+Lossless is zlib on byte planes. The lossy modes are the block codec's: a
+fixed rate (the size follows from the shape alone), a precision in bit planes
+of a block, or a tolerance that no value's error exceeds. They keep the bounds
+their settings state, not the bit patterns of any other codec. Values that are
+not finite, and tolerances too fine for the block codec, go the lossless way.
+A block that would not shrink is stored as it is, so none grows by more than
+its mark of one byte.
 """
 
 from __future__ import annotations
@@ -17,77 +18,56 @@ import numpy as np
 from ..config import CompressionConfig
 from ..enums import CompressionMode
 from ..errors import ErrorCode, check
+from . import block_codec
 
-RAW, PLANES, RATE = 0, 1, 2
-#: Values that share an exponent of 16 bits.
-GROUP = 256
+RAW, PLANES, RATE, BLOCKS = 0, 1, 2, 3
 
 
-def _real(a: np.ndarray) -> np.ndarray:
+def _fields(a: np.ndarray) -> np.ndarray:
     """A complex array is two fields of reals."""
-    return np.stack([a.real, a.imag]) if np.iscomplexobj(a) else a
+    return np.stack([a.real, a.imag]) if np.iscomplexobj(a) else a[None]
 
 
-def _truncated(x: np.ndarray, keep: int) -> np.ndarray:
-    """Mantissas rounded to ``keep`` bits."""
-    m, e = np.frexp(x)
-    return np.ldexp(np.round(m * 2.0**keep) / 2.0**keep, e).astype(x.dtype)
+def fixed_size(shape: tuple[int, ...], rate: float, fields: int = 1) -> int:
+    """Bytes of an array of ``shape`` at a fixed rate."""
+    blocks, d = fields * int(np.prod([-(-n // 4) for n in shape])), len(shape)
+    return 9 + 2 * blocks + -(-blocks * (block_codec.block_bits(rate, d) - block_codec.EXPONENT_BITS) // 8)
 
 
-def value_bits(rate: float) -> int:
-    """Whole bits of a value at ``rate`` bits a value, its share of the exponent taken off."""
-    return max(1, int(rate - 16 / GROUP))
-
-
-def _fixed_rate(x: np.ndarray, bits: int) -> bytes:
-    """A value is kept to within 2 ** (e - bits + 1), e the group's exponent."""
-    v = np.zeros(-(-x.size // GROUP) * GROUP)
-    v[: x.size] = x.reshape(-1)
-    v = v.reshape(-1, GROUP)
-    e = np.frexp(np.abs(v).max(axis=1, initial=0.0))[1]
-    half = 1 << bits - 1
-    m = np.clip(np.round(np.ldexp(v, (bits - 1 - e)[:, None])), -half, half - 1).reshape(-1)[: x.size].astype(np.int64) + half
-    packed = np.packbits(((m[:, None] >> np.arange(bits)) & 1).astype(np.uint8))
-    return bytes([RATE, bits]) + e.astype("<i2").tobytes() + packed.tobytes()
-
-
-def _from_rate(data: bytes, n: int, kind: np.dtype) -> np.ndarray:
-    bits, groups = data[1], -(-n // GROUP)
-    e = np.frombuffer(data, "<i2", groups, 2).astype(np.int64)
-    packed = np.unpackbits(np.frombuffer(data, np.uint8, offset=2 + 2 * groups), count=n * bits).reshape(n, bits)
-    m = (packed.astype(np.int64) << np.arange(bits)).sum(axis=1) - (1 << bits - 1)
-    return np.ldexp(m.astype(np.float64), np.repeat(e - bits + 1, GROUP)[:n]).astype(kind)
+def _lossy(x: np.ndarray, config: CompressionConfig) -> bytes | None:
+    if config.mode == CompressionMode.LOSSLESS or not np.isfinite(x).all():
+        return None
+    if config.mode == CompressionMode.FIXED_RATE:
+        return bytes([RATE]) + np.float64(config.rate).tobytes() + block_codec.encode(x, rate=config.rate)
+    given = {"precision": config.precision} if config.mode == CompressionMode.FIXED_PRECISION else {"tolerance": config.tolerance - (np.spacing(np.float32(np.abs(x).max(initial=0))) if x.itemsize == 4 else 0)}
+    data = block_codec.encode(x, **given)
+    return None if data is None else bytes([BLOCKS]) + data
 
 
 def compress(a: np.ndarray, config: CompressionConfig) -> bytes:
-    x = np.ascontiguousarray(_real(a))
+    x = np.ascontiguousarray(_fields(a))
     config.validate(8 * x.itemsize)
     raw = x.tobytes()
-    if config.mode == CompressionMode.FIXED_RATE and np.isfinite(x).all():
-        data = _fixed_rate(x, value_bits(config.rate))
-    else:
-        if config.mode == CompressionMode.FIXED_ACCURACY:
-            x = (np.round(x / (2 * config.tolerance)) * (2 * config.tolerance)).astype(x.dtype)
-        elif config.mode == CompressionMode.FIXED_PRECISION:
-            x = _truncated(x, config.precision)
-        # bytes of equal weight together compress better
+    data = _lossy(x, config) if x.size else None
+    if data is None:  # bytes of equal weight together compress better
         planes = x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T
         data = bytes([PLANES]) + zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
     return data if len(data) <= len(raw) else bytes([RAW]) + raw
 
 
-def decompress(data: bytes, dtype: np.dtype, shape: tuple[int, ...]) -> np.ndarray:
+def decompress(data: bytes, dtype: np.dtype, shape: tuple[int, ...], axes: tuple[int, ...] | None = None) -> np.ndarray:
+    """The array of ``shape`` that was given to ``compress``; with ``axes`` its
+    axes in that order, into which blocks are decoded straight away."""
     dtype = np.dtype(dtype)
-    real = np.dtype(f"f{dtype.itemsize // 2}") if dtype.kind == "c" else dtype
-    n = int(np.prod(shape)) * (2 if dtype.kind == "c" else 1)
-    if data[0] == RATE:
-        x = _from_rate(data, n, real)
-    elif data[0] == RAW:
-        x = np.frombuffer(data, real, offset=1)
+    fields = 2 if dtype.kind == "c" else 1
+    real = np.dtype(f"f{dtype.itemsize // fields}")
+    order = axes or tuple(range(len(shape)))
+    if data[0] in (RATE, BLOCKS):
+        rate = float(np.frombuffer(data, np.float64, 1, 1)[0]) if data[0] == RATE else None
+        x = block_codec.decode(data[9 if data[0] == RATE else 1 :], (fields, *shape), rate, order).astype(real)
     else:
-        x = np.ascontiguousarray(np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(real.itemsize, -1).T).view(real).reshape(-1)
-    check(x.size == n, ErrorCode.COMPRESSION_NOT_USED, "a block of another size")
-    if dtype.kind == "c":
-        half = x.size // 2
-        return (x[:half] + 1j * x[half:]).astype(dtype).reshape(shape)
-    return x.reshape(shape)
+        raw = data[1:] if data[0] == RAW else np.ascontiguousarray(np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(real.itemsize, -1).T).tobytes()
+        x = np.frombuffer(raw, real)
+        check(x.size == fields * int(np.prod(shape)), ErrorCode.COMPRESSION_NOT_USED, "a block of another size")
+        x = x.reshape(fields, *shape).transpose(0, *(1 + a for a in order))
+    return (x[0] + 1j * x[1]).astype(dtype) if fields == 2 else np.ascontiguousarray(x[0])

@@ -3,16 +3,12 @@
 Points ``(x, y[, z], values)`` become *boxes*, a row a rank: ``rank, layout,
 starts, counts, data`` with the values in the layout's memory order. A box is
 as large as the grid divided by the ranks, so ranks are chosen for boxes that
-fit a task. Two exchanges make the same values:
-
-* block: each box is cut into the pieces its new owners need (packed bytes,
-  optionally compressed), the pieces go to their owner's partition, and are
-  put in place as they arrive; one shuffle of as many rows as there are
-  overlapping pairs of boxes. A box is permuted whole before it is cut, or
-  (fused) piece by piece, which needs no second copy of it; pieces leave in
-  the order of ranks, or (scheduled) of a round robin in which every rank has
-  one partner a round;
-* key: boxes fall back into points that are hashed to their new rank.
+fit a task. Each box is cut into the pieces its new owners need (packed bytes,
+optionally compressed), the pieces go to their owner's partition, and are put
+in place as they arrive; one shuffle of as many rows as there are overlapping
+pairs of boxes. A box is permuted whole before it is cut, or (fused) piece by
+piece, which needs no second copy of it. The exchange without packing works
+on rows of lines (``lines``).
 
 Whatever runs on a box before or after (a transform) joins the same task.
 """
@@ -22,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +26,13 @@ from ..config import CompressionConfig
 from ..enums import Layout, TransposeMode
 from ..errors import ErrorCode, GridError
 from ..functions import compression as codec
-from ..plans.decomposition import Box, order_of, partners
+from ..plans.decomposition import Box, order_of
+from ..plans.layouts import CutTree
 from ..ship import ship
 
 AXES = ("x", "y", "z")
 BOXES = "rank int, layout int, starts array<int>, counts array<int>, data binary"
-PIECES = "dest int, starts array<int>, counts array<int>, data binary"
+PIECES = "dest int, starts array<int>, counts array<int>, data binary, raw long, sent long"
 CHUNK = 65536
 Work = Callable[[np.ndarray, int], np.ndarray]
 
@@ -73,7 +70,8 @@ def from_memory(data, counts: Sequence[int], order: Sequence[int], dtype) -> np.
 
 
 def owner_column(boxes: Sequence[Box]):
-    """Rank of a point, by arithmetic on the distinct cuts of each axis."""
+    """Rank of a point: by arithmetic on the distinct cuts of each axis if the
+    boxes are their product, else down a tree of cuts."""
     n = len(boxes[0].starts)
     full = [(r, b) for r, b in enumerate(boxes) if b.size]
     cuts = [sorted({b.starts[a] for _, b in full}) for a in range(n)]
@@ -91,13 +89,7 @@ def owner_column(boxes: Sequence[Box]):
             place[key] = r
         table = [place[k] for k in range(len(full))]
         return F.get(F.array(*[F.lit(r) for r in table]), index.cast("int")) if table != list(range(len(table))) else index.cast("int")
-    out = F.lit(None).cast("int")
-    for r, b in full:
-        inside = F.lit(True)
-        for a in range(n):
-            inside = inside & (F.col(AXES[a]) >= b.starts[a]) & (F.col(AXES[a]) < b.starts[a] + b.counts[a])
-        out = F.when(inside, F.lit(r)).otherwise(out)
-    return out
+    return CutTree(boxes).rank(AXES[:n])
 
 
 def scatter(points: DataFrame, boxes: Sequence[Box], layout: Layout, dtype: np.dtype, work: Work | None = None) -> DataFrame:
@@ -179,18 +171,17 @@ def gather(held: DataFrame, n: int, dtype: np.dtype, work: Work | None = None, o
 
 def redistribute(
     held: DataFrame, source: Layout, target: Layout, boxes: Sequence[Box], dtype_in: np.dtype, dtype_out: np.dtype | None = None, before: Work | None = None, after: Work | None = None,
-    mode: TransposeMode = TransposeMode.PACK, compression: CompressionConfig | None = None, exchange: str = "block", fused: bool = False, scheduled: bool = False, sizes: bool = False,
+    mode: TransposeMode = TransposeMode.PACK, compression: CompressionConfig | None = None, fused: bool = False, observed: Observation | None = None,
 ) -> DataFrame:
     """Boxes in ``source`` to ``boxes`` in ``target``. ``before`` runs on a box
     ahead of packing (its result is of ``dtype_out``), ``after`` on the new one.
-    With ``sizes`` nothing moves: rank, dest, raw_bytes and sent_bytes of each
-    piece come back."""
+    ``observed`` takes the bytes of each rank's pieces, raw and as sent, on the
+    pieces of this exchange itself: once its job has run it holds ``raw``,
+    ``sent`` and the ranks' lowest, highest and mean rate."""
     ship(held.sparkSession)
     n = len(boxes[0].starts)
     dtype_out = np.dtype(dtype_out or dtype_in)
     order_in, order_out = order_of(source, n), order_of(target, n)
-    if exchange == "key" and not sizes:
-        return scatter(gather(held, n, dtype_out, None) if before is None else gather(apply(held, n, dtype_in, before), n, dtype_out), boxes, target, dtype_out, after)
     starts = np.array([b.starts for b in boxes])
     ends = starts + np.array([b.counts for b in boxes])
 
@@ -203,9 +194,7 @@ def redistribute(
                 order = order_out if mode == TransposeMode.PACK else order_in
                 whole = None if fused else to_memory(a, order)
                 needed = np.flatnonzero(((starts < hi) & (ends > lo)).all(axis=1) & (ends > starts).all(axis=1)).tolist()
-                if scheduled:
-                    of = set(needed)
-                    needed = [d for d in (row["rank"], *partners(row["rank"], len(boxes))) if d in of]
+                raw = sent = 0
                 for d in needed:
                     s, e = np.maximum(lo, starts[d]), np.minimum(hi, ends[d])
                     cut = [slice(s[x] - lo[x], e[x] - lo[x]) for x in range(n)]
@@ -214,10 +203,9 @@ def redistribute(
                     else:
                         part = np.ascontiguousarray(whole[tuple(cut[x] for x in reversed(order))])
                     data = codec.compress(part, compression) if compression else part.tobytes()
-                    if sizes:
-                        yield _arrow([(row["rank"], d, part.nbytes, len(data))], ("rank", "dest", "raw_bytes", "sent_bytes"), [_kinds(True)[0], _kinds(True)[0], "int64", "int64"])
-                        continue
-                    yield _arrow([(int(d), s.tolist(), (e - s).tolist(), data)], ("dest", "starts", "counts", "data"), _kinds(True))
+                    raw, sent = raw + part.nbytes, sent + len(data)
+                    told = (raw, sent) if d == needed[-1] else (None, None)  # a rank's sums, once
+                    yield _arrow([(int(d), s.tolist(), (e - s).tolist(), data, *told)], ("dest", "starts", "counts", "data", "raw", "sent"), [*_kinds(True), "int64", "int64"])
 
     def unpack(batches):
         new: dict[int, list] = {}
@@ -228,9 +216,10 @@ def redistribute(
                 b = boxes[d]
                 if d not in new:
                     new[d] = [np.empty(tuple(reversed(b.counts)), dtype_out), 0]
-                shape = tuple(row["counts"][a] for a in reversed(order))
-                data = codec.decompress(row["data"], dtype_out, shape) if compression else row["data"]
-                part = from_memory(np.ascontiguousarray(data).tobytes() if compression else data, row["counts"], order, dtype_out)
+                if compression:  # decoded straight into [z, y, x]
+                    part = codec.decompress(row["data"], dtype_out, tuple(row["counts"][a] for a in reversed(order)), tuple(np.argsort(_memory(order)).tolist()))
+                else:
+                    part = from_memory(row["data"], row["counts"], order, dtype_out)
                 new[d][0][tuple(slice(row["starts"][a] - b.starts[a], row["starts"][a] - b.starts[a] + row["counts"][a]) for a in reversed(range(n)))] = part
                 new[d][1] += part.size
         for d in sorted(new):
@@ -240,9 +229,11 @@ def redistribute(
             out = after(a, d) if after else a
             yield _arrow([(d, int(target), list(boxes[d].starts), list(reversed(out.shape)), to_memory(out, order_out).tobytes())], ("rank", "layout", "starts", "counts", "data"), _kinds(False))
 
-    if sizes:
-        return held.mapInArrow(pack, "rank int, dest int, raw_bytes long, sent_bytes long")
     pieces = held.mapInArrow(pack, PIECES)
+    if observed is not None:
+        rate = F.col("raw") / F.col("sent")
+        pieces = pieces.observe(observed, F.sum("raw").alias("raw"), F.sum("sent").alias("sent"), F.min(rate).alias("lowest"), F.max(rate).alias("highest"), F.avg(rate).alias("mean"))
+    pieces = pieces.drop("raw", "sent")
     return pieces.repartitionById(len(boxes), F.col("dest")).mapInArrow(unpack, BOXES)
 
 

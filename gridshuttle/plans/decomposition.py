@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from math import prod
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..enums import Layout
 from ..errors import ErrorCode, check
@@ -265,32 +264,7 @@ def layout_frame(spark: SparkSession, boxes: Sequence[Box], layout: Layout) -> D
     return spark.createDataFrame([(r, int(layout), list(b.starts), list(b.counts), b.size) for r, b in enumerate(boxes)], LAYOUT_SCHEMA)
 
 
-def overlaps(layout: DataFrame) -> DataFrame:
-    """Pairs of ranks whose boxes share a point (an empty box shares none)."""
-    a, b = layout.alias("a"), layout.alias("b")
-    meets = F.forall(F.sequence(F.lit(0), F.size("a.starts") - 1), lambda d: (F.get("a.starts", d) < F.get("b.starts", d) + F.get("b.counts", d)) & (F.get("b.starts", d) < F.get("a.starts", d) + F.get("a.counts", d)))
-    return a.join(b, (F.col("a.rank") < F.col("b.rank")) & (F.col("a.size") > 0) & (F.col("b.size") > 0) & meets).select(F.col("a.rank").alias("rank_a"), F.col("b.rank").alias("rank_b"))
-
-
-def schedule(parts: int) -> list[tuple[int, int, int]]:
-    """(round, rank, partner): a round robin in which every pair meets once
-    and every rank is busy with one partner a round."""
-    n = parts + parts % 2
-    out = []
-    for k in range(n - 1):
-        ring = [0, *[(i + k) % (n - 1) + 1 for i in range(n - 1)]]
-        for i in range(n // 2):
-            a, b = ring[i], ring[n - 1 - i]
-            if max(a, b) < parts:
-                out += [(k, a, b), (k, b, a)]
-    return sorted(out)
-
-
-def partners(rank: int, parts: int) -> list[int]:
-    """The partner of each round of ``schedule`` (a rank without one in a round skips it)."""
-    n = parts + parts % 2
-    out = []
-    for k in range(n - 1):
-        place = n - 1 - ((rank - 1 - k) % (n - 1) + 1) if rank else n - 1
-        out.append(0 if place == 0 else (place - 1 + k) % (n - 1) + 1)
-    return [p for p in out if p < parts and p != rank]
+def is_product(boxes: Sequence[Box]) -> bool:
+    """Whether the boxes are all combinations of one set of cuts an axis."""
+    full = [b for b in boxes if b.size]
+    return prod(len({(b.starts[a], b.counts[a]) for b in full}) for a in range(len(full[0].starts))) == len(full) == len(boxes)

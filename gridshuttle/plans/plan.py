@@ -2,36 +2,39 @@
 
 A plan is made on the driver from sizes alone; what it returns are lazy
 DataFrames. ``execute`` takes and returns points; ``transpose`` and
-``reshape`` take and return boxes (``scatter`` and ``gather`` convert).
-Nothing is scaled. One shuffle a step; slab plans save one.
+``reshape`` take and return what ``scatter`` makes and ``gather`` takes: rows
+of lines with the default backend, packed boxes with the others. Nothing is
+scaled. One shuffle a step; slab plans save one.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from concurrent.futures import Future, ThreadPoolExecutor
 from math import prod
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..enums import COMPRESSED, CUFFTMP_FAMILY, FUSED, MPI_FAMILY, NCCL_FAMILY, PIPELINED, RMA, Backend, CompressionMode, Effort, Execute, Executor, Layout, Platform, Precision, R2RKind, Reshape, Transpose, TransposeMode
 from ..errors import ErrorCode, GridError, check
-from ..functions import sql_dft
+from ..functions import array_fft
 from ..functions import transforms as tf
 from ..operators import exchange as ex
-from .decomposition import Box, default_grid, fourier_bricks, is_distributed, layout_frame, pencil_boxes, pencils_from_bricks, pencils_from_pencils, slab_use, validate_boxes
+from ..operators import lines
+from .decomposition import Box, default_grid, fourier_bricks, is_distributed, is_product, layout_frame, pencil_boxes, pencils_from_bricks, pencils_from_pencils, slab_use, validate_boxes
+from .layouts import boxes_of, checked
+from .physical import described
+from .requests import Request
 
 L = Layout
 STEPS = {
     Transpose.X_TO_Y: (L.X_PENCILS, L.Y_PENCILS), Transpose.Y_TO_X: (L.Y_PENCILS, L.X_PENCILS), Transpose.Y_TO_Z: (L.Y_PENCILS, L.Z_PENCILS),
     Transpose.Z_TO_Y: (L.Z_PENCILS, L.Y_PENCILS), Transpose.X_TO_Z: (L.X_PENCILS, L.Z_PENCILS), Transpose.Z_TO_X: (L.Z_PENCILS, L.X_PENCILS),
 }
-_POOL = ThreadPoolExecutor(4, thread_name_prefix="gridshuttle")
 
 
 class Timing(NamedTuple):
@@ -43,20 +46,22 @@ class Timing(NamedTuple):
     mean: float
 
 
-class Request:
-    """A started exchange; an int names it."""
+class Rates:
+    """Compression rates of one exchange, from the job that runs it."""
 
-    _next = 0
+    def __init__(self, name: str):
+        self.name, self.observed, self._plan = name, Observation(), None
 
-    def __init__(self, kind: str, future: Future):
-        Request._next += 1
-        self.handle, self.kind, self._future = Request._next, kind, future
+    def of(self, plan: Plan) -> None:
+        self._plan = plan
 
-    def __int__(self) -> int:
-        return self.handle
-
-    def __repr__(self) -> str:
-        return f"Request(handle={self.handle}, kind={self.kind!r}, done={self._future.done()})"
+    def get(self) -> dict:
+        """``raw`` and ``sent`` bytes and the ranks' ``lowest``, ``highest`` and
+        ``mean`` rate; waits for the job. The plan's ``report`` tells of them
+        from then on."""
+        found = self.observed.get
+        self._plan.rates.append((self.name, found["lowest"], found["highest"], found["mean"]))
+        return found
 
 
 class Plan:
@@ -65,11 +70,14 @@ class Plan:
     real = False  # values are real before the first transform
 
     def __init__(
-        self, dims: Sequence[int] | None = None, parts: int | None = None, *, boxes: Sequence[Box] | None = None, grid: Sequence[int] | None = None, precision: int = Precision.DOUBLE,
+        self, dims: Sequence[int] | None = None, parts: int | None = None, *, boxes: Sequence[Box] | DataFrame | None = None, grid: Sequence[int] | None = None, precision: int = Precision.DOUBLE,
         effort: int = Effort.ESTIMATE, executor: int = Executor.NONE, config: Config | None = None, spark: SparkSession | None = None,
     ):
         self.config = (config or Config.load(spark)).validate()
-        if boxes is not None:
+        if isinstance(boxes, DataFrame):  # a layout table, checked where it lies
+            dims, boxes = checked(boxes), boxes_of(boxes)
+            parts = len(boxes)
+        elif boxes is not None:
             dims = validate_boxes(boxes)
             parts = len(boxes)
         check(dims is not None and len(dims) in (2, 3), ErrorCode.INVALID_N_DIMENSIONS)
@@ -99,7 +107,7 @@ class Plan:
         self.timings: list[Timing] = []
         self.rates: list[tuple[str, float, float, float]] = []
         self.directions: dict[tuple[Layout, Layout], Backend] = {}
-        self._held: list[DataFrame] = []
+        self._ended: list[Request] = []
         if effort > Effort.ESTIMATE:
             spark = spark or SparkSession.getActiveSession()
             check(spark is not None, ErrorCode.INVALID_EFFORT, "trials need a session")
@@ -117,7 +125,11 @@ class Plan:
             check(len(grid) == n, ErrorCode.INVALID_COMM_DIMS)
             check(grid[0] == 1, ErrorCode.INVALID_COMM_FAST_DIM)
             check(prod(grid) == self.parts, ErrorCode.INVALID_CART_COMM)
-        if self._user_boxes is not None:
+        if self._user_boxes is not None and not is_product(self._user_boxes):
+            # any other tiling: pencils of their own, met by a reshape
+            self.grid, self.z_slab_enabled, self.y_slab_enabled = default_grid(self.dims, self.parts, self.config.enable_z_slab, self.config.enable_y_slab)
+            self._first, self.reshape_enabled = None, True
+        elif self._user_boxes is not None:
             first = pencils_from_bricks(self._user_boxes) if self.reshape_enabled else self._user_boxes
             ys, zs = len({b.starts[1] for b in first}), len({b.starts[-1] for b in first})
             self.grid = (1, zs) if n == 2 else (1, ys, zs)
@@ -132,7 +144,7 @@ class Plan:
             self._first = None
         self._boxes: dict[Layout, list[Box]] = {}
         self.fourier_reshape = False
-        if self.reshape_enabled and self.config.enable_fourier_reshape and not self.z_slab_enabled:
+        if self.reshape_enabled and self._first is not None and self.config.enable_fourier_reshape and not self.z_slab_enabled:
             along = len({b.starts[-1] for b in self._user_boxes})
             if along > 1 and self.last_layout == (L.Y_PENCILS if n == 2 else L.Z_PENCILS):
                 self._boxes[L.Z_BRICKS] = fourier_bricks(self.boxes(self.last_layout), along)
@@ -241,23 +253,27 @@ class Plan:
     def platform(self) -> Platform:
         return self.config.platform
 
-    def report(self) -> str:
-        lines = [
+    def report(self, done: DataFrame | None = None) -> str:
+        """The plan in words; with a result of it, which is run for that, also
+        what Spark did: exchanges, bytes, spills."""
+        out = [
             f"{type(self).__name__} of {' x '.join(map(str, self.dims))}, {self.precision.name.lower()} precision",
             f"grid {' x '.join(map(str, self.grid))}, z-slab {self.z_slab_enabled}, y-slab {self.y_slab_enabled}",
             f"executor {self.executor.name}, effort {self.effort.name}, backend {self.backend.name}, transpose mode {self.transpose_mode.name}",
         ]
         if self.reshape_enabled:
-            lines.append(f"reshape backend {self.reshape_backend.name}, spectral bricks {self.fourier_reshape}")
-        lines += [f"{b.name} for {s.name} to {t.name}" for (s, t), b in self.directions.items()]
-        lines += [f"{t.name}: longest {t.longest:.3f} s, shortest {t.shortest:.3f} s, mean {t.mean:.3f} s" for t in self.timings]
-        lines += [f"compression of {name}: from {lo:.2f} to {hi:.2f}, mean {mean:.2f}" for name, lo, hi, mean in self.rates]
-        return "\n".join(lines)
+            out.append(f"reshape backend {self.reshape_backend.name}, spectral bricks {self.fourier_reshape}")
+        out += [f"{b.name} for {s.name} to {t.name}" for (s, t), b in self.directions.items()]
+        out += [f"{t.name}: longest {t.longest:.3f} s, shortest {t.shortest:.3f} s, mean {t.mean:.3f} s" for t in self.timings]
+        out += [f"compression of {name}: from {lo:.2f} to {hi:.2f}, mean {mean:.2f}" for name, lo, hi, mean in self.rates]
+        return "\n".join(out + ([described(done)] if done is not None else []))
 
     def destroy(self) -> None:
-        """Ends the plan and frees what its requests hold."""
-        while self._held:
-            self._held.pop().unpersist()
+        """Ends the plan, cancels what still runs and deletes what its requests wrote."""
+        while self._active:
+            self._active.popitem()[1].cancel()
+        while self._ended:
+            self._ended.pop().free()
         self._alive = False
 
     def _check_alive(self) -> None:
@@ -265,54 +281,66 @@ class Plan:
 
     # --- exchanges
 
-    def _how(self, backend: Backend, reshape: bool = False) -> dict:
+    def _how(self, backend: Backend, reshape: bool = False) -> dict | None:
+        """Options of the block exchange; none for lines."""
         config = self.config.reshape_compression if reshape else self.config.compression
         if backend == Backend.ADAPTIVE:
             backend = Backend.MPI_P2P
-        if backend == Backend.MPI_DATATYPE:
-            return {"exchange": "key"}
-        return {
-            "exchange": "block", "mode": self.transpose_mode, "compression": config if backend in COMPRESSED else None, "fused": backend in FUSED,
-            "scheduled": backend == Backend.MPI_P2P_SCHEDULED or backend in FUSED,
-        }
+        return None if backend == Backend.MPI_DATATYPE else {"mode": self.transpose_mode, "compression": config if backend in COMPRESSED else None, "fused": backend in FUSED}
 
     def _between(self, source: Layout, target: Layout) -> Backend:
         """The backend of a direction."""
         same = lambda k: L.X_PENCILS if k == L.X_PENCILS_FOURIER else k
         return self.directions.get((same(source), same(target)), self.backend)
 
-    def compression_rates(self, held: DataFrame, kind: Transpose | Reshape, name: str | None = None) -> DataFrame:
-        """rank, raw_bytes, sent_bytes, rate (raw / sent) of the pieces that an
-        exchange of ``held`` sends; with ``name``, ``report`` tells of them."""
-        self._check_alive()
-        reshape = kind not in set(Transpose)
-        source, target = self._ends(kind) if not reshape else self._reshape_ends(kind)
-        config = self.config.reshape_compression if reshape else self.config.compression
-        out = ex.redistribute(held, source, target, self.boxes(target), self.dtype_of(source), self.dtype_of(source), mode=self.transpose_mode, compression=config, sizes=True)
-        rates = out.groupBy("rank").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("sent_bytes").alias("sent_bytes"))
-        rates = rates.withColumn("rate", F.col("raw_bytes") / F.col("sent_bytes"))
-        if name:
-            lo, hi, mean = rates.agg(F.min("rate"), F.max("rate"), F.avg("rate")).first()
-            self.rates.append((name, lo, hi, mean))
-        return rates
+    @property
+    def moves_lines(self) -> bool:
+        """Whether grids are held as rows of lines, not as boxes."""
+        return self.backend == Backend.MPI_DATATYPE and not self.directions
+
+    def dims_of(self, layout: Layout) -> tuple[int, ...]:
+        return self.dims if layout in (L.X_PENCILS, L.X_BRICKS) else self.spectral_dims
+
+    def _kind(self, layout: Layout) -> str:
+        return "float" if self.precision == Precision.SINGLE else "double"
+
+    def _lines(self, points: DataFrame, layout: Layout, inner: tuple[int, ...] | None = None) -> DataFrame:
+        return lines.from_points(points, self.dims_of(layout), inner or lines.inner_of(layout, self.ndims), self.boxes(layout), self._kind(layout))
 
     def scatter(self, points: DataFrame, layout: Layout) -> DataFrame:
         self._check_alive()
-        return ex.scatter(points, self.boxes(layout), layout, self.dtype_of(layout))
+        return self._lines(points, layout) if self.moves_lines else ex.scatter(points, self.boxes(layout), layout, self.dtype_of(layout))
 
     def gather(self, held: DataFrame, layout: Layout) -> DataFrame:
+        if lines.is_lines(held):
+            return lines.to_points(held, self.dims_of(layout), lines.inner_of(layout, self.ndims))
         return ex.gather(held, self.ndims, self.dtype_of(layout))
 
     def placement(self, held: DataFrame, layout: Layout) -> DataFrame:
         """Points with the rank that holds them and their place in its memory."""
+        if lines.is_lines(held):
+            return lines.placement(held, self.dims_of(layout), lines.inner_of(layout, self.ndims), self.boxes(layout), layout)
         return ex.gather(held, self.ndims, self.dtype_of(layout), offsets=True)
 
-    def _move(self, held, source, target, before=None, after=None, backend=None, reshape=False):
-        first = self.dtype_of(source)
-        out = self.dtype_of(target)
-        if source == L.X_PENCILS and target not in (L.X_BRICKS,) or target == L.X_PENCILS and source not in (L.X_BRICKS,):
-            out = self.dtype_of(L.X_PENCILS_FOURIER) if before is not None or source != L.X_PENCILS else first
-        return ex.redistribute(held, source, target, self.boxes(target), first, out, before, after, **self._how(backend or (self.reshape_backend if reshape else self._between(source, target)), reshape))
+    def _move_lines(self, rows: DataFrame, source: Layout, target: Layout, inner: tuple[int, ...], to: tuple[int, ...]) -> DataFrame:
+        """Rows along ``inner`` to rows along ``to`` in ``target``."""
+        dims, boxes = self.dims_of(target), self.boxes(target)
+        if source in (L.X_BRICKS, L.Z_BRICKS):
+            return lines.joined(rows, dims, to, boxes)
+        if target in (L.X_BRICKS, L.Z_BRICKS):
+            return lines.parted(rows, dims, inner, to[0], boxes)
+        return lines.regroup(rows, dims, inner, to, boxes)
+
+    def _exchange(self, held: DataFrame, source: Layout, target: Layout, after=None, backend: Backend | None = None, reshape: bool = False, observed: Observation | None = None) -> DataFrame:
+        """Boxes or lines in ``source`` to the same in ``target``."""
+        n, dtype = self.ndims, self.dtype_of(source)
+        how = self._how(backend or (self.reshape_backend if reshape else self._between(source, target)), reshape)
+        inner, to, were_lines = lines.inner_of(source, n), lines.inner_of(target, n), lines.is_lines(held)
+        if how is None or were_lines:
+            rows = held if were_lines else lines.of_boxes(held, n, inner, dtype)
+            rows = self._move_lines(rows, source, target, inner, to)
+            return rows if were_lines else lines.to_boxes(rows, self.dims_of(target), to, self.boxes(target), target, dtype, after)
+        return ex.redistribute(held, source, target, self.boxes(target), dtype, dtype, None, after, observed=observed, **how)
 
     def _ends(self, kind: Transpose) -> tuple[Layout, Layout]:
         return tuple(L.X_PENCILS_FOURIER if k == L.X_PENCILS and self.real and self.spectral_dims != self.dims else k for k in STEPS[kind])
@@ -321,8 +349,9 @@ class Plan:
         last = self.last_layout
         return {Reshape.X_BRICKS_TO_PENCILS: (L.X_BRICKS, L.X_PENCILS), Reshape.X_PENCILS_TO_BRICKS: (L.X_PENCILS, L.X_BRICKS), Reshape.Z_PENCILS_TO_BRICKS: (last, L.Z_BRICKS), Reshape.Z_BRICKS_TO_PENCILS: (L.Z_BRICKS, last)}[Reshape(kind)]
 
-    def transpose(self, held: DataFrame, kind: Transpose) -> DataFrame:
-        """Boxes in one pencil layout to another, values unchanged."""
+    def transpose(self, held: DataFrame, kind: Transpose, rates: Rates | None = None) -> DataFrame:
+        """One pencil layout to another, values unchanged. ``rates`` are filled
+        by the job that runs the exchange (block exchanges only)."""
         self._check_alive()
         check(kind in set(Transpose), ErrorCode.INVALID_TRANSPOSE_TYPE)
         kind = Transpose(kind)
@@ -330,27 +359,26 @@ class Plan:
             check(abs(kind) == 1, ErrorCode.INVALID_TRANSPOSE_TYPE)
         if abs(kind) == 3:
             check(self.z_slab_enabled, ErrorCode.INVALID_TRANSPOSE_TYPE)
-        return self._move(held, *self._ends(kind))
+        return self._exchange(held, *self._ends(kind), observed=self._watched(rates))
 
-    def reshape(self, held: DataFrame, kind: Reshape) -> DataFrame:
-        """Boxes between bricks and pencils, axis order unchanged."""
+    def _watched(self, rates: Rates | None) -> Observation | None:
+        if rates is not None:
+            rates.of(self)
+        return rates.observed if rates is not None else None
+
+    def reshape(self, held: DataFrame, kind: Reshape, rates: Rates | None = None) -> DataFrame:
+        """Between bricks and pencils, axis order unchanged."""
         self._check_alive()
         check(self.reshape_enabled, ErrorCode.RESHAPE_NOT_SUPPORTED)
         check(kind in set(Reshape), ErrorCode.INVALID_RESHAPE_TYPE)
         source, target = self._reshape_ends(kind)
         if L.Z_BRICKS in (source, target):
             check(self.fourier_reshape, ErrorCode.RESHAPE_NOT_SUPPORTED)
-        return self._move(held, source, target, reshape=True)
+        return self._exchange(held, source, target, reshape=True, observed=self._watched(rates))
 
     def _start(self, what: str, df: DataFrame) -> Request:
         check(what not in self._active, ErrorCode.TRANSPOSE_ACTIVE if what == "transpose" else ErrorCode.RESHAPE_ACTIVE)
-
-        def run():
-            df.persist().count()
-            self._held.append(df)
-            return df
-
-        request = Request(what, _POOL.submit(run))
+        request = Request(what, df)
         self._active[what] = request
         return request
 
@@ -359,7 +387,17 @@ class Plan:
         mine = self._active[what]
         check(isinstance(request, (Request, int)) and int(request) == mine.handle, ErrorCode.INVALID_REQUEST)
         del self._active[what]
-        return mine._future.result()
+        self._ended.append(mine)
+        return mine.result()
+
+    def cancel(self, request: Request | int) -> None:
+        """Ends a started exchange; no job of it is left running."""
+        for what, mine in list(self._active.items()):
+            if int(request) == mine.handle:
+                del self._active[what]
+                mine.cancel()
+                return
+        raise GridError(ErrorCode.INVALID_REQUEST)
 
     def transpose_start(self, held: DataFrame, kind: Transpose) -> Request:
         return self._start("transpose", self.transpose(held, kind))
@@ -396,38 +434,78 @@ class Plan:
         check(kind in set(Execute), ErrorCode.INVALID_EXECUTE_TYPE)
         check(not self._active, ErrorCode.TRANSPOSE_ACTIVE if "transpose" in self._active else ErrorCode.RESHAPE_ACTIVE)
         forward = kind == Execute.FORWARD
-        if self.executor == Executor.SQL:
-            return self._execute_sql(points, forward)
+        if self.executor == Executor.SQL or self.moves_lines:
+            return self._execute_lines(points, forward)
         steps = self.stages()
         if forward:
             if self.reshape_enabled:
                 held = self._scatter(points, L.X_BRICKS, None)
-                held = self._move(held, L.X_BRICKS, L.X_PENCILS, after=self._work(steps[0][1], True), reshape=True)
+                held = self._exchange(held, L.X_BRICKS, L.X_PENCILS, self._work(steps[0][1], True), reshape=True)
             else:
                 held = self._scatter(points, L.X_PENCILS, self._work(steps[0][1], True))
             at = self._after_first()
             for layout, axes in steps[1:]:
-                held = ex.redistribute(held, at, layout, self.boxes(layout), self.dtype_of(at), self.dtype_of(layout), None, self._work(axes, True), **self._how(self._between(at, layout)))
-                at = layout
+                held, at = self._exchange(held, at, layout, self._work(axes, True)), layout
             if self.fourier_reshape:
-                held = self._move(held, at, L.Z_BRICKS, reshape=True)
-                at = L.Z_BRICKS
+                held, at = self._exchange(held, at, L.Z_BRICKS, reshape=True), L.Z_BRICKS
             return ex.gather(held, self.ndims, self.dtype_of(at))
         back = steps[::-1]
+        at = back[0][0]
         if self.fourier_reshape:
-            held = self._scatter(points, L.Z_BRICKS, None)
-            held = self._move(held, L.Z_BRICKS, back[0][0], after=self._work(back[0][1], False), reshape=True)
+            held = self._exchange(self._scatter(points, L.Z_BRICKS, None), L.Z_BRICKS, at, self._work(back[0][1], False), reshape=True)
         else:
-            held = self._scatter(points, back[0][0], self._work(back[0][1], False))
-        at = back[0][0]
+            held = self._scatter(points, at, self._work(back[0][1], False))
         for layout, axes in back[1:]:
-            target = self._after_first() if layout == L.X_PENCILS else layout
-            held = ex.redistribute(held, at, target, self.boxes(target), self.dtype_of(at), self.dtype_of(target), None, self._work(axes, False), **self._how(self._between(at, target)))
-            at = layout
-        dtype = self.dtype_of(L.X_PENCILS)
+            held, at = self._exchange(held, at, self._after_first() if layout == L.X_PENCILS else layout, self._work(axes, False)), layout
         if self.reshape_enabled:
-            held = ex.redistribute(held, L.X_PENCILS, L.X_BRICKS, self.boxes(L.X_BRICKS), dtype, dtype, **self._how(self.reshape_backend, True))
-        return ex.gather(held, self.ndims, dtype)
+            held = self._exchange(held, L.X_PENCILS, L.X_BRICKS, reshape=True)
+        return ex.gather(held, self.ndims, self.dtype_of(L.X_PENCILS))
+
+    def line_stages(self) -> list[tuple[Layout, tuple[int, ...]]]:
+        """Stages on rows: the array transforms take one axis at a time."""
+        if self.executor != Executor.SQL:
+            return self.stages()
+        return [(L.X_PENCILS, (0,)), (L.Y_PENCILS, (1,)), (L.Z_PENCILS, (2,))][: self.ndims]
+
+    def _execute_lines(self, points: DataFrame, forward: bool) -> DataFrame:
+        """``execute`` on rows of lines (slab stages: of planes)."""
+        steps = self.line_stages() if forward else self.line_stages()[::-1]
+        (at, axes), real = steps[0], self._after_first()
+        bricks = L.X_BRICKS if forward and self.reshape_enabled else L.Z_BRICKS if not forward and self.fourier_reshape else None
+        if bricks:
+            rows = self._move_lines(self._lines(points, bricks), bricks, at, (), axes)
+        else:
+            rows = self._lines(points, at, axes)
+        rows = self._transformed(rows, axes, forward)
+        for layout, to in steps[1:]:
+            here = real if layout == L.X_PENCILS else layout
+            rows = self._transformed(self._move_lines(rows, at, here, axes, to), to, forward)
+            at, axes = layout, to
+        bricks = L.Z_BRICKS if forward and self.fourier_reshape else L.X_BRICKS if not forward and self.reshape_enabled else None
+        if bricks and self._first is not None:  # parts of irregular boxes would be as small as their finest cut
+            rows, axes, at = self._move_lines(rows, at, bricks, axes, lines.inner_of(bricks, self.ndims)), lines.inner_of(bricks, self.ndims), bricks
+        return lines.to_points(rows, self.spectral_dims if forward else self.dims, axes)
+
+    def _transformed(self, rows: DataFrame, axes: tuple[int, ...], forward: bool) -> DataFrame:
+        if self.executor == Executor.SQL:
+            made = self._array_work(axes[0], forward)
+            return rows.select("rank", *ex.AXES[: self.ndims], made.alias("made")).select("rank", *ex.AXES[: self.ndims], *self._unpacked())
+        work = self._work(axes, forward)
+        if work is None:
+            return rows
+        real, spectral = self.dtype_of(L.X_PENCILS), self.dtype_of(L.Y_PENCILS)
+        first = 0 in axes
+        dims = self.dims if first and forward else self.spectral_dims
+        return lines.worked(rows, dims, axes, work, real if first and forward else spectral, real if first and not forward else spectral)
+
+    def _array_work(self, axis: int, forward: bool):
+        """The transform of a row's line along ``axis``, as a column."""
+        raise NotImplementedError
+
+    def _unpacked(self):
+        """Values of the column ``made``: complex ones are in two fields."""
+        kind = f"array<{self._kind(L.X_PENCILS)}>"
+        return [F.col(f"made.{v}").cast(kind).alias(v) for v in ("re", "im")]
 
     def _after_first(self) -> Layout:
         return L.X_PENCILS_FOURIER if self.real and self.spectral_dims != self.dims else L.X_PENCILS
@@ -435,9 +513,6 @@ class Plan:
     def _scatter(self, points, layout, work):
         return ex.scatter(points, self.boxes(layout), layout, self.dtype_of(layout), work)
 
-    def _execute_sql(self, points: DataFrame, forward: bool) -> DataFrame:
-        raise NotImplementedError
-
     # --- autotuning
 
     def _tune(self, spark: SparkSession) -> None:
@@ -465,26 +540,23 @@ class Plan:
         def sunk(held: DataFrame) -> None:
             held.write.format("noop").mode("overwrite").save()
 
-        def step(held, source, target, backend=None):
-            return ex.redistribute(held, source, target, self.boxes(target), self.dtype_of(source), self.dtype_of(target), **self._how(backend or self._between(source, target)))
-
         def exchanges():
-            held, at = ex.scatter(zeros, self.boxes(first), first, self.dtype_of(first)), first
+            held, at = self.scatter(zeros, first), first
             for layout, _ in self.stages()[1:]:
-                held, at = step(held, at, layout), layout
+                held, at = self._exchange(held, at, layout), layout
             sunk(held)
 
-        def best(options, put, run=exchanges):
+        def best(what, options, put, run=exchanges):
             times = []
             for o in options:
                 put(o)
-                times.append((timed(str(o), run), o))
+                times.append((timed(f"{what} {getattr(o, 'name', o)}", run), o))
             found = min(times, key=lambda t: t[0])[1]
             put(found)
             return found
 
         if self.effort >= Effort.MEASURE and self._user_boxes is None and not self._given_grid and self.ndims == 3:
-            best(self._grids() or [self.grid], self._place)
+            best("grid", self._grids() or [self.grid], self._place)
         options = self._candidates()
         if self.effort >= Effort.PATIENT and options:
             if self.config.backend == Backend.ADAPTIVE:
@@ -493,15 +565,15 @@ class Plan:
                     for source, target in ((a, b), (b, a)):
                         held = ex.scatter(zeros, self.boxes(source), source, self.dtype_of(first))
                         key = tuple(L.X_PENCILS if k == L.X_PENCILS_FOURIER else k for k in (source, target))
-                        best(options, lambda o, key=key: self.directions.__setitem__(key, o), lambda held=held, s=source, t=target: sunk(step(held, s, t)))
+                        best("backend", options, lambda o, key=key: self.directions.__setitem__(key, o), lambda held=held, s=source, t=target: sunk(self._exchange(held, s, t)))
             else:
-                best(options, lambda o: setattr(self, "backend", o))
+                best("backend", options, lambda o: setattr(self, "backend", o))
             self.reshape_backend = compatible(self.config.reshape_backend, options[0] if self.backend == Backend.ADAPTIVE else self.backend)
         if self.effort >= Effort.EXHAUSTIVE:
-            best(list(TransposeMode), lambda m: setattr(self, "transpose_mode", m))
+            best("mode", list(TransposeMode), lambda m: setattr(self, "transpose_mode", m))
             if self.reshape_enabled and options:
                 bricks = ex.scatter(self._zeros(spark, self.dims, self.dtype_of(L.X_BRICKS)), self.boxes(L.X_BRICKS), L.X_BRICKS, self.dtype_of(L.X_BRICKS))
-                best(options, lambda o: setattr(self, "reshape_backend", o), lambda: sunk(self._move(bricks, L.X_BRICKS, L.X_PENCILS, reshape=True)))
+                best("reshape", options, lambda o: setattr(self, "reshape_backend", o), lambda: sunk(self._exchange(bricks, L.X_BRICKS, L.X_PENCILS, reshape=True)))
 
     def _zeros(self, spark: SparkSession, dims, dtype: np.dtype) -> DataFrame:
         from ..sources.grids import coordinates
@@ -543,8 +615,8 @@ class PlanC2C(Plan):
         dtype = self.complex_dtype
         return lambda a, rank: tf.c2c(a, at, forward).astype(dtype, copy=False) if a.size else a
 
-    def _execute_sql(self, points, forward):
-        return sql_dft.chain(points, [(ex.AXES[a], n) for a, n in enumerate(self.dims)], forward)
+    def _array_work(self, axis, forward):
+        return array_fft.fft(array_fft.complex_line(F.col("re"), F.col("im")), self.dims[axis], forward)
 
 
 class PlanR2C(Plan):
@@ -576,14 +648,20 @@ class PlanR2C(Plan):
 
         return run
 
-    def _execute_sql(self, points, forward):
-        from pyspark.sql import functions as F
+    def _array_work(self, axis, forward):
+        if axis == 0 and forward:
+            return array_fft.r2c(F.col("v"), self.dims[0])
+        given = array_fft.complex_line(F.col("re"), F.col("im"))
+        if axis == 0:
+            real = array_fft.c2r(given, self.dims[0])
+            return F.transform(real, lambda a: F.struct(a.alias("v")))
+        return array_fft.fft(given, self.dims[axis], forward)
 
-        rest = [(ex.AXES[a], n) for a, n in enumerate(self.dims) if a]
-        if forward:
-            half = points.select(*ex.AXES[: self.ndims], F.col("v").alias("re"), F.lit(0.0).alias("im"))
-            return sql_dft.chain(sql_dft.dft(half, "x", self.dims[0], True, self.dims[0] // 2), rest)
-        return sql_dft.c2r(sql_dft.chain(points, rest, False), "x", self.dims[0])
+    def _transformed(self, rows, axes, forward):
+        if self.executor == Executor.SQL and axes == (0,) and not forward:
+            made = rows.select("rank", *ex.AXES[: self.ndims], self._array_work(0, False).alias("made"))
+            return made.select("rank", *ex.AXES[: self.ndims], F.col("made.v").cast(f"array<{self._kind(L.X_PENCILS)}>").alias("v"))
+        return super()._transformed(rows, axes, forward)
 
 
 class PlanR2R(Plan):
@@ -595,7 +673,8 @@ class PlanR2R(Plan):
         executor = more.get("executor", Executor.NONE)
         if executor != Executor.NONE:
             check(kinds is not None, ErrorCode.MISSING_R2R_KINDS)
-            n = len(dims) if dims is not None else len(more["boxes"][0].starts)
+            boxes = more.get("boxes")
+            n = len(dims if dims is not None else boxes.first().starts if isinstance(boxes, DataFrame) else boxes[0].starts)
             check(len(kinds) == n and all(k in set(R2RKind) for k in kinds), ErrorCode.INVALID_R2R_KINDS)
         self.kinds = [R2RKind(k) for k in kinds] if kinds is not None else None
         super().__init__(dims, parts, **more)
@@ -615,10 +694,12 @@ class PlanR2R(Plan):
 
         return run
 
-    def _execute_sql(self, points, forward):
-        for a, n in enumerate(self.dims):
-            points = sql_dft.r2r(points, ex.AXES[a], n, self.kinds[a] if forward else tf.INVERSE[self.kinds[a]])
-        return points
+    def _array_work(self, axis, forward):
+        kind = self.kinds[axis] if forward else tf.INVERSE[self.kinds[axis]]
+        return array_fft.r2r(F.col("v").cast("array<double>"), self.dims[axis], kind)
+
+    def _unpacked(self):
+        return [F.col("made").cast(f"array<{self._kind(L.X_PENCILS)}>").alias("v")]
 
     def round_trip_factor(self) -> int:
         return prod(tf.round_trip_factor(k, n) for k, n in zip(self.kinds, self.dims, strict=True))

@@ -8,13 +8,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .config import CompressionConfig, Config
 from .enums import Backend, CompressionMode, Effort, Execute, Executor, Layout, Precision, R2RKind, Reshape, Transpose, TransposeMode
 from .errors import GridError
-from .functions import kernels
+from .functions import block_codec, kernels
 from .operators import exchange as ex
 from .plans import decomposition as dec
-from .plans.plan import PlanC2C, PlanR2C, PlanR2R
+from .plans import layouts as lay
+from .plans.physical import exchanges, executed
+from .plans.plan import PlanC2C, PlanR2C, PlanR2R, Rates
 from .ship import ship
 from .sources import grids
 
@@ -134,41 +137,78 @@ def sql_boxes(dims, grid, layout: Layout) -> str:
     return f"(SELECT CAST(r AS INT) AS rank, {', '.join(cols)} FROM range({prod(grid)}) t(r))"
 
 
-BIG, BIG_GRID = (129, 99, 33), (1, 2, 3)
+#: Sizes of a grid that a table gives: suppliers, five places a line number, quantities.
+SIZES_SQL = "(SELECT count(DISTINCT l_suppkey) AS nx, 5 * max(l_linenumber) AS ny, count(DISTINCT l_quantity) AS nz FROM lineitem)"
+BIG_GRID = (1, 2, 3)
+
+
+def table_sizes(spark, sf_dir) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return t.agg(F.countDistinct("l_suppkey").alias("nx"), (5 * F.max("l_linenumber")).alias("ny"), F.countDistinct("l_quantity").alias("nz"))
+
+
+def table_dims(spark, sf_dir) -> tuple[int, ...]:
+    return tuple(table_sizes(spark, sf_dir).first())  # one row
+
+
+def sql_table_boxes(grid, layout: Layout, half: bool = False) -> str:
+    """The pencil layout of the table's grid (or half spectrum), flat."""
+    who = {Layout.X_PENCILS: (0, 1, 2), Layout.Y_PENCILS: (1, 0, 2), Layout.Z_PENCILS: (1, 2, 0)}[layout]
+    c, cols = sql_coords(grid), []
+    for a, k in enumerate(who):
+        n = "(nx // 2 + 1)" if half and a == 0 else f"n{AX[a]}"
+        late = f"greatest(0, {c[k]} - ({grid[k]} - {n} % {grid[k]}))"
+        cols += [f"CAST({c[k]} * ({n} // {grid[k]}) + {late} AS INT) AS {AX[a]}_start", f"CAST({n} // {grid[k]} + CASE WHEN {c[k]} >= {grid[k]} - {n} % {grid[k]} THEN 1 ELSE 0 END AS INT) AS {AX[a]}_count"]
+    return f"(SELECT CAST(r AS INT) AS rank, {', '.join(cols)} FROM {SIZES_SQL}, range({prod(grid)}) t(r))"
+
+
+def flat(layout: DataFrame) -> DataFrame:
+    return layout.select("rank", *[F.get(w, F.lit(a)).alias(f"{AX[a]}_{w[:-1]}") for a in range(3) for w in ("starts", "counts")], "size")
+
+
 for _l in (Layout.X_PENCILS, Layout.Y_PENCILS, Layout.Z_PENCILS):
 
-    @add(f"layout_{_l.name.lower()}", f"SELECT *, CAST(x_count * y_count * z_count AS BIGINT) AS size FROM {sql_boxes(BIG, BIG_GRID, _l)}")
+    @add(f"layout_{_l.name.lower()}", f"SELECT *, CAST(x_count * y_count * z_count AS BIGINT) AS size FROM {sql_table_boxes(BIG_GRID, _l)}")
     def _(spark, sf_dir, layout=_l):
-        return flat(spark, dec.pencil_boxes(BIG, BIG_GRID, layout))
+        return flat(lay.pencil_table(table_sizes(spark, sf_dir), BIG_GRID, layout))
 
 
 @add(
     "layout_bricks",
-    """SELECT CAST(r AS INT) AS rank, CAST(r % 2 * 64 AS INT) AS x_start, CAST(64 + r % 2 AS INT) AS x_count, CAST(r // 2 % 3 * 33 AS INT) AS y_start, 33 AS y_count,
- CAST(r // 6 * 16 AS INT) AS z_start, CAST(16 + r // 6 AS INT) AS z_count, CAST((64 + r % 2) * 33 * (16 + r // 6) AS BIGINT) AS size FROM range(12) t(r)""",
+    f"""SELECT CAST(r AS INT) AS rank, CAST(r % 2 * (nx // 2) AS INT) AS x_start, CAST(nx // 2 + CASE WHEN r % 2 = 1 THEN nx % 2 ELSE 0 END AS INT) AS x_count,
+ CAST(r // 2 % 3 * (ny // 3) AS INT) AS y_start, CAST(ny // 3 + CASE WHEN r // 2 % 3 = 2 THEN ny % 3 ELSE 0 END AS INT) AS y_count,
+ CAST(r // 6 * (nz // 2) AS INT) AS z_start, CAST(nz // 2 + CASE WHEN r // 6 = 1 THEN nz % 2 ELSE 0 END AS INT) AS z_count,
+ CAST(x_count * y_count * z_count AS BIGINT) AS size FROM {SIZES_SQL}, range(12) t(r)""",
 )
 def _(spark, sf_dir):
-    return flat(spark, dec.brick_boxes(BIG, (2, 3, 2)))
+    return flat(dec.layout_frame(spark, dec.brick_boxes(table_dims(spark, sf_dir), (2, 3, 2)), Layout.X_BRICKS))
+
+
+_VOLUME = "{0}.x_count * {0}.y_count * {0}.z_count".format
 
 
 @add(
     "local_sizes",
-    f"""SELECT rank, a.x_count * a.y_count * a.z_count AS in_size, b.x_count * b.y_count * b.z_count AS out_size,
- CAST(greatest(a.x_count * a.y_count * a.z_count, 2 * f.x_count * f.y_count * f.z_count, 2 * c.x_count * c.y_count * c.z_count, 2 * b.x_count * b.y_count * b.z_count) AS BIGINT) AS alloc_size
- FROM {sql_boxes(BIG, BIG_GRID, Layout.X_PENCILS)} a JOIN {sql_boxes((65, 99, 33), BIG_GRID, Layout.X_PENCILS)} f USING (rank)
- JOIN {sql_boxes((65, 99, 33), BIG_GRID, Layout.Y_PENCILS)} c USING (rank) JOIN {sql_boxes((65, 99, 33), BIG_GRID, Layout.Z_PENCILS)} b USING (rank)""",
+    f"""SELECT rank, {_VOLUME('a')} AS in_size, {_VOLUME('b')} AS out_size, CAST(greatest({_VOLUME('a')}, 2 * {_VOLUME('f')}, 2 * {_VOLUME('c')}, 2 * {_VOLUME('b')}) AS BIGINT) AS alloc_size
+ FROM {sql_table_boxes(BIG_GRID, Layout.X_PENCILS)} a JOIN {sql_table_boxes(BIG_GRID, Layout.X_PENCILS, True)} f USING (rank)
+ JOIN {sql_table_boxes(BIG_GRID, Layout.Y_PENCILS, True)} c USING (rank) JOIN {sql_table_boxes(BIG_GRID, Layout.Z_PENCILS, True)} b USING (rank)""",
 )
 def _(spark, sf_dir):
-    plan = PlanR2C(BIG, 6, grid=BIG_GRID)
+    plan = PlanR2C(table_dims(spark, sf_dir), 6, grid=BIG_GRID)
     rows = [(s["rank"], int(prod(s["in_counts"])), int(prod(s["out_counts"])), int(s["alloc_size"])) for s in plan.local_sizes()]
     return spark.createDataFrame(rows, "rank int, in_size int, out_size int, alloc_size long")
 
 
-@add("even_flags", "SELECT * FROM (VALUES ('X_PENCILS', false, false), ('Y_PENCILS', false, true), ('Z_PENCILS', false, true)) t(layout, is_even, splits_x)")
+_FLAGS = " UNION ALL ".join(
+    f"SELECT '{k.name}' AS layout, count(DISTINCT (x_count, y_count, z_count)) = 1 AS is_even, count(DISTINCT x_start) > 1 AS splits_x FROM {sql_table_boxes(BIG_GRID, k)}" for k in (Layout.X_PENCILS, Layout.Y_PENCILS, Layout.Z_PENCILS)
+)
+
+
+@add("even_flags", _FLAGS)
 def _(spark, sf_dir):
-    rows = []
+    dims, rows = table_dims(spark, sf_dir), []
     for k in (Layout.X_PENCILS, Layout.Y_PENCILS, Layout.Z_PENCILS):
-        b = dec.pencil_boxes(BIG, BIG_GRID, k)
+        b = dec.pencil_boxes(dims, BIG_GRID, k)
         rows.append((k.name, dec.is_even(b), dec.is_distributed(b)))
     return spark.createDataFrame(rows, "layout string, is_even boolean, splits_x boolean")
 
@@ -196,31 +236,89 @@ def code_of(f) -> int:
     return 0
 
 
-@add("layout_errors", "SELECT * FROM (VALUES ('shape mismatch', 29), ('overlap', 30), ('not continuous', 31), ('valid', 0), ('negative start', 28), ('uninitialised', 32)) t(name, code)")
+#: A box an order: tiles of 5 x 7 x 3 in blocks of ten by ten, and what is wrong with some.
+FAULTS = {
+    "valid": {}, "shape mismatch": {"x_count": "CASE WHEN o_orderkey % 997 = 5 THEN 6 ELSE 5 END"}, "overlap": {"z_start": "3 * (o_orderkey DIV 100) + CASE WHEN o_orderkey % 1499 = 7 THEN 1 ELSE 0 END"},
+    "not continuous": {"filter": "o_orderkey % 1009 <> 3"}, "negative start": {"y_start": "7 * (o_orderkey DIV 10 % 10) - CASE WHEN o_orderkey = 11 THEN 8 ELSE 0 END"}, "uninitialised": {"y_count": "CASE WHEN o_orderkey <> 12 THEN 7 END"},
+}
+CODES = {"valid": 0, "shape mismatch": 29, "overlap": 30, "not continuous": 31, "negative start": 28, "uninitialised": 27}
+_TILE = {"x_start": "5 * (o_orderkey % 10)", "x_count": "5", "y_start": "7 * (o_orderkey DIV 10 % 10)", "y_count": "7", "z_start": "3 * (o_orderkey DIV 100)", "z_count": "3"}
+
+
+def tiles(spark, sf_dir, *faults) -> DataFrame:
+    """The layout table of all orders with the faults of that name."""
+    how = dict(_TILE)
+    for f in faults:
+        how |= FAULTS[f]
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet").where(how.pop("filter", "true"))
+    c = {k: F.expr(v).cast("int") for k, v in how.items()}
+    counts = F.array(*[c[f"{a}_count"] for a in AX])
+    return t.select(F.col("o_orderkey").cast("int").alias("rank"), F.lit(int(Layout.X_BRICKS)).alias("layout"), F.array(*[c[f"{a}_start"] for a in AX]).alias("starts"), counts.alias("counts"), F.aggregate(counts, F.lit(1).cast("long"), lambda a, n: a * n).alias("size"))
+
+
+def tiles_sql(*faults) -> str:
+    how = dict(_TILE)
+    for f in faults:
+        how |= FAULTS[f]
+    keep = how.pop("filter", "true")
+    return f"(SELECT CAST(o_orderkey AS INT) AS rank, {', '.join(f'CAST({v} AS INT) AS {k}' for k, v in how.items()).replace(' DIV ', ' // ')} FROM orders WHERE {keep})"
+
+
+@add("layout_errors", " UNION ALL ".join(f"SELECT '{n}' AS name, {c} AS code, CAST(count(*) AS BIGINT) AS boxes FROM {tiles_sql(n)}" for n, c in CODES.items()))
 def _(spark, sf_dir):
-    return spark.createDataFrame([(n, code_of(lambda b=b: dec.validate_boxes(b))) for n, (b, _) in CASES.items()], "name string, code int")
+    """The first error of layout tables with a box an order."""
+    return spark.createDataFrame([(n, code_of(lambda t=t: lay.checked(t)), t.count()) for n, t in ((n, tiles(spark, sf_dir, n)) for n in CODES)], "name string, code int, boxes long")
+
+
+_APART = " AND ".join(f"a.{x}_start < b.{x}_start + b.{x}_count AND b.{x}_start < a.{x}_start + a.{x}_count" for x in AX)
 
 
-@add("box_overlap", "SELECT * FROM (VALUES (0, 1), (2, 3)) t(rank_a, rank_b)")
+@add("box_overlap", f"SELECT a.rank AS rank_a, b.rank AS rank_b FROM {tiles_sql('shape mismatch', 'overlap')} a JOIN {tiles_sql('shape mismatch', 'overlap')} b ON a.rank < b.rank AND {_APART}")
 def _(spark, sf_dir):
-    return dec.overlaps(dec.layout_frame(spark, CASES["overlap"][0], Layout.X_PENCILS))
+    """All pairs of boxes that meet, by a join on cells."""
+    return lay.overlaps(tiles(spark, sf_dir, "shape mismatch", "overlap"))
 
 
-@add("box_continuity", "SELECT 'valid' AS name, CAST(1536 AS BIGINT) AS volume, CAST(4 * 16 * 24 AS BIGINT) AS whole UNION ALL SELECT 'not continuous', 1536, 4 * 18 * 24")
+@add(
+    "box_mismatch",
+    " UNION ALL ".join(
+        f"SELECT {i} AS axis_a, {j} AS axis_b, {AX[i]}_start AS start_a, {AX[j]}_start AS start_b, CAST(count(*) AS BIGINT) AS boxes FROM {tiles_sql('shape mismatch')} GROUP BY ALL HAVING count(DISTINCT ({AX[i]}_count, {AX[j]}_count)) > 1"
+        for i, j in ((0, 1), (0, 2), (1, 2))
+    ),
+)
 def _(spark, sf_dir):
-    parts = []
-    for name in ("valid", "not continuous"):
-        t = dec.layout_frame(spark, CASES[name][0], Layout.X_PENCILS)
-        ends = [F.max(F.get("starts", F.lit(a)) + F.get("counts", F.lit(a))) for a in range(3)]
-        parts.append(t.agg(F.lit(name).alias("name"), F.sum("size").alias("volume"), (ends[0] * ends[1] * ends[2]).cast("long").alias("whole")))
-    return parts[0].union(parts[1])
+    return lay.mismatches(tiles(spark, sf_dir, "shape mismatch"))
 
 
-@add("schedule_round_robin", "SELECT CAST(k AS INT) AS round, CAST(r AS INT) AS rank, CAST(p AS INT) AS partner FROM range(7) c(k), range(7) a(r), range(7) b(p) WHERE r <> p AND (CASE WHEN r = 0 THEN (2 * p - 2 - 2 * k + 14) % 7 = 5 WHEN p = 0 THEN (2 * r - 2 - 2 * k + 14) % 7 = 5 ELSE (r + p - 2 * k - 2 + 21) % 7 = 5 END)")
+@add("box_continuity", " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(sum(x_count * y_count * z_count) AS BIGINT) AS volume, CAST(max(x_start + x_count) * max(y_start + y_count) * max(z_start + z_count) AS BIGINT) AS whole FROM {tiles_sql(n)}" for n in ("valid", "not continuous")))
 def _(spark, sf_dir):
-    t = dec.schedule(7)
-    assert all([b for _, a, b in t if a == r] == dec.partners(r, 7) for r in range(7))
-    return spark.createDataFrame(t, "round int, rank int, partner int")
+    a, b = (lay.uncovered(tiles(spark, sf_dir, n)).select(F.lit(n).alias("name"), "volume", "whole") for n in ("valid", "not continuous"))
+    return a.union(b)
+
+
+#: Two boxes a vector, cut at a place of its own: a layout that is no product of cuts.
+_CUT = "(8 + vec_id * 37 % 48)"
+
+
+def ragged(spark, sf_dir) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.expr(_CUT).cast("int").alias("cut"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    start, count = F.when(F.col("side") == 0, 0).otherwise(F.col("cut")), F.when(F.col("side") == 0, F.col("cut")).otherwise(64 - F.col("cut"))
+    return t.select((2 * F.col("vec_id") + F.col("side")).cast("int").alias("rank"), F.lit(int(Layout.X_BRICKS)).alias("layout"), F.array(start, F.col("vec_id").cast("int")).alias("starts"), F.array(count, F.lit(1)).alias("counts"), count.cast("long").alias("size"))
+
+
+@add("plan_of_layout_placement", f"SELECT CAST(2 * y + CASE WHEN x < c THEN 0 ELSE 1 END AS INT) AS rank, CAST(CASE WHEN x < c THEN x ELSE x - c END AS BIGINT) AS local_offset, x, y, v FROM (SELECT *, {_CUT.replace('vec_id', 'y')} AS c FROM {EM_SQL})")
+def _(spark, sf_dir):
+    """Points to the ranks of an irregular layout table."""
+    points, _ = grids.embeddings_grid(spark, sf_dir)
+    plan = PlanR2R(boxes=ragged(spark, sf_dir))
+    return plan.placement(plan.scatter(points, Layout.X_BRICKS), Layout.X_BRICKS)
+
+
+@add("plan_of_layout_execute", sql_round(sql_dft(sql_dft(sql_complex(EM_SQL, "xy"), "xy", "x", 64, True, 32), "xy", "y", EM_N), AX[:2]))
+def _(spark, sf_dir):
+    """A real-to-complex plan made of an irregular layout table."""
+    points, _ = grids.embeddings_grid(spark, sf_dir)
+    return rounded(PlanR2C(boxes=ragged(spark, sf_dir), executor=NP).execute(points, Execute.FORWARD))
 
 
 # --- where values lie after transposes and reshapes
@@ -258,12 +356,16 @@ def moved(spark, sf_dir, kind, grid, config=BLOCK):
 for _name, (_kind, _grid) in MOVES.items():
 
     @add(f"transpose_{_name}", sql_placement(LI_SQL, LI, _grid, ENDS[_kind]))
+    def _(spark, sf_dir, kind=_kind, grid=_grid):
+        return moved(spark, sf_dir, kind, grid, Config())
+
+    @add(f"transpose_block_{_name}", sql_placement(LI_SQL, LI, _grid, ENDS[_kind]))
     def _(spark, sf_dir, kind=_kind, grid=_grid):
         return moved(spark, sf_dir, kind, grid)
 
 
 for _name, _config in {
-    "key_exchange": Config(), "unpack_mode": BLOCK.with_(transpose_mode=TransposeMode.UNPACK), "fused": BLOCK.with_(backend=Backend.MPI_P2P_FUSED),
+    "unpack_mode": BLOCK.with_(transpose_mode=TransposeMode.UNPACK), "fused": BLOCK.with_(backend=Backend.MPI_P2P_FUSED),
     "compressed_lossless": BLOCK.with_(backend=Backend.MPI_P2P_COMPRESSED), "scheduled": BLOCK.with_(backend=Backend.MPI_P2P_SCHEDULED),
     "pipelined": BLOCK.with_(backend=Backend.MPI_P2P_PIPELINED), "all_to_all": BLOCK.with_(backend=Backend.MPI_A2A), "one_sided": BLOCK.with_(backend=Backend.MPI_RMA),
 }.items():
@@ -291,28 +393,78 @@ def _(spark, sf_dir):
     return both.agg(F.sum((F.abs(F.col("v") - F.col("w")) > tol * 1.000001).cast("long")).alias("violations"), F.count("*").alias("points"))
 
 
-RATE = BLOCK.with_(backend=Backend.MPI_P2P_COMPRESSED, compression=CompressionConfig(mode=CompressionMode.FIXED_RATE, rate=12.0))
-_MEET = " * ".join(f"greatest(least(s.{a}_start + s.{a}_count, t.{a}_start + t.{a}_count) - greatest(s.{a}_start, t.{a}_start), 0)" for a in AX)
+def codec_config(**more):
+    return BLOCK.with_(backend=Backend.MPI_P2P_COMPRESSED, compression=CompressionConfig(**more))
+
+
+RATE = codec_config(mode=CompressionMode.FIXED_RATE, rate=6.0)
+_MEET = {a: f"greatest(least(s.{a}_start + s.{a}_count, t.{a}_start + t.{a}_count) - greatest(s.{a}_start, t.{a}_start), 0)" for a in AX}
+_VALUES, _BLOCKS = " * ".join(_MEET.values()), " * ".join(f"ceil(({m}) / 4)" for m in _MEET.values())
 
 
 @add(
     "compression_rates",
-    f"""SELECT rank, CAST(sum(8 * n) AS BIGINT) AS raw_bytes, CAST(sum(2 + 2 * ceil(n / 256) + ceil(n * 11 / 8)) AS BIGINT) AS sent_bytes, sum(8 * n) / sum(2 + 2 * ceil(n / 256) + ceil(n * 11 / 8)) AS rate
- FROM (SELECT s.rank, {_MEET} AS n FROM {sql_boxes(LI, (1, 2, 3), Layout.X_PENCILS)} s, {sql_boxes(LI, (1, 2, 3), Layout.Y_PENCILS)} t) WHERE n > 0 GROUP BY rank""",
+    f"""WITH p AS (SELECT s.rank, {_VALUES} AS n, {_BLOCKS} AS b FROM {sql_boxes(LI, (1, 2, 3), Layout.X_PENCILS)} s, {sql_boxes(LI, (1, 2, 3), Layout.Y_PENCILS)} t),
+ c AS (SELECT rank, 8 * n AS raw, 9 + 2 * b + ceil(b * (6 * 64 - 16) / 8) AS coded FROM p WHERE n > 0),
+ r AS (SELECT rank, sum(raw) AS raw, sum(CASE WHEN coded <= raw THEN coded ELSE raw + 1 END) AS sent FROM c GROUP BY rank)
+ SELECT CAST(384 AS BIGINT) AS points, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(sent) AS BIGINT) AS sent, round(min(raw / sent), 9) AS lowest, round(max(raw / sent), 9) AS highest, round(avg(raw / sent), 9) AS mean FROM r""",
 )
 def _(spark, sf_dir):
+    """One job moves the grid, counts its points and measures what was sent."""
     points, dims = grids.lineitem_grid(spark, sf_dir)
-    plan = PlanR2R(dims, 6, grid=(1, 2, 3), config=RATE)
-    return plan.compression_rates(plan.scatter(points, Layout.X_PENCILS), Transpose.X_TO_Y)
+    plan, rates = PlanR2R(dims, 6, grid=(1, 2, 3), config=RATE), Rates("x to y")
+    n = plan.gather(plan.transpose(plan.scatter(points, Layout.X_PENCILS), Transpose.X_TO_Y, rates), Layout.Y_PENCILS).count()
+    found = rates.get()
+    return spark.createDataFrame([(n, *(found[k] for k in ("raw", "sent")), *(round(found[k], 9) for k in ("lowest", "highest", "mean")))], "points long, raw long, sent long, lowest double, highest double, mean double")
+
+
+def violations(points, plan, bound):
+    """How many values an exchange with a lossy codec moved by more than
+    ``bound``: a number, or a share of the power of two above the largest."""
+    near = plan.gather(plan.transpose(plan.scatter(points, Layout.X_PENCILS), Transpose.X_TO_Y), Layout.Y_PENCILS)
+    axes = list(AX[: plan.ndims])
+    top = points.agg(F.pow(F.lit(2.0), F.floor(F.log2(F.max(F.abs("v")))) + 1).alias("top"))
+    both = near.withColumnRenamed("v", "w").join(points, axes).crossJoin(F.broadcast(top))  # one row
+    limit = F.lit(bound) if isinstance(bound, float) else F.col("top") * bound[0]
+    return both.agg(F.sum((F.abs(F.col("v") - F.col("w")) > limit).cast("long")).alias("violations"), F.count("*").alias("points"), (F.max(F.abs(F.col("v") - F.col("w"))) > 0).alias("lossy"))
 
 
-@add("compression_rate_bound", "SELECT CAST(0 AS BIGINT) AS violations, CAST(384 AS BIGINT) AS points")
+def _share(d, plane):
+    """A block codec's bound for blocks cut below ``plane``, as a share of the block's top."""
+    return (block_codec.error_bound(d, plane) / 2.0**block_codec.FRACTION,)
+
+
+def _bounds(d):
+    size, planes = 1 + 2 * d + 4**d, block_codec.planes_of(d)
+    whole = (block_codec.block_bits(32.0, d) - block_codec.EXPONENT_BITS) // size  # planes that fit whatever they hold
+    return {
+        "accuracy": (codec_config(mode=CompressionMode.FIXED_ACCURACY, tolerance=1e-4), 1e-4),
+        "precision": (codec_config(mode=CompressionMode.FIXED_PRECISION, precision=30), _share(d, planes - 30)),
+        "rate": (codec_config(mode=CompressionMode.FIXED_RATE, rate=32.0), _share(d, planes - whole)),
+    }
+
+
+for _name in ("accuracy", "precision", "rate"):
+
+    @add(f"compression_{_name}_lineitem", "SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) AS BIGINT) AS points, true AS lossy FROM " + LI_SQL)
+    def _(spark, sf_dir, name=_name):
+        points, dims = grids.lineitem_grid(spark, sf_dir)
+        config, bound = _bounds(3)[name]
+        return violations(points.withColumn("v", F.col("v") / 7), PlanR2R(dims, 2, grid=(1, 2, 1), config=config), bound)
+
+    @add(f"compression_{_name}_embeddings", "SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) AS BIGINT) AS points, true AS lossy FROM " + EM_SQL)
+    def _(spark, sf_dir, name=_name):
+        points, dims = grids.embeddings_grid(spark, sf_dir)
+        config, bound = _bounds(2)[name]
+        return violations(points, PlanR2R(dims, 8, config=config), bound)
+
+
+@add("compression_permuted", sql_placement(LI_SQL, LI, (1, 2, 3), Layout.Y_PENCILS))
 def _(spark, sf_dir):
-    """Eleven bits a value: within a 1024th of the power of two above the largest value."""
-    near = moved(spark, sf_dir, Transpose.X_TO_Y, (1, 2, 3), RATE)
-    points, _ = grids.lineitem_grid(spark, sf_dir)
-    both = near.withColumnRenamed("v", "w").join(points, list(AX)).crossJoin(F.broadcast(points.agg(F.pow(F.lit(2.0), F.floor(F.log2(F.max("v"))) + 1).alias("top"))))  # one row
-    return both.agg(F.sum((F.abs(F.col("v") - F.col("w")) > F.col("top") / 1024).cast("long")).alias("violations"), F.count("*").alias("points"))
+    """Blocks sent in the old order of axes and decoded into the new one."""
+    kept = codec_config(mode=CompressionMode.FIXED_ACCURACY, tolerance=1e-9).with_(transpose_mode=TransposeMode.UNPACK)
+    out = moved(spark, sf_dir, Transpose.X_TO_Y, (1, 2, 3), kept)
+    return out.withColumn("v", F.round("v", 6))
 
 
 def brick_plan(config=BLOCK, kind=PlanR2R, **more):
@@ -443,7 +595,7 @@ def _(spark, sf_dir):
 
 THREE = {
     "generic": dict(parts=6, grid=(1, 2, 3)), "zslab": dict(parts=4), "yslab": dict(parts=4, grid=(1, 4, 1), config=BLOCK.with_(enable_y_slab=True, enable_z_slab=False)),
-    "sql": dict(parts=1, executor=Executor.SQL), "key_exchange": dict(parts=6, grid=(1, 2, 3), config=Config()),
+    "sql": dict(parts=1, executor=Executor.SQL), "lines": dict(parts=6, grid=(1, 2, 3), config=Config()), "planes": dict(parts=4, config=Config()),
 }
 for _name, _more in THREE.items():
 
@@ -453,6 +605,40 @@ for _name, _more in THREE.items():
         return rounded(PlanC2C(dims, **{"executor": NP, "config": BLOCK, **more}).execute(grids.complex_of(points), Execute.FORWARD).select("x", "y", "z", "re", "im"))
 
 
+#: Lines of a given length: one of small primes, a power of two, a prime.
+LENGTHS = (1000, 128, 97)
+
+
+def long_sql(n: int) -> str:
+    return f"""(SELECT a.x, a.y, coalesce(sum(l.v), 0) / 1e6 AS v FROM (SELECT CAST(i % {n} AS INT) AS x, CAST(i // {n} AS INT) AS y FROM range({4 * n}) t(i)) a LEFT JOIN
+ (SELECT (l_orderkey * 7 + l_suppkey) % {n} AS x, l_linenumber % 4 AS y, l_quantity AS v FROM lineitem) l ON a.x = l.x AND a.y = l.y GROUP BY a.x, a.y)"""
+
+
+def long_grid(spark, sf_dir, n):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    p = t.select(((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % n).cast("int").alias("x"), (F.col("l_linenumber") % 4).cast("int").alias("y"), F.col("l_quantity").cast("double").alias("v"))
+    return grids.densify(p, (n, 4)).withColumn("v", F.col("v") / 1e6)
+
+
+for _n in LENGTHS:
+
+    @add(f"fft_array_{_n}", sql_round(sql_all(long_sql(_n), (_n, 4)), AX[:2]))
+    def _(spark, sf_dir, n=_n):
+        """Array transforms in DataFrame functions, against sums."""
+        points = grids.complex_of(long_grid(spark, sf_dir, n))
+        return rounded(PlanC2C((n, 4), 4, executor=Executor.SQL).execute(points, Execute.FORWARD))
+
+
+@add("fft_array_half_97", sql_round(sql_half(long_sql(97), (97, 4)), AX[:2]))
+def _(spark, sf_dir):
+    return rounded(PlanR2C((97, 4), 4, executor=Executor.SQL).execute(long_grid(spark, sf_dir, 97), Execute.FORWARD))
+
+
+@add("roundtrip_array_128", sql_round(long_sql(128), AX[:2], ("v",)))
+def _(spark, sf_dir):
+    return round_trip(PlanR2C((128, 4), 4, executor=Executor.SQL), long_grid(spark, sf_dir, 128), 512)
+
+
 @add("fft_c2c_3d_bwd", sql_round(sql_all(LI_SQL, LI, False), AX))
 def _(spark, sf_dir):
     points, dims = grids.lineitem_grid(spark, sf_dir)
@@ -606,13 +792,45 @@ def _(spark, sf_dir):
     return rounded(plan.execute(grids.complex_of(points), Execute.FORWARD))
 
 
-@add("reshape_key_exchange", PENCIL)
+@add("reshape_lines", PENCIL)
 def _(spark, sf_dir):
     plan = brick_plan(Config())
     points, _ = grids.lineitem_grid(spark, sf_dir)
     return plan.placement(plan.reshape(plan.scatter(points, Layout.X_BRICKS), Reshape.X_BRICKS_TO_PENCILS), Layout.X_PENCILS)
 
 
+@add("reshape_lines_back", BRICK)
+def _(spark, sf_dir):
+    plan = brick_plan(Config())
+    points, _ = grids.lineitem_grid(spark, sf_dir)
+    return plan.placement(plan.reshape(plan.scatter(points, Layout.X_PENCILS), Reshape.X_PENCILS_TO_BRICKS), Layout.X_BRICKS)
+
+
+@add("brick_execute_lines", sql_round(sql_half(LI_SQL, LI), AX))
+def _(spark, sf_dir):
+    points, _ = grids.lineitem_grid(spark, sf_dir)
+    return rounded(PlanR2C(boxes=dec.brick_boxes(LI, (2, 1, 2)), config=Config(enable_z_slab=False, enable_fourier_reshape=True), executor=NP).execute(points, Execute.FORWARD))
+
+
+@add("brick_roundtrip_lines", sql_round(LI_SQL, AX, ("v",)))
+def _(spark, sf_dir):
+    """Bricks, planes of a slab, bricks."""
+    points, _ = grids.lineitem_grid(spark, sf_dir)
+    return round_trip(PlanR2C(boxes=dec.brick_boxes(LI, (2, 1, 1)), config=Config(), executor=NP), points, prod(LI))
+
+
+@add("report_of_the_plan", "SELECT CAST(2 AS BIGINT) AS exchanges, true AS moved, CAST(0 AS BIGINT) AS spilled, CAST(0 AS BIGINT) AS python")
+def _(spark, sf_dir):
+    """What the executed plan says of itself: points to lines, those to other
+    lines, two exchanges without Python."""
+    points, dims = grids.lineitem_grid(spark, sf_dir)
+    written = store.written(points, store.new_path(spark, "report"))
+    plan = PlanR2R(dims, 6, grid=(1, 2, 3))
+    nodes = executed(plan.transpose(plan.scatter(written, Layout.X_PENCILS), Transpose.X_TO_Y))
+    found = exchanges(nodes)
+    return spark.createDataFrame([(len(found), all(n.bytes > 0 for n in found), sum(n.spilled for n in nodes), sum(n.name == "MapInArrow" for n in nodes))], "exchanges long, moved boolean, spilled long, python long")
+
+
 @add("reshape_async", PENCIL)
 def _(spark, sf_dir):
     plan = brick_plan()

@@ -1,4 +1,4 @@
-"""Codecs, schedules, trials and settings of the exchanges."""
+"""Codecs, rates, trials and settings of the exchanges."""
 
 import numpy as np
 import pytest
@@ -10,6 +10,7 @@ from gridshuttle.enums import Backend, CompressionMode
 from gridshuttle.functions import compression as C
 from gridshuttle.functions import kernels as K
 from gridshuttle.plans import decomposition as D
+from gridshuttle.plans.plan import Rates
 from gridshuttle.sources import grids as G
 
 FEW = dict(enable_mpi_backends=True, n_measure_warmup_iters=0, n_measure_iters=2)
@@ -43,11 +44,7 @@ def test_blocks_never_grow():
     assert np.array_equal(C.decompress(C.compress(odd, CompressionConfig(mode=CompressionMode.FIXED_RATE)), odd.dtype, odd.shape), odd, equal_nan=True)
 
 
-def test_partners_follow_the_schedule():
-    for p in range(2, 10):
-        t = D.schedule(p)
-        for r in range(p):
-            assert D.partners(r, p) == [b for _, a, b in t if a == r]
+def test_groups_of_ranks():
     assert D.groups_of(range(7), 2) == [[0, 1], [2, 3], [4, 5], [6]] and D.groups_of(range(7), 2, strided=True) == [[0, 2, 4, 6], [1, 3, 5]]
 
 
@@ -73,19 +70,13 @@ def test_trials(spark):
         PlanC2C((4, 4), 2, effort=Effort.PATIENT, spark=spark, config=Config(enable_datatype_backend=False))
 
 
-def test_rates_in_the_report(spark):
-    plan = PlanC2C((12, 8), 3, config=Q.RATE)
-    held = plan.scatter(G.random_grid(spark, (12, 8)), Layout.X_PENCILS)
-    rates = plan.compression_rates(held, Transpose.X_TO_Y, "x to y").collect()
-    assert len(rates) == 3 and all(r.rate > 1 for r in rates) and "compression of x to y: from" in plan.report()
-
-
-def test_requests_are_freed(spark):
-    plan = PlanC2C((6, 4), 2, config=Q.BLOCK)
-    held = plan.transpose_end(plan.transpose_start(plan.scatter(G.random_grid(spark, (6, 4)), Layout.X_PENCILS), Transpose.X_TO_Y))
-    assert held.is_cached
-    plan.destroy()
-    assert not held.is_cached
+def test_rates_of_the_running_exchange(spark):
+    plan, rates = PlanC2C((12, 8), 3, config=Q.RATE), Rates("x to y")
+    out = plan.transpose(plan.scatter(G.random_grid(spark, (12, 8)), Layout.X_PENCILS), Transpose.X_TO_Y, rates=rates)
+    assert "compression of x to y" not in plan.report()
+    assert out.count() == 3  # one job moves the boxes and measures them
+    found = rates.get()
+    assert found["raw"] == 12 * 8 * 16 and 1 < found["lowest"] <= found["mean"] <= found["highest"] and "compression of x to y: from" in plan.report()
 
 
 def test_codec_settings(monkeypatch):
