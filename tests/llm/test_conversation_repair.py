@@ -133,10 +133,10 @@ def test_dropped_conversation_and_empty_table(spark):
 
 
 def test_repaired_rows_and_clashing_columns(spark):
-    table = spark.createDataFrame([(1, 0, "assistant", "Hello.", "x", 1, 2), (1, 1, "user", "Hi", "y", 1, 2)], COLUMNS + ", audit string, part int, ID int")
+    table = spark.createDataFrame([(1, 0, "assistant", "Hello.", "x", 1, 2), (1, 1, "user", "Hi.", "y", 1, 2)], COLUMNS + ", audit string, part int, ID int")
     got = conv.repair(table).collect()
-    assert [(r.conv_id, r.whole, r.audit, r.cost) for r in got] == [(1, True, "IKKI", 9)]
-    assert [tuple(x) for x in got[0].lines] == [("user", ""), ("assistant", "Hello."), ("user", "Hi"), ("assistant", "")]
+    assert [(r.conv_id, r.whole, r.audit, r.cost) for r in got] == [(1, True, "IKKI", 6)]
+    assert [tuple(x) for x in got[0].lines] == [("user", ""), ("assistant", "Hello."), ("user", "Hi."), ("assistant", "")]
     split = conv.repair(table, long_rows=1).orderBy("part").collect()
     assert [r.part < 0 for r in split] == [True, False, False] and "".join(r.audit for r in split) == "IKKI"
     assert [tuple(x) for r in split for x in r.lines] == [tuple(x) for x in got[0].lines]
