@@ -20,9 +20,11 @@ and ``p1`` the add-a-half word probability.
    and from each context to its successors, which are numbered relative to
    the successors of the shorter context, and 16-bit logarithms of ``a`` and
    ``b``. The trie lies in one memory map. Every message is then answered by
-   successor search: word counts, and for each trigram the two numbers
-   ``a3 + b3 * a2`` and ``b3 * b2`` (logarithms of ``ANSWER_BITS``).
+   successor search with what the trie holds: counts of words and the codes
+   of ``b2`` (a word), ``a2`` (a pair), ``a3`` and ``b3`` (a trigram). Few
+   different codes are common, so they pack well as they are.
 5. Answers meet their block again, which sums log probabilities by document.
+   Nothing of a score depends on how the documents are dealt to blocks.
 
 A message is pre-summed, so a word, pair or passage that fills a third of all
 texts is one entry a block. No n-gram is dropped and no table of words or
@@ -54,9 +56,6 @@ FOLDS, HELD_OUT, DISCOUNT = 5, 1, 0.75
 #: pair of 10 ** 8 words shares one with probability 0.07), and of that by
 #: which a context's first word is told from others before the same word.
 END, BEGIN, HASH_BITS, FIRST_BITS = 1, 2, 56, 40
-#: Bits of the logarithms in an answer, over the range of each: errors of
-#: about 0.004 a token either way, which cancel in a text.
-ANSWER_BITS = 10
 #: Sizes of a block and a shard; words remembered by a task (of 64 bytes at most).
 BLOCK_TOKENS, SHARD_ENTRIES, CACHE = 1 << 22, 3 << 20, 200_000
 #: Values worked on at once where a whole column would need several copies.
@@ -411,11 +410,11 @@ def grouped(batches):
 # Shards
 
 
-def quantised(x: np.ndarray, bits: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(lowest value and step, codes from 1) of logarithms; minus infinity is code 0."""
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lowest value and step, 16-bit codes from 1) of logarithms; minus infinity is code 0."""
     some = np.isfinite(x)
     lo, hi = (float(x[some].min()), float(x[some].max())) if some.any() else (0.0, 0.0)
-    step = (hi - lo) / ((1 << bits) - 2) or 1.0
+    step = (hi - lo) / ((1 << 16) - 2) or 1.0
     codes = np.empty(len(x), "<u2")
     for i in range(0, len(x), SLICE):
         k = slice(i, i + SLICE)
@@ -423,9 +422,11 @@ def quantised(x: np.ndarray, bits: int = 16) -> tuple[np.ndarray, np.ndarray]:
     return np.array([lo, step], "<f8"), codes
 
 
-def powers(scale: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    table = np.append(0.0, 10.0 ** (scale[0] + scale[1] * np.arange(65535)))
-    return table[codes] if len(codes) > 65536 else np.where(codes > 0, 10.0 ** (scale[0] + scale[1] * (codes.astype(np.float64) - 1)), 0.0)
+def powers(scale: np.ndarray, codes: np.ndarray, missing: float) -> np.ndarray:
+    """What codes stand for; code 0 stands for ``missing``."""
+    if len(codes) > 65536:
+        return np.append(missing, 10.0 ** (scale[0] + scale[1] * np.arange(65535)))[codes]
+    return np.where(codes > 0, 10.0 ** (scale[0] + scale[1] * (codes.astype(np.float64) - 1)), missing)
 
 
 def merged(messages: list[bytes]) -> bytes:
@@ -534,17 +535,17 @@ class Trie:
         room.write(data)
         return Trie(room)
 
-    def value(self, which: int, at: np.ndarray, missing: float) -> np.ndarray:
-        scale, codes = self.values[which]
-        out = np.full(len(at), missing)
+    def codes(self, which: int, at: np.ndarray) -> np.ndarray:
+        """Codes of a level's values; 0 where the place is negative."""
+        out = np.zeros(len(at), np.uint16)
         some = at >= 0
-        out[some] = powers(scale, codes[at[some]])
+        out[some] = self.values[which][1][at[some]]
         return out
 
     def ask(self, words: np.ndarray, firsts: np.ndarray, v: np.ndarray, x: np.ndarray, u: np.ndarray):
         """For rows grouped by v, x (numbers into ``words``; u into
-        ``firsts``): counts of the different v, and the two numbers of each
-        trigram (u, v, x)."""
+        ``firsts``): count and code of b2 of the different v, codes of a2 of
+        the different (v, x), codes of a3 and b3 of each trigram (u, v, x)."""
         ids, before = self.words.find(words), self.firsts.find(firsts)
         first = starts(v)
         run = np.diff(np.append(first, len(v)))
@@ -557,28 +558,25 @@ class Trie:
             r = root[known]
             count[known] = (self.totals.get(r + 1) - self.totals.get(r)).astype(np.int64)
             base[known] = self.first2.get(r).astype(np.int64)
-        left2, root, base = np.repeat(self.value(1, root, 1.0), run), np.repeat(root, run), np.repeat(base, run)
+        left2, root, base = self.codes(1, root), np.repeat(root, run), np.repeat(base, run)
         pair = starts(v, x)
         again = np.diff(np.append(pair, len(v)))
         r, w = root[pair], ids[x[pair]]
         at2, both = np.full(len(pair), -1), (r >= 0) & (w >= 0)
         at2[both] = self.next2.find(r[both] * self.size + w[both])
-        share2, at2 = np.repeat(self.value(0, at2, 0.0), again), np.repeat(at2, again)
+        share2, at2 = self.codes(0, at2), np.repeat(at2, again)
         first_word = before[u]
         context, both = np.full(len(v), -1), (root >= 0) & (first_word >= 0)
         context[both] = self.contexts.find(root[both] * self.before + first_word[both])
         at3, both = np.full(len(v), -1), (context >= 0) & (at2 >= 0)  # w counts from the first successor of the shorter context
         at3[both] = self.next3.find(context[both] * self.most + at2[both] - base[both])
-        left3, share3 = self.value(3, context, 1.0), self.value(2, at3, 0.0)
-        return count, share3 + left3 * share2, left3 * left2
+        return count, left2, share2, self.codes(2, at3), self.codes(3, context)
 
 
 def answered(trie: Trie, message: bytes) -> bytes:
     p = [unsqueeze(c) for c in parted(message)[:5]]
-    count, a, b = trie.ask(*(np.cumsum(c, dtype=np.uint64) for c in p[:2]), *unsteps(*p[2:5]))
-    with np.errstate(divide="ignore"):
-        (scale_a, code_a), (scale_b, code_b) = quantised(np.log10(a), ANSWER_BITS), quantised(np.log10(b), ANSWER_BITS)
-    return joined([squeeze(c) for c in (count, scale_a, code_a, scale_b, code_b)])
+    found = trie.ask(*(np.cumsum(c, dtype=np.uint64) for c in p[:2]), *unsteps(*p[2:5]))
+    return joined([squeeze(c) for c in (*found, np.concatenate([scale for scale, _ in trie.values]))])
 
 
 # The whole
@@ -650,10 +648,13 @@ def summed(blocks: DataFrame, answers: DataFrame, facts: dict) -> DataFrame:
         seen, low, high = np.zeros(len(b.words), np.int64), np.empty(len(b.v)), np.empty(len(b.v))
         for s, data in got.items():
             cut = slice(b.edges[s], b.edges[s + 1])
-            count, scale_a, code_a, scale_b, code_b = map(unsqueeze, parted(data))
-            v = b.v[cut]
-            seen[v[starts(v)]] = count
-            low[cut], high[cut] = powers(scale_b, code_b), powers(scale_a, code_a)
+            count, left2, share2, share3, left3, scales = map(unsqueeze, parted(data))
+            v, scales = b.v[cut], scales.reshape(4, 2)
+            word, pair = starts(v), starts(v, b.x[cut])
+            seen[v[word]] = count
+            rest = powers(scales[3], left3, 1.0)
+            high[cut] = powers(scales[2], share3, 0.0) + rest * np.repeat(powers(scales[0], share2, 0.0), np.diff(np.append(pair, len(v))))
+            low[cut] = rest * np.repeat(powers(scales[1], left2, 1.0), np.diff(np.append(word, len(v))))
         seen[b.words == END] = docs
         p1 = (seen + 0.5) / floor
         p = np.log10(high + low * p1[b.x])

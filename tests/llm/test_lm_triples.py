@@ -13,8 +13,8 @@ import llm.queries as queries
 from llm import lm_scoring as M
 
 
-#: Half a step of answers over at most seven decades.
-STEP = 7 / (1 << M.ANSWER_BITS) / 2 + 2e-4
+#: Half a step of the trie's 16 bits over at most seven decades, in up to three factors.
+STEP = 3 * 7 / (1 << 16) / 2 + 1e-6
 
 
 def toks(t):
@@ -97,6 +97,16 @@ def test_scores_all_triples(spark, monkeypatch, sizes):
     assert gain > 0  # the model knows more of texts it hasn't seen than word counts do
 
 
+def test_scores_do_not_depend_on_the_dealing(spark):
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(corpus())], "doc_id long, text string")
+    found = []
+    for parts, block in ((1, M.BLOCK_TOKENS), (7, 3000), (40, 900)):
+        out = M.score_documents(df.repartition(parts, F.rand(parts)), block_tokens=block, shard_entries=4000).collect()
+        found.append({r.doc_id: (r.base_score, r.score) for r in out})
+    for other in found[1:]:
+        assert all(abs(a - b) < 1e-9 for i in found[0] for a, b in zip(found[0][i], other[i], strict=True))
+
+
 def test_empty_and_untrained(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert M.score_documents(df).count() == 0
