@@ -244,10 +244,62 @@ s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(li
 p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
 SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
-QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
 """
 
 
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(conversations.damaged(read_table(spark, sf_dir, "conversations")), absent="absent")
+
+
+def _repair_sql() -> str:
+    put = lambda label, cost, line, s: f"{{'c': {s}.c + {cost}, 'a': '{label}' || {s}.a, 't': {line} || {s}.t}}"
+    line = lambda role: f"chr(10) || {role} || ':'"
+    most = "{'c': 1000000000, 'a': '', 't': ''}"
+
+    def read(q: int) -> str:
+        """The cheapest way to read the row in grammar state ``q``."""
+        user, to = q != 2, 3 if q == 2 else 2
+        keep = [("u" if user else "a", to), *([("s", 1)] if q == 0 else [])]
+        ways = [f"CASE WHEN f < 2 AND left(role, 1) = '{i}' THEN {put('K', '3 * f', line('role') + ' || text', f's{k}')} ELSE {most} END" for i, k in keep]
+        name = "'user'" if user else "'assistant'"
+        ways.append(f"CASE WHEN f < 2 THEN {put('R', '3 + 3 * f', line(name) + ' || text', f's{to}')} ELSE {most} END")
+        return f"list_min([{', '.join([*ways, put('D', '4', chr(39) * 2, f's{q}')])}])"
+
+    def insert(q: int, more: str) -> str:
+        """No insert before the row, or one before what ``more`` are."""
+        name, to = ("'assistant'", 3) if q == 2 else ("'user'", 2)
+        return f"list_min([e{q}, {put('I', '3', line(name), f'{more}{to}')}])"
+
+    crc = "list_reduce(list_transform(string_split(key, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda c, b: xor(c >> 8, crc_table[CAST(xor(c, b) & 255 AS INT) + 1]), 4294967295)"
+    bit = lambda x: f"CASE WHEN {x} & 1 = 1 THEN xor({x} >> 1, 3988292384) ELSE {x} >> 1 END"
+    table = "list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: " + bit("a") + "))"
+    four = lambda f: ", ".join(f(q) for q in range(4))
+    return rf"""
+WITH RECURSIVE crc AS (SELECT {table} AS crc_table),
+g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+w AS (SELECT conv_id, turn, role, text, xor({crc}, 4294967295) % 20 AS way FROM g, crc),
+d AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE WHEN way = 1 THEN '' WHEN way = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(CASE WHEN way = 3 THEN [0, 1] ELSE [0] END) AS copy FROM w WHERE way <> 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+p AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3 WHEN regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 0 ELSE 1 END AS f,
+        left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM o),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 2) AS blank, count(*) FILTER (f = 3) AS duplicate,
+        count(*) FILTER (f = 1) AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM p GROUP BY conv_id),
+r(conv_id, k, s0, s1, s2, s3) AS (
+  SELECT conv_id, n, {{'c': 0, 'a': '', 't': ''}}, {{'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}, {{'c': 3, 'a': 'I', 't': chr(10) || 'assistant:'}}, {{'c': 0, 'a': '', 't': ''}} FROM n
+  UNION ALL
+  SELECT conv_id, k, {four(lambda q: insert(q, 'm'))} FROM (
+    SELECT *, {four(lambda q: insert(q, 'e') + f' AS m{q}')} FROM (
+      SELECT r.conv_id, k - 1 AS k, {four(lambda q: read(q) + f' AS e{q}')} FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = k WHERE k > 0))),
+b AS (SELECT conv_id, s0.c AS cost, s0.a AS audit, substr(s0.t, 2) AS t FROM r WHERE k = 0)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+SQL["op13_conversation_repair"] = _repair_sql()

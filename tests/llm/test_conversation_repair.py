@@ -148,3 +148,19 @@ def test_query_equals_plain_version(spark):
     got = sorted(map(tuple, entry.queries()["op13_conversation_repair"](spark, "/root/testdata/sf0.01").collect()), key=str)
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert got == plain(rows)
+
+
+def test_sql_equals_plain_version():
+    import duckdb
+    import pandas as pd
+
+    from llm.queries import SQL
+
+    rows = make(5, [0, 1, 2, 3, 4, 9, 14, 7, 30, 2] * 3)
+    table = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", table)
+    got = con.sql(SQL["op13_conversation_repair"])
+    names = ["conv_id", *conv.COUNTS, "audit", "repaired_sha256"]
+    places = [got.columns.index(n) for n in names]
+    assert sorted((tuple(r[p] for p in places) for r in got.fetchall()), key=str) == plain(rows)
