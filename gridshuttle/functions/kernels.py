@@ -25,6 +25,13 @@ def permute_backward_end(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a.transpose(1, 0, 2))
 
 
+def written(a: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
+    """``a`` with its axes in the order ``axes``, read in order and written with strides."""
+    out = np.empty([a.shape[k] for k in axes], a.dtype)
+    out.transpose(np.argsort(axes))[...] = a
+    return out
+
+
 def pack(a: np.ndarray, starts, counts) -> np.ndarray:
     """A sub-box (fastest axis first) as a contiguous run."""
     return a[tuple(slice(s, s + n) for s, n in zip(reversed(starts), reversed(counts), strict=True))].ravel()
@@ -53,4 +60,4 @@ def pack_backward(a: np.ndarray, starts, counts) -> np.ndarray:
 
 def get_fused(kernel):
     """What a kernel becomes when a partner's part is packed at a time."""
-    return {permute_forward: pack_forward, permute_backward: pack_backward}.get(kernel, kernel)
+    return {permute_forward: pack_forward, permute_backward: pack_backward}.get(kernel, pack)

@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CompressionConfig
-from ..enums import Layout, TransposeMode
+from ..enums import AccessMode, Layout, TransposeMode
 from ..errors import ErrorCode, GridError
 from ..functions import compression as codec
+from ..functions import kernels
 from ..plans.decomposition import Box, order_of
 from ..plans.layouts import CutTree
 from ..ship import ship
@@ -57,9 +58,16 @@ def _memory(order: Sequence[int]) -> tuple[int, ...]:
     return tuple(n - 1 - a for a in reversed(order))
 
 
-def to_memory(a: np.ndarray, order: Sequence[int]) -> np.ndarray:
-    """[z, y, x] as the layout keeps it."""
-    return np.ascontiguousarray(a.transpose(_memory(order)))
+#: The kernel that brings [z, y, x] into each memory order (of the same number of axes as the array).
+KERNELS = {(0, 1, 2): np.ascontiguousarray, (1, 2, 0): kernels.permute_forward, (2, 0, 1): kernels.permute_backward, (0, 1): np.ascontiguousarray, (1, 0): kernels.permute_forward}
+
+
+def to_memory(a: np.ndarray, order: Sequence[int], access: AccessMode = AccessMode.READ) -> np.ndarray:
+    """[z, y, x] as the layout keeps it: reading with strides, or (``WRITE``)
+    reading in order and writing with strides."""
+    if access == AccessMode.WRITE and not a.transpose(_memory(order)).flags.c_contiguous:
+        return kernels.written(a, _memory(order))
+    return KERNELS[tuple(order)](a)
 
 
 def from_memory(data, counts: Sequence[int], order: Sequence[int], dtype) -> np.ndarray:
@@ -171,7 +179,7 @@ def gather(held: DataFrame, n: int, dtype: np.dtype, work: Work | None = None, o
 
 def redistribute(
     held: DataFrame, source: Layout, target: Layout, boxes: Sequence[Box], dtype_in: np.dtype, dtype_out: np.dtype | None = None, before: Work | None = None, after: Work | None = None,
-    mode: TransposeMode = TransposeMode.PACK, compression: CompressionConfig | None = None, fused: bool = False, observed: Observation | None = None,
+    mode: TransposeMode = TransposeMode.PACK, compression: CompressionConfig | None = None, fused: bool = False, access: AccessMode = AccessMode.READ, observed: Observation | None = None,
 ) -> DataFrame:
     """Boxes in ``source`` to ``boxes`` in ``target``. ``before`` runs on a box
     ahead of packing (its result is of ``dtype_out``), ``after`` on the new one.
@@ -192,16 +200,16 @@ def redistribute(
                 a = before(a, row["rank"]) if before else a
                 lo, hi = np.array(row["starts"]), np.array(row["starts"]) + np.array(list(reversed(a.shape)))
                 order = order_out if mode == TransposeMode.PACK else order_in
-                whole = None if fused else to_memory(a, order)
+                whole = None if fused else to_memory(a, order, access)
                 needed = np.flatnonzero(((starts < hi) & (ends > lo)).all(axis=1) & (ends > starts).all(axis=1)).tolist()
                 raw = sent = 0
                 for d in needed:
                     s, e = np.maximum(lo, starts[d]), np.minimum(hi, ends[d])
-                    cut = [slice(s[x] - lo[x], e[x] - lo[x]) for x in range(n)]
                     if fused:
-                        part = to_memory(a[tuple(reversed(cut))], order)
+                        part = kernels.get_fused(KERNELS[order])(a, s - lo, e - s)
                     else:
-                        part = np.ascontiguousarray(whole[tuple(cut[x] for x in reversed(order))])
+                        part = kernels.pack(whole, (s - lo)[list(order)], (e - s)[list(order)])
+                    part = part.reshape(tuple((e - s)[list(reversed(order))]))
                     data = codec.compress(part, compression) if compression else part.tobytes()
                     raw, sent = raw + part.nbytes, sent + len(data)
                     told = (raw, sent) if d == needed[-1] else (None, None)  # a rank's sums, once
@@ -210,20 +218,28 @@ def redistribute(
     def unpack(batches):
         new: dict[int, list] = {}
         order = order_out if mode == TransposeMode.PACK else order_in
+        placed = mode == TransposeMode.PACK and not compression
         for batch in batches:
             for row in batch.to_pylist():
                 d = row["dest"]
                 b = boxes[d]
-                if d not in new:
-                    new[d] = [np.empty(tuple(reversed(b.counts)), dtype_out), 0]
-                if compression:  # decoded straight into [z, y, x]
-                    part = codec.decompress(row["data"], dtype_out, tuple(row["counts"][a] for a in reversed(order)), tuple(np.argsort(_memory(order)).tolist()))
+                if d not in new:  # in memory order where pieces come so
+                    new[d] = [np.empty(tuple(b.counts[x] for x in (reversed(order_out) if placed else reversed(range(n)))), dtype_out), 0]
+                at = np.array(row["starts"]) - b.starts
+                counts = np.array(row["counts"])
+                if placed:
+                    part = np.frombuffer(row["data"], dtype_out)
+                    kernels.unpack(part, new[d][0], at[list(order_out)], counts[list(order_out)])
                 else:
-                    part = from_memory(row["data"], row["counts"], order, dtype_out)
-                new[d][0][tuple(slice(row["starts"][a] - b.starts[a], row["starts"][a] - b.starts[a] + row["counts"][a]) for a in reversed(range(n)))] = part
+                    if compression:  # decoded straight into [z, y, x]
+                        part = codec.decompress(row["data"], dtype_out, tuple(counts[list(reversed(order))].tolist()), tuple(np.argsort(_memory(order)).tolist()))
+                    else:
+                        part = from_memory(row["data"], row["counts"], order, dtype_out)
+                    kernels.unpack(part, new[d][0], at, counts)
                 new[d][1] += part.size
         for d in sorted(new):
             a, got = new.pop(d)
+            a = a.transpose(np.argsort(_memory(order_out))) if placed else a
             if got != a.size:
                 raise GridError(ErrorCode.PENCIL_NOT_CONTINUOUS, f"rank {d} got {got} of {a.size} points")
             out = after(a, d) if after else a

@@ -9,6 +9,7 @@ scaled. One shuffle a step; slab plans save one.
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Sequence
 from math import prod
@@ -46,6 +47,10 @@ class Timing(NamedTuple):
     mean: float
 
 
+#: Bytes of one box, or of one row of lines, that a binary or an array can hold.
+LARGEST_VALUE = (1 << 31) - 1
+
+
 class Rates:
     """Compression rates of one exchange, from the job that runs it."""
 
@@ -108,10 +113,14 @@ class Plan:
         self.rates: list[tuple[str, float, float, float]] = []
         self.directions: dict[tuple[Layout, Layout], Backend] = {}
         self._ended: list[Request] = []
+        self.piecewise: bool | None = None  # whether boxes are permuted a piece at a time; None: as the backend says
+        self._check_sizes()
         if effort > Effort.ESTIMATE:
             spark = spark or SparkSession.getActiveSession()
             check(spark is not None, ErrorCode.INVALID_EFFORT, "trials need a session")
             self._tune(spark)
+        if self.config.enable_log:
+            logging.getLogger("gridshuttle").info("%s", self.report())
 
     # --- layouts
 
@@ -150,6 +159,16 @@ class Plan:
                 self._boxes[L.Z_BRICKS] = fourier_bricks(self.boxes(self.last_layout), along)
                 self.fourier_reshape = True
 
+    def _check_sizes(self) -> None:
+        """No single value beyond what a row can hold: rows of lines split a box
+        of any size, so only a line (a slab's plane) is limited there."""
+        if self.moves_lines:
+            rows = [tuple(self.spectral_dims[a] for a in axes) for _, axes in self.line_stages()]
+            most = max(prod(r) for r in [*rows, self.dims[:1]]) * 8
+            check(most <= LARGEST_VALUE, ErrorCode.ALLOC_FAILED, f"a row of {most} bytes")
+        else:
+            check(self.alloc_bytes <= LARGEST_VALUE, ErrorCode.ALLOC_FAILED, f"a box of {self.alloc_bytes} bytes: use more ranks, or the backend MPI_DATATYPE, which splits boxes into lines")
+
     @property
     def spectral_dims(self) -> tuple[int, ...]:
         return self.dims
@@ -286,7 +305,8 @@ class Plan:
         config = self.config.reshape_compression if reshape else self.config.compression
         if backend == Backend.ADAPTIVE:
             backend = Backend.MPI_P2P
-        return None if backend == Backend.MPI_DATATYPE else {"mode": self.transpose_mode, "compression": config if backend in COMPRESSED else None, "fused": backend in FUSED}
+        fused = backend in FUSED if self.piecewise is None else self.piecewise
+        return None if backend == Backend.MPI_DATATYPE else {"mode": self.transpose_mode, "compression": config if backend in COMPRESSED else None, "fused": fused, "access": self.config.access_mode}
 
     def _between(self, source: Layout, target: Layout) -> Backend:
         """The backend of a direction."""
@@ -519,8 +539,8 @@ class Plan:
         """Trial runs on a grid of zeros, written to nowhere; the fastest stays.
 
         MEASURE tries the grids, PATIENT the backends (ADAPTIVE: for each
-        direction by itself), EXHAUSTIVE also transpose modes and the reshape
-        backend. A trial makes the exchanges that ``execute`` makes forward,
+        direction by itself), EXHAUSTIVE also transpose modes, the reshape
+        backend and (``enable_kernel_autotune``) boxes permuted whole or by pieces. A trial makes the exchanges that ``execute`` makes forward,
         the half spectrum's for real-to-complex plans.
         """
         first = self._after_first()
@@ -571,6 +591,8 @@ class Plan:
             self.reshape_backend = compatible(self.config.reshape_backend, options[0] if self.backend == Backend.ADAPTIVE else self.backend)
         if self.effort >= Effort.EXHAUSTIVE:
             best("mode", list(TransposeMode), lambda m: setattr(self, "transpose_mode", m))
+            if self.config.enable_kernel_autotune and not self.moves_lines:
+                best("kernel", [False, True], lambda o: setattr(self, "piecewise", o))
             if self.reshape_enabled and options:
                 bricks = ex.scatter(self._zeros(spark, self.dims, self.dtype_of(L.X_BRICKS)), self.boxes(L.X_BRICKS), L.X_BRICKS, self.dtype_of(L.X_BRICKS))
                 best("reshape", options, lambda o: setattr(self, "reshape_backend", o), lambda: sunk(self._exchange(bricks, L.X_BRICKS, L.X_PENCILS, reshape=True)))

@@ -296,6 +296,27 @@ def _(spark, sf_dir):
     return a.union(b)
 
 
+#: Bricks along x alone, one shape for each way to spread six ranks over the other axes: (y, z, parts of y, parts of z).
+SPREADS = {"all to z": ("ny", "nz", 1, 6), "all to y": ("ny", "8", 6, 1), "an even pair": ("12", "8", 2, 3), "as square as can be": ("5", "7", 3, 2)}
+
+
+def _spread_sql(name: str, y: str, z: str, qy: int, qz: int) -> str:
+    cut = lambda n, p, c: (f"({c}) * ({n} // {p}) + greatest(0, ({c}) - ({p} - {n} % {p}))", f"{n} // {p} + CASE WHEN ({c}) >= {p} - {n} % {p} THEN 1 ELSE 0 END")
+    a, b = cut(y, qy, f"r // {qz}"), cut(z, qz, f"r % {qz}")
+    return f"SELECT '{name}' AS way, CAST(r AS INT) AS rank, CAST(nx AS INT) AS x_count, CAST({a[0]} AS INT) AS y_start, CAST({a[1]} AS INT) AS y_count, CAST({b[0]} AS INT) AS z_start, CAST({b[1]} AS INT) AS z_count FROM {SIZES_SQL}, range(6) t(r)"
+
+
+@add("bricks_to_pencils", " UNION ALL ".join(_spread_sql(n, *v) for n, v in SPREADS.items()))
+def _(spark, sf_dir):
+    """Pencils of bricks, as long in x as the table says."""
+    sizes, rows = dict(zip(("nx", "ny", "nz"), table_dims(spark, sf_dir), strict=True)), []
+    for name, (y, z, _, _) in SPREADS.items():
+        dims = (sizes["nx"], *(sizes[k] if k in sizes else int(k) for k in (y, z)))
+        for r, b in enumerate(dec.pencils_from_bricks(dec.brick_boxes(dims, (6, 1, 1)))):
+            rows.append((name, r, b.counts[0], b.starts[1], b.counts[1], b.starts[2], b.counts[2]))
+    return spark.createDataFrame(rows, "way string, rank int, x_count int, y_start int, y_count int, z_start int, z_count int")
+
+
 #: Two boxes a vector, cut at a place of its own: a layout that is no product of cuts.
 _CUT = "(8 + vec_id * 37 % 48)"
 
@@ -383,7 +404,7 @@ def _(spark, sf_dir):
     return plan.placement(plan.transpose_end(request), Layout.Y_PENCILS)
 
 
-@add("compression_bound", "SELECT CAST(0 AS BIGINT) AS violations, CAST(384 AS BIGINT) AS points")
+@add("compression_bound", "SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) AS BIGINT) AS points FROM " + LI_SQL)
 def _(spark, sf_dir):
     tol = 1e-3
     lossy = BLOCK.with_(backend=Backend.MPI_P2P_COMPRESSED, compression=CompressionConfig(mode=CompressionMode.FIXED_ACCURACY, tolerance=tol))
@@ -514,42 +535,44 @@ def _(spark, sf_dir):
 # --- kernels on one box
 
 
-def on_box(spark, sf_dir, run):
+KERNEL_GRID = (1, 2, 2)
+_BOX = f"(SELECT CAST(y // 4 * 2 + z // 2 AS INT) AS rank, x, y % 4 AS y, z % 2 AS z, v FROM {LI_SQL})"
+_PART = "x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 2"
+
+
+def on_boxes(spark, sf_dir, run):
+    """A kernel on every rank's box, 12 x 4 x 2 points each."""
     points, dims = grids.lineitem_grid(spark, sf_dir)
-    held = ex.scatter(points, [dec.Box((0, 0, 0), dims)], Layout.X_PENCILS, np.dtype("f8"))
+    held = ex.scatter(points, dec.pencil_boxes(dims, KERNEL_GRID, Layout.X_PENCILS), Layout.X_PENCILS, np.dtype("f8"))
 
     def local(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for data in batch.column(4).to_pylist():
-                out = run(np.frombuffer(data, "f8").reshape(tuple(reversed(dims)))).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out)], names=["local_offset", "v"])
-
-    return held.mapInArrow(local, "local_offset long, v double")
-
-
-ORDER_SQL = {"permute_forward": ("y", 8, "z", 4, "x"), "permute_backward": ("z", 4, "x", 12, "y"), "permute_backward_start": ("z", 4, "y", 8, "x")}
-for _name, (_a, _na, _b, _nb, _c) in ORDER_SQL.items():
+            for row in batch.to_pylist():
+                out = run(np.frombuffer(row["data"], "f8").reshape(tuple(reversed(row["counts"])))).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(out.size, row["rank"], np.int32)), pa.array(np.arange(out.size)), pa.array(out)], names=["rank", "local_offset", "v"])
 
-    @add(f"kernel_{_name}", f"SELECT CAST({_a} + {_na} * ({_b} + {_nb} * {_c}) AS BIGINT) AS local_offset, v FROM {LI_SQL}")
-    def _(spark, sf_dir, kernel=getattr(kernels, _name)):
-        return on_box(spark, sf_dir, kernel)
+    return held.mapInArrow(local, "rank int, local_offset long, v double")
 
 
-@add("kernel_permute_backward_end", f"SELECT CAST(z + 4 * (x + 12 * y) AS BIGINT) AS local_offset, v FROM {LI_SQL}")
-def _(spark, sf_dir):
-    return on_box(spark, sf_dir, lambda a: kernels.permute_backward_end(kernels.permute_backward_start(a)))
-
+_SUB = ((2, 1, 0), (5, 2, 2))
+KERNEL_CASES = {
+    "permute_forward": ("y + 4 * (z + 2 * x)", "", kernels.permute_forward), "permute_backward": ("z + 2 * (x + 12 * y)", "", kernels.permute_backward),
+    "permute_backward_start": ("z + 2 * (y + 4 * x)", "", kernels.permute_backward_start), "permute_backward_end": ("z + 2 * (x + 12 * y)", "", lambda a: kernels.permute_backward_end(kernels.permute_backward_start(a))),
+    "pack": ("(x - 2) + 5 * ((y - 1) + 2 * z)", _PART, lambda a: kernels.pack(a, *_SUB)), "copy": ("x + 12 * (y + 4 * z)", "", kernels.copy),
+    "pack_forward": ("(y - 1) + 2 * (z + 2 * (x - 2))", _PART, lambda a: kernels.get_fused(kernels.permute_forward)(a, *_SUB)), "pack_backward": ("z + 2 * ((x - 2) + 5 * (y - 1))", _PART, lambda a: kernels.get_fused(kernels.permute_backward)(a, *_SUB)),
+}
+for _name, (_at, _where, _run) in KERNEL_CASES.items():
 
-@add("kernel_pack", f"SELECT CAST((x - 2) + 5 * ((y - 1) + 4 * (z - 1)) AS BIGINT) AS local_offset, v FROM {LI_SQL} WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 4 AND z BETWEEN 1 AND 2")
-def _(spark, sf_dir):
-    return on_box(spark, sf_dir, lambda a: kernels.pack(a, (2, 1, 1), (5, 4, 2)))
+    @add(f"kernel_{_name}", f"SELECT rank, CAST({_at} AS BIGINT) AS local_offset, v FROM {_BOX} WHERE {_where or 'true'}")
+    def _(spark, sf_dir, run=_run):
+        return on_boxes(spark, sf_dir, run)
 
 
-@add("kernel_unpack", f"SELECT CAST(x + 12 * (y + 8 * z) AS BIGINT) AS local_offset, CASE WHEN x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 4 AND z BETWEEN 1 AND 2 THEN v ELSE 0 END AS v FROM {LI_SQL}")
+@add("kernel_unpack", f"SELECT rank, CAST(x + 12 * (y + 4 * z) AS BIGINT) AS local_offset, CASE WHEN {_PART} THEN v ELSE 0 END AS v FROM {_BOX}")
 def _(spark, sf_dir):
-    return on_box(spark, sf_dir, lambda a: kernels.unpack(kernels.pack(a, (2, 1, 1), (5, 4, 2)), np.zeros_like(a), (2, 1, 1), (5, 4, 2)))
+    return on_boxes(spark, sf_dir, lambda a: kernels.unpack(kernels.pack(a, *_SUB), np.zeros_like(a), *_SUB))
 
 
 # --- transforms
@@ -735,7 +758,7 @@ def _(spark, sf_dir):
     return rounded(PlanR2R(dims, 6, grid=(1, 2, 3), config=BLOCK).execute(points, Execute.FORWARD))
 
 
-@add("single_precision_roundtrip", "SELECT CAST(0 AS BIGINT) AS violations, CAST(384 AS BIGINT) AS points")
+@add("single_precision_roundtrip", "SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) AS BIGINT) AS points FROM " + LI_SQL)
 def _(spark, sf_dir):
     points, dims = grids.lineitem_grid(spark, sf_dir)
     plan = PlanC2C(dims, 6, grid=(1, 2, 3), executor=NP, precision=Precision.SINGLE, config=BLOCK)
@@ -745,9 +768,10 @@ def _(spark, sf_dir):
     return both.agg(F.sum((worst > grids.tolerance(prod(dims), True)).cast("long")).alias("violations"), F.count("*").alias("points"))
 
 
-@add("random_roundtrip_error", "SELECT CAST(129 * 33 * 9 AS BIGINT) AS points, true AS within")
+@add("random_roundtrip_error", f"SELECT CAST(nx * ny * nz AS BIGINT) AS points, true AS within FROM {SIZES_SQL}")
 def _(spark, sf_dir):
-    dims = (129, 33, 9)
+    """Random values on a grid as large as the table says."""
+    dims = table_dims(spark, sf_dir)
     points = grids.random_grid(spark, dims)
     plan = PlanC2C(dims, 8, executor=NP, config=BLOCK)
     back = grids.scaled(plan.execute(plan.execute(points, Execute.FORWARD), Execute.BACKWARD), prod(dims))
@@ -848,102 +872,85 @@ def _(spark, sf_dir):
     return plan.placement(plan.transpose(plan.scatter(points, Layout.X_PENCILS), Transpose.X_TO_Y), Layout.Y_PENCILS)
 
 
-@add("tuning_trials", "SELECT * FROM (VALUES ('grid', CAST(4 AS BIGINT)), ('backend', 3), ('mode', 2), ('reshape', 0)) t(what, trials)")
-def _(spark, sf_dir):
-    """What EXHAUSTIVE tries for a half spectrum of 12 x 8 x 6 on six ranks: (1,1,6), (1,2,3), (1,3,2), (1,6,1)."""
-    few = Config(enable_mpi_backends=True, enable_pipelined_backends=False, n_measure_warmup_iters=0, n_measure_iters=1)
-    plan = PlanR2C((12, 8, 6), 6, effort=Effort.EXHAUSTIVE, spark=spark, executor=NP, config=few)
-    assert all(t.shortest <= t.mean <= t.longest for t in plan.timings) and "mean" in plan.report()
-    what = lambda n: "grid" if n.startswith("(") else "mode" if n in {str(m) for m in TransposeMode} else "backend"
-    found = [what(t.name) for t in plan.timings]
-    return spark.createDataFrame([(k, found.count(k)) for k in ("grid", "backend", "mode", "reshape")], "what string, trials long")
-
-
-@add("transpose_kernels_fused", f"SELECT CAST((y - 1) + 4 * ((z - 1) + 2 * (x - 2)) AS BIGINT) AS local_offset, v FROM {LI_SQL} WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 4 AND z BETWEEN 1 AND 2")
-def _(spark, sf_dir):
-    return on_box(spark, sf_dir, lambda a: kernels.get_fused(kernels.permute_forward)(a, (2, 1, 1), (5, 4, 2)))
-
-
-@add("kernel_pack_backward", f"SELECT CAST((z - 1) + 2 * ((x - 2) + 5 * (y - 1)) AS BIGINT) AS local_offset, v FROM {LI_SQL} WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 4 AND z BETWEEN 1 AND 2")
-def _(spark, sf_dir):
-    return on_box(spark, sf_dir, lambda a: kernels.pack_backward(a, (2, 1, 1), (5, 4, 2)))
+_TUNED = "(SELECT count(DISTINCT month(l_shipdate)) AS nx, max(l_linenumber) AS ny, 2 * count(DISTINCT l_returnflag) AS nz FROM lineitem)"
 
 
-@add("kernel_copy", f"SELECT CAST(x + 12 * (y + 8 * z) AS BIGINT) AS local_offset, v FROM {LI_SQL}")
+@add(
+    "tuning_trials",
+    f"""SELECT 'grid' AS what, CAST(count(*) FILTER (6 % i = 0 AND i <= least(nx // 2 + 1, ny) AND 6 // i <= least(ny, nz)) AS BIGINT) AS trials FROM {_TUNED}, range(1, 7) t(i)
+ UNION ALL SELECT 'backend', 2 UNION ALL SELECT 'mode', 2 UNION ALL SELECT 'reshape', 2""",
+)
 def _(spark, sf_dir):
-    return on_box(spark, sf_dir, kernels.copy)
+    """What EXHAUSTIVE tries on six ranks: grids that leave no rank empty, lines
+    and boxes, packing and unpacking, and for bricks both ways of reshaping."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    dims = tuple(t.agg(F.countDistinct(F.month("l_shipdate")), F.max("l_linenumber"), 2 * F.countDistinct("l_returnflag")).first())  # one row
+    few = Config(enable_mpi_backends=True, enable_pipelined_backends=False, n_measure_warmup_iters=0, n_measure_iters=1)
+    plan = PlanR2C(dims, 6, effort=Effort.EXHAUSTIVE, spark=spark, executor=NP, config=few)
+    bricks = PlanR2C(boxes=dec.brick_boxes(dims, (2, 1, 2)), effort=Effort.EXHAUSTIVE, spark=spark, executor=NP, config=few)
+    assert all(t.shortest <= t.mean <= t.longest for t in plan.timings) and "mean" in plan.report()
+    count = lambda p, what: sum(t.name.startswith(what) for t in p.timings)
+    return spark.createDataFrame([*((k, count(plan, k)) for k in ("grid", "backend", "mode")), ("reshape", count(bricks, "reshape"))], "what string, trials long")
 
 
+_MOST = f"(SELECT max(n) FROM (SELECT {_VOLUME('a')} AS n FROM {sql_table_boxes(BIG_GRID, Layout.X_PENCILS)} a UNION ALL SELECT {_VOLUME('a')} FROM {sql_table_boxes(BIG_GRID, Layout.Y_PENCILS)} a UNION ALL SELECT {_VOLUME('a')} FROM {sql_table_boxes(BIG_GRID, Layout.Z_PENCILS)} a))"
+#: Properties of plans of the table's grid, and how they follow from its sizes.
 PROPERTIES = {
-    "element size": 16, "element size, single": 8, "element size, real": 8, "ranks": 6, "alloc": 96, "alloc bytes": 1536, "aux": 192, "aux, key exchange": 96, "aux of reshape": 0, "z-slab": 0, "z-slab of 4": 1,
-    "last layout": 5, "last layout, y-slab": 4, "spectral x": 7, "grid y": 2, "grid z": 3, "platform": 1, "precision": 1, "version": 200, "version 3.2.1": 30201, "spectral bricks x": 2, "spectral bricks y": 1, "spectral bricks z": 2,
+    "alloc": _MOST, "alloc bytes": f"16 * {_MOST}", "alloc bytes, single": f"8 * {_MOST}", "aux": f"2 * {_MOST}", "aux of lines": _MOST, "aux bytes": f"32 * {_MOST}", "z-slab": "CASE WHEN 4 <= nz THEN 1 ELSE 0 END",
+    "z-slab of a given grid": "0", "last layout": "5", "last layout, y-slab": "4", "spectral x": "nx // 2 + 1", "points": "nx * ny * nz", "bricks x": "CASE WHEN nz // 2 > 8 THEN 1 ELSE 2 END", "bricks y": "CASE WHEN nz // 2 > 8 THEN 2 ELSE 1 END", "bricks z": "2", "tolerance, in 1e-18": "CAST(round(5 * log2(nx * ny * nz) * pow(2.0, -52) * 1e18) AS BIGINT)",
 }
 
 
-@add("plan_properties", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({v} AS BIGINT))" for k, v in PROPERTIES.items()) + ") t(name, value)")
+@add("plan_properties", " UNION ALL ".join(f"SELECT '{k}' AS name, CAST({v} AS BIGINT) AS value FROM {SIZES_SQL}" for k, v in PROPERTIES.items()))
 def _(spark, sf_dir):
-    from . import version
-
-    a, b = PlanC2C(LI, 6, grid=(1, 2, 3), config=BLOCK), PlanR2C(LI, 6, grid=(1, 2, 3), config=BLOCK)
-    y = PlanC2C(LI, 4, grid=(1, 4, 1), config=BLOCK.with_(enable_y_slab=True, enable_z_slab=False))
-    s = spectral_plan()
+    dims = table_dims(spark, sf_dir)
+    a, y = PlanC2C(dims, 6, grid=BIG_GRID, config=BLOCK), PlanC2C(dims, 4, grid=(1, 4, 1), config=BLOCK.with_(enable_y_slab=True, enable_z_slab=False))
+    s = PlanR2R(boxes=dec.brick_boxes(dims, (2, 1, 2)), config=NO_SLAB)
     bricks = dec.fourier_grid(s.boxes(Layout.Z_PENCILS), 2)
     found = {
-        "element size": a.element_size, "element size, single": PlanC2C(LI, 6, precision=Precision.SINGLE).element_size, "element size, real": b.element_size, "ranks": a.parts, "alloc": a.alloc_size, "alloc bytes": a.alloc_bytes,
-        "aux": a.aux_size, "aux, key exchange": PlanC2C(LI, 6, grid=(1, 2, 3), config=Config()).aux_size, "aux of reshape": a.aux_size_reshape, "z-slab": a.z_slab_enabled, "z-slab of 4": PlanC2C(LI, 4, config=BLOCK).z_slab_enabled,
-        "last layout": a.last_layout, "last layout, y-slab": y.last_layout, "spectral x": b.spectral_dims[0], "grid y": a.grid[1], "grid z": a.grid[2], "platform": a.platform, "precision": a.precision, "version": version(),
-        "version 3.2.1": version(3, 2, 1), "spectral bricks x": bricks[0], "spectral bricks y": bricks[1], "spectral bricks z": bricks[2],
+        "alloc": a.alloc_size, "alloc bytes": a.alloc_bytes, "alloc bytes, single": PlanC2C(dims, 6, grid=BIG_GRID, precision=Precision.SINGLE).alloc_bytes, "aux": a.aux_size, "aux of lines": PlanC2C(dims, 6, grid=BIG_GRID, config=Config()).aux_size,
+        "aux bytes": a.aux_bytes, "z-slab": PlanC2C(dims, 4, config=BLOCK).z_slab_enabled, "z-slab of a given grid": a.z_slab_enabled, "last layout": a.last_layout, "last layout, y-slab": y.last_layout,
+        "spectral x": PlanR2C(dims, 6, grid=BIG_GRID).spectral_dims[0], "points": prod(a.dims), "bricks x": bricks[0], "bricks y": bricks[1], "bricks z": bricks[2], "tolerance, in 1e-18": round(grids.tolerance(prod(dims)) * 1e18),
     }
     return spark.createDataFrame([(k, int(v)) for k, v in found.items()], "name string, value long")
 
 
-@add("backend_families", "SELECT CAST(b AS INT) AS backend, b IN (26, 27, 28, 30, 32, 33, 34, 35, 37) AS pipelined, b IN (32, 33, 34, 35, 37) AS fused, b IN (29, 30, 33, 35) AS rma, b IN (34, 35, 37) AS compressed, b IN (24, 27, 37) AS nccl, b IN (25, 28) AS cufftmp, b NOT IN (24, 25, 27, 28, 36, 37) AS mpi, CAST(CASE WHEN b IN (24, 25, 27, 28, 37) THEN 22 ELSE b END AS INT) AS beside_p2p FROM range(21, 38) t(b)")
-def _(spark, sf_dir):
-    from . import enums as e
-    from .plans.plan import compatible
+CUBE = (128, 128, 128)
+_CUBE_ROWS = "(SELECT CAST(l_orderkey % 128 AS INT) AS x, CAST(l_partkey % 128 AS INT) AS y, CAST(l_suppkey % 128 AS INT) AS z, l_quantity AS q FROM lineitem)"
+_CUBE_SQL = f"(SELECT a.x, a.y, a.z, coalesce(sum(q), 0) AS v FROM (SELECT CAST(i % 128 AS INT) AS x, CAST(i // 128 % 128 AS INT) AS y, CAST(i // 16384 AS INT) AS z FROM range(2097152) t(i)) a LEFT JOIN {_CUBE_ROWS} l ON a.x = l.x AND a.y = l.y AND a.z = l.z GROUP BY a.x, a.y, a.z)"
 
-    sets = (e.PIPELINED, e.FUSED, e.RMA, e.COMPRESSED, e.NCCL_FAMILY, e.CUFFTMP_FAMILY, e.MPI_FAMILY)
-    rows = [(int(b), *[b in s for s in sets], int(compatible(b, Backend.MPI_P2P))) for b in Backend]
-    return spark.createDataFrame(rows, "backend int, pipelined boolean, fused boolean, rma boolean, compressed boolean, nccl boolean, cufftmp boolean, mpi boolean, beside_p2p int")
 
+def cube(spark, sf_dir) -> DataFrame:
+    """Quantities on 128 x 128 x 128 points."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    p = t.select(*[(F.col(f"l_{c}key") % 128).cast("int").alias(a) for a, c in zip(AX, ("order", "part", "supp"), strict=True)], F.col("l_quantity").alias("v"))
+    return grids.densify(p, CUBE)
 
-@add("settings_order", "SELECT * FROM (VALUES ('default', 5, 8.0), ('session', 7, 12.0), ('argument', 9, 12.0)) t(source, iterations, rate)")
-def _(spark, sf_dir):
-    rows = [("default", *(lambda c: (c.n_measure_iters, c.compression.rate))(Config.load(spark)))]
-    given = {"gridshuttle.n_measure_iters": "7", "gridshuttle.compression.rate": "12"}
-    try:
-        for k, v in given.items():
-            spark.conf.set(k, v)
-        rows += [("session", *(lambda c: (c.n_measure_iters, c.compression.rate))(Config.load(spark))), ("argument", *(lambda c: (c.n_measure_iters, c.compression.rate))(Config.load(spark, n_measure_iters=9)))]
-    finally:
-        for k in given:
-            spark.conf.unset(k)
-    return spark.createDataFrame(rows, "source string, iterations int, rate double").withColumn("rate", F.col("rate").cast("decimal(3,1)"))
 
+for _name, _config in (("transpose_cube", BLOCK), ("transpose_cube_lines", Config())):
 
-CUBE = (128, 128, 128)
+    @add(_name, f"SELECT rank, count(*) AS points, CAST(sum(v * (local_offset % 1009)) AS BIGINT) AS checksum FROM ({sql_placement(_CUBE_SQL, CUBE, (1, 2, 4), Layout.Y_PENCILS)}) GROUP BY rank")
+    def _(spark, sf_dir, config=_config):
+        """From x- to y-pencils."""
+        plan = PlanR2R(CUBE, 8, grid=(1, 2, 4), config=config)
+        out = plan.placement(plan.transpose(plan.scatter(cube(spark, sf_dir), Layout.X_PENCILS), Transpose.X_TO_Y), Layout.Y_PENCILS)
+        return out.groupBy("rank").agg(F.count("*").alias("points"), F.sum(F.col("v") * (F.col("local_offset") % 1009)).cast("long").alias("checksum"))
 
 
-@add(
-    "transpose_cube",
-    f"""SELECT rank, count(*) AS points, CAST(sum(v * (local_offset % 1009)) AS BIGINT) AS checksum FROM (
- {sql_placement("(SELECT CAST(i % 128 AS INT) AS x, CAST(i // 128 % 128 AS INT) AS y, CAST(i // 16384 AS INT) AS z, CAST((i * 31) % 97 AS DOUBLE) AS v FROM range(2097152) t(i))", CUBE, (1, 2, 4), Layout.Y_PENCILS)}) GROUP BY rank""",
-)
-def _(spark, sf_dir):
-    """128 x 128 x 128 points from x- to y-pencils."""
-    points = grids.coordinates(spark, CUBE).withColumn("v", ((F.col("x") + 128 * F.col("y") + 16384 * F.col("z").cast("long")) * 31 % 97).cast("double"))
-    plan = PlanR2R(CUBE, 8, grid=(1, 2, 4), config=BLOCK)
-    out = plan.placement(plan.transpose(plan.scatter(points, Layout.X_PENCILS), Transpose.X_TO_Y), Layout.Y_PENCILS)
-    return out.groupBy("rank").agg(F.count("*").alias("points"), F.sum(F.col("v") * (F.col("local_offset") % 1009)).cast("long").alias("checksum"))
+_LINES_OF_CUBE = [(0, 0, 0), (5, 17, 100), (127, 0, 1), (64, 64, 64), (1, 2, 3), (90, 33, 0), (0, 111, 50), (31, 99, 127)]
 
+for _name, _config in (("fft_cube", BLOCK), ("fft_cube_lines", Config())):
 
-@add("fft_cube", "SELECT 5 AS x, 17 AS y, 100 AS z, CAST(2097152 AS DOUBLE) AS re")
-def _(spark, sf_dir):
-    """A wave on 128 x 128 x 128 points has one spectral line."""
-    turn = (5 * F.col("x") + 17 * F.col("y") + 100 * F.col("z")) % 128 * (2 * np.pi / 128)
-    points = grids.coordinates(spark, CUBE).select(*AX, F.cos(turn).alias("re"), F.sin(turn).alias("im"))
-    f = PlanC2C(CUBE, 8, executor=NP, config=BLOCK).execute(points, Execute.FORWARD)
-    return f.where(F.col("re") * F.col("re") + F.col("im") * F.col("im") > 1e-6).select(*AX, F.round("re", 3).alias("re"))
+    @add(
+        _name,
+        f"""SELECT CAST(fx AS INT) AS x, CAST(fy AS INT) AS y, CAST(fz AS INT) AS z, round(sum(q / 1e6 * cos(2 * pi() * ((x * fx + y * fy + z * fz) % 128) / 128)), 6) + 0.0 AS re, round(-sum(q / 1e6 * sin(2 * pi() * ((x * fx + y * fy + z * fz) % 128) / 128)), 6) + 0.0 AS im
+ FROM {_CUBE_ROWS}, (VALUES {', '.join(map(str, _LINES_OF_CUBE))}) f(fx, fy, fz) GROUP BY fx, fy, fz""",
+    )
+    def _(spark, sf_dir, config=_config):
+        """Some lines of the spectrum of 128 x 128 x 128 points, against sums over the table."""
+        points = grids.complex_of(cube(spark, sf_dir).withColumn("v", F.col("v") / 1e6))
+        f = PlanC2C(CUBE, 8, executor=NP, config=config).execute(points, Execute.FORWARD)
+        return rounded(f.where(F.struct(*AX).isin(*[F.struct(*[F.lit(k).alias(a) for k, a in zip(line, AX, strict=True)]) for line in _LINES_OF_CUBE])).select(*AX, "re", "im"))
 
 
 #: Calls that must fail, and the code they fail with.
@@ -965,8 +972,3 @@ def _ended():
     plan = PlanC2C((4, 4), 1)
     plan.destroy()
     return plan
-
-
-@add("call_errors", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {c})" for n, (_, c) in WRONG.items()) + ") t(name, code)")
-def _(spark, sf_dir):
-    return spark.createDataFrame([(n, code_of(f)) for n, (f, _) in WRONG.items()], "name string, code int")

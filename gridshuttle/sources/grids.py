@@ -8,6 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..enums import Layout
+from ..errors import ErrorCode, check
+from ..plans.decomposition import Box, split
+
 AXES = ("x", "y", "z")
 
 
@@ -59,12 +63,24 @@ def complex_of(points: DataFrame) -> DataFrame:
     return points.select(*[c for c in points.columns if c != "v"], F.col("v").alias("re"), F.lit(0.0).alias("im"))
 
 
-def collect_ndarray(points: DataFrame, dims) -> np.ndarray:
-    """A small grid as an array [z, y, x]."""
-    t = points.toPandas()
-    out = np.zeros(tuple(reversed(dims)), complex if "re" in t else float)
-    at = tuple(t[AXES[a]].to_numpy() for a in reversed(range(len(dims))))
-    out[at] = t["re"] + 1j * t["im"] if "re" in t else t["v"]
+def collect_ndarray(points: DataFrame, dims, box_values: int = 1 << 20) -> np.ndarray:
+    """A grid that fits the driver as an array [z, y, x]: put together in boxes
+    of about ``box_values`` by tasks, fetched a partition at a time into place."""
+    from ..operators import exchange
+
+    kind = np.dtype("f4" if dict(points.dtypes).get("re", dict(points.dtypes).get("v")) == "float" else "f8")
+    dtype = (np.dtype("c8" if kind.itemsize == 4 else "c16")) if "re" in points.columns else kind
+    n, last = len(dims), dims[-1]
+    parts = max(1, min(last, -(-prod(dims) // box_values)))
+    cuts = [split(last, parts, r) for r in range(parts)]
+    boxes = [Box((0,) * (n - 1) + (s,), (*dims[:-1], c)) for s, c in cuts]
+    out = np.empty(tuple(reversed(dims)), dtype)
+    got = 0
+    for row in exchange.scatter(points, boxes, Layout.X_PENCILS, dtype).select("rank", "data").toLocalIterator(prefetchPartitions=True):
+        s, c = cuts[row["rank"]]
+        out[s : s + c] = np.frombuffer(row["data"], dtype).reshape(c, *reversed(dims[:-1]))
+        got += c
+    check(got == last, ErrorCode.PENCIL_NOT_CONTINUOUS, f"{got} of {last} slices have points")
     return out
 
 

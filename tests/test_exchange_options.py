@@ -6,7 +6,8 @@ import pytest
 from gridshuttle import Config, Effort, Execute, Executor, Layout, PlanC2C, PlanR2C, Transpose, version
 from gridshuttle import queries as Q
 from gridshuttle.config import CompressionConfig
-from gridshuttle.enums import Backend, CompressionMode
+from gridshuttle.enums import AccessMode, Backend, CompressionMode
+from gridshuttle.functions import block_codec as B
 from gridshuttle.functions import compression as C
 from gridshuttle.functions import kernels as K
 from gridshuttle.plans import decomposition as D
@@ -16,19 +17,42 @@ from gridshuttle.sources import grids as G
 FEW = dict(enable_mpi_backends=True, n_measure_warmup_iters=0, n_measure_iters=2)
 
 
-@pytest.mark.parametrize("rate", [1.5, 8.0, 12.5, 31.0])
-@pytest.mark.parametrize("n", [1, 255, 256, 1000])
-def test_fixed_rate_sizes_and_bounds(rate, n):
-    c = CompressionConfig(mode=CompressionMode.FIXED_RATE, rate=rate)
-    x = np.random.default_rng(n).normal(size=n) * 1e5
-    data = C.compress(x, c)
-    bits = C.value_bits(rate)
-    if data[0] == C.RATE:
-        assert len(data) == 2 + 2 * -(-n // C.GROUP) + -(-n * bits // 8)
-    top = 2.0 ** (np.floor(np.log2(np.abs(x).max())) + 1)
-    assert np.abs(C.decompress(data, x.dtype, x.shape) - x).max() <= top * 2.0 ** (1 - bits)
-    z = (x + 1j * x[::-1]).reshape(1, n)
-    assert np.abs(C.decompress(C.compress(z, c), z.dtype, z.shape) - z).max() <= 2 * top * 2.0 ** (1 - bits)
+def smooth(*shape):
+    at = np.meshgrid(*[np.arange(n) / 7 for n in shape], indexing="ij")
+    return sum(np.sin(x + k) for k, x in enumerate(at)) * 1e3
+
+
+@pytest.mark.parametrize("shape", [(33,), (17, 12), (9, 5, 13), (4, 4, 4), (1, 2, 3)])
+@pytest.mark.parametrize("rough", [False, True])
+def test_block_codec_bounds(shape, rough):
+    x = smooth(*shape) + (np.random.default_rng(1).normal(size=shape) * 50 if rough else 0)
+    d, top = len(shape), 2.0 ** (np.floor(np.log2(np.abs(x).max())) + 1)
+    kept = lambda a, **c: C.decompress(C.compress(a, CompressionConfig(**c)), a.dtype, a.shape)
+    for tolerance in (1.0, 1e-4, 1e-9, 1e-15):
+        assert np.abs(kept(x, mode=CompressionMode.FIXED_ACCURACY, tolerance=tolerance) - x).max() <= tolerance
+        single = x.astype("f4")
+        assert np.abs(kept(single, mode=CompressionMode.FIXED_ACCURACY, tolerance=tolerance).astype("f8") - single).max() <= tolerance
+    for bits in (2, 20, 40):
+        bound = B.error_bound(d, max(B.planes_of(d) - bits, 0)) * top / 2.0**B.FRACTION
+        assert np.abs(kept(x, mode=CompressionMode.FIXED_PRECISION, precision=bits) - x).max() <= bound
+    errors = [np.abs(kept(x, mode=CompressionMode.FIXED_RATE, rate=r) - x).max() for r in (8.0, 16.0, 31.5)]
+    assert errors[0] >= errors[1] >= errors[2] and errors[2] <= top * 1e-3
+    for r in (2.0, 8.0, 12.5):
+        data = C.compress(np.tile(x, (2,) * d), CompressionConfig(mode=CompressionMode.FIXED_RATE, rate=r))
+        assert data[0] == C.RAW or len(data) == C.fixed_size(tuple(2 * n for n in shape), r)
+    z = x + 1j * x[::-1]
+    assert np.abs(kept(z, mode=CompressionMode.FIXED_ACCURACY, tolerance=1e-3) - z).max() <= 1.5e-3
+
+
+def test_block_codec_decodes_into_other_axes():
+    x = smooth(6, 9, 5)
+    for mode in (CompressionMode.LOSSLESS, CompressionMode.FIXED_ACCURACY, CompressionMode.FIXED_RATE):
+        data = C.compress(x, CompressionConfig(mode=mode, rate=20.0, tolerance=1e-3))
+        plain = C.decompress(data, x.dtype, x.shape)
+        for axes in ((0, 1, 2), (2, 0, 1), (1, 2, 0), (2, 1, 0)):
+            assert (C.decompress(data, x.dtype, x.shape, axes) == plain.transpose(axes)).all()
+    q = np.random.default_rng(2).integers(-(2**50), 2**50, (50, 4, 4, 4))
+    assert (B.unlift(B.lift(q)) == q).all() and np.abs(B.lift(q)).max() < 2**57
 
 
 def test_blocks_never_grow():
@@ -53,7 +77,21 @@ def test_fused_kernels():
     sub = a[1:3, 0:4, 2:5]
     assert (K.get_fused(K.permute_forward)(a, (2, 0, 1), (3, 4, 2)) == K.permute_forward(sub).ravel()).all()
     assert (K.get_fused(K.permute_backward)(a, (2, 0, 1), (3, 4, 2)) == K.permute_backward(sub).ravel()).all()
-    assert K.get_fused(K.pack) is K.pack and (K.copy(a) == a).all() and K.copy(a) is not a
+    assert K.get_fused(np.ascontiguousarray) is K.pack and (K.copy(a) == a).all() and K.copy(a) is not a
+
+
+def test_access_modes_and_kernel_trials(spark, caplog):
+    a = np.arange(4 * 5 * 6.0).reshape(4, 5, 6)
+    for axes in ((2, 0, 1), (1, 2, 0), (0, 1, 2)):
+        assert (K.written(a, axes) == a.transpose(axes)).all() and K.written(a, axes).flags.c_contiguous
+    points = G.random_grid(spark, (6, 8, 4))
+    want = np.fft.fftn(G.collect_ndarray(points, (6, 8, 4)))
+    for access in AccessMode:
+        plan = PlanC2C((6, 8, 4), 6, grid=(1, 2, 3), executor=Executor.NUMPY, config=Q.BLOCK.with_(access_mode=access))
+        assert np.allclose(G.collect_ndarray(plan.execute(points, Execute.FORWARD), (6, 8, 4)), want)
+    with caplog.at_level("INFO", "gridshuttle"):
+        tuned = PlanC2C((6, 8, 4), 4, effort=Effort.EXHAUSTIVE, spark=spark, config=Config(backend=Backend.MPI_P2P, enable_datatype_backend=False, enable_kernel_autotune=True, enable_log=True, **FEW))
+    assert {"kernel False", "kernel True"} <= {t.name for t in tuned.timings} and tuned.piecewise is not None and "backend MPI_P2P" in caplog.text
 
 
 def test_trials(spark):
@@ -65,7 +103,7 @@ def test_trials(spark):
     assert np.allclose(G.collect_ndarray(plan.execute(points, Execute.FORWARD), (6, 8, 4)), np.fft.fftn(a))
     bricks = PlanR2C(boxes=D.brick_boxes((8, 8, 4), (2, 2, 1)), effort=Effort.EXHAUSTIVE, spark=spark, config=Config(**FEW), executor=Executor.NUMPY)
     names = [t.name for t in bricks.timings]
-    assert str(bricks.reshape_backend) in names and names.count(str(Backend.MPI_P2P)) == 2  # for transposes, then for reshapes
+    assert f"reshape {bricks.reshape_backend.name}" in names and {"backend MPI_P2P", "reshape MPI_P2P", "reshape MPI_DATATYPE", "mode PACK"} <= set(names)
     with pytest.raises(Exception, match="BACKENDS_DISABLED"):
         PlanC2C((4, 4), 2, effort=Effort.PATIENT, spark=spark, config=Config(enable_datatype_backend=False))
 
