@@ -185,6 +185,14 @@ def test_tuning_times_lines_and_boxes(spark):
     assert {"backend MPI_DATATYPE", "backend MPI_P2P"} <= {t.name for t in plan.timings}
 
 
+def test_names_and_flags():
+    assert E.backend_string(E.Backend.MPI_P2P) == "MPI_P2P" and E.backend_string(21) == "MPI_DATATYPE" and E.precision_string(0) == "SINGLE" and E.executor_string(1) == "NUMPY"
+    assert E.is_numpy_enabled() and E.is_compression_enabled() and not E.is_cuda_enabled()
+    for f in (E.backend_string, E.precision_string, E.executor_string):
+        with pytest.raises(ValueError):
+            f(99)
+
+
 def test_backend_families():
     assert E.PIPELINED == {26, 27, 28, 30, 32, 33, 34, 35, 37} and E.FUSED == {32, 33, 34, 35, 37} and E.RMA == {29, 30, 33, 35} and E.COMPRESSED == {34, 35, 37}
     assert E.NCCL_FAMILY == {24, 27, 37} and E.CUFFTMP_FAMILY == {25, 28} and E.MPI_FAMILY == set(range(21, 36)) - {24, 25, 27, 28}
