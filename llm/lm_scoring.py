@@ -429,6 +429,16 @@ def powers(scale: np.ndarray, codes: np.ndarray, missing: float) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** (scale[0] + scale[1] * (codes.astype(np.float64) - 1)), missing)
 
 
+def by_frequency(codes: np.ndarray) -> list[np.ndarray]:
+    """The different codes by falling frequency, and the place of each code
+    among them: nearly all places fit the lower byte."""
+    values, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.uint32)
+    place[order] = np.arange(len(order))
+    return [values[order], place[which]]
+
+
 def merged(messages: list[bytes]) -> bytes:
     """The trie of all training n-grams in ``messages``."""
     words, firsts = (distinct(np.cumsum(unsqueeze(parted(m)[k]), dtype=np.uint64) for m in messages) for k in (0, 1))
@@ -575,8 +585,9 @@ class Trie:
 
 def answered(trie: Trie, message: bytes) -> bytes:
     p = [unsqueeze(c) for c in parted(message)[:5]]
-    found = trie.ask(*(np.cumsum(c, dtype=np.uint64) for c in p[:2]), *unsteps(*p[2:5]))
-    return joined([squeeze(c) for c in (*found, np.concatenate([scale for scale, _ in trie.values]))])
+    count, left2, share2, share3, left3 = trie.ask(*(np.cumsum(c, dtype=np.uint64) for c in p[:2]), *unsteps(*p[2:5]))
+    both = by_frequency((share3.astype(np.uint32) << 16) | left3)  # a trigram's two codes come together
+    return joined([squeeze(c) for c in (count, left2, *by_frequency(share2), *both, np.concatenate([scale for scale, _ in trie.values]))])
 
 
 # The whole
@@ -648,7 +659,9 @@ def summed(blocks: DataFrame, answers: DataFrame, facts: dict) -> DataFrame:
         seen, low, high = np.zeros(len(b.words), np.int64), np.empty(len(b.v)), np.empty(len(b.v))
         for s, data in got.items():
             cut = slice(b.edges[s], b.edges[s + 1])
-            count, left2, share2, share3, left3, scales = map(unsqueeze, parted(data))
+            count, left2, share2, place2, both, place3, scales = map(unsqueeze, parted(data))
+            share2, both = share2[place2], both[place3]
+            share3, left3 = both >> 16, both & 0xFFFF
             v, scales = b.v[cut], scales.reshape(4, 2)
             word, pair = starts(v), starts(v, b.x[cut])
             seen[v[word]] = count
