@@ -286,7 +286,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     table = slots(patterns)
     if blocks:  # each is a sequence of its own
         table.append((capacity // GRID + 1, 0, blocks, 1, whole, 0))
-    ranked = ordered_rows(all_items.drop("ids", "wide"), [F.col("unit"), F.col("draw"), F.col("doc_id"), F.col("start")], "pack-ranks")
+    ranked = ordered_rows(all_items.drop("ids", "wide"), [F.col("unit"), F.col("draw"), F.col("doc_id"), F.col("start"), F.col("uid")], "pack-ranks")
     bounds = {u: sorted((lo, hi, c, s, k) for v, lo, hi, c, s, k in table if v == u) for u in per_unit}
     names = ["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "unit", "draw"]
 
