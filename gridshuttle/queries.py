@@ -386,7 +386,7 @@ for _name, (_kind, _grid) in MOVES.items():
 
 
 for _name, _config in {
-    "unpack_mode": BLOCK.with_(transpose_mode=TransposeMode.UNPACK), "fused": BLOCK.with_(backend=Backend.MPI_P2P_FUSED),
+    "key_exchange": Config(), "unpack_mode": BLOCK.with_(transpose_mode=TransposeMode.UNPACK), "fused": BLOCK.with_(backend=Backend.MPI_P2P_FUSED),
     "compressed_lossless": BLOCK.with_(backend=Backend.MPI_P2P_COMPRESSED), "scheduled": BLOCK.with_(backend=Backend.MPI_P2P_SCHEDULED),
     "pipelined": BLOCK.with_(backend=Backend.MPI_P2P_PIPELINED), "all_to_all": BLOCK.with_(backend=Backend.MPI_A2A), "one_sided": BLOCK.with_(backend=Backend.MPI_RMA),
 }.items():
@@ -467,7 +467,7 @@ def _bounds(d):
 
 for _name in ("accuracy", "precision", "rate"):
 
-    @add(f"compression_{_name}_lineitem", "SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) AS BIGINT) AS points, true AS lossy FROM " + LI_SQL)
+    @add("compression_rate_bound" if _name == "rate" else f"compression_{_name}_lineitem", "SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) AS BIGINT) AS points, true AS lossy FROM " + LI_SQL)
     def _(spark, sf_dir, name=_name):
         points, dims = grids.lineitem_grid(spark, sf_dir)
         config, bound = _bounds(3)[name]
@@ -565,7 +565,7 @@ KERNEL_CASES = {
 }
 for _name, (_at, _where, _run) in KERNEL_CASES.items():
 
-    @add(f"kernel_{_name}", f"SELECT rank, CAST({_at} AS BIGINT) AS local_offset, v FROM {_BOX} WHERE {_where or 'true'}")
+    @add("transpose_kernels_fused" if _name == "pack_forward" else f"kernel_{_name}", f"SELECT rank, CAST({_at} AS BIGINT) AS local_offset, v FROM {_BOX} WHERE {_where or 'true'}")
     def _(spark, sf_dir, run=_run):
         return on_boxes(spark, sf_dir, run)
 
@@ -618,7 +618,7 @@ def _(spark, sf_dir):
 
 THREE = {
     "generic": dict(parts=6, grid=(1, 2, 3)), "zslab": dict(parts=4), "yslab": dict(parts=4, grid=(1, 4, 1), config=BLOCK.with_(enable_y_slab=True, enable_z_slab=False)),
-    "sql": dict(parts=1, executor=Executor.SQL), "lines": dict(parts=6, grid=(1, 2, 3), config=Config()), "planes": dict(parts=4, config=Config()),
+    "sql": dict(parts=1, executor=Executor.SQL), "key_exchange": dict(parts=6, grid=(1, 2, 3), config=Config()), "planes": dict(parts=4, config=Config()),
 }
 for _name, _more in THREE.items():
 
@@ -816,7 +816,7 @@ def _(spark, sf_dir):
     return rounded(plan.execute(grids.complex_of(points), Execute.FORWARD))
 
 
-@add("reshape_lines", PENCIL)
+@add("reshape_key_exchange", PENCIL)
 def _(spark, sf_dir):
     plan = brick_plan(Config())
     points, _ = grids.lineitem_grid(spark, sf_dir)
