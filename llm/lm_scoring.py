@@ -11,7 +11,8 @@ and ``p1`` the add-a-half word probability.
 2. Words are summed by ranges of their hash: N, V and the words so frequent
    that one shard can't take all n-grams around them.
 3. A block sends its distinct trigrams (u, v, w) to the shard of the middle
-   word v, as one packed message a shard. So a shard has all that its
+   word v, as one packed message a shard, which names the ``COMMON`` most
+   frequent words by rank and others by hash. So a shard has all that its
    n-grams need: pairs (v, w), contexts (u, v) and the count of v. The
    trigrams of a frequent v are split by u, and each of its shards also gets
    the pair counts of the others.
@@ -28,8 +29,9 @@ and ``p1`` the add-a-half word probability.
 
 A message is pre-summed, so a word, pair or passage that fills a third of all
 texts is one entry a block. No n-gram is dropped and no table of words or
-n-grams reaches the driver but the frequent words (each more than
-``SHARD_ENTRIES`` / 4 times, so at most one in that many tokens).
+n-grams reaches the driver but the words to split (each more than
+``SHARD_ENTRIES`` / 4 times, so at most one in that many tokens) and a bounded
+number of candidates for the most frequent ones.
 
 A token is a word (anything but ASCII white space, A-Z lower-cased) or the
 end of a text. Words are known by a 56-bit hash. Defined results: null text
@@ -58,6 +60,8 @@ FOLDS, HELD_OUT, DISCOUNT = 5, 1, 0.75
 END, BEGIN, HASH_BITS, FIRST_BITS = 1, 2, 56, 40
 #: Sizes of a block and a shard; words remembered by a task (of 64 bytes at most).
 BLOCK_TOKENS, SHARD_ENTRIES, CACHE = 1 << 22, 3 << 20, 200_000
+#: The most frequent words, which messages name by rank (8 bytes each in every task).
+COMMON = 1 << 16
 #: Values worked on at once where a whole column would need several copies.
 SLICE = 1 << 18
 RESULT = (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
@@ -211,8 +215,16 @@ class Block:
     """One block's tokens: the distinct trigrams (u, v, w as numbers into
     ``words``) in the order of their shard, then v, w, u."""
 
-    def __init__(self, words: bytes, codes: bytes, held: list, sizes: list, heavy: tuple[np.ndarray, np.ndarray], shards: int):
+    def __init__(self, words: bytes, codes: bytes, held: list, sizes: list, heavy: tuple[np.ndarray, np.ndarray], shards: int, common: np.ndarray):
         self.words, w = np.cumsum(unsqueeze(words), dtype=np.uint64), unsqueeze(codes).view(np.int32)
+        # numbers: common words by rank, then others by hash
+        at = rank_of(self.words, common)
+        by = np.lexsort((self.words, np.where(at < 0, len(common), at)))
+        self.ranks, self.words = at[by], self.words[by]
+        number = np.empty(len(by), np.int32)
+        number[by] = np.arange(len(by), dtype=np.int32)
+        w = number[w]
+        del at, by, number
         begin = int(np.flatnonzero(self.words == BEGIN)[0])
         self.sizes, self.w = np.asarray(sizes, np.int64), w
         self.firsts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
@@ -289,8 +301,29 @@ class Block:
             v, x, ev, ex = (places[c] for c in (v, x, ev, ex))
             before, places = numbered(len(self.words), u)
             u = places[u]
-            hashes = [np.diff(h, prepend=np.uint64(0)) for h in (self.words[used], first_words(self.words[before]))]
-            yield s, joined([squeeze(c) for c in (*hashes, *steps(v, x, u), n.astype(np.uint32), *(c.astype(np.uint32) for c in (ev, ex, en)))])
+            lists = [told(self.ranks[used], self.words[used]), told(self.ranks[before], first_words(self.words[before]))]
+            yield s, joined([*lists, *(squeeze(c) for c in (*steps(v, x, u), n.astype(np.uint32), *(c.astype(np.uint32) for c in (ev, ex, en))))])
+
+
+def rank_of(words: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Places of ``words`` in ``common``, -1 where they are not in it."""
+    if not len(common):
+        return np.full(len(words), -1)
+    by = np.argsort(common)
+    at = by[np.minimum(np.searchsorted(common, words, sorter=by), len(common) - 1)]
+    return np.where(common[at] == words, at, -1)
+
+
+def told(ranks: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Words in the order of their numbers: ranks of common ones, then hashes."""
+    k = int((ranks >= 0).sum())
+    return joined([squeeze(np.diff(ranks[:k], prepend=0).astype(np.uint32)), squeeze(np.diff(hashes[k:], prepend=np.uint64(0)))])
+
+
+def heard(data: bytes, common: np.ndarray) -> np.ndarray:
+    """Undoes ``told`` with the hashes of the common words."""
+    ranks, rest = map(unsqueeze, parted(data))
+    return np.concatenate([common[np.cumsum(ranks, dtype=np.int64)], np.cumsum(rest, dtype=np.uint64)])
 
 
 def first_words(words: np.ndarray) -> np.ndarray:
@@ -374,9 +407,9 @@ def word_facts(blocks: DataFrame, shard_entries: int) -> dict:
             both = [[unsqueeze(c) for c in parted(d)] for d in data]
             w, of = np.unique(np.concatenate([np.cumsum(a, dtype=np.uint64) for a, _ in both]), return_inverse=True)
             n = np.bincount(of, np.concatenate([b for _, b in both])).astype(np.int64)
-            much = n > limit
+            first = np.lexsort((w, -n))[: max(int((n > limit).sum()), -(-2 * COMMON // ranges))]
             return pa.RecordBatch.from_arrays(
-                [pa.array([None, *w[much].view(np.int64).tolist()], pa.int64()), pa.array([len(w), *[0] * int(much.sum())], pa.int64()), pa.array([int(n.sum()), *n[much].tolist()], pa.int64())], names=["w", "words", "n"]
+                [pa.array([None, *w[first].view(np.int64).tolist()], pa.int64()), pa.array([len(w), *[0] * len(first)], pa.int64()), pa.array([int(n.sum()), *n[first].tolist()], pa.int64())], names=["w", "words", "n"]
             )
 
         for _, rows in grouped(batches):
@@ -384,12 +417,14 @@ def word_facts(blocks: DataFrame, shard_entries: int) -> dict:
             give_back()
 
     sent = blocks.select("words", "codes", "held", "sizes").mapInArrow(count, "range long, data binary")
-    found = sent.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "w long, words long, n long").collect()  # a row a range, and the words to split
-    heavy = sorted([(r.w % (1 << 64), -(-r.n // limit)) for r in found if r.w is not None and r.w != END] + ([(BEGIN, -(-docs // limit))] if docs > limit else []))
+    found = sent.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "w long, words long, n long").collect()  # a row a range, the words to split, 2 * COMMON others
+    named = [(r.w % (1 << 64), r.n) for r in found if r.w is not None]
+    common = sorted((w for w in named if w[1] > 1), key=lambda w: (-w[1], w[0]))[:COMMON]
+    heavy = sorted([(w, -(-n // limit)) for w, n in named if n > limit and w != END] + ([(BEGIN, -(-docs // limit))] if docs > limit else []))
     sums = [r for r in found if r.w is None]
     return {
         "train_tokens": sum(r.n for r in sums), "vocabulary": sum(r.words for r in sums), "train_docs": docs, "shards": max(1, -(-total // shard_entries)),
-        "heavy": (np.array([w for w, _ in heavy], np.uint64), np.array([k for _, k in heavy], np.int64)),
+        "common": np.array([w for w, _ in common], np.uint64), "heavy": (np.array([w for w, _ in heavy], np.uint64), np.array([k for _, k in heavy], np.int64)),
     }
 
 
@@ -439,13 +474,15 @@ def by_frequency(codes: np.ndarray) -> list[np.ndarray]:
     return [values[order], place[which]]
 
 
-def merged(messages: list[bytes]) -> bytes:
+def merged(messages: list[bytes], common: np.ndarray) -> bytes:
     """The trie of all training n-grams in ``messages``."""
-    words, firsts = (distinct(np.cumsum(unsqueeze(parted(m)[k]), dtype=np.uint64) for m in messages) for k in (0, 1))
+    tables = common, first_words(common)
+    words, firsts = (distinct(heard(parted(m)[k], tables[k]) for m in messages) for k in (0, 1))
     columns: list[list] = [[] for _ in range(7)]
     for m in messages:  # one at a time, as they take several times their size
-        p = [unsqueeze(c) for c in parted(m)]
-        to, before = (np.searchsorted(all_, np.cumsum(c, dtype=np.uint64)).astype(np.int32) for all_, c in ((words, p[0]), (firsts, p[1])))
+        p = parted(m)
+        to, before = (np.searchsorted(all_, heard(c, t)).astype(np.int32) for all_, c, t in zip((words, firsts), p[:2], tables, strict=True))
+        p[2:] = map(unsqueeze, p[2:])
         v, x, u = unsteps(*p[2:5])
         some = np.flatnonzero(p[5])
         for column, c in zip(columns, (to[v[some]], to[x[some]], before[u[some]], p[5][some], to[p[6]], to[p[7]], p[8]), strict=True):
@@ -583,9 +620,9 @@ class Trie:
         return count, left2, share2, self.codes(2, at3), self.codes(3, context)
 
 
-def answered(trie: Trie, message: bytes) -> bytes:
-    p = [unsqueeze(c) for c in parted(message)[:5]]
-    count, left2, share2, share3, left3 = trie.ask(*(np.cumsum(c, dtype=np.uint64) for c in p[:2]), *unsteps(*p[2:5]))
+def answered(trie: Trie, message: bytes, common: np.ndarray) -> bytes:
+    p = parted(message)
+    count, left2, share2, share3, left3 = trie.ask(heard(p[0], common), heard(p[1], first_words(common)), *unsteps(*map(unsqueeze, p[2:5])))
     both = by_frequency((share3.astype(np.uint32) << 16) | left3)  # a trigram's two codes come together
     return joined([squeeze(c) for c in (count, left2, *by_frequency(share2), *both, np.concatenate([scale for scale, _ in trie.values]))])
 
@@ -597,13 +634,13 @@ def sent_messages(blocks: DataFrame, facts: dict) -> DataFrame:
     """shard, block, data."""
     import pyarrow as pa
 
-    heavy, shards = facts["heavy"], facts["shards"]
+    heavy, shards, common = facts["heavy"], facts["shards"], facts["common"]
 
     def send(batches):
         for batch in batches:
             for block, held, sizes, words, codes in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 out, size = [], 0
-                for s, data in Block(words, codes, held, sizes, heavy, shards).messages():
+                for s, data in Block(words, codes, held, sizes, heavy, shards, common).messages():
                     out.append((s, block, data))
                     size += len(data)
                     if size > 1 << 23:
@@ -620,15 +657,17 @@ def sent_messages(blocks: DataFrame, facts: dict) -> DataFrame:
     return blocks.select("block", "held", "sizes", "words", "codes").mapInArrow(send, "shard long, block long, data binary")
 
 
-def at_shards(messages: DataFrame, answers: bool) -> DataFrame:
+def at_shards(messages: DataFrame, facts: dict, answers: bool) -> DataFrame:
     """shard, block, data: answers to all messages, or (block null) the
     tries. A row with block null already is its shard's trie."""
     import pyarrow as pa
 
+    common = facts["common"]
+
     def run(batches):
         for s, rows in grouped(batches):
             given = [r[2] for r in rows if r[1] is None]
-            data = given[0] if given else merged([r[2] for r in rows])
+            data = given[0] if given else merged([r[2] for r in rows], common)
             if not answers:
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([None], pa.int64()), pa.array([data], pa.binary())], names=["shard", "block", "data"])
                 continue
@@ -637,7 +676,7 @@ def at_shards(messages: DataFrame, answers: bool) -> DataFrame:
             give_back()
             for _, block, message in rows:
                 if block is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([block], pa.int64()), pa.array([answered(trie, message)], pa.binary())], names=["shard", "block", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([block], pa.int64()), pa.array([answered(trie, message, common)], pa.binary())], names=["shard", "block", "data"])
 
     dealt = messages.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first())
     return dealt.mapInArrow(run, "shard long, block long, data binary")
@@ -650,11 +689,11 @@ def summed(blocks: DataFrame, answers: DataFrame, facts: dict) -> DataFrame:
     kind = blocks.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(c, t) for c, t in RESULT]])
     floor = facts["train_tokens"] + 0.5 * (facts["vocabulary"] + 1)
-    total, docs, heavy, shards = facts["train_tokens"], facts["train_docs"], facts["heavy"], facts["shards"]
+    total, docs, heavy, shards, common = (facts[k] for k in ("train_tokens", "train_docs", "heavy", "shards", "common"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         words, codes, held, sizes = (left.column(c)[0].as_py() for c in ("words", "codes", "held", "sizes"))
-        b = Block(words, codes, held, sizes, heavy, shards)
+        b = Block(words, codes, held, sizes, heavy, shards, common)
         got = dict(zip(right.column("shard").to_pylist(), right.column("data").to_pylist(), strict=True))
         seen, low, high = np.zeros(len(b.words), np.int64), np.empty(len(b.v)), np.empty(len(b.v))
         for s, data in got.items():
@@ -687,7 +726,7 @@ def train_model(texts: DataFrame, text: str = "text", block_tokens: int = BLOCK_
     rows = texts.select(F.lit(0).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), text_of(text).alias("text"))
     blocks = materialize(blocks_of(rows, block_tokens), "lm-blocks")
     facts = word_facts(blocks, shard_entries)
-    return materialize(at_shards(sent_messages(blocks, facts), False), "lm-tries"), facts
+    return materialize(at_shards(sent_messages(blocks, facts), facts, False), "lm-tries"), facts
 
 
 def score_with(docs: DataFrame, tries: DataFrame, facts: dict, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -695,7 +734,7 @@ def score_with(docs: DataFrame, tries: DataFrame, facts: dict, doc_id: str = "do
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.lit(True).alias("held_out"), text_of(text).alias("text"))
     blocks = materialize(blocks_of(rows, block_tokens), "lm-blocks")
-    return summed(blocks, at_shards(sent_messages(blocks, facts).unionByName(tries), True), facts)
+    return summed(blocks, at_shards(sent_messages(blocks, facts).unionByName(tries), facts, True), facts)
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
@@ -705,4 +744,4 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), text_of(text).alias("text"))
     blocks = materialize(blocks_of(rows, block_tokens), "lm-blocks")
     facts = word_facts(blocks, shard_entries)
-    return summed(blocks, at_shards(sent_messages(blocks, facts), True), facts)
+    return summed(blocks, at_shards(sent_messages(blocks, facts), facts, True), facts)
