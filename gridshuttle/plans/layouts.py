@@ -66,63 +66,76 @@ def mismatches(layout: DataFrame) -> DataFrame:
     """(axis_a, axis_b, start_a, start_b, boxes): places where boxes start
     alike in two axes but don't have the same extent there."""
     n = F.size("starts")
-    pairs = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda a: F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: p["a"] < p["b"])
+    literal = lambda *pairs: F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    pairs = F.when(n == 2, literal((0, 1))).when(n == 3, literal((0, 1), (0, 2), (1, 2)))
     at = layout.where("size > 0").select(F.explode(pairs).alias("p"), "starts", "counts")
     of = lambda w, k: F.get(w, F.col(f"p.{k}"))
-    at = at.select(F.col("p.a").alias("axis_a"), F.col("p.b").alias("axis_b"), of("starts", "a").alias("start_a"), of("starts", "b").alias("start_b"), F.struct(of("counts", "a").alias("x"), of("counts", "b").alias("y")).alias("c"))
-    met = at.groupBy("axis_a", "axis_b", "start_a", "start_b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("boxes"))
-    return met.where("lo <> hi").select("axis_a", "axis_b", "start_a", "start_b", "boxes")
+    at = at.select(F.col("p.a").alias("axis_a"), F.col("p.b").alias("axis_b"), of("starts", "a").alias("start_a"), of("starts", "b").alias("start_b"), of("counts", "a").alias("x"), of("counts", "b").alias("y"))
+    # numbers, as a smallest struct would need every row sorted
+    met = at.groupBy("axis_a", "axis_b", "start_a", "start_b").agg(*[f(c).alias(f"{w}_{c}") for c in "xy" for w, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("boxes"))
+    return met.where("lo_x <> hi_x OR lo_y <> hi_y").select("axis_a", "axis_b", "start_a", "start_b", "boxes")
 
 
-def _levels(counts: Column) -> Column:
-    """For each axis the power of two that a box's extent fits into."""
-    return F.transform(counts, lambda c: F.ceil(F.log2(c)).cast("int"))
+def _level(count: Column) -> Column:
+    """The power of two that an extent fits into."""
+    return F.when(count <= 1, 0).otherwise(F.length(F.bin(count - 1)))
+
+
+def _shifted(kind: Column, a: int) -> Column:
+    """How many bits the cells of a kind (five bits an axis) have on axis ``a``."""
+    return F.shiftright(kind, 5 * a).bitwiseAND(F.lit(31)) + 1
 
 
 def overlaps(layout: DataFrame, hot: int = HOT) -> DataFrame:
     """(rank_a, rank_b) of boxes that share a point, each pair once.
 
     A box's class says, axis by axis, what power of two it fits into. Two boxes
-    are compared on cells as large as the larger of their extents, where each
-    lies in at most two cells an axis; so a box is only sent to the cells of
-    the few sizes that its class can meet. Boxes that don't overlap leave
-    little room for others of their class in a cell, so cells hold few boxes
-    unless the layout is wrong; those of more than ``hot`` are cut up.
+    are compared on cells twice as large as the larger of their classes, where
+    each lies in at most two cells an axis (2.6 in all for boxes of 5 x 7 x 3);
+    so a box is only sent to the cells of the few sizes that its class can
+    meet, as a row of plain numbers, and both sides of the comparison read one
+    shuffle. Boxes that don't overlap leave little room for others of their
+    class in a cell, so cells hold few boxes unless the layout is wrong; where
+    some hold more than ``hot``, cells are cut up.
     """
-    full = layout.where("size > 0").select("rank", "starts", "counts", _levels(F.col("counts")).alias("levels"))
-    classes = sorted({tuple(r.levels) for r in full.select("levels").distinct().collect()})  # at most 32 sizes an axis
+    full = layout.where("size > 0")
+    classes = sorted({tuple(r.levels) for r in full.select(F.transform("counts", _level).alias("levels")).distinct().collect()})  # at most 32 sizes an axis
     if not classes:
         return layout.limit(0).select(F.col("rank").alias("rank_a"), F.col("rank").alias("rank_b"))
-    reach = {a: sorted({tuple(map(max, a, b)) for b in classes}) for a in classes}
-    literal = lambda levels: F.array(*[F.lit(k) for k in levels])
-    at = None
-    for own in classes:
-        targets = F.array(*[literal(t) for t in reach[own]])
-        at = F.when(F.col("levels") == literal(own), targets) if at is None else at.when(F.col("levels") == literal(own), targets)
-    sent = full.withColumn("cell_levels", F.explode(at))
     n = len(classes[0])
-
-    def cells(a: int) -> Column:
-        size = F.call_function("shiftleft", F.lit(1).cast("long"), F.get("cell_levels", F.lit(a)))
-        low, high = F.get("starts", F.lit(a)), F.get("starts", F.lit(a)) + F.get("counts", F.lit(a)) - 1
-        return F.sequence(F.floor(low / size), F.floor(high / size))
-
+    kind_of = lambda levels: sum(k << 5 * a for a, k in enumerate(levels))
+    starts, counts = [f"s{a}" for a in range(n)], [f"n{a}" for a in range(n)]
+    box = ["rank", *starts, *counts]
+    flat = full.select("rank", *[F.get(w, F.lit(a)).cast("long").alias(f"{k}{a}") for w, k in (("starts", "s"), ("counts", "n")) for a in range(n)])
+    own = sum((F.shiftleft(_level(F.col(c)), 5 * a) for a, c in enumerate(counts)), F.lit(0))
+    at = None
+    for a in classes:
+        targets = F.array(*[F.lit(k) for k in sorted({kind_of(map(max, a, b)) for b in classes})])
+        at = F.when(F.col("own") == kind_of(a), targets) if at is None else at.when(F.col("own") == kind_of(a), targets)
+    sent = flat.withColumn("own", own).select(*box, F.explode(at).alias("kind"))
+    cell = lambda place, a: F.call_function("shiftright", place, _shifted(F.col("kind"), a))
     for a in range(n):
-        sent = sent.withColumn(f"c{a}", F.explode(cells(a)))
-    key = ["cell_levels", *[f"c{a}" for a in range(n)]]
-    sent = sent.select(*key, "rank", "starts", "counts", "levels")
+        sent = sent.withColumn(f"c{a}", F.explode(F.sequence(cell(F.col(f"s{a}"), a), cell(F.col(f"s{a}") + F.col(f"n{a}") - 1, a))))
+    key = ["kind", *[f"c{a}" for a in range(n)]]
     crowds = sent.groupBy(*key).agg(F.count("*").alias("boxes")).where(F.col("boxes") > hot)
-    salted = sent.join(crowds, key, "left").withColumn("salts", F.coalesce(F.ceil(F.col("boxes") / hot), F.lit(1)).cast("int"))
-    left = salted.select(*key, F.pmod(F.xxhash64("rank"), F.col("salts")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("rank", "starts", "counts", "levels")])
-    right = salted.select(*key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("rank", "starts", "counts", "levels")])
-    met = left.join(right, [*key, "salt"])
-    meets = (F.col("rank_a") < F.col("rank_b")) & (F.zip_with("levels_a", "levels_b", lambda a, b: F.greatest(a, b)) == F.col("cell_levels"))
+    side = lambda w: [F.col(c).alias(f"{c}_{w}") for c in box]
+    if crowds.isEmpty():
+        dealt = sent.select(*key, *box).repartition(*key)
+        met = dealt.select(*key, *side("a")).join(dealt.select(*key, *side("b")), key)
+    else:
+        salted = sent.join(crowds, key, "left").withColumn("salts", F.coalesce(F.ceil(F.col("boxes") / hot), F.lit(1)).cast("int"))
+        left = salted.select(*key, F.pmod(F.xxhash64("rank"), F.col("salts")).cast("int").alias("salt"), *side("a"))
+        right = salted.select(*key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *side("b"))
+        met = left.join(right, [*key, "salt"])
+    meets = F.col("rank_a") < F.col("rank_b")
+    for a in range(n):
+        s, t, m, k = (F.col(f"{c}{a}_{w}") for c in "sn" for w in "ab")
+        meets = meets & (s < t + k) & (t < s + m)
     for a in range(n):
-        s, t = (F.get(f"starts_{w}", F.lit(a)) for w in "ab")
-        e, f = s + F.get("counts_a", F.lit(a)), t + F.get("counts_b", F.lit(a))
-        # in the cell of the overlap's first point, so that a pair is met once
-        size = F.call_function("shiftleft", F.lit(1).cast("long"), F.get("cell_levels", F.lit(a)))
-        meets = meets & (s < f) & (t < e) & (F.floor(F.greatest(s, t) / size) == F.col(f"c{a}"))
+        s, t, m, k = (F.col(f"{c}{a}_{w}") for c in "sn" for w in "ab")
+        # on the cells of the pair's own size, in that of the overlap's first point, so that a pair is met once
+        size, most = F.call_function("shiftleft", F.lit(1).cast("long"), _shifted(F.col("kind"), a)), F.greatest(m, k)
+        meets = meets & (2 * most <= size) & (4 * most > size) & (cell(F.greatest(s, t), a) == F.col(f"c{a}"))
     return met.where(meets).select("rank_a", "rank_b")
 
 

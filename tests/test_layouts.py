@@ -96,3 +96,22 @@ def test_block_exchange_of_an_irregular_layout(spark):
     a = G.collect_ndarray(points, dims)
     f = plan.execute(points, Execute.FORWARD)
     assert np.allclose(G.collect_ndarray(f, dims), np.fft.fftn(a)) and np.allclose(G.collect_ndarray(plan.execute(f, Execute.BACKWARD), dims), a * a.size)
+
+
+def test_checks_of_layouts_sort_and_send_little(spark):
+    layout = table(spark, shattered(random.Random(2), (40, 30, 20), 60))
+    assert "SortAggregate" not in lay.mismatches(layout)._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = lay.overlaps(layout)
+        assert pairs.count() == 0
+        plan = pairs._jdf.queryExecution()
+        sent = plan.executedPlan().toString().split("Exchange hashpartitioning")[1].splitlines()[0]
+        pairs.collect()
+        done = plan.executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "levels" not in sent and "ReusedExchange" in done  # both sides read one shuffle
+    large = [((0, 0), (1 << 29, 3)), (((1 << 29) - 1, 2), (1 << 29, 1 << 29))]
+    assert [tuple(r) for r in lay.overlaps(table(spark, large)).collect()] == [(0, 1)]
