@@ -28,7 +28,7 @@ from ..errors import ErrorCode, GridError
 from ..functions import compression as codec
 from ..functions import kernels
 from ..plans.decomposition import Box, order_of
-from ..plans.layouts import CutTree
+from ..plans.layouts import CutTree, Pencils
 from ..ship import ship
 
 AXES = ("x", "y", "z")
@@ -80,6 +80,8 @@ def from_memory(data, counts: Sequence[int], order: Sequence[int], dtype) -> np.
 def owner_column(boxes: Sequence[Box]):
     """Rank of a point: by arithmetic on the distinct cuts of each axis if the
     boxes are their product, else down a tree of cuts."""
+    if isinstance(boxes, Pencils):
+        return boxes.owner()
     n = len(boxes[0].starts)
     full = [(r, b) for r, b in enumerate(boxes) if b.size]
     cuts = [sorted({b.starts[a] for _, b in full}) for a in range(n)]
@@ -89,11 +91,11 @@ def owner_column(boxes: Sequence[Box]):
             axis = F.col(AXES[a])
             at = sum((F.when(axis >= c, 1).otherwise(0) for c in cuts[a][1:]), F.lit(0)) if len(cuts[a]) <= 16 else F.array_position(F.array(*[F.lit(c) for c in cuts[a]]), F.array_max(F.filter(F.array(*[F.lit(c) for c in cuts[a]]), lambda c: c <= axis))).cast("int") - 1
             index, stride = index + at * stride, stride * len(cuts[a])
-        place = {}
+        place, nth = {}, [{c: k for k, c in enumerate(axis)} for axis in cuts]
         for r, b in full:
             key, stride = 0, 1
             for a in range(n):
-                key, stride = key + cuts[a].index(b.starts[a]) * stride, stride * len(cuts[a])
+                key, stride = key + nth[a][b.starts[a]] * stride, stride * len(cuts[a])
             place[key] = r
         table = [place[k] for k in range(len(full))]
         return F.get(F.array(*[F.lit(r) for r in table]), index.cast("int")) if table != list(range(len(table))) else index.cast("int")

@@ -24,6 +24,7 @@ from ..enums import Layout
 from ..errors import ErrorCode, GridError
 from ..functions.array_fft import let
 from ..plans.decomposition import Box, order_of
+from ..plans.layouts import Pencils, TableBoxes
 from ..ship import ship
 from .exchange import AXES, BOXES, _arrow, _kinds, owner_column, to_memory
 
@@ -72,22 +73,33 @@ def _error(text: str) -> Column:
 
 
 def with_rank(rows: DataFrame, boxes: Sequence[Box]) -> DataFrame:
+    if isinstance(boxes, TableBoxes):
+        return boxes.with_rank(rows.select(*AXES[: len(boxes.dims)], *values_of(rows)))
     n = len(boxes[0].starts)
     return rows.select(owner_column(boxes).alias("rank"), *AXES[:n], *values_of(rows))
 
 
+def _is_cut(boxes: Sequence[Box], axis: int) -> bool:
+    """Whether boxes start at different places of an axis."""
+    if isinstance(boxes, (Pencils, TableBoxes)):
+        return boxes.splits(axis)
+    return len({b.starts[axis] for b in boxes if b.size}) > 1
+
+
 def from_points(points: DataFrame, dims: Sequence[int], inner: Sequence[int], boxes: Sequence[Box], kind: str = "double") -> DataFrame:
     """Points to rows. A missing, repeated or outside point in a row is an error."""
     n, values = len(dims), values_of(points)
     keys = [a for a in range(n) if a not in inner]
-    cut = all(len({b.starts[a] for b in boxes if b.size}) > 1 for a in inner)  # bricks: a row stays within its rank
+    cut, in_table = all(_is_cut(boxes, a) for a in inner), isinstance(boxes, TableBoxes)  # bricks: a row stays within its rank
     given = points.select(*[F.col(AXES[a]).cast("int").alias(AXES[a]) for a in range(n)], *[F.col(v).cast(kind).alias(v) for v in values])
-    if cut:
+    if cut and in_table:
+        given = boxes.with_rank(given, extents=True)
+    elif cut:
         given = given.withColumn("rank", owner_column(boxes))
-    by = [*(["rank"] if cut else []), *[AXES[a] for a in keys]]
+    by = [*(["rank"] if cut else []), *[AXES[a] for a in keys], *([f"n{a}" for a in inner] if cut and in_table else [])]
     grouped = given.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(_place(inner, dims).alias("at"), *values))).alias("all"))
     first = F.get("all", F.lit(0))["at"]
-    size = _size_of_box(boxes, inner) if cut else F.lit(prod(dims[a] for a in inner))
+    size = prod((F.col(f"n{a}") for a in inner), start=F.lit(1)) if cut and in_table else _size_of_box(boxes, inner) if cut else F.lit(prod(dims[a] for a in inner))
     whole = (F.size("all") == size) & F.forall(F.transform("all", lambda p, i: p["at"] - i), lambda d: d == first)
     if not cut:
         whole = whole & (first == 0)
@@ -95,8 +107,9 @@ def from_points(points: DataFrame, dims: Sequence[int], inner: Sequence[int], bo
         whole = whole & F.col(AXES[a]).between(0, dims[a] - 1)
     checked = grouped.withColumn("all", F.when(whole, F.col("all")).otherwise(_error("a row has other points than its places")))
     start = _coordinates(first, inner, dims)
-    rows = checked.select(*[(start[a] if a in start else F.col(AXES[a])).alias(AXES[a]) for a in range(n)], *[F.col(f"all.{v}").alias(v) for v in values])
-    return with_rank(rows, boxes)
+    held = ["rank"] if cut and in_table else []
+    rows = checked.select(*held, *[(start[a] if a in start else F.col(AXES[a])).alias(AXES[a]) for a in range(n)], *[F.col(f"all.{v}").alias(v) for v in values])
+    return rows if held else with_rank(rows, boxes)
 
 
 def _of_rank(values: Sequence[int]) -> Column:
@@ -118,11 +131,12 @@ def to_points(rows: DataFrame, dims: Sequence[int], inner: Sequence[int], keep:
 
 def placement(rows: DataFrame, dims: Sequence[int], inner: Sequence[int], boxes: Sequence[Box], layout: Layout) -> DataFrame:
     """Points with the rank that holds them and their place in its memory."""
-    n = len(dims)
-    points = to_points(rows, dims, inner, ["rank"])
+    n, kept = len(dims), isinstance(boxes, (Pencils, TableBoxes))
+    extents = [f"{w}{a}" for w in "sn" for a in range(n)] if kept else []
+    points = to_points(boxes.with_extents(rows) if kept else rows, dims, inner, ["rank", *extents])
     offset, stride = F.lit(0).cast("long"), F.lit(1).cast("long")
     for a in order_of(layout, n):
-        starts, counts = (_of_rank([getattr(b, w)[a] for b in boxes]) for w in ("starts", "counts"))
+        starts, counts = (F.col(f"s{a}"), F.col(f"n{a}")) if kept else (_of_rank([getattr(b, w)[a] for b in boxes]) for w in ("starts", "counts"))
         offset, stride = offset + (F.col(AXES[a]) - starts) * stride, stride * counts
     return points.select("rank", offset.alias("local_offset"), *AXES[:n], *values_of(points))
 
@@ -180,7 +194,7 @@ def parted(rows: DataFrame, dims: Sequence[int], inner: Sequence[int], axis: int
         flat = rows.select(*[AXES[a] for a in range(n) if a not in inner], F.explode(lines).alias("p"))
         at = _coordinates(F.col("p.at"), inner, dims)
         rows = flat.select(*[(at[a] if a in at else F.col(AXES[a])).alias(AXES[a]) for a in range(n)], *[F.col(f"p.{v}").alias(v) for v in values])
-    cuts = sorted({b.starts[axis] for b in boxes if b.size})
+    cuts = boxes.starts(axis) if isinstance(boxes, TableBoxes) else sorted({b.starts[axis] for b in boxes if b.size})
     ends = [*cuts[1:], dims[axis]]
     parts = F.array(*[F.struct(F.lit(s).alias("at"), *[F.slice(v, s + 1, e - s).alias(v) for v in values]) for s, e in zip(cuts, ends, strict=True)])
     out = rows.select(*[AXES[a] for a in range(n) if a != axis], F.explode(parts).alias("p")).select(*[(F.col("p.at") if a == axis else F.col(AXES[a])).alias(AXES[a]) for a in range(n)], *[F.col(f"p.{v}").alias(v) for v in values])

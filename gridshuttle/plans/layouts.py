@@ -3,7 +3,9 @@
 A layout table has ``rank, layout, starts, counts, size``. Checks run as
 grouped sums and one join on coarse cells, so tables of very many boxes are
 checked where they lie; the driver gets no more than the sizes, and boxes only
-once a plan is made of them.
+once a plan is made of them, if they are few. Those of more than ``MANY`` ranks
+stay in their table (``TableBoxes``), pencils of as many are worked out rank by
+rank (``Pencils``).
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ from pyspark.sql import functions as F
 from ..enums import Layout
 from ..errors import ErrorCode, GridError
 from ..functions.array_fft import let
-from .decomposition import SPLITS, Box
+from .decomposition import SPLITS, Box, rank_coords, split
 
 #: Boxes of one cell beyond which the cell is compared in several tasks.
 HOT = 1024
+#: Ranks beyond which boxes are no list on the driver.
+MANY = 512
+AXES = ("x", "y", "z")
 
 
 def split_columns(n: Column, parts: int, r: Column) -> tuple[Column, Column]:
@@ -172,6 +177,112 @@ def boxes_of(layout: DataFrame) -> list[Box]:
     return [Box(s, c) for _, s, c in rows]
 
 
+def _extents(n: int, wanted: str = "sn") -> list[str]:
+    """Columns of a box: its starts ``s0 ...`` and counts ``n0 ...``."""
+    return [f"{w}{a}" for w in wanted for a in range(n)]
+
+
+class Pencils(Sequence):
+    """A pencil layout of any number of ranks; a box is made when asked for."""
+
+    def __init__(self, dims: Sequence[int], grid: Sequence[int], layout: Layout):
+        self.dims, self.grid, self.axes = tuple(dims), tuple(grid), SPLITS[len(dims)][layout]
+
+    def __len__(self) -> int:
+        return int(np.prod(self.grid, dtype=object))
+
+    def __getitem__(self, rank: int) -> Box:
+        if not 0 <= rank < len(self):
+            raise IndexError(rank)
+        c = rank_coords(rank, self.grid)
+        parts = [split(n, self.grid[k], c[k]) for n, k in zip(self.dims, self.axes, strict=True)]
+        return Box(tuple(s for s, _ in parts), tuple(n for _, n in parts))
+
+    def splits(self, axis: int) -> bool:
+        return min(self.grid[self.axes[axis]], self.dims[axis]) > 1
+
+    def _below(self, k: int) -> int:
+        return int(np.prod(self.grid[k + 1 :], dtype=object))
+
+    def owner(self) -> Column:
+        """The rank at the point of the columns ``x, y[, z]``."""
+        rank = F.lit(0)
+        for a, k in enumerate(self.axes):
+            q, m = divmod(self.dims[a], self.grid[k])
+            at, first = F.col(AXES[a]), (self.grid[k] - m) * q  # points of the parts of q
+            late = self.grid[k] - m + F.call_function("div", at - first, F.lit(q + 1))
+            rank = rank + (F.when(at < first, F.call_function("div", at, F.lit(q))).otherwise(late) if q else late) * self._below(k)
+        return rank.cast("int")
+
+    def with_rank(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", self.owner())
+
+    def with_extents(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with a ``rank`` and their rank's ``s0 ...`` and ``n0 ...``."""
+        parts = [split_columns(F.lit(self.dims[a]), self.grid[k], F.floor(F.col("rank") / self._below(k)) % self.grid[k]) for a, k in enumerate(self.axes)]
+        return rows.select("*", *[c.alias(f"{w}{a}") for j, w in enumerate("sn") for a, c in enumerate(p[j] for p in parts)])
+
+
+class TableBoxes(Sequence):
+    """Boxes of very many ranks, left in their (checked) table; points find
+    theirs by a join. Asking for single boxes fetches them all."""
+
+    def __init__(self, table: DataFrame, dims: Sequence[int]):
+        self.table, self.dims, n = table, tuple(dims), len(dims)
+        self.flat = table.select("rank", "size", *[F.get(w, F.lit(a)).alias(f"{k}{a}") for w, k in (("starts", "s"), ("counts", "n")) for a in range(n)])
+        ranks = table.agg(F.count("*").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.count_distinct("rank").alias("all")).first()
+        if (ranks["low"], ranks["high"], ranks["all"]) != (0, ranks["n"] - 1, ranks["n"]):
+            raise GridError(ErrorCode.PENCIL_NOT_INITIALIZED, "ranks run from 0 without gaps")
+        self._count, self._boxes = ranks["n"], None
+
+    def __len__(self) -> int:
+        return self._count
+
+    def __getitem__(self, rank: int) -> Box:
+        if self._boxes is None:
+            self._boxes = boxes_of(self.table)
+        return self._boxes[rank]
+
+    def starts(self, axis: int) -> list[int]:
+        """The distinct starts on an axis, at most its size."""
+        return sorted(r[0] for r in self.flat.where("size > 0").select(f"s{axis}").distinct().collect())
+
+    def splits(self, axis: int) -> bool:
+        return self.flat.where("size > 0").select(f"s{axis}").distinct().limit(2).count() > 1
+
+    def is_product(self) -> bool:
+        """Whether the boxes are all combinations of one set of cuts an axis."""
+        full, cuts = self.flat.where("size > 0"), 1
+        for a in range(len(self.dims)):
+            cuts *= full.select(f"s{a}", f"n{a}").distinct().count()
+        return cuts == len(self) == full.count()
+
+    def with_rank(self, rows: DataFrame, extents: bool = False) -> DataFrame:
+        """``rows`` (with ``x, y[, z]``) with the rank of the box that holds the
+        point, and its starts and counts if asked for. Boxes lie in the cells
+        of their class (at most two an axis), a point in one cell a class."""
+        n, kept = len(self.dims), [c for c in rows.columns if c != "rank"]
+        full = self.flat.where("size > 0").drop("size").withColumn("kind", sum((F.shiftleft(_level(F.col(f"n{a}")), 5 * a) for a in range(n)), F.lit(0)))
+        kinds = sorted(r[0] for r in full.select("kind").distinct().collect())  # at most 32 sizes an axis
+        cell = lambda place, a: F.call_function("shiftright", place, _shifted(F.col("kind"), a))
+        inside = F.lit(True)
+        for a in range(n):
+            full = full.withColumn(f"c{a}", F.explode(F.sequence(cell(F.col(f"s{a}"), a), cell(F.col(f"s{a}") + F.col(f"n{a}") - 1, a))))
+            inside = inside & F.col(AXES[a]).between(0, self.dims[a] - 1)
+        key = ["kind", *[f"c{a}" for a in range(n)]]
+        outside = F.raise_error(F.lit(f"{ErrorCode.INVALID_LAYOUT.name}: a point outside the grid")).cast("array<int>")
+        near = rows.select(*kept, F.explode(F.when(inside, F.array(*[F.lit(k) for k in kinds])).otherwise(outside)).alias("kind"))
+        near = near.select("*", *[cell(F.col(AXES[a]), a).alias(f"c{a}") for a in range(n)])
+        met = near.join(full, key)
+        for a in range(n):
+            met = met.where((F.col(AXES[a]) >= F.col(f"s{a}")) & (F.col(AXES[a]) - F.col(f"s{a}") < F.col(f"n{a}")))
+        return met.select("rank", *kept, *(_extents(n) if extents else []))
+
+    def with_extents(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with a ``rank`` and their rank's ``s0 ...`` and ``n0 ...``."""
+        return rows.join(self.flat.drop("size"), "rank")
+
+
 class CutTree:
     """Rank of a point in any layout of boxes, by cuts at planes.
 

@@ -27,7 +27,7 @@ from ..functions import transforms as tf
 from ..operators import exchange as ex
 from ..operators import lines
 from .decomposition import Box, default_grid, fourier_bricks, is_distributed, is_product, layout_frame, pencil_boxes, pencils_from_bricks, pencils_from_pencils, slab_use, validate_boxes
-from .layouts import boxes_of, checked
+from .layouts import MANY, Pencils, TableBoxes, boxes_of, checked
 from .physical import described
 from .requests import Request
 
@@ -80,7 +80,12 @@ class Plan:
     ):
         self.config = (config or Config.load(spark)).validate()
         if isinstance(boxes, DataFrame):  # a layout table, checked where it lies
-            dims, boxes = checked(boxes), boxes_of(boxes)
+            dims, layout = checked(boxes), boxes
+            boxes = None
+            if self.config.backend == Backend.MPI_DATATYPE and effort == Effort.ESTIMATE and layout.count() > MANY:
+                found = TableBoxes(layout, dims)
+                boxes = found if not found.is_product() else None  # irregular ones stay where they lie
+            boxes = boxes_of(layout) if boxes is None else boxes
             parts = len(boxes)
         elif boxes is not None:
             dims = validate_boxes(boxes)
@@ -103,8 +108,8 @@ class Plan:
         check(parts > 0, ErrorCode.INVALID_COMM_TYPE)
         self.parts, self.backend, self.transpose_mode = parts, self.config.backend, self.config.transpose_mode
         self.reshape_backend = compatible(self.config.reshape_backend, self.backend)
-        self._user_boxes = list(boxes) if boxes is not None else None
-        self.reshape_enabled = boxes is not None and is_distributed(boxes)
+        self._user_boxes = boxes if boxes is None or isinstance(boxes, TableBoxes) else list(boxes)
+        self.reshape_enabled = isinstance(boxes, TableBoxes) or (boxes is not None and is_distributed(boxes))
         self._active: dict[str, Request] = {}
         self._alive = True
         self._given_grid = grid is not None
@@ -134,7 +139,7 @@ class Plan:
             check(len(grid) == n, ErrorCode.INVALID_COMM_DIMS)
             check(grid[0] == 1, ErrorCode.INVALID_COMM_FAST_DIM)
             check(prod(grid) == self.parts, ErrorCode.INVALID_CART_COMM)
-        if self._user_boxes is not None and not is_product(self._user_boxes):
+        if isinstance(self._user_boxes, TableBoxes) or (self._user_boxes is not None and not is_product(self._user_boxes)):
             # any other tiling: pencils of their own, met by a reshape
             self.grid, self.z_slab_enabled, self.y_slab_enabled = default_grid(self.dims, self.parts, self.config.enable_z_slab, self.config.enable_y_slab)
             self._first, self.reshape_enabled = None, True
@@ -195,7 +200,7 @@ class Plan:
                     first = [Box(b.starts, (dims[0], *b.counts[1:])) for b in self._first]
                     found = pencils_from_pencils(first, dims, kind)
                 else:
-                    found = pencil_boxes(dims, self.grid, kind)
+                    found = Pencils(dims, self.grid, kind) if self.parts > MANY else pencil_boxes(dims, self.grid, kind)
             self._boxes[layout] = found
         return self._boxes[layout]
 
@@ -492,7 +497,7 @@ class Plan:
         steps = self.line_stages() if forward else self.line_stages()[::-1]
         (at, axes), real = steps[0], self._after_first()
         bricks = L.X_BRICKS if forward and self.reshape_enabled else L.Z_BRICKS if not forward and self.fourier_reshape else None
-        if bricks:
+        if bricks and not isinstance(self._user_boxes, TableBoxes):  # points have no rank yet: lines at once, not cut at a table's boxes first
             rows = self._move_lines(self._lines(points, bricks), bricks, at, (), axes)
         else:
             rows = self._lines(points, at, axes)

@@ -7,6 +7,8 @@ import pytest
 
 from gridshuttle import Execute, Executor, Layout, PlanC2C, PlanR2R, R2RKind
 from gridshuttle import queries as Q
+from gridshuttle.enums import Reshape
+from gridshuttle.errors import GridError
 from gridshuttle.plans import decomposition as D
 from gridshuttle.plans import layouts as lay
 from gridshuttle.sources import grids as G
@@ -115,3 +117,34 @@ def test_checks_of_layouts_sort_and_send_little(spark):
     assert "levels" not in sent and "ReusedExchange" in done  # both sides read one shuffle
     large = [((0, 0), (1 << 29, 3)), (((1 << 29) - 1, 2), (1 << 29, 1 << 29))]
     assert [tuple(r) for r in lay.overlaps(table(spark, large)).collect()] == [(0, 1)]
+
+
+def test_boxes_of_very_many_ranks_stay_in_their_table(spark):
+    dims = (60, 50)
+    boxes = shattered(random.Random(9), dims, 700)
+    layout, points = table(spark, boxes), G.random_grid(spark, dims)
+    plan = PlanC2C(boxes=layout, executor=Executor.NUMPY)
+    back = G.scaled(plan.execute(plan.execute(points, Execute.FORWARD), Execute.BACKWARD), 60 * 50)
+    assert G.max_error(points, back).first()[0] < 1e-12
+    moved = plan.gather(plan.reshape(plan.reshape(plan.scatter(points, Layout.X_BRICKS), Reshape.X_BRICKS_TO_PENCILS), Reshape.X_PENCILS_TO_BRICKS), Layout.X_BRICKS)
+    assert moved.exceptAll(points.select(moved.columns)).isEmpty() and moved.count() == 3000
+    for layout_, held in ((Layout.X_BRICKS, boxes), (Layout.Y_PENCILS, [(b.starts, b.counts) for b in D.pencil_boxes(dims, (1, 700), Layout.Y_PENCILS)])):
+        for r in plan.placement(plan.scatter(points, layout_), layout_).collect():
+            (s, c), order = held[r["rank"]], D.order_of(layout_, 2)
+            at = [r["xy"[a]] - s[a] for a in order]
+            assert r["local_offset"] == at[0] + c[order[0]] * at[1] and 0 <= at[0] < c[order[0]] and 0 <= at[1] < c[order[1]]
+    assert plan._user_boxes._boxes is None  # none of this fetched the boxes
+    with pytest.raises(Exception, match="outside the grid"):
+        plan.scatter(points.selectExpr("x", "y + 1 AS y", "re", "im"), Layout.X_BRICKS).collect()
+    with pytest.raises(GridError):
+        PlanC2C(boxes=layout.selectExpr("rank + 1 AS rank", "layout", "starts", "counts", "size"))
+
+
+@pytest.mark.parametrize("dims,grid", [((34, 57, 12), (1, 3, 5)), ((7, 5, 40), (1, 9, 3)), ((33, 20), (1, 90))])
+def test_pencils_are_worked_out_by_rank(spark, dims, grid):
+    for k in (Layout.X_PENCILS, Layout.Y_PENCILS, Layout.Z_PENCILS)[: len(dims)]:
+        pencils, boxes = lay.Pencils(dims, grid, k), D.pencil_boxes(dims, grid, k)
+        assert list(pencils) == boxes
+        for r in pencils.with_rank(G.coordinates(spark, dims)).collect():
+            b = boxes[r["rank"]]
+            assert all(s <= r[x] < s + c for x, s, c in zip("xyz", b.starts, b.counts, strict=False))
