@@ -81,6 +81,21 @@ def default_grid(dims: Sequence[int], parts: int, z_slab: bool = True, y_slab: b
     return (1, a, b), False, False
 
 
+def grid_of_boxes(dims: Sequence[int], values: int, least: int = 1) -> tuple[int, ...]:
+    """The grid of fewest ranks, ``least`` at least, whose pencils hold at most
+    about ``values`` points: slabs along z while they do, else y and z cut
+    alike (as far as the axes allow, so that no rank is empty)."""
+    parts = max(least, -(-prod(dims) // values))
+    if len(dims) == 2:
+        return (1, max(1, min(parts, *dims)))
+    if parts <= dims[2]:
+        return (1, 1, parts)
+    most_y, most_z = min(dims[0], dims[1]), min(dims[1], dims[2])
+    z = min(most_z, max(1, round(parts**0.5)))
+    y = min(most_y, -(-parts // z))
+    return (1, y, min(most_z, -(-parts // y)))
+
+
 def slab_use(dims, grid, z_slab: bool, y_slab: bool) -> tuple[bool, bool]:
     """Which slab shortcut a given grid allows."""
     if len(dims) == 2:

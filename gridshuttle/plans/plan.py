@@ -461,25 +461,51 @@ class Plan:
         forward = kind == Execute.FORWARD
         if self.executor == Executor.SQL or self.moves_lines:
             return self._execute_lines(points, forward)
-        steps = self.stages()
         if forward:
-            if self.reshape_enabled:
-                held = self._scatter(points, L.X_BRICKS, None)
-                held = self._exchange(held, L.X_BRICKS, L.X_PENCILS, self._work(steps[0][1], True), reshape=True)
-            else:
-                held = self._scatter(points, L.X_PENCILS, self._work(steps[0][1], True))
-            at = self._after_first()
-            for layout, axes in steps[1:]:
-                held, at = self._exchange(held, at, layout, self._work(axes, True)), layout
-            if self.fourier_reshape:
-                held, at = self._exchange(held, at, L.Z_BRICKS, reshape=True), L.Z_BRICKS
+            held, at = self._to_spectrum(points)
             return ex.gather(held, self.ndims, self.dtype_of(at))
-        back = steps[::-1]
-        at = back[0][0]
+        layout, axes = self.stages()[-1]
         if self.fourier_reshape:
-            held = self._exchange(self._scatter(points, L.Z_BRICKS, None), L.Z_BRICKS, at, self._work(back[0][1], False), reshape=True)
+            held = self._exchange(self._scatter(points, L.Z_BRICKS, None), L.Z_BRICKS, layout, self._work(axes, False), reshape=True)
         else:
-            held = self._scatter(points, at, self._work(back[0][1], False))
+            held = self._scatter(points, layout, self._work(axes, False))
+        return self._from_spectrum(held)
+
+    def round_trip(self, points: DataFrame) -> DataFrame:
+        """Points to points, forward and backward, as ``execute`` twice; boxes
+        stay boxes in between, so points are only dealt out once."""
+        self._check_alive()
+        if self.executor == Executor.SQL or self.moves_lines:
+            return self.execute(self.execute(points, Execute.FORWARD), Execute.BACKWARD)
+        check(not self._active, ErrorCode.TRANSPOSE_ACTIVE if "transpose" in self._active else ErrorCode.RESHAPE_ACTIVE)
+        held, at = self._to_spectrum(points)
+        layout, axes = self.stages()[-1]
+        work = self._work(axes, False)
+        if self.fourier_reshape:
+            held = self._exchange(held, at, layout, work, reshape=True)
+        elif work:
+            held = ex.apply(held, self.ndims, self.dtype_of(at), work)
+        return self._from_spectrum(held)
+
+    def _to_spectrum(self, points: DataFrame) -> tuple[DataFrame, Layout]:
+        """Points to boxes of the spectrum, and their layout."""
+        steps = self.stages()
+        if self.reshape_enabled:
+            held = self._scatter(points, L.X_BRICKS, None)
+            held = self._exchange(held, L.X_BRICKS, L.X_PENCILS, self._work(steps[0][1], True), reshape=True)
+        else:
+            held = self._scatter(points, L.X_PENCILS, self._work(steps[0][1], True))
+        at = self._after_first()
+        for layout, axes in steps[1:]:
+            held, at = self._exchange(held, at, layout, self._work(axes, True)), layout
+        if self.fourier_reshape:
+            held, at = self._exchange(held, at, L.Z_BRICKS, reshape=True), L.Z_BRICKS
+        return held, at
+
+    def _from_spectrum(self, held: DataFrame) -> DataFrame:
+        """Boxes in the last layout, whose axes are transformed back, to points."""
+        back = self.stages()[::-1]
+        at = back[0][0]
         for layout, axes in back[1:]:
             held, at = self._exchange(held, at, self._after_first() if layout == L.X_PENCILS else layout, self._work(axes, False)), layout
         if self.reshape_enabled:

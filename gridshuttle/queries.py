@@ -768,14 +768,19 @@ def _(spark, sf_dir):
     return both.agg(F.sum((worst > grids.tolerance(prod(dims), True)).cast("long")).alias("violations"), F.count("*").alias("points"))
 
 
+#: Points of a box on a grid that grows with a table.
+BOX_VALUES = 1 << 20
+
+
 @add("random_roundtrip_error", f"SELECT CAST(nx * ny * nz AS BIGINT) AS points, true AS within FROM {SIZES_SQL}")
 def _(spark, sf_dir):
-    """Random values on a grid as large as the table says."""
+    """Random values on a grid as large as the table says, in boxes that fit a
+    task: eight, more where the grid is larger."""
     dims = table_dims(spark, sf_dir)
     points = grids.random_grid(spark, dims)
-    plan = PlanC2C(dims, 8, executor=NP, config=BLOCK)
-    back = grids.scaled(plan.execute(plan.execute(points, Execute.FORWARD), Execute.BACKWARD), prod(dims))
-    return grids.max_error(points, back).select(F.lit(prod(dims)).cast("long").alias("points"), (F.col("max_error") <= grids.tolerance(prod(dims))).alias("within"))
+    plan = PlanC2C(dims, grid=dec.grid_of_boxes(dims, BOX_VALUES, 8), executor=NP, config=BLOCK)
+    back = grids.scaled(plan.round_trip(points), prod(dims))
+    return grids.random_error(back, dims).select("points", (F.col("max_error") <= grids.tolerance(prod(dims))).alias("within"))
 
 
 EV_PAD = (24, 16)

@@ -174,3 +174,25 @@ def test_one_shuffle_a_step(spark):
     points, _ = complex_grid(spark, (8, 6, 4))
     f = PlanC2C((8, 6, 4), 4, executor=Executor.NUMPY, config=BLOCK).execute(points, Execute.FORWARD)
     assert f._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+
+
+def test_round_trip_keeps_boxes_that_fit_a_task(spark):
+    from gridshuttle import queries as Q
+    from gridshuttle.plans import decomposition as D
+    from gridshuttle.sources import grids as G
+
+    for dims in ((1000, 35, 50), (60_000, 35, 50), (360_000, 35, 50), (53, 7, 1), (4096, 4096)):
+        grid = D.grid_of_boxes(dims, Q.BOX_VALUES, 8)
+        boxes = [b for k in (Q.Layout.X_PENCILS, Q.Layout.Y_PENCILS) for b in D.pencil_boxes(dims, grid, k)]
+        assert max(b.size for b in boxes) <= 2 * Q.BOX_VALUES and min(b.size for b in boxes) > 0, (dims, grid)
+    dims = (12, 9, 5)
+    for grid in (D.grid_of_boxes(dims, 1 << 20, 4), D.grid_of_boxes(dims, 40)):
+        plan, points = Q.PlanC2C(dims, grid=grid, executor=Q.NP, config=Q.BLOCK), G.random_grid(spark, dims, seed=5)
+        back = G.scaled(plan.round_trip(points), 12 * 9 * 5)
+        r = G.random_error(back, dims, seed=5).first()
+        assert r["points"] == 540 and r["max_error"] < 1e-12
+        assert abs(r["max_error"] - G.max_error(points, back).first()[0]) < 1e-15
+    assert G.random_error(points.where("x > 0"), dims, seed=5).first()["points"] == 495
+    bricks = Q.spectral_plan(Q.PlanR2C, executor=Q.NP)
+    real = G.random_grid(spark, Q.LI, values=("v",))
+    assert G.random_error(G.scaled(bricks.round_trip(real), 384), Q.LI).first()["max_error"] < 1e-12
