@@ -159,6 +159,16 @@ def incidence(sets, which: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return out
 
 
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``uid`` is in ``wanted``, found where they lie: a bit a
+    uid, 64 to a number, is all that is broadcast, so only texts that will be
+    compared are shuffled."""
+    block, bit = F.shiftright("uid", 6).alias("block"), F.col("uid").bitwiseAND(F.lit(63)).cast("int")
+    marks = wanted.select(block, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("block").agg(F.bit_or("bit").alias("bits"))
+    met = rows.withColumn("block", block).join(F.broadcast(marks), "block")
+    return met.where(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
 def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """``docs`` (rows that must stay the same when read twice, with a unique
     long ``uid``) as uid, class print, group (smallest uid of the duplicate
@@ -198,7 +208,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold:
     members = clusters.join(classes, clusters["node"] == classes["print"]).select("uid", "print", "copies", F.col("component").alias("cluster"))
     sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("rows"))
     members = hot_join(members, materialize(sizes, "jaccard-sizes"), "cluster", "rows", clusters.count())
-    texts = members.join(base, "uid")
+    members = materialize(members.select("uid", "print", "copies", "cluster", "blocks"), "jaccard-members")
+    texts = members.join(marked(base, members), "uid")
 
     def grams(batches):
         shingle = Shingler(n)

@@ -95,3 +95,17 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
     want = defaultdict(int, {i: 0 for i in range(61)} | {i: 100 for i in (100, 101, 102)} | {i: 200 for i in range(200, 400)})
     assert got == dict(want)
+
+
+def test_only_texts_to_compare_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    from llm.jaccard_join import marked
+
+    ids = [*range(130), (3 << 33) + 63, (3 << 33) + 64, (1 << 40) + 5]
+    wanted = {0, 5, 63, 64, 127, (3 << 33) + 63, (1 << 40) + 5}
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "uid long, text string")
+    kept = marked(rows, rows.where(F.col("uid").isin(*wanted)).select("uid"))
+    assert kept.columns == ["uid", "text"] and {tuple(r) for r in kept.collect()} == {(i, f"t{i}") for i in wanted}
+    assert kept.count() == len(wanted)
+    assert "Exchange hashpartitioning(uid" not in kept._jdf.queryExecution().executedPlan().toString()  # texts stay where they lie
