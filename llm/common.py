@@ -105,17 +105,17 @@ def carried(docs: DataFrame, result: tuple[str, ...], **needed: str) -> tuple[Da
     return flat.select(F.struct(*row).alias("in_row"), *[F.col(f"c{where(n)}").alias(a) for a, n in needed.items()]), [F.col(f"in_row.c{i}").alias(names[i]) for i in keep]
 
 
-def hot_join(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, share: int = 1024) -> DataFrame:
-    """Inner join of ``many`` with ``one`` (a row a ``key``, whose ``rows``
+def hot_join(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, share: int = 1024, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of ``many`` with ``one`` (a row a ``key``, whose ``rows``
     says how many rows of ``many`` have it). Keys with more than
     ``total / share`` rows, at most ``share`` of them, are broadcast, so no
     task of the shuffled rest gets more than that of one key. ``one`` should
     be written, as it is looked through first."""
     limit = max(total // share, 64)
     if one.where(F.col(rows) > limit).isEmpty():
-        return many.join(one, key)
+        return many.join(one, key, how)
     hot, cold = F.broadcast(one.where(F.col(rows) > limit)), one.where(F.col(rows) <= limit)
-    return many.join(hot, key).unionByName(many.join(hot.select(key), key, "left_anti").join(cold, key))
+    return many.join(hot, key).unionByName(many.join(hot.select(key), key, "left_anti").join(cold, key, how))
 
 
 def spread_join(big: DataFrame, small: DataFrame, key: str, small_key: str, spread: list[str], salts: int = 16) -> DataFrame:

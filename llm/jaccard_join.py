@@ -3,14 +3,16 @@
 1. Every text becomes a set of hashed word 5-grams. Texts with equal sets are
    one class from here on; however many copies there are, they cost one row.
 2. Min-hash bands propose candidates: classes that share a band value are
-   linked to the smallest of them (never pair by pair), and connected
-   components of these links are the candidate clusters.
+   linked to the smallest of them (never pair by pair), first within chunks
+   where they lie, then between chunks by one shuffle of a row a value and
+   chunk; connected components of these links are the candidate clusters.
 3. Within a cluster, pairs are compared on min-hash values a few at a time;
    a pair is dropped as soon as the posterior probability that its similarity
    reaches the threshold (uniform prior, binomial matches) falls below a
    tolerance. What remains is verified exactly on the sets. Clusters larger
    than a block are compared block against block, so a task holds two blocks
    at most; a task returns sums and a spanning forest, never the pairs.
+   Texts travel compressed and become sets again where they are compared.
 4. Components of the verified links are the duplicate groups.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. A text of
@@ -22,15 +24,17 @@ empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, hot_join, materialize, ship, spread_join, text_of
+from .common import carried, hot_join, materialize, ship, text_of
 from .components import components
 
 N, THRESHOLD, BANDS, ROWS, TOLERANCE, STEP, BLOCK, CACHE = 5, 0.8, 30, 6, 1e-6, 32, 384, 400_000
-COMPARED = 128
+COMPARED, CHUNK = 128, 1 << 20
 _rng = np.random.default_rng(20)
 A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -169,6 +173,54 @@ def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.where(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
 
 
+def stars(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, smallest print of each, other prints with their key,
+    that key's smallest); the last two without repeats."""
+    order = np.lexsort((prints, keys))
+    keys, prints = keys[order], prints[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    low = prints[new]
+    root = low[np.cumsum(new) - 1]
+    more = prints != root
+    pairs = np.unique(np.stack([prints[more], root[more]]), axis=1)
+    return keys[new], low, pairs[0], pairs[1]
+
+
+def near_links(sketched: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(u, v): links between prints that share a key in ``bands``, enough to
+    connect all that do. A key comes at most once a chunk of about ``chunk``
+    keys to the shuffle, however many rows have it."""
+    import pyarrow as pa
+
+    def combine(inside: bool):
+        def run(batches):
+            keys, prints, held = [], [], 0
+
+            def flush():
+                key, low, u, v = stars(np.concatenate(keys), np.concatenate(prints))
+                out = pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)] if inside else [pa.array(key), pa.array(low)], names=names)
+                for at in range(0, out.num_rows, 65536):
+                    yield out.slice(at, 65536)
+
+            for batch in batches:
+                lists = batch.column(1)
+                keys.append(lists.flatten().to_numpy())
+                prints.append(np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy()))
+                held += len(keys[-1])
+                if held >= chunk:
+                    yield from flush()
+                    keys, prints, held = [], [], 0
+            if held:
+                yield from flush()
+
+        names = ["u", "v"] if inside else ["key", "u"]
+        return sketched.where("print <> 0").select("print", "bands").mapInArrow(run, f"{names[0]} long, {names[1]} long")
+
+    across = combine(False).withColumn("v", F.min("u").over(Window.partitionBy("key"))).where("u <> v").select("u", "v")
+    return combine(True).unionByName(across)
+
+
 def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """``docs`` (rows that must stay the same when read twice, with a unique
     long ``uid``) as uid, class print, group (smallest uid of the duplicate
@@ -199,31 +251,25 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold:
     sketched = materialize(base.mapInArrow(sketch, "uid long, print long, bands array<long>"), "jaccard-sketch")
     classes = sketched.where("print <> 0").groupBy("print").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"))
     classes = materialize(classes, "jaccard-classes")
-    first = sketched.join(classes.select("uid"), "uid", "left_semi").select("print", F.explode("bands").alias("key"))
-    shared = first.groupBy("key").agg(F.min("print").alias("v"), F.max("print").alias("top"), F.count("*").alias("rows")).where("v <> top").select("key", "v", "rows")
-    shared = materialize(shared, "jaccard-shared")
-    near = hot_join(first, shared, "key", "rows", bands * classes.count()).select(F.col("print").alias("u"), "v").where("u <> v")
-    clusters = materialize(components(near), "jaccard-clusters")
+    clusters = materialize(components(near_links(sketched)), "jaccard-clusters")
 
     members = clusters.join(classes, clusters["node"] == classes["print"]).select("uid", "print", "copies", F.col("component").alias("cluster"))
     sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("rows"))
     members = hot_join(members, materialize(sizes, "jaccard-sizes"), "cluster", "rows", clusters.count())
     members = materialize(members.select("uid", "print", "copies", "cluster", "blocks"), "jaccard-members")
-    texts = members.join(marked(base, members), "uid")
 
-    def grams(batches):
-        shingle = Shingler(n)
+    def packed(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle(t).tobytes() for t in part.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], names=["print", "copies", "cluster", "blocks", "grams"])
+                texts = [zlib.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=["uid", "packed"])
 
-    sets = texts.select("print", "copies", "cluster", "blocks", "text").mapInArrow(grams, "print long, copies long, cluster long, blocks int, grams binary")
+    texts = members.join(marked(base, members).mapInArrow(packed, "uid long, packed binary"), "uid")
     own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.withColumn("own", own).withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    dealt = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "print").select("cluster", "lo", "hi", "own", "print", "copies", "grams")
+    dealt = texts.withColumn("own", own).withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    dealt = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "print").select("cluster", "lo", "hi", "own", "print", "copies", "packed")
     limits = least_matches(threshold, tolerance)
 
     def compare(batches):
@@ -252,7 +298,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold:
             cols = list(zip(*rows, strict=True)) if rows else ([], [], [])
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["print", "links", "root"])
 
-        key, held, out = None, ([], [], [], []), []
+        shingle, key, held, out = Shingler(n), None, ([], [], [], []), []
         for batch in batches:
             c = [batch.column(k).to_pylist() for k in range(6)]
             raw = batch.column(6)
@@ -265,7 +311,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold:
                     if len(out) > 5000:
                         yield flush(out)
                         out = []
-                for column, value in zip(held, (c[3][k], c[4][k], c[5][k], np.frombuffer(raw[k].as_py(), dtype=np.uint64)), strict=True):
+                for column, value in zip(held, (c[3][k], c[4][k], c[5][k], shingle(zlib.decompress(raw[k].as_py()).decode("utf-8", "surrogatepass"))), strict=True):
                     column.append(value)
         if len(held[0]) > 1:
             out += group(key, *held)
@@ -275,12 +321,13 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = N, threshold:
     groups = components(links.select(F.col("print").alias("u"), F.col("root").alias("v")))
     sums = links.groupBy("print").agg(F.sum("links").alias("links"))
     named = classes.join(groups, classes["print"] == groups["node"], "left").join(sums, "print", "left")
-    named = named.select("print", "uid", "copies", F.coalesce("component", "print").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = named.where("copies > 1 OR component IS NOT NULL").select("print", "uid", "copies", F.coalesce("component", "print").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     named = materialize(named, "jaccard-linked")
     lowest = materialize(named.groupBy("component").agg(F.min("uid").alias("group"), F.count("*").alias("rows")), "jaccard-lowest")
-    named = materialize(hot_join(named, lowest, "component", "rows", named.count()).select("print", "group", (F.col("links") + F.col("copies") - 1).alias("n_links")), "jaccard-named")
-    out = spread_join(sketched.select("uid", "print"), named, "print", "print", ["uid"])
-    return out.select("d.uid", "d.print", F.coalesce("h.group", "d.uid").alias("group"), F.coalesce("h.n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = hot_join(named, lowest, "component", "rows", named.count()).select("print", "group", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    prints = sketched.select("uid", "print")
+    found = hot_join(prints.where("print <> 0"), materialize(named, "jaccard-named"), "print", "copies", sketched.count(), how="left")
+    return found.unionByName(prints.where("print = 0"), allowMissingColumns=True).select("uid", "print", F.coalesce("group", "uid").alias("group"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def with_uid(rows: DataFrame, name: str) -> DataFrame:
@@ -293,10 +340,11 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     near-duplicates; its own if it has none) and ``n_links``."""
     rows = carried(docs, (), doc_id=doc_id, text=text)[0].select("doc_id", "text")
     rows = with_uid(rows, "jaccard-rows")
-    found = materialize(jaccard_classes(rows, threshold=threshold), "jaccard-found").join(rows.select("uid", "doc_id"), "uid")
-    lowest = found.groupBy("group").agg(F.min("doc_id").alias("class_id"))
-    both = spread_join(found, lowest, "group", "group", ["uid"])
-    return both.select("d.doc_id", "h.class_id", "d.n_links")
+    found = materialize(jaccard_classes(rows, threshold=threshold).join(rows.select("uid", "doc_id"), "uid"), "jaccard-found")
+    grouped = found.where("n_links > 0")
+    lowest = materialize(grouped.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")), "jaccard-least")
+    both = hot_join(grouped, lowest, "group", "rows", found.count()).select("doc_id", "class_id", "n_links")
+    return both.unionByName(found.where("n_links = 0").select("doc_id", F.col("doc_id").alias("class_id"), "n_links"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -309,4 +357,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     found = jaccard_classes(rows.select("uid", F.col(f"in_row.c{place}").alias("text")), threshold=threshold).join(rows.select("uid", "j_id"), "uid")
     ranked = found.select("group", F.struct(F.col("j_id").isNull().alias("n"), F.col("j_id").alias("i"), "uid").alias("s"))
     kept = ranked.groupBy("group").agg(F.min("s").alias("s")).select(F.col("s.uid").alias("uid"))
-    return rows.join(kept, "uid", "left_semi").select(*back)
+    return marked(rows, materialize(kept, "jaccard-kept")).select(*back)

@@ -109,3 +109,43 @@ def test_only_texts_to_compare_are_kept(spark):
     assert kept.columns == ["uid", "text"] and {tuple(r) for r in kept.collect()} == {(i, f"t{i}") for i in wanted}
     assert kept.count() == len(wanted)
     assert "Exchange hashpartitioning(uid" not in kept._jdf.queryExecution().executedPlan().toString()  # texts stay where they lie
+
+
+def test_shuffle_a_document(spark):
+    """With broadcasts off, as for large tables: band keys go through one
+    shuffle, a row each, and no partner is copied sixteen times."""
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(20)) for _ in range(3000)]
+    df = spark.createDataFrame([(i, texts[i % 2900]) for i in range(3000)], "doc_id long, text string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = {r.doc_id: (r.class_id, r.n_links) for r in J.jaccard_join(df).collect()}
+        each = (written() - before) / 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == {i: (i % 2900, 1 if i < 100 or i >= 2900 else 0) for i in range(3000)}
+    assert 100 < each < 1000, each
+
+
+def test_stars_connect_as_keys_do(spark):
+    """Chunks of any size connect the same prints; no key repeats in a chunk."""
+    draw = np.random.default_rng(3)
+    rows = [(p, [int(k) for k in draw.integers(0, 400, 3)] + [1000 + p % 7 if p < 40 else 10000 + p]) for p in range(1, 200)] + [(0, [])]
+    sketched = spark.createDataFrame(rows, "print long, bands array<long>").repartition(3)
+    by_key = defaultdict(set)
+    for p, bands in rows:
+        for k in bands:
+            by_key[k].add(p)
+    want = dict(map(tuple, components(spark.createDataFrame([(p, min(g)) for g in by_key.values() for p in g if p != min(g)], "u long, v long")).collect()))
+    for chunk in (5, 1 << 20):
+        assert dict(map(tuple, components(J.near_links(sketched, chunk)).collect())) == want
+    key, low, u, v = J.stars(np.array([7, 3, 7, 7, 3]), np.array([5, 9, 2, 5, 9]))
+    assert (key.tolist(), low.tolist(), u.tolist(), v.tolist()) == ([3, 7], [9, 2], [5], [2])
